@@ -249,7 +249,7 @@ FROM k"""
 SQL["sft_prepared"] = _sft_prepared(True)
 SQL["sft_prepared_truncated"] = _sft_prepared(False)
 
-SHIFT = "list_slice(labels, 2, greatest(len(labels) - 1, 0))"
+SHIFT = "list_slice(labels, 2, len(labels))"
 SQL["supervision_stats"] = f"""WITH {SFT}
 SELECT pos, {n("labels")} AS n_tokens, {SUP} AS n_supervised,
        CAST(len(list_filter({SHIFT}, lambda x: x <> -100)) AS BIGINT) AS n_supervised_shifted,
@@ -392,7 +392,7 @@ SELECT id, coalesce(list_contains(json_keys(line), 'instruction') AND list_conta
 # --- mixing -------------------------------------------------------------------------------
 
 MIX = f"""docs AS (SELECT source, doc_id AS id FROM documents),
-props AS (SELECT source, [0.0, 0.25, 0.29, 0.5, 1.0]::DOUBLE[][(k % 5) + 1] AS ratio
+props AS (SELECT source, list_extract(CAST([0.0, 0.25, 0.29, 0.5, 1.0] AS DOUBLE[]), (k % 5) + 1) AS ratio
           FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k FROM (SELECT DISTINCT source FROM docs))),
 sh AS (SELECT source, id, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('{C.SEED}:' || source || ':' || CAST(id AS VARCHAR)), id) - 1 AS BIGINT) AS r,
               count(*) OVER (PARTITION BY source) AS n_source FROM docs),
