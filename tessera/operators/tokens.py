@@ -31,24 +31,35 @@ from tessera.operators.order import dense_index
 BROADCAST_VOCAB_ROWS = 2_000_000
 
 
-def pretoken_pattern(profile: str = "portable", markers: bool = False) -> str:
+def pretoken_pattern(profile: str = "portable") -> str:
     if profile == "portable":
-        pat = PORTABLE_PRETOKEN_PATTERN
-    elif profile == "full":
-        pat = "(?U)" + FULL_PRETOKEN_PATTERN
-    else:
-        raise ValueError(f"unknown pre-token profile {profile!r}")
-    if markers:
-        if profile == "full":
-            pat = "(?U)" + MARKER_PATTERN + "|" + FULL_PRETOKEN_PATTERN
-        else:
-            pat = MARKER_PATTERN + "|" + pat
-    return pat
+        return PORTABLE_PRETOKEN_PATTERN
+    if profile == "full":
+        return "(?U)" + FULL_PRETOKEN_PATTERN
+    raise ValueError(f"unknown pre-token profile {profile!r}")
+
+
+# a special marker, or a maximal run of text that does not start a marker
+SEGMENT_PATTERN = f"{MARKER_PATTERN}|(?:(?!{MARKER_PATTERN})[\\s\\S])+"
 
 
 def pretokens(text, profile: str = "portable", markers: bool = False) -> Column:
-    """Column: array of pre-tokens of ``text`` (empty array for empty text)."""
-    return F.regexp_extract_all(col(text), F.lit(pretoken_pattern(profile, markers)), 0)
+    """Column: array of pre-tokens of ``text`` (empty array for empty text).
+
+    With ``markers`` the special markers are split out first and kept whole;
+    each text segment between them is pre-tokenised on its own (so no
+    pattern branch can run across a marker).
+    """
+    pat = F.lit(pretoken_pattern(profile))
+    if not markers:
+        return F.regexp_extract_all(col(text), pat, 0)
+    segments = F.regexp_extract_all(col(text), F.lit(SEGMENT_PATTERN), 0)
+    return F.flatten(
+        F.transform(
+            segments,
+            lambda s: F.when(s.rlike(f"^(?:{MARKER_PATTERN})$"), F.array(s)).otherwise(F.regexp_extract_all(s, pat, 0)),
+        )
+    )
 
 
 def pretokenise(df: DataFrame, text_col: str = "text", out: str = "tokens", profile: str = "portable",

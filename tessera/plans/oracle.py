@@ -8,11 +8,10 @@ length + md5 of their space-joined text.
 
 from __future__ import annotations
 
-from tessera.functions.fixed import EOS_TOKEN, MARKER_PATTERN, PORTABLE_PRETOKEN_PATTERN, TEMPLATE_ROWS
+from tessera.functions.fixed import EOS_TOKEN, MARKER_PATTERN, PORTABLE_PRETOKEN_PATTERN, SPECIAL_TOKENS, TEMPLATE_ROWS
 from tessera.plans import catalog as C
 
 P = PORTABLE_PRETOKEN_PATTERN
-PM = MARKER_PATTERN + "|" + PORTABLE_PRETOKEN_PATTERN
 TPL = {row[0]: row for row in TEMPLATE_ROWS}
 
 
@@ -20,6 +19,15 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def marker_tokens(x: str) -> str:
+    """Markers split out first (RE2 has no lookahead: wrap them in NUL and split),
+    then each text segment pre-tokenised on its own."""
+    markers = ", ".join(lit(m) for m in SPECIAL_TOKENS)
+    return (f"flatten(list_transform(string_split(regexp_replace({x}, {lit('(' + MARKER_PATTERN + ')')}, "
+            f"chr(0) || '\\1' || chr(0), 'g'), chr(0)), lambda seg: CASE WHEN seg IN ({markers}) THEN [seg] "
+            f"ELSE regexp_extract_all(seg, {lit(P)}) END))")
+
+
 def fmt_sql(fmt: str, content_sql: str, eos: str | None = EOS_TOKEN) -> str:
     """SQL for fmt.format(content=..., stop_token=eos) with {content} spliced as SQL."""
     if eos is not None:
@@ -220,7 +228,7 @@ SQL["chat_rendered"] = f"""WITH {CONV}
 SELECT pos, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (SELECT pos, {_chat} AS t FROM conv)"""
 
 SFT = f"""{CONV}, {rend_cte(C.SFT_TEMPLATE)},
-mt AS (SELECT pos, list_transform(r, lambda m: {{'role': m.role, 't': regexp_extract_all(m.text, {lit(PM)})}}) AS mt FROM rend),
+mt AS (SELECT pos, list_transform(r, lambda m: {{'role': m.role, 't': {marker_tokens('m.text')}}}) AS mt FROM rend),
 stoks AS (SELECT pos, flatten(list_transform(mt, lambda m: m.t)) AS tokens,
                  flatten(list_transform(mt, lambda m: list_transform(m.t, lambda x: m.role = 'assistant'))) AS sup FROM mt),
 {encode_ctes("stoks", "pos", "s", flags=True)}"""
@@ -346,8 +354,8 @@ FROM d WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {C.D
 
 _asst = TPL[C.SFT_TEMPLATE][3]
 SQL["reward_tokens"] = f"""WITH {PAIRS},
-rt AS (SELECT pair_id, regexp_extract_all({_prompt(C.SFT_TEMPLATE, 'question')} || {fmt_sql(_asst, 'response_chosen')}, {lit(PM)}) AS tc,
-              regexp_extract_all({_prompt(C.SFT_TEMPLATE, 'question')} || {fmt_sql(_asst, 'response_rejected')}, {lit(PM)}) AS tr
+rt AS (SELECT pair_id, {marker_tokens(_prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen'))} AS tc,
+              {marker_tokens(_prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_rejected'))} AS tr
        FROM pairs),
 rc AS (SELECT pair_id, tc AS tokens FROM rt),
 rr AS (SELECT pair_id, tr AS tokens FROM rt),
@@ -366,7 +374,7 @@ SELECT pair_id, {n("ic")} AS n_chosen, {n("ir")} AS n_rejected, {md5_list("ic")}
 FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}"""
 
 SQL["scoring_prompts"] = f"""WITH {PAIRS},
-st AS (SELECT pair_id, regexp_extract_all({_prompt(C.SFT_TEMPLATE, 'question')} || {fmt_sql(_asst, 'response_chosen')}, {lit(PM)}) AS tokens FROM pairs),
+st AS (SELECT pair_id, {marker_tokens(_prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen'))} AS tokens FROM pairs),
 {encode_ctes("st", "pair_id", "q")}
 SELECT pair_id, CAST(least(len(ids), {C.SCORING_LEN}) AS BIGINT) AS n_tokens, {md5_list(f"list_slice(ids, 1, {C.SCORING_LEN})")} AS ids_md5
 FROM qenc"""
