@@ -51,7 +51,8 @@ def validate_instructions(df: DataFrame, line_col: str = "value", mode: str = "f
         checked = F.when(
             ~F.col("valid"), F.raise_error(F.concat(F.lit("invalid instruction record: "), col(line_col)))
         ).otherwise(F.lit(True))
-        return flagged.withColumn("valid", checked).drop("valid")
+        # a filter keeps the check in the plan (a dropped column would be pruned away)
+        return flagged.where(checked).drop("valid")
     raise ValueError(f"unknown mode {mode!r}")
 
 

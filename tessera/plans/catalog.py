@@ -120,6 +120,34 @@ def documents_split(spark: SparkSession, sf: str) -> DataFrame:
     return validate.train_eval_split(docs, SPLIT_PERCENT, "pos", SEED).select("pos", "split")
 
 
+BPE_MERGES = 256
+
+
+def _bpe(spark, sf):
+    from tessera.operators.bpe import encode_bpe
+
+    docs = tokens.normalise_nfc(tables.pretrain_docs(spark, sf))
+    # one pass of NFC + regex, written to the checkpoint folder and re-read
+    toks = order.materialise_scratch(tasks.pretrain_pretokens(docs, profile="full"), "bpe-pretokens")
+    words = order.materialise_scratch(tables.word_counts(toks), "bpe-words")
+    merges, vocab = tables.bpe_tables(words, BPE_MERGES)
+    return encode_bpe(toks, ["pos"], merges, vocab, words=words), vocab
+
+
+def bpe_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    ids, _ = _bpe(spark, sf)
+    return ids.select("pos", _n("input_ids").alias("n_tokens"), ids_digest("input_ids").alias("ids_md5"))
+
+
+def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """decode(encode(text)) with the full profile and byte-level BPE is lossless."""
+    from tessera.operators.bpe import decode_bytes
+
+    ids, vocab = _bpe(spark, sf)
+    dec = decode_bytes(ids, ["pos"], vocab)
+    return dec.select("pos", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # --- supervised fine-tuning --------------------------------------------------------
 
 def sft_conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,6 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pretrain_pretokens, pretrain_full_pretokens, pretrain_vocab, pretrain_encoded, pretrain_map_batches,
         pretrain_packed, pretrain_packed_tail, prepared_counts, pretrain_decoded, pretrain_preview, documents_nfc,
+        bpe_encoded, bpe_roundtrip,
         documents_concat, documents_split,
         sft_conversations, sft_rendered, sft_rendered_templates, chat_rendered, sft_tokens, sft_prepared,
         sft_prepared_truncated, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,

@@ -158,6 +158,9 @@ SELECT string_agg(v.token, ' ' ORDER BY fx.i) AS preview FROM fx JOIN pvocab v U
 SQL["documents_nfc"] = """SELECT doc_id AS pos, md5(nfc_normalize(text)) AS text_md5, nfc_normalize(text) <> text AS changed
 FROM documents"""
 
+SQL["bpe_roundtrip"] = """SELECT doc_id AS pos, CAST(length(nfc_normalize(text)) AS BIGINT) AS n_chars,
+       md5(nfc_normalize(text)) AS text_md5 FROM documents"""
+
 SQL["documents_concat"] = """WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS lp,
                   dense_rank() OVER (ORDER BY lang) - 1 AS file_index FROM documents),
 sz AS (SELECT file_index, count(*) AS c FROM d GROUP BY file_index),

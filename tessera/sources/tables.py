@@ -151,3 +151,42 @@ def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.col("_r"), ref_floor).alias("ref_logp"),
         )
     )
+
+
+def word_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """(token, c): distinct pre-tokens with their counts (map-side partial counts)."""
+    return tokens.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+
+
+def bpe_tables(words: DataFrame, num_merges: int) -> tuple[DataFrame, DataFrame]:
+    """Enabling fixture for op 28 (the tokeniser files are not shipped):
+    (merges, vocab) from one pass of adjacent byte-symbol pair counts over
+    ``words`` (token, c) — see ``word_counts``.
+
+    merges = the ``num_merges`` most frequent adjacent pairs (ties by symbols),
+    ranked in that order; vocab = the 256 byte symbols (ids 0-255 in byte
+    order), then one merged symbol per merge (256 + rank), then the special
+    markers.  External vocab/merges files can be read with ``sources.io``.
+    """
+    from pyspark.sql import Window
+
+    from tessera.functions.fixed import SPECIAL_TOKENS
+    from tessera.operators.bpe import byte_alphabet, symbols_column
+
+    spark = words.sparkSession
+    sym = words.select(symbols_column("token").alias("s"), "c").withColumn("_m", F.size("s") - 1)
+    pairs = sym.select(
+        F.explode(F.zip_with(F.slice("s", 1, F.col("_m")), F.slice("s", 2, F.col("_m")),
+                             lambda a, b: F.struct(a.alias("left"), b.alias("right")))).alias("p"), "c"
+    ).groupBy("p.left", "p.right").agg(F.sum("c").alias("n"))
+    # the merge-table size is the feature: a top-k (per-partition partial top-k)
+    top = pairs.orderBy(F.col("n").desc(), "left", "right").limit(int(num_merges))
+    merges = top.withColumn(
+        "rank", (F.row_number().over(Window.orderBy(F.col("n").desc(), "left", "right")) - 1).cast("int")
+    ).select("left", "right", "rank")  # bounded by num_merges rows
+    alphabet = byte_alphabet()
+    base = spark.createDataFrame([(alphabet[b], b) for b in range(256)], "token string, id int")
+    merged = merges.select(F.concat("left", "right").alias("token"), (F.col("rank") + 256).cast("int").alias("id"))
+    special = spark.createDataFrame(
+        [(t, 256 + int(num_merges) + j) for j, t in enumerate(SPECIAL_TOKENS)], "token string, id int")
+    return merges, base.unionByName(merged).unionByName(special)
