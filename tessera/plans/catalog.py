@@ -148,6 +148,29 @@ def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return dec.select("pos", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+STREAM_LEN, STREAM_BATCH = 64, 100
+
+
+def stream_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental preparation (op 60): the documents are written as one JSON-lines
+    file per language (lines in doc_id order) under the checkpoint folder, then
+    a file-source stream prepares each file once (packing scope = file)."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources.io import PRETRAIN_SCHEMA
+    from tessera.streaming.incremental import prepare_stream, pretrain_preparer
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = tables.table(spark, sf, "documents").select("lang", "doc_id", "text")
+    (docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text")
+     .write.partitionBy("lang").json(f"{root}/in"))
+    vocab = tokens.vocab_table(tasks.pretrain_pretokens(tables.pretrain_docs(spark, sf)))
+    prep = pretrain_preparer(vocab, STREAM_LEN, STREAM_BATCH)
+    out = prepare_stream(spark, f"{root}/in/*", f"{root}/out", f"{root}/ckpt", prep, PRETRAIN_SCHEMA, "*.json")
+    return out.select("shard", "batch", "chunk", "n_tokens", ids_digest("input_ids").alias("ids_md5"))
+
+
 # --- supervised fine-tuning --------------------------------------------------------
 
 def sft_conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,7 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pretrain_pretokens, pretrain_full_pretokens, pretrain_vocab, pretrain_encoded, pretrain_map_batches,
         pretrain_packed, pretrain_packed_tail, prepared_counts, pretrain_decoded, pretrain_preview, documents_nfc,
-        bpe_encoded, bpe_roundtrip,
+        bpe_encoded, bpe_roundtrip, stream_prepared,
         documents_concat, documents_split,
         sft_conversations, sft_rendered, sft_rendered_templates, chat_rendered, sft_tokens, sft_prepared,
         sft_prepared_truncated, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,

@@ -98,18 +98,20 @@ def shard_ctes(src: str, workers: int, batch: int, name: str = "sb") -> str:
                  FROM {name}0))"""
 
 
-def pack_sql(src: str, length: int, keep_tail: bool = False) -> str:
-    """``src`` has (shard, batch, pos, ids); returns a SELECT of packed chunks."""
+def pack_sql(src: str, length: int, keep_tail: bool = False, scope: str = "shard") -> str:
+    """``src`` has (<scope>, shard, batch, pos, ids); returns a SELECT of packed chunks
+    (``scope`` names the column that separates independent streams, e.g. a file)."""
     kept = "total" if keep_tail else f"CASE WHEN total >= {length} THEN (total // {length}) * {length} ELSE total END"
+    keys = "shard, batch" if scope == "shard" else f"{scope}, shard, batch"
     return f"""
-w AS (SELECT shard, batch, pos, ids, CAST(len(ids) AS BIGINT) AS nn,
-             CAST(sum(len(ids)) OVER (PARTITION BY shard, batch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e,
-             CAST(sum(len(ids)) OVER (PARTITION BY shard, batch) AS BIGINT) AS total FROM {src}),
+w AS (SELECT {keys}, pos, ids, CAST(len(ids) AS BIGINT) AS nn,
+             CAST(sum(len(ids)) OVER (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e,
+             CAST(sum(len(ids)) OVER (PARTITION BY {keys}) AS BIGINT) AS total FROM {src}),
 s AS (SELECT *, e - nn AS st, least(e, {kept}) AS stop FROM w),
-pieces AS (SELECT shard, batch, c AS chunk, greatest(c * {length}, st) AS lo,
+pieces AS (SELECT {keys}, c AS chunk, greatest(c * {length}, st) AS lo,
                   list_slice(ids, greatest(c * {length}, st) - st + 1, least((c + 1) * {length}, stop) - st) AS piece
            FROM (SELECT *, unnest(range(st // {length}, (stop - 1) // {length} + 1)) AS c FROM s WHERE stop > st)),
-packed AS (SELECT shard, batch, chunk, flatten(list(piece ORDER BY lo)) AS ids FROM pieces GROUP BY shard, batch, chunk)"""
+packed AS (SELECT {keys}, chunk, flatten(list(piece ORDER BY lo)) AS ids FROM pieces GROUP BY {keys}, chunk)"""
 
 
 # --- pretraining -----------------------------------------------------------------
@@ -161,6 +163,14 @@ FROM documents"""
 SQL["bpe_roundtrip"] = """SELECT doc_id AS pos, CAST(length(nfc_normalize(text)) AS BIGINT) AS n_chars,
        md5(nfc_normalize(text)) AS text_md5 FROM documents"""
 
+SQL["stream_prepared"] = f"""WITH {PRETRAIN},
+lp AS (SELECT d.lang, 0 AS shard, e.ids, row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id) - 1 AS pos
+       FROM penc e JOIN documents d ON d.doc_id = e.pos),
+sb AS (SELECT lang, shard, pos // {C.STREAM_BATCH} AS batch, pos, ids FROM lp),
+{pack_sql("sb", C.STREAM_LEN, scope="lang")}
+SELECT CAST(shard AS BIGINT) AS shard, CAST(batch AS BIGINT) AS batch, CAST(chunk AS BIGINT) AS chunk,
+       {n("ids")} AS n_tokens, {md5_list("ids")} AS ids_md5 FROM packed"""
+
 SQL["documents_concat"] = """WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS lp,
                   dense_rank() OVER (ORDER BY lang) - 1 AS file_index FROM documents),
 sz AS (SELECT file_index, count(*) AS c FROM d GROUP BY file_index),
