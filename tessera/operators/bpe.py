@@ -132,7 +132,9 @@ def encode_bpe(
     if words is None:
         from tessera.operators.order import materialise_scratch
 
-        words = materialise_scratch(df.select(F.explode(col(tokens_col)).alias("token")).distinct(), "bpe-words")
+        from tessera.operators.tokens import explode_items
+
+        words = materialise_scratch(explode_items(df, tokens_col, "token").distinct(), "bpe-words")
     distinct = words.select("token")
     dictionary = distinct.mapInPandas(encode_batches, "token string, ids array<int>")
     n_dict = distinct.count()  # cheap on a materialised table

@@ -90,7 +90,10 @@ def sort_by_length(
     """Ascending length inside each batch, ties in arrival order (a stable sort).
 
     Adds ``rank_in_batch``; with ``out_pos`` also the dense output position
-    (batches back to back), computed by a range-partitioned index.
+    (batches back to back), computed by a range-partitioned index whose input
+    is written once to the checkpoint folder.  (Joining per-batch counts back
+    instead would evaluate the whole upstream twice in one plan: column pruning
+    makes the two branches differ, so their exchanges are not reused.)
     """
     w = Window.partitionBy(*group_cols).orderBy(F.col(length_col), F.col(pos_col))
     ranked = df.withColumn("rank_in_batch", (F.row_number().over(w) - 1).cast("bigint"))

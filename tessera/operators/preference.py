@@ -24,28 +24,40 @@ def log_sigmoid(x: Column) -> Column:
 
 
 def sequence_logps(tok: DataFrame, value: str = "logp", average: bool = False,
-                   keys=("seq_id", "pair_id", "side"), out: str = "seq_logp") -> DataFrame:
+                   keys=("seq_id", "pair_id", "side"), out: str = "seq_logp",
+                   extra: dict[str, str] | None = None) -> DataFrame:
     """Per sequence: shift by one (position 0 is never predicted), ignore -100
-    labels, sum the log-probs (or their mean) and count the tokens (op 52)."""
+    labels, sum the log-probs (or their mean) and count the tokens (op 52).
+
+    ``extra`` maps further value columns to output names (e.g. the reference
+    model's log-probs) so that one pass over the token table serves both.
+    """
     mask = (F.col("tok_pos") >= 1) & (F.col("label") != F.lit(IGNORE_INDEX))
+    values = {out: value, **(extra or {})}
     agg = tok.groupBy(*keys).agg(
-        F.sum(F.when(mask, col(value)).otherwise(F.lit(0.0))).alias("_s"),
         F.sum(mask.cast("bigint")).alias("n_completion"),
+        *[F.sum(F.when(mask, col(v)).otherwise(F.lit(0.0))).alias(f"_s_{o}") for o, v in values.items()],
     )
-    v = F.try_divide(F.col("_s"), F.col("n_completion")) if average else F.col("_s")
-    return agg.withColumn(out, v.cast("double")).drop("_s")
+    for o in values:
+        s = F.col(f"_s_{o}")
+        agg = agg.withColumn(o, (F.try_divide(s, F.col("n_completion")) if average else s).cast("double")).drop(f"_s_{o}")
+    return agg
 
 
 def pair_sides(seqs: DataFrame, value: str = "seq_logp", pair: str = "pair_id",
-               names=("chosen", "rejected"), prefix: str = "policy") -> DataFrame:
-    """Long (one row per side) → wide (one row per pair) (op 53)."""
+               names=("chosen", "rejected"), prefix: str = "policy",
+               extra: dict[str, str] | None = None) -> DataFrame:
+    """Long (one row per side) → wide (one row per pair) (op 53).
+    ``extra`` maps further per-side columns to output prefixes."""
     a, b = names
-    return seqs.groupBy(pair).agg(
-        F.max(F.when(F.col("side") == a, col(value))).alias(f"{prefix}_{a}"),
-        F.max(F.when(F.col("side") == b, col(value))).alias(f"{prefix}_{b}"),
-        F.max(F.when(F.col("side") == a, F.col("n_completion"))).alias(f"n_{a}"),
-        F.max(F.when(F.col("side") == b, F.col("n_completion"))).alias(f"n_{b}"),
-    )
+    cols = {prefix: value, **{p: v for v, p in (extra or {}).items()}}
+    aggs = []
+    for pre, v in cols.items():
+        aggs += [F.max(F.when(F.col("side") == a, col(v))).alias(f"{pre}_{a}"),
+                 F.max(F.when(F.col("side") == b, col(v))).alias(f"{pre}_{b}")]
+    aggs += [F.max(F.when(F.col("side") == a, F.col("n_completion"))).alias(f"n_{a}"),
+             F.max(F.when(F.col("side") == b, F.col("n_completion"))).alias(f"n_{b}")]
+    return seqs.groupBy(pair).agg(*aggs)
 
 
 def reference_logps(pairs: DataFrame, precomputed: DataFrame | None, recomputed: DataFrame,
@@ -137,10 +149,15 @@ def dro_loss(losses: DataFrame, weight: float = DEFAULT_DRO_WEIGHT, loss: str =
     """-w * ln(mean(exp(-loss / w))) (op 57), overflow-free.
 
     Shifted log-sum-exp: the maximum of -loss/w is a scalar subquery, so both
-    passes are plain distributed aggregates (partial sums per task).
+    passes are plain distributed aggregates (partial sums per task).  The
+    one-column loss table is written to the checkpoint folder first so the
+    upstream plan runs once, not once per pass.
     """
+    from tessera.operators.order import materialise_scratch
+
     w = F.lit(float(weight))
-    x = -col(loss) / w
+    x = -F.col("_l") / w
+    losses = materialise_scratch(losses.select(col(loss).alias("_l")), "dro-losses")
     top = losses.select(F.max(x)).scalar()
     return losses.select(
         (-w * (top + F.log(F.avg(F.exp(x - top))))).alias("dro_loss")

@@ -49,6 +49,12 @@ def render_messages(
     Output ``out``: ``ARRAY<STRUCT<role, text>>``.  Unknown roles are skipped.
     A system message under a template without a system format raises.
     """
+    return df.withColumn(out, rendered_messages(template, eos, conv_col, inject_system))
+
+
+def rendered_messages(template="qwen", eos: str = EOS_TOKEN, conv_col: str = "conversations",
+                      inject_system: bool = True) -> Column:
+    """The column expression behind ``render_messages``."""
     tpl = _tpl(template)
     name = tpl.template_name
     user = lambda c: format_column(tpl.user_format, c, eos, f"{name}.user_format")
@@ -73,7 +79,20 @@ def render_messages(
         if block is not None:
             has_system = F.exists(col(conv_col), lambda m: m["role"] == "system")
             msgs = F.when(has_system, msgs).otherwise(F.concat(F.array(_message("system", F.lit(block))), msgs))
-    return df.withColumn(out, msgs)
+    return msgs
+
+
+def render_with_templates(df: DataFrame, names: list[str], eos: str = EOS_TOKEN, conv_col: str = "conversations",
+                          out: str = "messages") -> DataFrame:
+    """One row per (row, template) rendered in a single pass: the input is
+    read once, rows are multiplied by the (small, fixed) template list with a
+    generator, and a CASE on the template name picks the rendering."""
+    expanded = df.withColumn("template_name", F.explode(F.array(*[F.lit(n) for n in names])))
+    case = None
+    for n in names:
+        branch = rendered_messages(n, eos, conv_col)
+        case = F.when(F.col("template_name") == n, branch) if case is None else case.when(F.col("template_name") == n, branch)
+    return expanded.withColumn(out, case)
 
 
 def messages_text(messages) -> Column:

@@ -78,10 +78,21 @@ def normalise_nfc(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn(text_col, F.when(c.rlike("^[\\x00-\\x7F]*$"), c).otherwise(_nfc(c)))
 
 
+def explode_items(df: DataFrame, array_col: str, name: str) -> DataFrame:
+    """One row per array element.
+
+    ``explode`` would let Catalyst infer ``size(array) > 0`` as a filter and
+    push it below earlier operators (down to the scan), evaluating the regex
+    that builds the array twice, once before any repartition.  ``explode_outer``
+    plus a null filter above the generator keeps one evaluation.
+    """
+    return df.select(F.explode_outer(col(array_col)).alias(name)).where(F.col(name).isNotNull())
+
+
 def vocab_table(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(token, id, count): dense ids by descending count, ties by token (byte order)."""
     counts = (
-        df.select(F.explode(col(tokens_col)).alias("token"))
+        explode_items(df, tokens_col, "token")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
     )

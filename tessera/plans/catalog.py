@@ -91,9 +91,11 @@ def pretrain_decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pretrain_preview(spark: SparkSession, sf: str) -> DataFrame:
-    out = tasks.build_pretrain(tables.pretrain_docs(spark, sf), PACK_LEN, PACK_BATCH, PACK_WORKERS)
+    docs = tables.pretrain_docs(spark, sf)
+    ids, vocab = tasks.tokenise_pretrain(docs)
+    out = pack(order.assign_map_batches(ids, PACK_BATCH, PACK_WORKERS, n_rows=order.row_count(docs)), PACK_LEN)
+    # the first prepared sample: a distributed top-1, then decoded
     first = out.orderBy("shard", "batch", "chunk").limit(1).withColumn("pos", F.lit(0).cast("bigint"))
-    _, vocab = tasks.tokenise_pretrain(tables.pretrain_docs(spark, sf))
     dec = tokens.decode_ids(first, ["pos"], vocab, sep=" ")
     return dec.select(F.col("text").alias("preview"))
 
@@ -198,14 +200,9 @@ def renderable_templates() -> list[str]:
 
 def sft_rendered_templates(spark: SparkSession, sf: str) -> DataFrame:
     convs = tables.sft_conversations(spark, sf)
-    out = None
-    for name in renderable_templates():
-        r = render.render_messages(convs, name)
-        text = render.messages_text("messages")
-        part = r.select(F.lit(name).alias("template_name"), "pos", F.length(text).cast("bigint").alias("n_chars"),
-                        F.md5(text).alias("text_md5"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    r = render.render_with_templates(convs, renderable_templates())
+    text = render.messages_text("messages")
+    return r.select("template_name", "pos", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 def chat_rendered(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,11 +365,10 @@ def mix_report(spark: SparkSession, sf: str) -> DataFrame:
 # --- preference metrics ----------------------------------------------------------------
 
 def _pairs_wide(spark, sf, average=False):
+    """One pass over the token table: policy and reference sums together."""
     tok = tables.token_logps(spark, sf)
-    pol = preference.pair_sides(preference.sequence_logps(tok, "logp", average), prefix="policy")
-    ref = preference.pair_sides(preference.sequence_logps(tok, "ref_logp", average), prefix="reference").select(
-        "pair_id", "reference_chosen", "reference_rejected")
-    return preference.reference_logps(pol, None, ref, False)
+    seqs = preference.sequence_logps(tok, "logp", average, extra={"seq_ref_logp": "ref_logp"})
+    return preference.pair_sides(seqs, "seq_logp", prefix="policy", extra={"seq_ref_logp": "reference"})
 
 
 def sequence_logps(spark: SparkSession, sf: str) -> DataFrame:
@@ -432,7 +428,9 @@ def token_nll(spark: SparkSession, sf: str) -> DataFrame:
 def reward_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Implicit reward logit per pair (chosen minus rejected average policy
     log-prob); sigmoid score, and MSE / BCE against 'chosen wins' = 1."""
-    w = _pairs_wide(spark, sf, True).withColumn("logit", F.col("policy_chosen") - F.col("policy_rejected"))
+    w = _pairs_wide(spark, sf, True).select("pair_id", (F.col("policy_chosen") - F.col("policy_rejected")).alias("logit"))
+    # one row per pair, written once: the scalar subquery below reads it instead of re-running the upstream
+    w = order.materialise_scratch(w, "reward-logits")
     scored = preference.reward_scores(w, "logit").withColumn("target", F.lit(1.0))
     losses = preference.score_losses(scored, "logit", "target")
     return scored.select(

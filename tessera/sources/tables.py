@@ -93,10 +93,10 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return docs, props
 
 
-def _unigram_logp(tokens: DataFrame):
-    """(token, logp) of an add-one unigram model, ln((c + 1) / (N + V)), and the
-    floor ln(1 / (N + V)) for unseen tokens (N, V are scalar subqueries)."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+def _unigram_logp(counts: DataFrame):
+    """(token, logp) of an add-one unigram model over (token, c) counts,
+    ln((c + 1) / (N + V)), and the floor ln(1 / (N + V)) for unseen tokens
+    (N, V are scalar subqueries over the small, materialised count table)."""
     denom = counts.select(F.sum("c") + F.count(F.lit(1))).scalar()
     return counts.select("token", F.log((F.col("c") + 1) / denom).alias("logp")), F.log(F.lit(1.0) / denom)
 
@@ -112,10 +112,17 @@ def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from tessera.operators.tokens import pretokens
 
+    from tessera.operators.order import materialise_scratch
+
     conv = table(spark, sf_dir, "conversations")
-    all_tokens = conv.select(F.explode(pretokens("text")).alias("token"), "role")
-    policy, pol_floor = _unigram_logp(all_tokens.where(F.col("role") == "assistant"))
-    reference, ref_floor = _unigram_logp(all_tokens)
+    all_tokens = conv.select("role", F.explode_outer(pretokens("text")).alias("token")).where(F.col("token").isNotNull())
+    # one regex pass over the conversations: counts per (token, is-assistant), written once
+    by_role = materialise_scratch(
+        all_tokens.groupBy("token", (F.col("role") == "assistant").alias("asst")).agg(F.count(F.lit(1)).alias("c")),
+        "unigram-counts",
+    )
+    policy, pol_floor = _unigram_logp(by_role.where("asst").select("token", "c"))
+    reference, ref_floor = _unigram_logp(by_role.groupBy("token").agg(F.sum("c").alias("c")))
     pairs = preference_pairs(spark, sf_dir)
     sides = pairs.select(
         "pair_id",
@@ -155,7 +162,9 @@ def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(token, c): distinct pre-tokens with their counts (map-side partial counts)."""
-    return tokens.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    from tessera.operators.tokens import explode_items
+
+    return explode_items(tokens, tokens_col, "token").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
 
 
 def bpe_tables(words: DataFrame, num_merges: int) -> tuple[DataFrame, DataFrame]:
