@@ -127,7 +127,10 @@ def encode_bpe(
             return res
 
         for pdf in batches:
-            yield pd.DataFrame({"token": pdf["token"], "ids": pdf["token"].map(one)})
+            out = pd.DataFrame({"token": pdf["token"], "ids": pdf["token"].map(one)})
+            if "c" in pdf.columns:
+                out["c"] = pdf["c"]
+            yield out
 
     if words is None:
         from tessera.operators.order import materialise_scratch
@@ -135,12 +138,17 @@ def encode_bpe(
         from tessera.operators.tokens import explode_items
 
         words = materialise_scratch(explode_items(df, tokens_col, "token").distinct(), "bpe-words")
-    distinct = words.select("token")
-    dictionary = distinct.mapInPandas(encode_batches, "token string, ids array<int>")
-    n_dict = distinct.count()  # cheap on a materialised table
-    side = F.broadcast(dictionary) if n_dict <= BROADCAST_DICT_ROWS else dictionary
+    from tessera.operators.order import materialise_scratch
+    from tessera.operators.tokens import lookup
+
+    freq = "c" if "c" in words.columns else None
+    dictionary = words.select("token", *([freq] if freq else [])).mapInPandas(
+        encode_batches, "token string, ids array<int>" + (", c bigint" if freq else ""))
+    # the dictionary is written once: the join (and its hot-key split) reads it
+    dictionary = materialise_scratch(dictionary, "bpe-dictionary")
+    n_dict = dictionary.count()  # cheap on a materialised table
     ex = df.select(*key_cols, F.posexplode_outer(col(tokens_col)).alias("_i", "token"))
-    joined = ex.join(side, "token", "left")
+    joined = lookup(ex, dictionary, "token", ["ids"], n_dict if n_dict > BROADCAST_DICT_ROWS else 0, freq=freq)
     item = F.when(F.col("_i").isNotNull(), F.struct("_i", "ids"))
     return (
         joined.groupBy(*key_cols)

@@ -29,6 +29,10 @@ from tessera.operators.order import dense_index
 
 # vocabularies up to this many rows are broadcast to the join; larger ones shuffle
 BROADCAST_VOCAB_ROWS = 2_000_000
+# with a shuffled vocabulary, this many most frequent entries still go through a broadcast
+HOT_ROWS = 100_000
+# spread of the salt that keeps already-resolved (hot) rows off a single shuffle partition
+SALT_BUCKETS = 4096
 
 
 def pretoken_pattern(profile: str = "portable") -> str:
@@ -105,11 +109,34 @@ def vocab_size(vocab: DataFrame) -> int:
     return int(vocab.count())
 
 
-def _vocab_side(vocab: DataFrame, cols: list[str], size: int | None) -> DataFrame:
-    side = vocab.select(*cols)
+def lookup(occ: DataFrame, table: DataFrame, key: str, values: list[str], size: int | None = None,
+           freq: str | None = "count", salt: str = "_i") -> DataFrame:
+    """Left equi-join of occurrence rows to a table with a unique ``key``.
+
+    * table of at most ``BROADCAST_VOCAB_ROWS`` rows (checked): broadcast join;
+    * larger: the ``HOT_ROWS`` most frequent keys (by ``freq``) are resolved
+      by a broadcast join first; the rest shuffle-join on (flag, key), where
+      rows already resolved carry a salt spread over ``SALT_BUCKETS`` values
+      instead of their (hot) key, so no shuffle partition receives a hot key.
+    """
     if size is None:
-        size = vocab_size(vocab)
-    return F.broadcast(side) if size <= BROADCAST_VOCAB_ROWS else side
+        size = vocab_size(table)
+    side = table.select(key, *values)
+    if size <= BROADCAST_VOCAB_ROWS:
+        return occ.join(F.broadcast(side), key, "left")
+    if freq is None or freq not in table.columns:
+        return occ.join(side, key, "left")  # AQE's skew-join split is the fallback
+    hot = table.orderBy(F.col(freq).desc(), key).limit(HOT_ROWS).select(key, *[F.col(v).alias(f"_hot_{v}") for v in values])
+    staged = occ.join(F.broadcast(hot), key, "left")
+    is_hot = F.col(f"_hot_{values[0]}").isNotNull()
+    staged = staged.withColumn("_jk_flag", is_hot.cast("int")).withColumn(
+        "_jk", F.when(is_hot, F.pmod(F.xxhash64(F.col(salt)), F.lit(SALT_BUCKETS)).cast("string")).otherwise(F.col(key))
+    )
+    cold = side.select(F.lit(0).alias("_jk_flag"), F.col(key).alias("_jk"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    joined = staged.join(cold, ["_jk_flag", "_jk"], "left")
+    for v in values:
+        joined = joined.withColumn(v, F.coalesce(F.col(f"_hot_{v}"), F.col(f"_cold_{v}")))
+    return joined.drop("_jk_flag", "_jk", *[f"_hot_{v}" for v in values], *[f"_cold_{v}" for v in values])
 
 
 def encode_tokens(
@@ -132,7 +159,7 @@ def encode_tokens(
     ex = df.select(*key_cols, *carried, F.posexplode_outer(col(tokens_col)).alias("_i", "token"))
     if flags_col:
         ex = ex.withColumn("_f", F.col(flags_col)[F.col("_i")]).drop(flags_col)
-    joined = ex.join(_vocab_side(vocab, ["token", "id"], size), "token", "left")
+    joined = lookup(ex, vocab, "token", ["id"], size)
     if unk_id is not None:
         idc = F.coalesce(F.col("id"), F.lit(unk_id))
     else:
@@ -153,7 +180,7 @@ def decode_ids(df: DataFrame, key_cols: list[str], vocab: DataFrame, ids_col: st
                out: str = "text", sep: str = "", size: int | None = None) -> DataFrame:
     """ids → text by joining the vocabulary and concatenating tokens in order."""
     ex = df.select(*key_cols, F.posexplode_outer(col(ids_col)).alias("_i", "id"))
-    joined = ex.join(_vocab_side(vocab, ["id", "token"], size), "id", "left")
+    joined = lookup(ex, vocab, "id", ["token"], size)
     item = F.when(F.col("_i").isNotNull(), F.struct("_i", F.coalesce(F.col("token"), F.lit("")).alias("t")))
     return (
         joined.groupBy(*key_cols)

@@ -70,3 +70,29 @@ def test_nfc(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(raw)], "pos bigint, text string")
     got = {r.pos: r.text for r in normalise_nfc(df).collect()}
     assert got == {i: (None if s is None else unicodedata.normalize("NFC", s)) for i, s in enumerate(raw)}
+
+
+def test_large_vocabulary_hot_cold_split(spark, monkeypatch):
+    """Above the broadcast bound the lookup splits hot and cold keys; results are unchanged."""
+    import tessera.operators.tokens as tk
+
+    rows = [(i, " ".join(["the"] * 50 + [f"w{i}", f"w{i % 7}", "a"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "pos bigint, text string")
+    toks = pretokenise(df)
+    vocab = vocab_table(toks)
+    small = {r.pos: list(r.input_ids) for r in encode_tokens(toks, ["pos"], vocab).collect()}
+    small_dec = {r.pos: r.text for r in decode_ids(encode_tokens(toks, ["pos"], vocab), ["pos"], vocab, sep=" ").collect()}
+    monkeypatch.setattr(tk, "BROADCAST_VOCAB_ROWS", 5)
+    monkeypatch.setattr(tk, "HOT_ROWS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = encode_tokens(toks, ["pos"], vocab)
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert {r.pos: list(r.input_ids) for r in big.collect()} == small
+        dec = {r.pos: r.text for r in decode_ids(big, ["pos"], vocab, sep=" ").collect()}
+        assert dec == small_dec
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
