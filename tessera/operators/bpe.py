@@ -106,13 +106,16 @@ def encode_bpe(
     spark = df.sparkSession
     ranks = {(r["left"], r["right"]): int(r["rank"]) for r in _bounded_collect(merges.select("left", "right", "rank"), "merges")}
     ids = {r["token"]: int(r["id"]) for r in _bounded_collect(vocab.select("token", "id"), "vocabulary")}
-    b_ranks = spark.sparkContext.broadcast(ranks)
-    b_ids = spark.sparkContext.broadcast(ids)
+    try:  # a broadcast variable ships the tables once per executor
+        b_ranks, b_ids = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(ids)
+        tables = lambda: (b_ranks.value, b_ids.value)
+    except Exception:  # noqa: BLE001 - Spark Connect: the tables travel with the function
+        tables = lambda: (ranks, ids)
     specials = set(SPECIAL_TOKENS)
 
     def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alphabet = byte_alphabet()
-        rk, voc = b_ranks.value, b_ids.value
+        rk, voc = tables()
 
         def one(token: str) -> list[int]:
             if token in specials and token in voc:

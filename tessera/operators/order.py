@@ -116,6 +116,26 @@ def assign_map_batches(
     )
 
 
+def map_batch_count(n_rows: int, batch_size: int, workers: int | None = None) -> int:
+    """Number of (shard, batch) groups ``assign_map_batches`` produces."""
+    workers = max(int(workers or 1), 1)
+    q, m = divmod(n_rows, workers)
+    sizes = [q + 1] * m + [q] * (workers - m)
+    return sum(-(-s // batch_size) for s in sizes if s > 0)
+
+
+def batch_partitioning_pays(spark, n_rows: int, batch_size: int, workers: int | None = None) -> bool:
+    """Partition raw rows by (shard, batch) up front when there are at least as
+    many map batches as task slots: every later per-batch step then reuses that
+    one exchange.  With fewer batches, partition by ``pos`` for parallel
+    tokenising and shuffle once more by batch."""
+    try:
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect
+        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return map_batch_count(n_rows, batch_size, workers) >= slots
+
+
 # --- ops 37-39: training-order plans -----------------------------------------
 
 def plan_sequential(df: DataFrame, batch_size: int, pos_col: str = "pos") -> DataFrame:

@@ -17,7 +17,7 @@ from tessera.functions.fixed import (
     MAP_BATCH_SIZE,
     SCORING_MAX_LEN,
 )
-from tessera.operators.order import assign_map_batches, row_count
+from tessera.operators.order import assign_map_batches, batch_partitioning_pays, row_count
 from tessera.operators.pack import pack, sort_by_length
 from tessera.operators.render import render_messages, render_preference, render_reward, render_scoring_prompt
 from tessera.operators.tokens import encode_tokens, pretokenise, pretokens, vocab_table
@@ -50,12 +50,23 @@ def build_pretrain(
     vocab: DataFrame | None = None,
     n_rows: int | None = None,
 ) -> DataFrame:
-    """documents → token ids → shard/batch → packed chunks of ``max_seq_len``."""
+    """documents → token ids → shard/batch → packed chunks of ``max_seq_len``.
+
+    With enough map batches the text is hash-partitioned by (shard, batch)
+    once; the per-row regroup (keyed by shard, batch, pos), the packing window
+    and the chunk aggregation all reuse it: a single exchange, of raw text.
+    """
     if n_rows is None:
         n_rows = row_count(docs)
-    ids, _ = tokenise_pretrain(docs, vocab)
-    batched = assign_map_batches(ids, batch_size, workers, n_rows=n_rows)
-    return pack(batched, max_seq_len)
+    if not batch_partitioning_pays(docs.sparkSession, n_rows, batch_size, workers):
+        ids, _ = tokenise_pretrain(docs, vocab)
+        return pack(assign_map_batches(ids, batch_size, workers, n_rows=n_rows), max_seq_len)
+    batched = assign_map_batches(docs.select("pos", "text"), batch_size, workers, n_rows=n_rows)
+    toks = pretokenise(batched.repartition("shard", "batch"), "text", "tokens")
+    if vocab is None:
+        vocab = vocab_table(toks)
+    ids = encode_tokens(toks, ["shard", "batch", "pos"], vocab).withColumn("labels", F.col("input_ids"))
+    return pack(ids, max_seq_len)
 
 
 # --- supervised fine-tuning ----------------------------------------------------
@@ -99,13 +110,26 @@ def build_sft(
     n_rows: int | None = None,
 ) -> DataFrame:
     """Tokenise → (drop long) → sort by pre-truncation length inside each map
-    batch → truncate.  Batches are cut on the input rows, before any drop."""
+    batch → truncate.  Batches are cut on the input rows, before any drop.
+
+    With enough map batches the conversations are hash-partitioned by
+    (shard, batch) before rendering, so the per-row regroup and the sorting
+    window reuse that single exchange.
+    """
     if n_rows is None:
         n_rows = row_count(convs)
-    ids, _ = tokenise_sft(convs, template, eos, vocab)
-    batched = assign_map_batches(ids, batch_size, workers, n_rows=n_rows).withColumn(
-        "n", F.size("input_ids").cast("bigint")
-    )
+    if batch_partitioning_pays(convs.sparkSession, n_rows, batch_size, workers):
+        staged = assign_map_batches(convs, batch_size, workers, n_rows=n_rows).repartition("shard", "batch")
+        toks = sft_pretokens(staged, template, eos)
+        if vocab is None:
+            vocab = vocab_table(toks)
+        ids = encode_tokens(toks, ["shard", "batch", "pos"], vocab, flags_col="sup")
+        labels = F.zip_with("input_ids", "sup", lambda i, s: F.when(s, i).otherwise(F.lit(IGNORE_INDEX)))
+        batched = ids.withColumn("labels", labels).drop("sup")
+    else:
+        ids, _ = tokenise_sft(convs, template, eos, vocab)
+        batched = assign_map_batches(ids, batch_size, workers, n_rows=n_rows)
+    batched = batched.withColumn("n", F.size("input_ids").cast("bigint"))
     if discard_long_sample:
         batched = drop_long(batched, max_seq_len)
     ordered = sort_by_length(batched, "n")

@@ -37,16 +37,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without one gets a fresh scratch folder; on a
     cluster a missing setting is an error, never a machine-local folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir() or folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no context
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir() or configured
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    elif configured:
+        return configured
+    else:
+        master = spark.conf.get("spark.master", "local")
+        if not str(master).startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    global _LOCAL_SCRATCH
+    if _LOCAL_SCRATCH is None:
+        _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
+    if sc is not None:
+        sc.setCheckpointDir(_LOCAL_SCRATCH)
+        return sc.getCheckpointDir() or _LOCAL_SCRATCH
+    return _LOCAL_SCRATCH
+
+
+_LOCAL_SCRATCH: str | None = None
