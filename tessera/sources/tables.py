@@ -98,7 +98,7 @@ def _unigram_logp(counts: DataFrame):
     ln((c + 1) / (N + V)), and the floor ln(1 / (N + V)) for unseen tokens
     (N, V are scalar subqueries over the small, materialised count table)."""
     denom = counts.select(F.sum("c") + F.count(F.lit(1))).scalar()
-    return counts.select("token", F.log((F.col("c") + 1) / denom).alias("logp")), F.log(F.lit(1.0) / denom)
+    return counts.select("token", "c", F.log((F.col("c") + 1) / denom).alias("logp")), F.log(F.lit(1.0) / denom)
 
 
 def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +147,17 @@ def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq_id", "pair_id", "side", F.posexplode("tokens").alias("tok_pos", "token"), "labels"
     ).select("seq_id", "pair_id", "side", F.col("tok_pos").cast("bigint").alias("tok_pos"), "token",
              F.col("labels")[F.col("tok_pos")].cast("int").alias("label"))
-    # policy / reference vocabularies grow with the corpus: plain equi-joins, the
-    # optimiser broadcasts them only when its size estimate allows
+    # the unigram tables grow with the corpus: size-checked broadcast, else a
+    # hot/cold split so frequent tokens never meet in one shuffle partition
+    from tessera.operators.tokens import lookup
+
+    pol = policy.select("token", "c", F.col("logp").alias("_p"))
+    ref = reference.select("token", "c", F.col("logp").alias("_r"))
+    joined = lookup(tok.withColumn("_salt", F.col("seq_id") * 100003 + F.col("tok_pos")), pol, "token", ["_p"],
+                    freq="c", salt="_salt")
+    joined = lookup(joined, ref, "token", ["_r"], freq="c", salt="_salt")
     return (
-        tok.join(policy.withColumnRenamed("logp", "_p"), "token", "left")
-        .join(reference.withColumnRenamed("logp", "_r"), "token", "left")
+        joined
         .select(
             "seq_id", "pair_id", "side", "tok_pos", "label",
             F.coalesce(F.col("_p"), pol_floor).alias("logp"),
