@@ -188,3 +188,107 @@ def build_scoring(df: DataFrame, key: str, template=DEFAULT_TEMPLATE, eos: str =
         vocab = vocab_table(rendered)
     ids = encode_tokens(rendered, [key], vocab)
     return truncate(ids, max_length, ("input_ids",))
+
+
+# --- entry points: task dispatch over files, and the epoch-mixing job ------------------
+
+TASK_TYPES = ("zero-pt", "pt", "sft", "dpo", "orpo", "simpo", "reward")
+
+
+def prepare_training_data(
+    spark,
+    task_type: str,
+    train_file: str | None = None,
+    train_file_dir: str | None = None,
+    cache_dir: str | None = None,
+    max_seq_length: int = DEFAULT_MAX_SEQ_LEN,
+    template_name: str = DEFAULT_TEMPLATE,
+    discard_long_sample: bool = True,
+    batch_size: int = MAP_BATCH_SIZE,
+    workers: int | None = None,
+    vocab: DataFrame | None = None,
+) -> DataFrame:
+    """Prepare every input file for ``task_type`` and concatenate them in file order.
+
+    Files: ``train_file`` if given, else ``train_file_dir/*.json*`` (sorted).
+    Each file is prepared on its own (batching / packing scope = file) and,
+    with ``cache_dir``, materialised under a key of its full path and the
+    parameters, so a later run re-reads it instead of recomputing.
+    """
+    from tessera.operators.mix import concat_datasets
+    from tessera.sources import io
+    from tessera.streaming.incremental import line_positions
+
+    if task_type not in TASK_TYPES:
+        raise ValueError(f"unknown task type {task_type!r}; known: {TASK_TYPES}")
+    files = io.discover_files(spark, train_file, train_file_dir)
+    if not files:
+        raise FileNotFoundError(f"no input files for {train_file or train_file_dir}")
+    params = dict(task=task_type, max_seq_length=max_seq_length, template=template_name,
+                  discard=discard_long_sample, batch_size=batch_size, workers=workers)
+
+    def one(path: str) -> DataFrame:
+        if task_type in ("zero-pt", "pt"):
+            raw = line_positions(io.read_samples(spark, path, io.PRETRAIN_SCHEMA))
+            return build_pretrain(raw, max_seq_length, batch_size, workers, vocab).withColumnRenamed("chunk", "pos")
+        if task_type == "sft":
+            raw = line_positions(io.read_samples(spark, path, io.SFT_SCHEMA))
+            out = build_sft(raw, template_name, max_seq_length, discard_long_sample, batch_size, workers, vocab=vocab)
+            return out.drop("pos").withColumnRenamed("out_pos", "pos")
+        raw = line_positions(io.read_samples(spark, path, io.PREFERENCE_SCHEMA))
+        if task_type in ("dpo", "orpo", "simpo"):
+            return build_dpo(raw, template_name, max_seq_length).select("pos", "prompt", "chosen", "rejected")
+        out, _ = build_reward(raw, "pos", template_name, max_seq_length, discard_long_sample, vocab=vocab)
+        return out
+
+    parts = []
+    for path in files:
+        if cache_dir:
+            parts.append(io.materialise(lambda p=path: one(p), spark, cache_dir, path, params))
+        else:
+            parts.append(one(path))
+    if task_type in ("zero-pt", "pt"):
+        # chunk order inside a file: (shard, batch, chunk) → dense pos per file
+        from tessera.operators.order import dense_index
+
+        parts = [dense_index(p.withColumnRenamed("pos", "chunk"), ["shard", "batch", "chunk"], "pos") for p in parts]
+    return concat_datasets(parts)
+
+
+def build_mixture(
+    spark,
+    input_root: str,
+    proportion_config: str,
+    epochs: int,
+    output: str,
+    seed: int = 42,
+) -> DataFrame:
+    """The epoch-mixing job: sources ``<input_root>/<source>/*.json`` with
+    instruction records (validated: one bad line fails the job), a
+    ``{source: ratio}`` config, ``epochs`` epochs, written as JSON lines in
+    epoch order (shuffled inside each epoch).  Returns the written rows."""
+    from pyspark.sql import types as T
+
+    from tessera.operators.mix import mix_epochs, shuffle_epoch, shuffle_sources
+    from tessera.operators.validate import validate_instructions
+    from tessera.sources import io
+
+    props = io.read_proportions(spark, proportion_config)
+    sources = [r[0] for r in props.select("source").collect()]  # the config: one row per source
+    lines_schema = T.StructType([T.StructField("value", T.StringType())])
+    files = {s: io.discover_files(spark, directory=f"{input_root.rstrip('/')}/{s}", pattern="*.json") for s in sources}
+    missing = [s for s, fs in files.items() if not fs]
+    if missing:
+        raise FileNotFoundError(f"no *.json files for sources {missing}")
+    raw = spark.read.schema(lines_schema).text([f for fs in files.values() for f in fs]) \
+        .withColumn("_file", F.col("_metadata.file_path"))
+    raw = raw.withColumn("source", F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1))
+    checked = validate_instructions(raw, "value", mode="fail")
+    from tessera.streaming.incremental import line_positions
+
+    rows = line_positions(checked).withColumnRenamed("pos", "id")
+    shuffled = shuffle_sources(rows, seed, "source", "id")
+    mixed = shuffle_epoch(mix_epochs(shuffled, props, epochs), seed, "source", "id")
+    out = mixed.select("out_pos", "value")
+    out.repartitionByRange("out_pos").sortWithinPartitions("out_pos").select("value").write.mode("overwrite").text(output)
+    return out
