@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -76,10 +77,76 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@functools.lru_cache(maxsize=1)
+def nfc_unstable_class() -> str:
+    """Java regex class covering every character that can make NFC change a string.
+
+    Built by rule from ``unicodedata``: characters whose own NFC differs,
+    characters with a non-zero combining class (reordering), the second
+    character of every two-character canonical decomposition (composition
+    partners) and the Hangul vowel / trailing jamo (algorithmic composition).
+    Most of them are marks, tested by ``\\p{M}`` (one table lookup in Java);
+    the rest become a few ranges (gaps up to 16 merged, a harmless superset);
+    ``\\p{Cn}`` adds whatever the JVM's older Unicode tables leave unassigned.
+    A string without any of them is already NFC.
+    """
+    unstable = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for cp in range(0x110000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        ch = chr(cp)
+        if unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch:
+            unstable.add(cp)
+        dec = unicodedata.decomposition(ch)
+        if dec and not dec.startswith("<"):
+            parts = dec.split()
+            if len(parts) == 2:
+                unstable.add(int(parts[1], 16))
+    rest = sorted(cp for cp in unstable if not unicodedata.category(chr(cp)).startswith("M"))
+    ranges: list[list[int]] = []
+    for cp in rest:
+        if ranges and cp - ranges[-1][1] <= 16:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    body = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    # \p{Cn}: characters the JVM's (older) Unicode tables do not know go to Python too
+    return f"[\\p{{M}}\\p{{Cn}}{body}]"
+
+
+def nfc_unstable(text) -> Column:
+    """JVM-side test: may NFC change this string?  Pure-ASCII strings short-circuit."""
+    c = col(text)
+    return ~c.rlike("^[\\x00-\\x7F]*$") & c.rlike(nfc_unstable_class())
+
+
+def nfc_column(text) -> Column:
+    """NFC of a string column.  Rows without any NFC-unstable character
+    (checked JVM-side) are returned as they are: the UDF receives NULL for
+    them, so only unstable rows' text crosses to Python (Spark evaluates a
+    Python UDF for every row even under a CASE, so the input is what we gate)."""
+    c = col(text)
+    return F.coalesce(_nfc(F.when(nfc_unstable(c), c)), c)
+
+
 def normalise_nfc(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Unicode NFC (op 25).  ASCII rows are already NFC and skip Python."""
-    c = F.col(text_col)
-    return df.withColumn(text_col, F.when(c.rlike("^[\\x00-\\x7F]*$"), c).otherwise(_nfc(c)))
+    """Unicode NFC (op 25), applied before any pre-tokenising."""
+    return df.withColumn(text_col, nfc_column(text_col))
+
+
+def normalise_nfc_nested(df: DataFrame, nested_col: str) -> DataFrame:
+    """NFC of every string inside a nested column (e.g. conversations).
+
+    The value is serialised with ``to_json``; only rows whose JSON text holds
+    an NFC-unstable character go through Python, and come back through
+    ``from_json``.  Exact: JSON syntax characters are starters that never
+    compose, so NFC of the JSON text equals the JSON of the NFC'd strings.
+    """
+    c = col(nested_col)
+    dtype = df.schema[nested_col].dataType
+    js = F.to_json(c)
+    fixed = _nfc(F.when(nfc_unstable(js), js))
+    return df.withColumn(nested_col, F.when(fixed.isNotNull(), F.from_json(fixed, dtype)).otherwise(c))
 
 
 def explode_items(df: DataFrame, array_col: str, name: str) -> DataFrame:

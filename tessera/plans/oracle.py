@@ -82,7 +82,7 @@ def encode_ctes(src: str, key: str, prefix: str, flags: bool = False) -> str:
 
 PRETRAIN = f"""
 docs AS (SELECT doc_id AS pos, text FROM documents),
-toks AS (SELECT pos, regexp_extract_all(text, {lit(P)}) AS tokens FROM docs),
+toks AS (SELECT pos, regexp_extract_all(nfc_normalize(text), {lit(P)}) AS tokens FROM docs),
 {encode_ctes("toks", "pos", "p")}"""
 
 
@@ -241,7 +241,7 @@ SQL["chat_rendered"] = f"""WITH {CONV}
 SELECT pos, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (SELECT pos, {_chat} AS t FROM conv)"""
 
 SFT = f"""{CONV}, {rend_cte(C.SFT_TEMPLATE)},
-mt AS (SELECT pos, list_transform(r, lambda m: {{'role': m.role, 't': {marker_tokens('m.text')}}}) AS mt FROM rend),
+mt AS (SELECT pos, list_transform(r, lambda m: {{'role': m.role, 't': {marker_tokens('nfc_normalize(m.text)')}}}) AS mt FROM rend),
 stoks AS (SELECT pos, flatten(list_transform(mt, lambda m: m.t)) AS tokens,
                  flatten(list_transform(mt, lambda m: list_transform(m.t, lambda x: m.role = 'assistant'))) AS sup FROM mt),
 {encode_ctes("stoks", "pos", "s", flags=True)}"""
@@ -367,8 +367,8 @@ FROM d WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {C.D
 
 _asst = TPL[C.SFT_TEMPLATE][3]
 SQL["reward_tokens"] = f"""WITH {PAIRS},
-rt AS (SELECT pair_id, {marker_tokens(_prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen'))} AS tc,
-              {marker_tokens(_prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_rejected'))} AS tr
+rt AS (SELECT pair_id, {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen') + ')')} AS tc,
+              {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_rejected') + ')')} AS tr
        FROM pairs),
 rc AS (SELECT pair_id, tc AS tokens FROM rt),
 rr AS (SELECT pair_id, tr AS tokens FROM rt),
@@ -387,7 +387,7 @@ SELECT pair_id, {n("ic")} AS n_chosen, {n("ir")} AS n_rejected, {md5_list("ic")}
 FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}"""
 
 SQL["scoring_prompts"] = f"""WITH {PAIRS},
-st AS (SELECT pair_id, {marker_tokens(_prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen'))} AS tokens FROM pairs),
+st AS (SELECT pair_id, {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen') + ')')} AS tokens FROM pairs),
 {encode_ctes("st", "pair_id", "q")}
 SELECT pair_id, CAST(least(len(ids), {C.SCORING_LEN}) AS BIGINT) AS n_tokens, {md5_list(f"list_slice(ids, 1, {C.SCORING_LEN})")} AS ids_md5
 FROM qenc"""

@@ -20,7 +20,15 @@ from tessera.functions.fixed import (
 from tessera.operators.order import assign_map_batches, batch_partitioning_pays, row_count
 from tessera.operators.pack import pack, sort_by_length
 from tessera.operators.render import render_messages, render_preference, render_reward, render_scoring_prompt
-from tessera.operators.tokens import encode_tokens, pretokenise, pretokens, vocab_table
+from tessera.operators.tokens import (
+    encode_tokens,
+    nfc_column,
+    normalise_nfc,
+    normalise_nfc_nested,
+    pretokenise,
+    pretokens,
+    vocab_table,
+)
 from tessera.operators.validate import drop_empty_pairs, drop_long, drop_long_chars, truncate
 
 
@@ -29,7 +37,8 @@ from tessera.operators.validate import drop_empty_pairs, drop_long, drop_long_ch
 def pretrain_pretokens(docs: DataFrame, profile: str = "portable") -> DataFrame:
     # Hash-partition the raw text by pos once: the regroup after the vocabulary
     # join then needs no shuffle of the (larger) exploded token rows.
-    return pretokenise(docs.select("pos", "text").repartition("pos"), "text", "tokens", profile)
+    # NFC first, as the tokeniser does; rows that cannot change skip Python
+    return pretokenise(normalise_nfc(docs.select("pos", "text").repartition("pos"), "text"), "text", "tokens", profile)
 
 
 def tokenise_pretrain(docs: DataFrame, vocab: DataFrame | None = None,
@@ -62,7 +71,7 @@ def build_pretrain(
         ids, _ = tokenise_pretrain(docs, vocab)
         return pack(assign_map_batches(ids, batch_size, workers, n_rows=n_rows), max_seq_len)
     batched = assign_map_batches(docs.select("pos", "text"), batch_size, workers, n_rows=n_rows)
-    toks = pretokenise(batched.repartition("shard", "batch"), "text", "tokens")
+    toks = pretokenise(normalise_nfc(batched.repartition("shard", "batch"), "text"), "text", "tokens")
     if vocab is None:
         vocab = vocab_table(toks)
     ids = encode_tokens(toks, ["shard", "batch", "pos"], vocab).withColumn("labels", F.col("input_ids"))
@@ -74,7 +83,7 @@ def build_pretrain(
 def sft_pretokens(convs: DataFrame, template=DEFAULT_TEMPLATE, eos: str = EOS_TOKEN) -> DataFrame:
     """Render, then pre-tokenise each message on its own (no merge crosses a
     message border); ``sup`` flags assistant tokens."""
-    rendered = render_messages(convs, template, eos)
+    rendered = render_messages(normalise_nfc_nested(convs, "conversations"), template, eos)
     per_msg = F.transform(
         "messages",
         lambda m: F.struct(m["role"].alias("role"), pretokens(m["text"], "portable", markers=True).alias("t")),
@@ -157,8 +166,8 @@ def build_reward(
     """Chosen/rejected full texts tokenised whole; masks all ones (ops 21, 32)."""
     rendered = render_reward(pairs, template, eos).select(
         key,
-        pretokens("chosen_text", "portable", markers=True).alias("tok_c"),
-        pretokens("rejected_text", "portable", markers=True).alias("tok_r"),
+        pretokens(nfc_column("chosen_text"), "portable", markers=True).alias("tok_c"),
+        pretokens(nfc_column("rejected_text"), "portable", markers=True).alias("tok_r"),
     )
     if vocab is None:
         both = rendered.select(F.concat("tok_c", "tok_r").alias("tokens"))
@@ -182,7 +191,7 @@ def build_scoring(df: DataFrame, key: str, template=DEFAULT_TEMPLATE, eos: str =
                   max_length: int = SCORING_MAX_LEN, vocab: DataFrame | None = None) -> DataFrame:
     """Scoring prompt → ids truncated to ``max_length`` (op 22)."""
     rendered = render_scoring_prompt(df, template, eos).select(
-        key, pretokens("scoring_text", "portable", markers=True).alias("tokens")
+        key, pretokens(nfc_column("scoring_text"), "portable", markers=True).alias("tokens")
     )
     if vocab is None:
         vocab = vocab_table(rendered)

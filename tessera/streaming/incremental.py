@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.operators.order import assign_map_batches, dense_index
 from tessera.operators.pack import pack
-from tessera.operators.tokens import encode_tokens, pretokenise
+from tessera.operators.tokens import encode_tokens, normalise_nfc, pretokenise
 
 
 def line_positions(df: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def pretrain_preparer(vocab: DataFrame, max_seq_len: int, batch_size: int, worke
     def prepare(batch: DataFrame) -> DataFrame:
         docs = line_positions(batch).select("pos", "_file", "text")
         n_rows = docs.count()
-        toks = pretokenise(docs.repartition("pos"), "text")
+        toks = pretokenise(normalise_nfc(docs.repartition("pos"), "text"), "text")
         ids = encode_tokens(toks, ["pos"], vocab, unk_id=unk_id, size=size).withColumn("labels", F.col("input_ids"))
         return pack(assign_map_batches(ids, batch_size, workers, n_rows=n_rows), max_seq_len)
 

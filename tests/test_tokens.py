@@ -96,3 +96,20 @@ def test_large_vocabulary_hot_cold_split(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_nfc_unstable_class_is_sufficient(spark):
+    """Strings the JVM-side check lets through unchanged must already be NFC."""
+    import random
+    import unicodedata
+
+    from tessera.operators.tokens import nfc_column
+
+    rng = random.Random(0)
+    pools = [(0x20, 0x250), (0x300, 0x370), (0xAC00, 0xAC10), (0x1100, 0x11FF), (0x0900, 0x0980), (0x3040, 0x30FF),
+             (0x1F000, 0x1F700), (0x2100, 0x2140), (0xF900, 0xF910), (0x0FB0, 0x0FC0)]
+    strings = ["".join(chr(rng.randrange(*rng.choice(pools))) for _ in range(rng.randrange(1, 6))) for _ in range(20000)]
+    strings += ["é", "Å", "가", "각", "ą́", "café ok"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(strings)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", nfc_column("t").alias("n")).collect()}
+    assert all(got[i] == unicodedata.normalize("NFC", x) for i, x in enumerate(strings))
