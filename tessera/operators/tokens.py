@@ -7,7 +7,8 @@
   (broadcast only below a checked row count, shuffle join beyond it) →
   regroup per row with an ordered ``collect_list``.
 * ``decode_ids``    — the inverse join, ordered concat.
-* ``normalise_nfc`` — Arrow-batched pandas UDF; pure-ASCII rows bypass Python.
+* ``normalise_nfc`` — ICU's NFC through ``reflect`` (JVM-side); an Arrow UDF
+  fallback gated by a rule-built class of NFC-unstable characters.
 """
 
 from __future__ import annotations
@@ -120,33 +121,49 @@ def nfc_unstable(text) -> Column:
     return ~c.rlike("^[\\x00-\\x7F]*$") & c.rlike(nfc_unstable_class())
 
 
-def nfc_column(text) -> Column:
-    """NFC of a string column.  Rows without any NFC-unstable character
-    (checked JVM-side) are returned as they are: the UDF receives NULL for
-    them, so only unstable rows' text crosses to Python (Spark evaluates a
-    Python UDF for every row even under a CASE, so the input is what we gate)."""
+# ICU4J ships with Spark 4 (collation support); its static composer is NFC.
+ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
+
+
+def nfc_column(text, engine: str = "jvm") -> Column:
+    """NFC of a string column.
+
+    ``engine='jvm'`` (default): ICU's composer through the built-in
+    ``reflect`` function — JVM-side, no Python, and it leaves the plan's
+    partitioning intact (a Python eval node would hide it and force extra
+    exchanges downstream).  Pure-ASCII rows skip the call.
+    ``engine='python'``: ``unicodedata`` in an Arrow UDF; rows without any
+    NFC-unstable character (checked JVM-side) pass NULL to it, so only
+    unstable rows' text crosses to Python.
+    """
     c = col(text)
-    return F.coalesce(_nfc(F.when(nfc_unstable(c), c)), c)
+    if engine == "jvm":
+        composed = F.call_function("reflect", F.lit(ICU_NORMALIZER), F.lit("compose"), c, F.lit(False))
+        return F.when(c.isNull() | c.rlike("^[\\x00-\\x7F]*$"), c).otherwise(composed)
+    if engine == "python":
+        return F.coalesce(_nfc(F.when(nfc_unstable(c), c)), c)
+    raise ValueError(f"unknown NFC engine {engine!r}")
 
 
-def normalise_nfc(df: DataFrame, text_col: str = "text") -> DataFrame:
+def normalise_nfc(df: DataFrame, text_col: str = "text", engine: str = "jvm") -> DataFrame:
     """Unicode NFC (op 25), applied before any pre-tokenising."""
-    return df.withColumn(text_col, nfc_column(text_col))
+    return df.withColumn(text_col, nfc_column(text_col, engine))
 
 
 def normalise_nfc_nested(df: DataFrame, nested_col: str) -> DataFrame:
     """NFC of every string inside a nested column (e.g. conversations).
 
-    The value is serialised with ``to_json``; only rows whose JSON text holds
-    an NFC-unstable character go through Python, and come back through
-    ``from_json``.  Exact: JSON syntax characters are starters that never
-    compose, so NFC of the JSON text equals the JSON of the NFC'd strings.
+    The value is serialised with ``to_json``, normalised JVM-side and read
+    back with ``from_json`` (pure-ASCII rows skip the round trip).  Exact:
+    JSON syntax characters are starters that never compose, so NFC of the
+    JSON text equals the JSON of the NFC'd strings.
     """
     c = col(nested_col)
     dtype = df.schema[nested_col].dataType
     js = F.to_json(c)
-    fixed = _nfc(F.when(nfc_unstable(js), js))
-    return df.withColumn(nested_col, F.when(fixed.isNotNull(), F.from_json(fixed, dtype)).otherwise(c))
+    return df.withColumn(
+        nested_col, F.when(js.rlike("^[\\x00-\\x7F]*$"), c).otherwise(F.from_json(nfc_column(js), dtype))
+    )
 
 
 def explode_items(df: DataFrame, array_col: str, name: str) -> DataFrame:

@@ -111,5 +111,6 @@ def test_nfc_unstable_class_is_sufficient(spark):
     strings = ["".join(chr(rng.randrange(*rng.choice(pools))) for _ in range(rng.randrange(1, 6))) for _ in range(20000)]
     strings += ["é", "Å", "가", "각", "ą́", "café ok"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(strings)], "i int, t string")
-    got = {r.i: r.n for r in df.select("i", nfc_column("t").alias("n")).collect()}
-    assert all(got[i] == unicodedata.normalize("NFC", x) for i, x in enumerate(strings))
+    for engine in ("jvm", "python"):
+        got = {r.i: r.n for r in df.select("i", nfc_column("t", engine).alias("n")).collect()}
+        assert all(got[i] == unicodedata.normalize("NFC", x) for i, x in enumerate(strings)), engine
