@@ -218,8 +218,10 @@ def sft_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sft_prepared(spark, sf, discard):
-    out = tasks.build_sft(tables.sft_conversations(spark, sf), SFT_TEMPLATE, SFT_MAX_LEN, discard, SFT_BATCH,
-                          SFT_WORKERS)
+    # flat turns in: messages are tokenised per row and conversations are only
+    # grouped once their size is known to be within max_seq_len (skew-safe)
+    out = tasks.build_sft_from_turns(tables.table(spark, sf, "conversations"), SFT_TEMPLATE, SFT_MAX_LEN, discard,
+                                     SFT_BATCH, SFT_WORKERS)
     return out.select("pos", "shard", "batch", "rank_in_batch", "out_pos", F.col("n").alias("n_full"),
                       _n("input_ids").alias("n_tokens"), ids_digest("input_ids").alias("ids_md5"),
                       ids_digest("labels").alias("labels_md5"))

@@ -301,3 +301,99 @@ def build_mixture(
     out = mixed.select("out_pos", "value")
     out.repartitionByRange("out_pos").sortWithinPartitions("out_pos").select("value").write.mode("overwrite").text(output)
     return out
+
+
+def build_sft_from_turns(
+    turns: DataFrame,
+    template=DEFAULT_TEMPLATE,
+    max_seq_len: int = DEFAULT_MAX_SEQ_LEN,
+    discard_long_sample: bool = True,
+    batch_size: int = MAP_BATCH_SIZE,
+    workers: int | None = None,
+    eos: str = EOS_TOKEN,
+    vocab: DataFrame | None = None,
+    key: str = "conv_id",
+) -> DataFrame:
+    """SFT preparation from flat turns (conv_id, turn, role, text) — same result
+    as ``build_sft`` on the grouped conversations, without grouping them first.
+
+    Every message is rendered and tokenised on its own row.  Per-conversation
+    facts (token total, whether a system message exists) are partial
+    aggregates, so a conversation holding a large share of all turns never
+    lands in one group: with the discard policy it is dropped before any
+    per-conversation grouping, and every conversation that is grouped holds
+    at most ``max_seq_len`` tokens.  (With the truncation policy, turns that
+    start beyond ``max_seq_len`` are cut by a running sum over the narrow
+    (conversation, turn, length) rows before grouping.)
+    """
+    from pyspark.sql import Window
+
+    from tessera.functions.templates import format_column, get_template
+    from tessera.operators.render import default_system_text
+    from tessera.operators.tokens import lookup
+
+    tpl = get_template(template) if isinstance(template, str) else template
+    name = tpl.template_name
+    content = nfc_column("text")
+    if tpl.system_format is None:
+        system = F.raise_error(F.lit(f"template {name!r} has no system format but a system message was given"))
+    else:
+        system = format_column(tpl.system_format, content, None, f"{name}.system_format")
+    role = F.col("role")
+    rendered = (
+        F.when(role == "system", system.cast("string"))
+        .when(role == "user", format_column(tpl.user_format, content, eos, f"{name}.user_format"))
+        .when(role == "assistant", format_column(tpl.assistant_format, content, eos, f"{name}.assistant_format"))
+    )
+    msgs = turns.select(F.col(key).cast("bigint").alias("pos"), F.lit(1).alias("_k"), "turn", "role",
+                        rendered.alias("_text")).where(F.col("_text").isNotNull())
+    # per conversation: any system message, and its size (partial aggregates: skew-safe)
+    convs = turns.groupBy(F.col(key).cast("bigint").alias("pos")).agg(
+        F.max((F.col("role") == "system").cast("int")).alias("_has_sys"), F.count(F.lit(1)).alias("_turns"))
+    convs = order_materialise(convs, "sft-convs")
+    n_rows = convs.count()
+    block = default_system_text(tpl)
+    if block is not None:
+        synthetic = convs.where(F.col("_has_sys") == 0).select(
+            "pos", F.lit(0).alias("_k"), F.lit(-1).cast("bigint").alias("turn"), F.lit("system").alias("role"),
+            F.lit(block).alias("_text"))
+        msgs = msgs.unionByName(synthetic)
+    toks = msgs.select("pos", "_k", "turn", "role", pretokens("_text", "portable", markers=True).alias("tokens"))
+    # written once (regex evaluated once); empty-token turns contribute nothing
+    toks = order_materialise(toks, "sft-turn-tokens").where(F.size("tokens") > 0)
+    totals = toks.groupBy("pos").agg(F.sum(F.size("tokens")).cast("bigint").alias("n"),
+                                      F.count(F.lit(1)).alias("_rows"))
+    totals = order_materialise(totals, "sft-totals")
+    if discard_long_sample:
+        # hot conversations resolve through the broadcast side of the lookup
+        kept = lookup(toks, totals, "pos", ["n"], freq="_rows").where(F.col("n") <= max_seq_len)
+    else:
+        narrow = toks.select("pos", "_k", "turn", F.size("tokens").alias("_m"))
+        w = Window.partitionBy("pos").orderBy("_k", "turn").rowsBetween(Window.unboundedPreceding, -1)
+        starts = narrow.withColumn("_start", F.coalesce(F.sum("_m").over(w), F.lit(0))).where(
+            F.col("_start") < max_seq_len).select("pos", "_k", "turn", "_start")
+        kept = toks.join(starts, ["pos", "_k", "turn"]).withColumn(
+            "tokens", F.slice("tokens", 1, (F.lit(max_seq_len) - F.col("_start")).cast("int")))
+        kept = lookup(kept, totals, "pos", ["n"], freq="_rows")
+    if vocab is None:
+        vocab = vocab_table(toks)
+    flags = kept.withColumn("sup", F.array_repeat(F.col("role") == "assistant", F.size("tokens")))
+    ids = encode_tokens(flags, ["pos", "_k", "turn", "n"], vocab, flags_col="sup")
+    per_conv = ids.groupBy("pos", "n").agg(
+        F.array_sort(F.collect_list(F.struct("_k", "turn", "input_ids", "sup"))).alias("_m"))
+    labels = lambda m: F.zip_with(m["input_ids"], m["sup"], lambda i, s: F.when(s, i).otherwise(F.lit(IGNORE_INDEX)))
+    batched = assign_map_batches(
+        per_conv.select(
+            "pos", F.col("n").cast("bigint").alias("n"),
+            F.flatten(F.transform("_m", lambda m: m["input_ids"])).alias("input_ids"),
+            F.flatten(F.transform("_m", labels)).alias("labels"),
+        ),
+        batch_size, workers, n_rows=n_rows,
+    )
+    return truncate(sort_by_length(batched, "n"), max_seq_len)
+
+
+def order_materialise(df: DataFrame, label: str) -> DataFrame:
+    from tessera.operators.order import materialise_scratch
+
+    return materialise_scratch(df, label)

@@ -43,3 +43,24 @@ def test_supervised_count_independent_of_plan(spark):
     b = tasks.build_sft(convs, "qwen", 10_000, False, 4, 3)
     total = lambda d: d.select(F.sum(supervised_count("labels"))).first()[0]
     assert total(a) == total(b) > 0
+
+
+def test_sft_from_turns_equals_grouped_path_with_hot_conversation(spark):
+    from tessera.sources.tables import flat_turns_to_conversations
+
+    turns = spark.read.parquet(f"{SF001}/conversations.parquet")
+    n_conv = turns.select("conv_id").distinct().count()
+    hot = spark.createDataFrame(
+        [(n_conv, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * (1 + t % 3)) for t in range(400)],
+        turns.schema)
+    allturns = turns.unionByName(hot)
+    for discard in (True, False):
+        a = tasks.build_sft(flat_turns_to_conversations(allturns), "qwen", 256, discard, 8, 2)
+        b = tasks.build_sft_from_turns(allturns, "qwen", 256, discard, 8, 2)
+        cols = lambda d: sorted(
+            (r.pos, r.shard, r.batch, r.rank_in_batch, r.out_pos, r.n, r.i, r.l) for r in d.select(
+                "pos", "shard", "batch", "rank_in_batch", "out_pos", "n",
+                ids_digest("input_ids").alias("i"), ids_digest("labels").alias("l")).collect())
+        ra, rb = cols(a), cols(b)
+        assert ra == rb
+        assert (n_conv in [r[0] for r in ra]) is (not discard)
