@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.exprs import col, seeded_hash
 from tessera.functions.fixed import DEFAULT_SEED, MAP_BATCH_SIZE
@@ -56,6 +57,51 @@ def dense_index(df: DataFrame, order: list, name: str = "idx", partitions: int |
     )
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, out: str = "cum_before",
+                partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over all rows before this one under
+    ``order`` (a total order on plain columns).  Skew-proof: no group key.
+
+    Range-partition and sort by ``order``; one pass per partition keeps a
+    running total across its Arrow batches (``mapInPandas`` — an ordered scan
+    has no built-in form that avoids a single-key window); the rows, with
+    their partition id, are written once to the checkpoint folder; partition
+    totals (one row per partition, the only broadcast) give the offsets.
+    """
+    import pandas as pd
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fields = [f for f in df.schema.fields]
+    schema = T.StructType(fields + [T.StructField("_rs_part", T.IntegerType()),
+                                    T.StructField("_rs_local", T.LongType())])
+
+    def scan(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        total = 0
+        for pdf in batches:
+            vals = pdf[value].fillna(0).astype("int64")
+            before = vals.cumsum() - vals + total
+            total += int(vals.sum())
+            yield pdf.assign(_rs_part=part, _rs_local=before.astype("int64"))
+
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(scan, schema)
+    ranged = materialise_scratch(ranged, "running-sum")
+    totals = ranged.groupBy("_rs_part").agg(F.sum(F.col(value)).alias("_rs_n"))
+    offsets = totals.select(
+        "_rs_part",
+        F.coalesce(F.sum("_rs_n").over(Window.orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_rs_off"),
+    )
+    return (
+        ranged.join(F.broadcast(offsets), "_rs_part")
+        .withColumn(out, (F.col("_rs_off") + F.col("_rs_local")).cast("bigint"))
+        .drop("_rs_part", "_rs_local", "_rs_off")
+    )
+
+
 def materialise_scratch(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 

@@ -322,12 +322,11 @@ def build_sft_from_turns(
     aggregates, so a conversation holding a large share of all turns never
     lands in one group: with the discard policy it is dropped before any
     per-conversation grouping, and every conversation that is grouped holds
-    at most ``max_seq_len`` tokens.  (With the truncation policy, turns that
-    start beyond ``max_seq_len`` are cut by a running sum over the narrow
-    (conversation, turn, length) rows before grouping.)
+    at most ``max_seq_len`` tokens.  With the truncation policy, turns that
+    start beyond ``max_seq_len`` are cut first, using a global running sum
+    over the narrow (conversation, turn, length) rows (range-partitioned, so
+    no conversation is confined to one task).
     """
-    from pyspark.sql import Window
-
     from tessera.functions.templates import format_column, get_template
     from tessera.operators.render import default_system_text
     from tessera.operators.tokens import lookup
@@ -368,10 +367,17 @@ def build_sft_from_turns(
         # hot conversations resolve through the broadcast side of the lookup
         kept = lookup(toks, totals, "pos", ["n"], freq="_rows").where(F.col("n") <= max_seq_len)
     else:
-        narrow = toks.select("pos", "_k", "turn", F.size("tokens").alias("_m"))
-        w = Window.partitionBy("pos").orderBy("_k", "turn").rowsBetween(Window.unboundedPreceding, -1)
-        starts = narrow.withColumn("_start", F.coalesce(F.sum("_m").over(w), F.lit(0))).where(
-            F.col("_start") < max_seq_len).select("pos", "_k", "turn", "_start")
+        # where each turn starts inside its conversation: a global running sum over
+        # (conversation, turn) order minus the conversation's first value — no
+        # per-conversation window, so a huge conversation is spread by range
+        from tessera.operators.order import running_sum
+
+        narrow = toks.select("pos", "_k", "turn", F.size("tokens").cast("bigint").alias("_m"))
+        cum = running_sum(narrow, ["pos", "_k", "turn"], "_m", "_g")
+        base = cum.groupBy("pos").agg(F.min("_g").alias("_base"), F.count(F.lit(1)).alias("_rows"))
+        starts = lookup(cum, base, "pos", ["_base"], freq="_rows").withColumn(
+            "_start", F.col("_g") - F.col("_base")).where(F.col("_start") < max_seq_len).select(
+            "pos", "_k", "turn", "_start")
         kept = toks.join(starts, ["pos", "_k", "turn"]).withColumn(
             "tokens", F.slice("tokens", 1, (F.lit(max_seq_len) - F.col("_start")).cast("int")))
         kept = lookup(kept, totals, "pos", ["n"], freq="_rows")

@@ -104,3 +104,16 @@ def test_concat_datasets(spark):
     b = spark.createDataFrame([(0, "z")], "pos bigint, v string")
     got = sorted((r.pos, r.v, r.file_index) for r in concat_datasets([a, b]).collect())
     assert got == [(0, "x", 0), (1, "y", 0), (2, "z", 1)]
+
+
+def test_running_sum_global_order_with_hot_key(spark):
+    from tessera.operators.order import running_sum
+
+    rng = random.Random(9)
+    rows = [(0 if i % 3 == 0 else rng.randrange(1, 50), i, rng.randrange(0, 9)) for i in range(3000)]  # key 0 is hot
+    df = spark.createDataFrame(rows, "k bigint, t bigint, v bigint")
+    got = {(r.k, r.t): r.c for r in running_sum(df, ["k", "t"], "v", "c").collect()}
+    total = 0
+    for k, t, v in sorted(rows):
+        assert got[(k, t)] == total
+        total += v
