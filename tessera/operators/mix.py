@@ -54,9 +54,12 @@ def shuffle_sources(rows: DataFrame, seed: int = DEFAULT_SEED, source: str = "so
     """Seeded shuffle inside each source (op 47): adds ``r`` in 0..N-1 and ``n_source``."""
     keyed = rows.withColumn("_h", seeded_hash(seed, source, key))
     ranked = dense_index(keyed, [source, "_h", key], "_g").drop("_h")
+    from tessera.operators.tokens import lookup
+
+    # one row per source: size-checked broadcast, hot/cold split beyond the bound
     spans = ranked.groupBy(source).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("n_source"))
     return (
-        ranked.join(F.broadcast(spans), source)
+        lookup(ranked, spans, source, ["_g0", "n_source"], freq="n_source", salt="_g")
         .withColumn("r", (F.col("_g") - F.col("_g0")).cast("bigint"))
         .drop("_g", "_g0")
     )
@@ -74,8 +77,14 @@ def mix_epochs(shuffled: DataFrame, props: DataFrame, epochs: int, source: str =
     Each row is emitted once per epoch it belongs to (no join with an epoch
     table): a ``filter`` over the epoch numbers, then ``explode``.
     """
-    quota = props.select(source, "ratio")
-    staged = shuffled.join(F.broadcast(quota), source).withColumn("num", epoch_quota("n_source", "ratio"))
+    from tessera.operators.tokens import lookup
+
+    quota = props.select(source, "ratio")  # the proportion config: size-checked broadcast
+    staged = (
+        lookup(shuffled, quota, source, ["ratio"], freq=None)
+        .where(F.col("ratio").isNotNull())
+        .withColumn("num", epoch_quota("n_source", "ratio"))
+    )
     e_list = F.filter(
         F.sequence(F.lit(0), F.lit(int(epochs) - 1)),
         lambda e: F.pmod(F.col("r") - e.cast("bigint") * F.col("num"), F.col("n_source")) < F.col("num"),
