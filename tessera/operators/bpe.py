@@ -6,9 +6,9 @@ loop runs once per *distinct* pre-token, never per occurrence:
     explode pre-tokens → distinct (map-side dedup, one shuffle)
       → encode each distinct pre-token in an Arrow batch (mapInPandas;
         merge ranks and vocabulary broadcast: both are bounded by the
-        tokeniser files and checked before collecting)
-      → equi-join back to the occurrences (broadcast only below a checked
-        row count) → ordered regroup per row.
+        tokeniser files and checked before collecting); written once
+      → equi-join back to the occurrences (size-checked broadcast, else a
+        hot/cold split by word frequency) → ordered regroup per row.
 
 Decoding is pure Spark: ids → vocabulary join → per-piece hex of the bytes
 (the byte alphabet is a 256-entry literal map built from a rule) → ``unhex``
@@ -135,14 +135,11 @@ def encode_bpe(
                 out["c"] = pdf["c"]
             yield out
 
-    if words is None:
-        from tessera.operators.order import materialise_scratch
-
-        from tessera.operators.tokens import explode_items
+    from tessera.operators.order import materialise_scratch
+    from tessera.operators.tokens import explode_items, lookup
 
+    if words is None:
         words = materialise_scratch(explode_items(df, tokens_col, "token").distinct(), "bpe-words")
-    from tessera.operators.order import materialise_scratch
-    from tessera.operators.tokens import lookup
 
     freq = "c" if "c" in words.columns else None
     dictionary = words.select("token", *([freq] if freq else [])).mapInPandas(
