@@ -336,7 +336,8 @@ def instructions_valid(spark: SparkSession, sf: str) -> DataFrame:
 def _mix(spark, sf):
     rows, props = tables.mix_sources(spark, sf)
     props = mix.check_proportions(props)
-    return mix.shuffle_sources(rows, SEED), props
+    # ranking and mixing run on keys only; the payload is attached once, when written
+    return mix.shuffle_sources(rows.select("source", "id"), SEED), props
 
 
 def mix_proportions(spark: SparkSession, sf: str) -> DataFrame:

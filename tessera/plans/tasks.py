@@ -295,10 +295,13 @@ def build_mixture(
     checked = validate_instructions(raw, "value", mode="fail")
     from tessera.streaming.incremental import line_positions
 
-    rows = line_positions(checked).withColumnRenamed("pos", "id")
-    shuffled = shuffle_sources(rows, seed, "source", "id")
+    rows = line_positions(checked).withColumnRenamed("pos", "id")  # written once by the index
+    # rank and mix on keys only; the payload joins back once on its unique key
+    # (each key appears at most once per epoch on the other side: no hot key)
+    shuffled = shuffle_sources(rows.select("source", "id"), seed, "source", "id")
     mixed = shuffle_epoch(mix_epochs(shuffled, props, epochs), seed, "source", "id")
-    out = mixed.select("out_pos", "value")
+    out = mixed.select("out_pos", "source", "id").join(rows.select("source", "id", "value"), ["source", "id"]) \
+        .select("out_pos", "value")
     out.repartitionByRange("out_pos").sortWithinPartitions("out_pos").select("value").write.mode("overwrite").text(output)
     return out
 
