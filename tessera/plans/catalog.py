@@ -235,6 +235,14 @@ def sft_prepared_truncated(spark: SparkSession, sf: str) -> DataFrame:
     return _sft_prepared(spark, sf, False)
 
 
+def sft_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """The first prepared SFT sample (output position 0), decoded (op 9)."""
+    out, vocab = tasks.build_sft_from_turns(tables.table(spark, sf, "conversations"), SFT_TEMPLATE, SFT_MAX_LEN,
+                                            True, SFT_BATCH, SFT_WORKERS, return_vocab=True)
+    first = out.where(F.col("out_pos") == 0).select("pos", "input_ids")
+    return tokens.decode_ids(first, ["pos"], vocab, sep=" ").select("pos", F.col("text").alias("preview"))
+
+
 def _sft_ids(spark, sf):
     ids, _ = tasks.tokenise_sft(tables.sft_conversations(spark, sf), SFT_TEMPLATE)
     return ids.withColumn("n", _n("input_ids"))
@@ -450,7 +458,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bpe_encoded, bpe_roundtrip, stream_prepared,
         documents_concat, documents_split,
         sft_conversations, sft_rendered, sft_rendered_templates, chat_rendered, sft_tokens, sft_prepared,
-        sft_prepared_truncated, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,
+        sft_prepared_truncated, sft_preview, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,
         collate_padded, padding_stats_random, padding_stats_length_grouped, unpad_offsets, last_token_index,
         dpo_prompts, reward_tokens, scoring_prompts, instructions_jsonl, instructions_valid,
         mix_proportions, mix_shuffled_sources, mix_epochs, mix_epoch_order, mix_report,

@@ -268,6 +268,14 @@ FROM k"""
 
 
 SQL["sft_prepared"] = _sft_prepared(True)
+
+SQL["sft_preview"] = f"""WITH {SFT},
+{shard_ctes("senc", C.SFT_WORKERS, C.SFT_BATCH)},
+k AS (SELECT * FROM sb WHERE len(ids) <= {C.SFT_MAX_LEN}),
+o AS (SELECT pos, ids, row_number() OVER (ORDER BY shard, batch, len(ids), pos) - 1 AS out_pos FROM k),
+f AS (SELECT pos, list_slice(ids, 1, {C.SFT_MAX_LEN}) AS ids FROM o WHERE out_pos = 0),
+fx AS (SELECT pos, i, ids[i + 1] AS id FROM (SELECT pos, ids, unnest(range(len(ids))) AS i FROM f))
+SELECT pos, string_agg(v.token, ' ' ORDER BY fx.i) AS preview FROM fx JOIN svocab v USING (id) GROUP BY pos"""
 SQL["sft_prepared_truncated"] = _sft_prepared(False)
 
 SHIFT = "list_slice(labels, 2, len(labels))"

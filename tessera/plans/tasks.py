@@ -316,7 +316,8 @@ def build_sft_from_turns(
     eos: str = EOS_TOKEN,
     vocab: DataFrame | None = None,
     key: str = "conv_id",
-) -> DataFrame:
+    return_vocab: bool = False,
+):
     """SFT preparation from flat turns (conv_id, turn, role, text) — same result
     as ``build_sft`` on the grouped conversations, without grouping them first.
 
@@ -399,7 +400,8 @@ def build_sft_from_turns(
         ),
         batch_size, workers, n_rows=n_rows,
     )
-    return truncate(sort_by_length(batched, "n"), max_seq_len)
+    out = truncate(sort_by_length(batched, "n"), max_seq_len)
+    return (out, vocab) if return_vocab else out
 
 
 def order_materialise(df: DataFrame, label: str) -> DataFrame:
