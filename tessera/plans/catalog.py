@@ -319,6 +319,22 @@ def reward_tokens(spark: SparkSession, sf: str) -> DataFrame:
                     F.aggregate("attention_mask_chosen", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_chosen"))
 
 
+def dpo_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """First prepared DPO sample (dataset order), as prompt + chosen / rejected (op 9)."""
+    d = tasks.build_dpo(tables.preference_pairs(spark, sf), SFT_TEMPLATE, DPO_MAX_CHARS)
+    first = d.orderBy("pair_id").limit(1)  # a distributed top-1
+    return first.select("pair_id", F.md5(F.concat("prompt", "chosen")).alias("chosen_md5"),
+                        F.md5(F.concat("prompt", "rejected")).alias("rejected_md5"))
+
+
+def reward_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """First prepared reward sample, chosen side decoded (op 9)."""
+    r, vocab = tasks.build_reward(tables.preference_pairs(spark, sf), "pair_id", SFT_TEMPLATE, REWARD_MAX_LEN, True)
+    first = r.orderBy("pair_id").limit(1).select("pair_id", "input_ids_chosen")
+    dec = tokens.decode_ids(first, ["pair_id"], vocab, "input_ids_chosen", sep=" ")
+    return dec.select("pair_id", F.col("text").alias("preview"))
+
+
 def scoring_prompts(spark: SparkSession, sf: str) -> DataFrame:
     pairs = tables.preference_pairs(spark, sf).select("pair_id", "question", F.col("response_chosen").alias("answer"))
     s = tasks.build_scoring(pairs, "pair_id", SFT_TEMPLATE, max_length=SCORING_LEN)
@@ -460,7 +476,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sft_conversations, sft_rendered, sft_rendered_templates, chat_rendered, sft_tokens, sft_prepared,
         sft_prepared_truncated, sft_preview, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,
         collate_padded, padding_stats_random, padding_stats_length_grouped, unpad_offsets, last_token_index,
-        dpo_prompts, reward_tokens, scoring_prompts, instructions_jsonl, instructions_valid,
+        dpo_prompts, dpo_preview, reward_tokens, reward_preview, scoring_prompts, instructions_jsonl, instructions_valid,
         mix_proportions, mix_shuffled_sources, mix_epochs, mix_epoch_order, mix_report,
         sequence_logps, pair_logps, dpo_losses, ipo_losses, simpo_losses, orpo_losses, preference_metrics,
         dro_loss, token_nll, reward_scores,

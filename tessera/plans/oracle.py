@@ -373,8 +373,15 @@ SELECT pair_id, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS p
 FROM d WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {C.DPO_MAX_CHARS}
   AND length(prompt) > 0 AND length(chosen) > 0 AND length(rejected) > 0"""
 
+SQL["dpo_preview"] = f"""WITH {PAIRS},
+d AS (SELECT pair_id, {_prompt(C.SFT_TEMPLATE, 'question')} AS prompt, response_chosen AS chosen,
+             response_rejected AS rejected FROM pairs),
+k AS (SELECT * FROM d WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {C.DPO_MAX_CHARS}
+        AND length(prompt) > 0 AND length(chosen) > 0 AND length(rejected) > 0 ORDER BY pair_id LIMIT 1)
+SELECT pair_id, md5(prompt || chosen) AS chosen_md5, md5(prompt || rejected) AS rejected_md5 FROM k"""
+
 _asst = TPL[C.SFT_TEMPLATE][3]
-SQL["reward_tokens"] = f"""WITH {PAIRS},
+REWARD = f"""{PAIRS},
 rt AS (SELECT pair_id, {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen') + ')')} AS tc,
               {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_rejected') + ')')} AS tr
        FROM pairs),
@@ -389,11 +396,19 @@ enc AS (SELECT pair_id, side, list(v.id ORDER BY i) AS ids FROM (
           SELECT pair_id, 'r' AS side, i, tr[i + 1] AS token FROM (SELECT *, unnest(range(len(tr))) AS i FROM rt)) x
         JOIN rvocab v USING (token) GROUP BY pair_id, side),
 w AS (SELECT rt.pair_id, coalesce(c.ids, CAST([] AS INTEGER[])) AS ic, coalesce(r.ids, CAST([] AS INTEGER[])) AS ir FROM rt
-      LEFT JOIN enc c ON c.pair_id = rt.pair_id AND c.side = 'c' LEFT JOIN enc r ON r.pair_id = rt.pair_id AND r.side = 'r')
+      LEFT JOIN enc c ON c.pair_id = rt.pair_id AND c.side = 'c' LEFT JOIN enc r ON r.pair_id = rt.pair_id AND r.side = 'r')"""
+
+SQL["reward_tokens"] = f"""WITH {REWARD}
 SELECT pair_id, {n("ic")} AS n_chosen, {n("ir")} AS n_rejected, {md5_list("ic")} AS chosen_md5, {md5_list("ir")} AS rejected_md5,
        {n("ic")} AS mask_chosen
 FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}"""
 
+SQL["reward_preview"] = f"""WITH {REWARD},
+fr AS (SELECT pair_id, ic FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}
+       ORDER BY pair_id LIMIT 1),
+fx AS (SELECT pair_id, i, ic[i + 1] AS id FROM (SELECT pair_id, ic, unnest(range(len(ic))) AS i FROM fr))
+SELECT pair_id, string_agg(v.token, ' ' ORDER BY fx.i) AS preview FROM fx JOIN rvocab v USING (id) GROUP BY pair_id"""
+
 SQL["scoring_prompts"] = f"""WITH {PAIRS},
 st AS (SELECT pair_id, {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(_asst, 'response_chosen') + ')')} AS tokens FROM pairs),
 {encode_ctes("st", "pair_id", "q")}
