@@ -117,3 +117,13 @@ def test_running_sum_global_order_with_hot_key(spark):
     for k, t, v in sorted(rows):
         assert got[(k, t)] == total
         total += v
+
+
+def test_empty_inputs(spark):
+    from tessera.operators.order import running_sum
+    from tessera.plans.tasks import build_pretrain
+
+    empty = spark.createDataFrame([], "pos bigint, text string")
+    assert dense_index(empty, ["pos"], "i").count() == 0
+    assert running_sum(spark.createDataFrame([], "k bigint, v bigint"), ["k"], "v").count() == 0
+    assert build_pretrain(empty, 8, 4, 2).count() == 0
