@@ -74,7 +74,9 @@ def unpad_offsets(df: DataFrame, batch_col: str = "batch_id", order_col: str = "
 def last_token_index(ids, pad_id: int) -> Column:
     """Index of the first pad minus one, modulo the length; no pad -> last index (op 43)."""
     first_pad = F.greatest(F.array_position(col(ids), int(pad_id)) - 1, F.lit(0))
-    return F.pmod(first_pad - 1, F.size(col(ids))).cast("bigint")
+    n = F.size(col(ids))
+    # an empty row has no last token (and pmod by 0 raises under ANSI): NULL
+    return F.when(n > 0, F.pmod(first_pad - 1, n)).cast("bigint")
 
 
 def shifted_labels(labels) -> Column:

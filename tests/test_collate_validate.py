@@ -28,7 +28,7 @@ def test_collate_pad_and_mask(spark):
     assert (u[1].seqlen, u[1].cu_offset, u[1].indices, u[1].max_seqlen) == (1, 2, [3], 2)
 
 
-@pytest.mark.parametrize("ids,expect", [([4, 5, 0, 0], 1), ([4, 5, 6], 2), ([0, 1, 2], 2), ([7], 0)])
+@pytest.mark.parametrize("ids,expect", [([4, 5, 0, 0], 1), ([4, 5, 6], 2), ([0, 1, 2], 2), ([7], 0), ([], None)])
 def test_last_token_index(spark, ids, expect):
     df = spark.createDataFrame([(ids,)], "ids array<int>")
     assert df.select(last_token_index("ids", 0).alias("i")).first().i == expect
