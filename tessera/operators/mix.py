@@ -85,9 +85,11 @@ def mix_epochs(shuffled: DataFrame, props: DataFrame, epochs: int, source: str =
         .where(F.col("ratio").isNotNull())
         .withColumn("num", epoch_quota("n_source", "ratio"))
     )
+    last = max(int(epochs) - 1, 0)  # sequence(0, -1) would count down; zero epochs yield nothing
     e_list = F.filter(
-        F.sequence(F.lit(0), F.lit(int(epochs) - 1)),
-        lambda e: F.pmod(F.col("r") - e.cast("bigint") * F.col("num"), F.col("n_source")) < F.col("num"),
+        F.sequence(F.lit(0), F.lit(last)),
+        lambda e: (e < F.lit(int(epochs)))
+        & (F.pmod(F.col("r") - e.cast("bigint") * F.col("num"), F.col("n_source")) < F.col("num")),
     )
     out = staged.where(F.col("num") > 0).withColumn("epoch", F.explode(e_list))
     start = F.pmod(F.col("epoch").cast("bigint") * F.col("num"), F.col("n_source"))

@@ -127,3 +127,10 @@ def test_empty_inputs(spark):
     assert dense_index(empty, ["pos"], "i").count() == 0
     assert running_sum(spark.createDataFrame([], "k bigint, v bigint"), ["k"], "v").count() == 0
     assert build_pretrain(empty, 8, 4, 2).count() == 0
+
+
+def test_zero_epochs_yield_nothing(spark):
+    df = spark.createDataFrame([("a", i) for i in range(5)], "source string, id bigint")
+    props = spark.createDataFrame([("a", 1.0)], "source string, ratio double")
+    assert mix_epochs(shuffle_sources(df, 1), props, 0).count() == 0
+    assert mix_epochs(shuffle_sources(df, 1), props, 1).count() == 5
