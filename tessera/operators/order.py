@@ -126,6 +126,12 @@ def row_count(df: DataFrame) -> int:
 
 # --- op 34: contiguous worker shards, then fixed-size map batches ------------
 
+def _positive(name: str, value: int) -> int:
+    if int(value) < 1:
+        raise ValueError(f"{name} must be at least 1, got {value}")
+    return int(value)
+
+
 def shard_of(pos: Column, n_rows: int, workers: int) -> tuple[Column, Column]:
     """(shard, offset inside shard) for contiguous sharding of ``n_rows`` rows.
 
@@ -152,6 +158,7 @@ def assign_map_batches(
     n_rows: int | None = None,
 ) -> DataFrame:
     """Add ``shard``, ``batch`` (inside the shard) and ``in_shard`` (row inside the shard)."""
+    batch_size = _positive("batch_size", batch_size)
     workers = max(int(workers or 1), 1)
     if n_rows is None:
         n_rows = row_count(df)
@@ -187,6 +194,7 @@ def batch_partitioning_pays(spark, n_rows: int, batch_size: int, workers: int |
 
 def plan_sequential(df: DataFrame, batch_size: int, pos_col: str = "pos") -> DataFrame:
     """Training order = dataset order."""
+    batch_size = _positive("batch_size", batch_size)
     return df.withColumn("order_idx", F.col(pos_col)).withColumn(
         "batch_id", F.floor(F.col(pos_col) / F.lit(batch_size)).cast("bigint")
     )
@@ -194,6 +202,7 @@ def plan_sequential(df: DataFrame, batch_size: int, pos_col: str = "pos") -> Dat
 
 def plan_random(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEED, pos_col: str = "pos") -> DataFrame:
     """Seeded uniform permutation (md5 of seed:pos), then consecutive batches."""
+    batch_size = _positive("batch_size", batch_size)
     keyed = df.withColumn("_rk", seeded_hash(seed, pos_col))
     ranked = dense_index(keyed, ["_rk", pos_col], "order_idx").drop("_rk")
     return ranked.withColumn("batch_id", F.floor(F.col("order_idx") / F.lit(batch_size)).cast("bigint"))
@@ -215,6 +224,7 @@ def plan_length_grouped(
 ) -> DataFrame:
     """Shuffle, cut into mega-batches, sort each by length (longest first, stable),
     then move the overall longest first element to the very front."""
+    batch_size, accumulation = _positive("batch_size", batch_size), _positive("accumulation", accumulation)
     if n_rows is None:
         n_rows = row_count(df)
     group = batch_size * accumulation
