@@ -87,3 +87,16 @@ def test_materialise_reuses_by_fingerprint(spark):
     assert a.count() == b.count() == c.count() == 5 and len(calls) == 2
     assert io.params_fingerprint("/d/a.x.json", {"k": 1}) != io.params_fingerprint("/d/a.y.json", {"k": 1})
     assert F is not None
+
+
+def test_stream_files_sharing_a_name_prefix_are_both_prepared(spark):
+    root = tempfile.mkdtemp(prefix="tessera-stream2-", dir="/tmp")
+    src = os.path.join(root, "in")
+    os.makedirs(src)
+    write_lines(os.path.join(src, "data.part1.jsonl"), [{"text": "alpha beta gamma delta"}] * 3)
+    write_lines(os.path.join(src, "data.part2.jsonl"), [{"text": "epsilon zeta eta theta"}] * 3)
+    all_docs = spark.createDataFrame([("alpha beta gamma delta epsilon zeta eta theta",)], "text string")
+    prep = pretrain_preparer(vocab_table(pretokenise(all_docs)), max_seq_len=4, batch_size=10)
+    table = prepare_stream(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"), prep, PRETRAIN_SCHEMA)
+    assert table.count() == 6  # 12 tokens per file -> 3 chunks of 4, for each of the two files
+    assert table.select(F.countDistinct("batch_id")).first()[0] == 2
