@@ -85,3 +85,12 @@ def test_reference_switch_and_scores(spark):
     r = score_losses(s).first()
     assert r.mse == pytest.approx(((2 - 1) ** 2 + 1) / 2)
     assert r.bce == pytest.approx((-logsig(2.0) - logsig(1.0)) / 2)
+
+
+def test_ipo_single_division(spark):
+    pc, pr, rc, rr, nc, nr, b = -0.7, -0.9, -0.8, -0.6, 4, 2, 0.1
+    df = spark.createDataFrame([(0, pc, pr, rc, rr, nc, nr)],
+                               "pair_id bigint, policy_chosen double, policy_rejected double, reference_chosen double, "
+                               "reference_rejected double, n_chosen bigint, n_rejected bigint")
+    r = preference_loss(df, "ipo", b, ipo_double=False).first()
+    assert r.loss == pytest.approx(((pc - pr) - (rc - rr) - 1 / (2 * b)) ** 2, rel=1e-12)
