@@ -58,24 +58,34 @@ def build_pretrain(
     workers: int | None = None,
     vocab: DataFrame | None = None,
     n_rows: int | None = None,
+    separator_id: int | None = None,
 ) -> DataFrame:
     """documents → token ids → shard/batch → packed chunks of ``max_seq_len``.
 
+    ``separator_id`` (optional, off by default as in the reference) appends
+    that id to every document before packing.
+
     With enough map batches the text is hash-partitioned by (shard, batch)
     once; the per-row regroup (keyed by shard, batch, pos), the packing window
     and the chunk aggregation all reuse it: a single exchange, of raw text.
     """
     if n_rows is None:
         n_rows = row_count(docs)
+    def separated(ids: DataFrame) -> DataFrame:
+        if separator_id is None:
+            return ids
+        with_sep = F.concat("input_ids", F.array(F.lit(int(separator_id))))
+        return ids.withColumn("input_ids", with_sep).withColumn("labels", F.col("input_ids"))
+
     if not batch_partitioning_pays(docs.sparkSession, n_rows, batch_size, workers):
         ids, _ = tokenise_pretrain(docs, vocab)
-        return pack(assign_map_batches(ids, batch_size, workers, n_rows=n_rows), max_seq_len)
+        return pack(assign_map_batches(separated(ids), batch_size, workers, n_rows=n_rows), max_seq_len)
     batched = assign_map_batches(docs.select("pos", "text"), batch_size, workers, n_rows=n_rows)
     toks = pretokenise(normalise_nfc(batched.repartition("shard", "batch"), "text"), "text", "tokens")
     if vocab is None:
         vocab = vocab_table(toks)
     ids = encode_tokens(toks, ["shard", "batch", "pos"], vocab).withColumn("labels", F.col("input_ids"))
-    return pack(ids, max_seq_len)
+    return pack(separated(ids), max_seq_len)
 
 
 # --- supervised fine-tuning ----------------------------------------------------

@@ -64,3 +64,13 @@ def test_sft_from_turns_equals_grouped_path_with_hot_conversation(spark):
         ra, rb = cols(a), cols(b)
         assert ra == rb
         assert (n_conv in [r[0] for r in ra]) is (not discard)
+
+
+def test_separator_adds_one_token_per_document(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").alias("pos"), "text")
+    plain = tasks.build_pretrain(docs, 10**9, 10**6, 1)  # one batch shorter than L: nothing dropped
+    sep = tasks.build_pretrain(docs, 10**9, 10**6, 1, separator_id=-7)
+    total = lambda d: d.select(F.sum("n_tokens")).first()[0]
+    assert total(sep) == total(plain) + docs.count()
+    ids = sep.first().input_ids
+    assert ids[-1] == -7 and ids.count(-7) == docs.count()
