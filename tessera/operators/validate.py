@@ -90,3 +90,20 @@ def train_eval_split(df: DataFrame, eval_percent: float, key: str = "pos", seed:
     hex digits of md5(seed:key) sort below the threshold, else 'train'."""
     bucket = F.substring(seeded_hash(seed, key), 1, 8)
     return df.withColumn("split", F.when(bucket < F.lit(split_threshold(eval_percent)), "eval").otherwise("train"))
+
+
+def drop_unsupervised(df: DataFrame, labels: str = "labels") -> DataFrame:
+    """Opt-in filter: drop samples whose shifted labels hold no supervised token
+    (the reference keeps them; see ``collate.supervision_stats``)."""
+    from tessera.operators.collate import shifted_labels, supervised_count
+
+    return df.where(supervised_count(shifted_labels(labels)) > 0)
+
+
+def marker_collisions(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Per row: how many special markers occur inside raw content (they become
+    special tokens when tokenised, as in the reference)."""
+    from tessera.functions.fixed import MARKER_PATTERN
+
+    found = F.regexp_extract_all(col(text_col), F.lit(MARKER_PATTERN), 0)
+    return df.withColumn("marker_collisions", F.size(found).cast("bigint"))

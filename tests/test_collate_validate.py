@@ -79,3 +79,12 @@ def test_split_is_deterministic(spark):
     share = a.where("split = 'eval'").count() / 2000
     assert 0.07 < share < 0.13
     assert a.exceptAll(train_eval_split(df, 10.0)).count() == 0
+
+
+def test_drop_unsupervised_and_marker_collisions(spark):
+    from tessera.operators.validate import drop_unsupervised, marker_collisions
+
+    df = spark.createDataFrame([(0, [5, 6]), (1, [-100, 7]), (2, [1, -100])], "pos bigint, labels array<int>")
+    assert sorted(r.pos for r in drop_unsupervised(df).collect()) == [0, 1]
+    t = spark.createDataFrame([("a <|im_end|> b <|endoftext|>",), ("plain",)], "text string")
+    assert [r.marker_collisions for r in marker_collisions(t).collect()] == [2, 0]
