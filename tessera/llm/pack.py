@@ -18,6 +18,7 @@ rows are packed once per row; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -70,19 +71,24 @@ class WordIds:
         known = self.chunks
         if len(known) > CACHED_WORDS:
             known.clear()
-        lists = []
+        look = known.get
+        found, gaps = [], []
         plain: set[str] = set()
         rare: set[str] = set()
         for text in texts:
             simple = "<|" not in text and not _RARE.search(text)
             chunks = (text.lower() if simple else text).replace("\n", " ").split(" ")
-            (plain if simple else rare).update(set(chunks).difference(known))
-            lists.append(chunks)
-        long = self._learn(plain, rare)
-        if long:
-            return [b"".join([long[c] if c in long else known[c] for c in x]) for x in lists]
-        get = known.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+            ids = list(map(look, chunks))
+            missing = [(i, chunks[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
+            (plain if simple else rare).update([c for _, c in missing])
+            found.append(ids)
+            gaps.append(missing)
+        if plain or rare:
+            long = self._learn(plain, rare)
+            for ids, missing in zip(found, gaps):
+                for i, c in missing:
+                    ids[i] = known[c] if c in known else long[c]
+        return [b"".join(ids) for ids in found]
 
     def _learn(self, plain: set[str], rare: set[str]) -> dict[str, bytes]:
         """Cache the ids of new chunks, lower-cased ones in ``plain``; those too long to keep are returned."""
@@ -154,6 +160,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
+        gc.disable()  # scanning the caches again and again costs more than the encoding
         for batch in batches:
             texts = batch.column(1)
             at = 0
@@ -170,6 +177,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
                         rows.append((row, n, begin // 4, len(cut) // 4, zlib.crc32(cut) if digest else cut))
                 yield frame(batch, rows)
                 at += len(group)
+        gc.enable()
 
     def frame(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
         row, piece, start, length, ids = zip(*rows)
