@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, pack, quality, shards
+from tessera.llm import decontaminate, mtree, pack, quality, shards, urls
 from tessera.llm.common import table
 
 #: folder of the public tokenizer files; None: the folder of their package
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -28,6 +32,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_pages(table(spark, sf_dir, "pages")).drop("component")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,66 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_quality_classifier, op5_sharding, op9_decontamination)
+    for f in (op1_mtree_search, op2_best_fit_packing, op3_quality_classifier, op4_url_filters, op5_sharding,
+              op9_decontamination)
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op1_mtree_search"] = """
+WITH base AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM base q JOIN base c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL["op4_url_filters"] = r"""
+WITH RECURSIVE split AS (
+  SELECT page_id, url, html,
+         CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, url, html,
+         translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(rest, '(?s)^[^?#]*(\?[^#]*)?', 1) AS query
+  FROM split
+), ruled AS (
+  SELECT *, CASE WHEN host = '' THEN NULL ELSE host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS vertex,
+    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts
+), links AS (
+  SELECT vertex AS u, unnest(regexp_extract_all(html, '(?is)<link\s[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag
+  FROM ruled WHERE vertex IS NOT NULL
+), edges AS (
+  SELECT u, regexp_replace(regexp_extract(tag, '(?i)href\s*=\s*["'']?[a-z]+://([^"''#>\s]+)', 1), '^[^/?]*$', '\0/') AS v FROM links
+), linked AS (
+  SELECT u, v FROM edges WHERE v <> '' UNION SELECT v, u FROM edges WHERE v <> ''
+), reach(a, b) AS (
+  SELECT u, u FROM linked UNION SELECT reach.a, linked.v FROM reach JOIN linked ON reach.b = linked.u
+), rule_of AS (
+  SELECT vertex, max(CASE WHEN rule IN ('org/', 'com/fr/') THEN 1 ELSE 0 END) AS allowed,
+         max(CASE WHEN rule IN ('org/', 'com/fr/') THEN 0 ELSE 1 END) AS blocked
+  FROM ruled WHERE rule IS NOT NULL AND vertex IS NOT NULL GROUP BY vertex
+), shared AS (
+  SELECT a AS vertex, CASE WHEN max(allowed) = 1 THEN 'allow' WHEN max(blocked) = 1 THEN 'block' ELSE 'allow' END AS verdict
+  FROM reach JOIN rule_of ON reach.b = rule_of.vertex GROUP BY a
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            ELSE coalesce(shared.verdict, 'allow') END AS verdict
+FROM ruled LEFT JOIN shared USING (vertex)
+"""
