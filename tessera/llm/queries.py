@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, mtree, pack, quality, shards, urls, wrappers
+from tessera.llm import decontaminate, jaccard, licenses, mtree, pack, quality, shards, urls, wrappers
 from tessera.llm.common import table
 
 #: folder of the public tokenizer files; None: the folder of their package
@@ -44,6 +44,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mtree_search, op2_best_fit_packing, op3_quality_classifier, op4_url_filters, op5_sharding,
-              op6_license_scans, op8_html_extraction, op9_decontamination)
+              op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_decontamination)
 }
 
 SQL: dict[str, str] = {}
