@@ -7,16 +7,16 @@ the start.  Then:
    at least ``c`` of its first ``n - ceil(0.8 n) + c`` shingles (in the order of
    their hashes) with it, so sets that share fewer with all other sets
    together leave at once.  Only shingle hashes are shuffled, packed.
-2. *Groups of similar sets.*  In a few rounds sets with an equal minimum hash
-   are compared with one of them, the group's centre, never pairwise; those
-   linked join its group, and centres go on.  Links make groups (components).
+2. *Groups of similar sets.*  Sets with an equal minimum hash (of a few) are
+   compared with one of them, the centre, never pairwise.  Links make groups.
 3. *Token-group matrix.*  A group's token union holds a shingle if any member
-   does.  A set goes on only if at least ``ceil(0.8 n)`` of its shingles lie in
-   unions of other groups.  Rarest shingles first (all sets use that one
-   order), the first ``n - ceil(0.8 n) + 1`` of a set meet the groups that have
-   one of them among their own first; the overlap of set and union bounds
-   every member's, and only groups that reach ``ceil(0.8 n)`` open.
-4. *Open groups.*  Members of open groups are compared exactly.
+   does.  A set goes on only if enough of its shingles lie in unions of other
+   groups; their number bounds its overlap with any member, hence the sizes a
+   partner can have.  Rarest shingles first (all sets use that one order), the
+   larger set's first ``n - ceil(0.8 n) + 1`` meet the groups whose members have
+   one of them among their own first ``m - ceil(8 m / 9) + 1``; only groups
+   whose sizes and bounds qualify open.
+4. *Open groups.*  Members that meet the set there are compared exactly.
 
 Every bound is a necessary condition, so no link between different groups is
 lost, and links inside a group would not change its component.  Frequent
@@ -43,7 +43,8 @@ from tessera.llm.shingles import Powers, mix, shingle_sets, slices
 
 K = 5
 PERCENT = 80
-ROUNDS = 4
+ROUNDS = 3
+BROADCAST_ROWS = 500_000      # of ids, 12 MB
 BUCKET_ENTRIES = 1 << 21      # packed entries of a bucket, on average
 FOLD_ENTRIES = 1 << 20        # entries a task folds at a time
 
@@ -229,7 +230,7 @@ def pack_texts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def pack_sets(sets: DataFrame, buckets: int) -> DataFrame:
-    """Packed shingles of (own, grp, tokens)."""
+    """Packed first shingles of (own, grp, tokens)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = _Fold(buckets)
         for batch in batches:
@@ -238,7 +239,9 @@ def pack_sets(sets: DataFrame, buckets: int) -> DataFrame:
             offsets = tokens.offsets.to_numpy()
             own, group = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
             for r in range(len(batch)):
-                fold.add(flat[offsets[r]:offsets[r + 1]], own[r], group[r])
+                first = offsets[r]
+                n = int(offsets[r + 1] - first)
+                fold.add(flat[first:first + n - _least(n) + 1 + n // 5], int(own[r]), int(group[r]))
                 if fold.size > FOLD_ENTRIES:
                     yield from fold.flush()
         yield from fold.flush()
@@ -258,52 +261,55 @@ def _common(a, b):
 
 
 def star_links(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v) links between sets and the centres of the sets with the same minimum hash."""
-    left = sets
-    found = None
-    for r in range(rounds):
-        seed = F.lit(r).cast("long")
-        key = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, seed)))
-        keyed = left.select("own", "n", "tokens", key.alias("key"))
-        centres = keyed.groupBy("key").agg(
-            F.min_by(F.struct("own", "n", "tokens"), F.struct("n", "own")).alias("c"),
-            F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "c")
-        pairs = keyed.join(centres, "key").where(F.col("own") != F.col("c.own"))
-        close = pairs.where(_linked(F.col("n"), F.col("c.n"), _common("tokens", "c.tokens")))
-        links = written(close.select(F.col("own").alias("u"), F.col("c.own").alias("v")), "stars")
-        found = links if found is None else found.union(links)
-        if r + 1 < rounds:
-            # what is linked has its group; centres and the others look on
-            left = left.join(links.select(F.col("u").alias("own")), "own", "left_anti")
-    return found
+    """(u, v) links between sets and the centres of the sets with the same minimum hash, under some hashes."""
+    keys = [F.struct(F.lit(r).alias("r"), F.array_min(F.transform(
+        "tokens", lambda t, r=r: F.xxhash64(t, F.lit(r).cast("long")))).alias("h")) for r in range(rounds)]
+    keyed = written(sets.select("own", "n", F.explode(F.array(*keys)).alias("key")), "keys")
+    centres = keyed.groupBy("key").agg(
+        F.min(F.struct("n", "own")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    near = keyed.join(centres, "key").select("own", F.col("c.own").alias("v")).where("own <> v").distinct()
+    return verified(near, sets)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (own, v) of ``pairs`` that link, as (u, v)."""
+    a = sets.select("own", F.col("n").alias("a_n"), F.col("tokens").alias("a"))
+    b = sets.select(F.col("own").alias("v"), F.col("n").alias("b_n"), F.col("tokens").alias("b"))
+    both = pairs.join(a, "own").join(b, "v")
+    return written(both.where(_linked(F.col("a_n"), F.col("b_n"), _common("a", "b"))).select(
+        F.col("own").alias("u"), "v").distinct(), "links")
 
 
 def matrix_links(sets: DataFrame, buckets: int) -> DataFrame:
     """(u, v) links between sets of different groups; ``sets`` has own, n, tokens and grp."""
     counts = shared_counts(pack_sets(sets, buckets))
-    able = written(sets.join(counts, "own").where(F.col("shared") >= _sql_least("n")), "able")
+    able = written(sets.join(counts, "own").where("shared >= 1 + n div 5"), "able")
     entries = able.select("own", "grp", "n", F.explode("tokens").alias("t"))
-    # one order for all: rare first, counted in groups
-    in_groups = written(entries.select("t", "grp").distinct(), "matrix")
-    rare = in_groups.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # one order for all, rare first; shingles of one group only are the rarest and take the first places
+    rare = entries.select("t", "grp").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = entries.join(rare, "t").groupBy("own", "grp", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "t"))).alias("order"))
-    # shingles of one group only are the rarest of all: they take the first places
-    alone = F.col("n") - F.size("order")
-    firsts = F.greatest(F.lit(0), F.col("n") - _sql_least("n") + 1 - alone).cast("int")
-    prefix = written(ranked.select("own", "grp", "n", F.explode(F.slice("order", F.lit(1), firsts)).alias("o")).select(
-        "own", "grp", "n", F.col("o.t").alias("t")), "prefix")
-    of_groups = prefix.select("t", F.col("grp").alias("other")).distinct()
-    meets = prefix.join(of_groups, "t").where("grp < other").select("own", "grp", "n", "other").distinct()
-    union = in_groups.select("t", F.col("grp").alias("other"))
-    bound = meets.join(entries.select("own", "t"), "own").join(union, ["t", "other"]).groupBy("own", "n", "other").agg(
-        F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= _sql_least("n"))
-    a = able.select("own", F.col("tokens").alias("a"))
-    b = able.select(F.col("own").alias("v"), F.col("grp").alias("other"), F.col("n").alias("m"),
-                    F.col("tokens").alias("b"))
-    sized = (F.col("m") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("m") * PERCENT)
-    opened = bound.select("own", "n", "other").join(b, "other").where(sized).join(a, "own")
-    return opened.where(_linked(F.col("n"), F.col("m"), _common("a", "b"))).select(F.col("own").alias("u"), "v")
+    # overlap >= 4 / 9 of both sizes together, hence no partner is larger than ``top``
+    ranked = written(ranked.where(F.size("order") >= _sql_least("n")).withColumn(
+        "top", F.expr("(9 * size(order)) div 4 - n")), "ranked")
+
+    def prefix(least: str, name: str) -> DataFrame:
+        first = F.greatest(F.lit(0), F.expr(f"size(order) - {least} + 1")).cast("int")
+        own = ranked.select("own", "grp", "n", "top", F.explode(F.slice("order", F.lit(1), first)).alias("o"))
+        return own.select(*[F.col(c).alias(c + name) for c in ("own", "grp", "n", "top")], F.col("o.t").alias("t"))
+
+    # the larger set asks, the smaller one answers: its overlap is 8 / 9 of its own size at least
+    asks = prefix("((4 * n + 4) div 5)", "")
+    answers = prefix("((8 * n + 8) div 9)", "_b")
+    matrix = answers.groupBy("t", "grp_b").agg(
+        F.min("n_b").alias("low"), F.max("n_b").alias("high"), F.max("top_b").alias("most"))
+    open_ = (F.col("grp") != F.col("grp_b")) & (F.col("low") <= F.least("n", "top")) & (
+        F.col("high") * 100 >= F.col("n") * PERCENT) & (F.col("most") >= F.col("n"))
+    opened = asks.join(matrix, "t").where(open_).select("own", "n", "top", "t", "grp_b")
+    fits = (F.col("n_b") <= F.least("n", "top")) & (F.col("n_b") * 100 >= F.col("n") * PERCENT) & (
+        F.col("n") <= F.col("top_b"))
+    pairs = opened.join(answers, ["t", "grp_b"]).where(fits).select("own", F.col("own_b").alias("v")).distinct()
+    return verified(pairs, able)
 
 
 def _sql_least(n: str):
@@ -311,7 +317,8 @@ def _sql_least(n: str):
     return F.expr(f"({n} * {PERCENT} + 99) div 100")
 
 
-def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id per row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -320,15 +327,17 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(shuffle_partitions(spark), -(-total // (3 * BUCKET_ENTRIES)))
     # one row per different set, under the id of one of its documents
     kinds = written(feats.where("n > 0").groupBy("hi", "lo").agg(
-        F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "kinds")
+        F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "kinds")
     counts = shared_counts(pack_texts(rows, buckets))
     chosen = written(kinds.join(counts.withColumnRenamed("own", "hi"), "hi").where(
         "shared >= 1 + n div 10").select("hi", "lo", "doc_id"), "chosen")
-    ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = features(texts, with_tokens=True).join(chosen.select("hi", "lo"), ["hi", "lo"], "left_semi")
+    ids = chosen.select(F.col("doc_id").alias("_id"), "hi", "lo")
+    if chosen.count() <= broadcast_rows:         # 24 bytes a row
+        ids = F.broadcast(ids)
+    texts = rows.join(ids.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = features(texts, with_tokens=True).join(ids.select("hi", "lo"), ["hi", "lo"], "left_semi")
     # the signature's first half names a set among those that are left
-    sets = written(sets.dropDuplicates(["hi", "lo"]).select(F.col("hi").alias("own"), "n", "tokens"), "tokens")
+    sets = written(sets.select(F.col("hi").alias("own"), "n", "tokens"), "tokens")
     stars = star_links(sets)
     groups = components(stars).select(F.col("vertex").alias("own"), F.col("component").alias("grp"))
     grouped = written(sets.join(groups, "own", "left").withColumn("grp", F.coalesce("grp", "own")), "groups")
