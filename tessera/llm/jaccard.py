@@ -46,7 +46,7 @@ PERCENT = 80
 ROUNDS = 3
 BROADCAST_ROWS = 500_000      # of ids, 12 MB
 BUCKET_ENTRIES = 1 << 21      # packed entries of a bucket, on average
-FOLD_ENTRIES = 1 << 20        # entries a task folds at a time
+FOLD_ENTRIES = 1 << 18        # entries a task folds at a time
 
 U = np.uint64
 

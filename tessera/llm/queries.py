@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, jaccard, licenses, mtree, pack, quality, shards, urls, wrappers
+from tessera.llm import decontaminate, jaccard, licenses, mtree, pack, quality, repeats, shards, urls, wrappers
 from tessera.llm.common import table
 
 #: folder of the public tokenizer files; None: the folder of their package
@@ -56,10 +56,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mtree_search, op2_best_fit_packing, op3_quality_classifier, op4_url_filters, op5_sharding,
-              op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_decontamination)
+              op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_decontamination, op10_suffix_array_dedup)
 }
 
 SQL: dict[str, str] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = U(0xD6E8FEB86659FD93)
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
