@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions, written
+from tessera.llm.common import written
 from tessera.llm.components import components
 from tessera.llm.shingles import Powers, mix, shingle_sets, slices
 
@@ -46,6 +46,7 @@ PERCENT = 80
 ROUNDS = 3
 BROADCAST_ROWS = 500_000      # of ids, 12 MB
 BUCKET_ENTRIES = 1 << 21      # packed entries of a bucket, on average
+MIN_BUCKETS = 16
 FOLD_ENTRIES = 1 << 18        # entries a task folds at a time
 
 U = np.uint64
@@ -320,11 +321,10 @@ def _sql_least(n: str):
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id per row."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     feats = written(features(rows), "sets")
     total = feats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(spark), -(-total // (3 * BUCKET_ENTRIES)))
+    buckets = max(MIN_BUCKETS, -(-total // (3 * BUCKET_ENTRIES)))
     # one row per different set, under the id of one of its documents
     kinds = written(feats.where("n > 0").groupBy("hi", "lo").agg(
         F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "kinds")
