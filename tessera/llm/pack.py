@@ -134,6 +134,16 @@ class WordIds:
                 at = end
 
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A public tokenizer's file: in ``folder``, in $TOKENIZER_DIR, or where their package lies."""
+    folder = folder or os.environ.get("TOKENIZER_DIR")
+    if not folder:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return os.path.join(folder, name)
+
+
 def word_ids(path: str) -> WordIds:
     """The worker's WordIds; kept for its next tasks where this package can be imported there."""
     try:

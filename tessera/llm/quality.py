@@ -180,6 +180,17 @@ def scores(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select(*rest, score("f").alias("score"))
 
 
+def text_score(model: Model):
+    """A function from a text column to its score."""
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
+            yield pd.Series(model.score(x), dtype="float64")
+
+    return score
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted per document."""
     stats = written(document_statistics(docs), "quality-stats")

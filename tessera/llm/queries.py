@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontaminate, jaccard, licenses, mtree, pack, quality, repeats, shards, urls, wrappers
 from tessera.llm.common import table
 
-#: folder of the public tokenizer files; None: the folder of their package
-TOKENIZER_DIR: str | None = os.environ.get("TOKENIZER_DIR")
-
-
-def tokenizer_path(name: str) -> str:
-    folder = TOKENIZER_DIR or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-    return os.path.join(folder, name)
-
-
 def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack.pack_documents(table(spark, sf_dir, "documents"), pack.tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

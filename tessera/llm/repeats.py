@@ -87,10 +87,11 @@ def anchors(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, n
     return least[first], first, end, again
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, the text's bytes and two hashes of them."""
+def _texts(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the text and two hashes of it, and the columns to carry along as ``c``."""
+    own = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("c")] if carry else []
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *own)
     return raw.withColumns({"hi": F.xxhash64("text"), "lo": F.xxhash64(F.lit(1), "text")})
 
 
@@ -302,12 +303,14 @@ def _merge(parts: pd.Series) -> pd.Series:
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False,
-            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``spans`` (and the ``kept`` text) per row."""
-    texts, spans = covered(docs, doc_id, text, broadcast_bytes)
+            broadcast_bytes: int = BROADCAST_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row; if wanted the ``kept`` text, without what a cut
+    leaves of a character, and the columns ``carry`` as struct ``c``."""
+    _, spans = covered(docs, doc_id, text, broadcast_bytes)
+    texts = _texts(docs, doc_id, text, carry)
     own = _small(spans.drop("n"), F.coalesce(F.octet_length("spans"), F.lit(0)), broadcast_bytes)
 
-    fields = "n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    fields = "n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
 
     @F.pandas_udf(fields)
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -327,12 +330,12 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_te
                     at = b
                 left = b"".join(kept) + raw[at:]
                 row = (len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest())
-                rows.append((*row, left) if keep_text else row)
+                rows.append((*row, left.decode("utf-8", "ignore")) if keep_text else row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
 
     joined = texts.join(own, ["hi", "lo"], "left")
     out = joined.withColumn("r", cut("text", F.coalesce("whole", F.lit(False)), "spans"))
-    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "r.*")
+    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "r.*", *(["c"] if carry else []))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
