@@ -59,7 +59,7 @@ def shuffle_sources(rows: DataFrame, seed: int = DEFAULT_SEED, source: str = "so
     # one row per source: size-checked broadcast, hot/cold split beyond the bound
     spans = ranked.groupBy(source).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("n_source"))
     return (
-        lookup(ranked, spans, source, ["_g0", "n_source"], freq="n_source", salt="_g")
+        lookup(ranked, spans, source, ["_g0", "n_source"], freq="n_source")
         .withColumn("r", (F.col("_g") - F.col("_g0")).cast("bigint"))
         .drop("_g", "_g0")
     )
@@ -92,8 +92,12 @@ def mix_epochs(shuffled: DataFrame, props: DataFrame, epochs: int, source: str =
         & (F.pmod(F.col("r") - e.cast("bigint") * F.col("num"), F.col("n_source")) < F.col("num")),
     )
     out = staged.where(F.col("num") > 0).withColumn("epoch", F.explode(e_list))
-    start = F.pmod(F.col("epoch").cast("bigint") * F.col("num"), F.col("n_source"))
-    return out.withColumn("epoch", F.col("epoch").cast("bigint")).withColumn("wrapped", F.col("r") < start)
+    # the offset after an epoch that ends exactly at the source's end is the end itself, not 0: the next epoch
+    # then takes all its rows from the start again
+    done = F.col("epoch").cast("bigint") * F.col("num")
+    start = F.when(done > 0, F.pmod(done - 1, F.col("n_source")) + 1).otherwise(F.lit(0).cast("bigint"))
+    again = start + F.col("num") - F.col("n_source")
+    return out.withColumn("epoch", F.col("epoch").cast("bigint")).withColumn("wrapped", F.col("r") < again)
 
 
 def shuffle_epoch(mixed: DataFrame, seed: int = DEFAULT_SEED, source: str = "source", key: str = "id") -> DataFrame:

@@ -194,29 +194,38 @@ def vocab_size(vocab: DataFrame) -> int:
 
 
 def lookup(occ: DataFrame, table: DataFrame, key: str, values: list[str], size: int | None = None,
-           freq: str | None = "count", salt: str = "_i") -> DataFrame:
+           freq: str | None = "count") -> DataFrame:
     """Left equi-join of occurrence rows to a table with a unique ``key``.
 
     * table of at most ``BROADCAST_VOCAB_ROWS`` rows (checked): broadcast join;
-    * larger: the ``HOT_ROWS`` most frequent keys (by ``freq``) are resolved
-      by a broadcast join first; the rest shuffle-join on (flag, key), where
-      rows already resolved carry a salt spread over ``SALT_BUCKETS`` values
-      instead of their (hot) key, so no shuffle partition receives a hot key.
+    * larger: the most frequent keys are resolved by a broadcast join first
+      (``id`` is the frequency rank where there is one, so ``id < HOT_ROWS``
+      finds them without a sort; else a frequency above ``total / HOT_ROWS``,
+      which at most ``HOT_ROWS`` keys can have); the rest shuffle-join on
+      (flag, key), where rows already resolved, and rows without a key, carry a
+      salt made of the whole row instead of their key.
     """
     if size is None:
         size = vocab_size(table)
     side = table.select(key, *values)
     if size <= BROADCAST_VOCAB_ROWS:
         return occ.join(F.broadcast(side), key, "left")
-    if freq is None or freq not in table.columns:
-        return occ.join(side, key, "left")  # AQE's skew-join split is the fallback
-    hot = table.orderBy(F.col(freq).desc(), key).limit(HOT_ROWS).select(key, *[F.col(v).alias(f"_hot_{v}") for v in values])
+    if "id" in (key, *values):
+        hot = table.where(F.col("id") < HOT_ROWS)
+    elif freq in table.columns:
+        total = table.agg(F.coalesce(F.sum(freq), F.lit(0))).first()[0]
+        hot = table.where(F.col(freq) > total / HOT_ROWS)
+    else:
+        return occ.join(side, key, "left")  # unique on both sides but for AQE's skew split
+    hot = hot.select(key, *[F.col(v).alias(f"_hot_{v}") for v in values])
+    row = F.xxhash64(*[F.col(c) for c in occ.columns])
     staged = occ.join(F.broadcast(hot), key, "left")
-    is_hot = F.col(f"_hot_{values[0]}").isNotNull()
-    staged = staged.withColumn("_jk_flag", is_hot.cast("int")).withColumn(
-        "_jk", F.when(is_hot, F.pmod(F.xxhash64(F.col(salt)), F.lit(SALT_BUCKETS)).cast("string")).otherwise(F.col(key))
+    settled = F.col(f"_hot_{values[0]}").isNotNull() | F.col(key).isNull()
+    staged = staged.withColumn("_jk_flag", settled.cast("int")).withColumn(
+        "_jk", F.when(settled, F.pmod(row, F.lit(SALT_BUCKETS)).cast("string")).otherwise(F.col(key).cast("string"))
     )
-    cold = side.select(F.lit(0).alias("_jk_flag"), F.col(key).alias("_jk"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    cold = side.select(F.lit(0).alias("_jk_flag"), F.col(key).cast("string").alias("_jk"),
+                       *[F.col(v).alias(f"_cold_{v}") for v in values])
     joined = staged.join(cold, ["_jk_flag", "_jk"], "left")
     for v in values:
         joined = joined.withColumn(v, F.coalesce(F.col(f"_hot_{v}"), F.col(f"_cold_{v}")))

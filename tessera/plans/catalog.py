@@ -411,8 +411,9 @@ def pair_logps(spark: SparkSession, sf: str) -> DataFrame:
                     rounded("reference_rejected").alias("reference_rejected"))
 
 
-def _losses(spark, sf, kind):
-    average = kind in ("ipo", "simpo", "orpo")
+def _losses(spark, sf, kind, dro=False):
+    # the robust objective averages log-probs over tokens, whatever the kind
+    average = dro or kind in ("ipo", "simpo", "orpo")
     return preference.preference_loss(_pairs_wide(spark, sf, average), kind, BETA)
 
 
@@ -443,7 +444,7 @@ def preference_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dro_loss(spark: SparkSession, sf: str) -> DataFrame:
-    d = preference.dro_loss(_losses(spark, sf, "sigmoid"), DRO_WEIGHT)
+    d = preference.dro_loss(_losses(spark, sf, "sigmoid", dro=True), DRO_WEIGHT)
     return d.select(rounded("dro_loss").alias("dro_loss"))
 
 

@@ -441,18 +441,23 @@ props AS (SELECT source, list_extract(CAST([0.0, 0.25, 0.29, 0.5, 1.0] AS DOUBLE
 sh AS (SELECT source, id, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('{C.SEED}:' || source || ':' || CAST(id AS VARCHAR)), id) - 1 AS BIGINT) AS r,
               count(*) OVER (PARTITION BY source) AS n_source FROM docs),
 q AS (SELECT sh.*, CAST(trunc(n_source * ratio) AS BIGINT) AS num FROM sh JOIN props USING (source)),
-mixed AS (SELECT CAST(epoch AS BIGINT) AS epoch, source, id, r, num, n_source,
-                 r < {pmod("epoch * num", "n_source")} AS wrapped
-          FROM (SELECT *, unnest(list_filter(range({C.MIX_EPOCHS}), lambda e: {pmod("r - e * num", "n_source")} < num)) AS epoch
-                FROM q WHERE num > 0))"""
-
-SQL["mix_proportions"] = f"""WITH {MIX} SELECT source, ratio FROM props"""
-SQL["mix_shuffled_sources"] = f"""WITH {MIX} SELECT source, id, r, n_source FROM sh"""
-SQL["mix_epochs"] = f"""WITH {MIX} SELECT epoch, source, id, r, num, wrapped FROM mixed"""
-SQL["mix_epoch_order"] = f"""WITH {MIX}
+off AS (SELECT 0 AS epoch, source, num, n_source, CAST(0 AS BIGINT) AS start
+        FROM (SELECT DISTINCT source, num, n_source FROM q WHERE num > 0)
+        UNION ALL
+        SELECT epoch + 1, source, num, n_source,
+               CASE WHEN start + num > n_source THEN num - (n_source - start) ELSE start + num END
+        FROM off WHERE epoch + 1 < {C.MIX_EPOCHS}),
+mixed AS (SELECT CAST(epoch AS BIGINT) AS epoch, source, q.id, q.r, q.num, q.n_source, q.r < start + q.num - q.n_source AS wrapped
+          FROM off JOIN q USING (source)
+          WHERE (q.r >= start AND q.r < start + q.num) OR q.r < start + q.num - q.n_source)"""
+
+SQL["mix_proportions"] = f"""WITH RECURSIVE {MIX} SELECT source, ratio FROM props"""
+SQL["mix_shuffled_sources"] = f"""WITH RECURSIVE {MIX} SELECT source, id, r, n_source FROM sh"""
+SQL["mix_epochs"] = f"""WITH RECURSIVE {MIX} SELECT epoch, source, id, r, num, wrapped FROM mixed"""
+SQL["mix_epoch_order"] = f"""WITH RECURSIVE {MIX}
 SELECT CAST(row_number() OVER (ORDER BY epoch, md5('{C.SEED}:' || CAST(epoch AS VARCHAR) || ':' || source || ':' || CAST(id AS VARCHAR)), source, id) - 1 AS BIGINT) AS out_pos,
        epoch, source, id FROM mixed"""
-SQL["mix_report"] = f"""WITH {MIX}
+SQL["mix_report"] = f"""WITH RECURSIVE {MIX}
 SELECT epoch, source, count(*) AS rows, CAST(sum(CAST(wrapped AS BIGINT)) AS BIGINT) AS reused FROM mixed GROUP BY epoch, source"""
 
 
@@ -539,8 +544,8 @@ def _loss_select(kind: str) -> str:
 from tessera.operators.preference import SIMPO_GAMMA as C_GAMMA  # noqa: E402
 
 
-def _losses_sql(kind: str) -> str:
-    average = kind in ("ipo", "simpo", "orpo")
+def _losses_sql(kind: str, dro: bool = False) -> str:
+    average = dro or kind in ("ipo", "simpo", "orpo")
     return f"""WITH {TOKLOGP}, {_wide(average)}, l AS ({_loss_select(kind)})"""
 
 
@@ -555,7 +560,8 @@ SELECT {r6('avg(chosen_reward)')} AS eval_rewards_chosen, {r6('avg(rejected_rewa
        {r6('avg(pr)')} AS eval_logps_rejected, {r6('avg(pc)')} AS eval_logps_chosen, {r6('avg(loss)')} AS eval_loss FROM l"""
 
 _W = C.DRO_WEIGHT
-SQL["dro_loss"] = _losses_sql("sigmoid") + f""",
+# log-probs are averages, not sums, as soon as the robust objective is on
+SQL["dro_loss"] = _losses_sql("sigmoid", dro=True) + f""",
 mx AS (SELECT max(-loss / {_W}) AS m FROM l)
 SELECT {r6(f'-{_W} * (m + ln(avg(exp(-loss / {_W} - m))))')} AS dro_loss FROM l, mx GROUP BY m"""
 

@@ -153,9 +153,8 @@ def token_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pol = policy.select("token", "c", F.col("logp").alias("_p"))
     ref = reference.select("token", "c", F.col("logp").alias("_r"))
-    joined = lookup(tok.withColumn("_salt", F.col("seq_id") * 100003 + F.col("tok_pos")), pol, "token", ["_p"],
-                    freq="c", salt="_salt")
-    joined = lookup(joined, ref, "token", ["_r"], freq="c", salt="_salt")
+    joined = lookup(tok, pol, "token", ["_p"], freq="c")
+    joined = lookup(joined, ref, "token", ["_r"], freq="c")
     return (
         joined
         .select(
