@@ -1,11 +1,14 @@
 """Task-level compositions of the operators: pretrain, SFT, preference, reward.
 
-Each function is lazy and returns DataFrames; nothing is collected except
-scalars (row counts) that parameterise the plan.
+Each function returns DataFrames.  Dense indexes are written to the checkpoint
+folder while the plan is built; nothing is collected except scalars (row
+counts) that parameterise the plan.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +99,9 @@ def sft_pretokens(convs: DataFrame, template=DEFAULT_TEMPLATE, eos: str = EOS_TO
     rendered = render_messages(normalise_nfc_nested(convs, "conversations"), template, eos)
     per_msg = F.transform(
         "messages",
-        lambda m: F.struct(m["role"].alias("role"), pretokens(m["text"], "portable", markers=True).alias("t")),
+        # a NULL message has no token; a NULL array would empty the whole conversation
+        lambda m: F.struct(m["role"].alias("role"), F.coalesce(
+            pretokens(m["text"], "portable", markers=True), F.array().cast("array<string>")).alias("t")),
     )
     return (
         rendered.withColumn("_mt", per_msg)
@@ -226,15 +231,21 @@ def prepare_training_data(
     batch_size: int = MAP_BATCH_SIZE,
     workers: int | None = None,
     vocab: DataFrame | None = None,
-) -> DataFrame:
+    return_vocab: bool = False,
+):
     """Prepare every input file for ``task_type`` and concatenate them in file order.
 
-    Files: ``train_file`` if given, else ``train_file_dir/*.json*`` (sorted).
-    Each file is prepared on its own (batching / packing scope = file) and,
-    with ``cache_dir``, materialised under a key of its full path and the
-    parameters, so a later run re-reads it instead of recomputing.
+    Files: ``train_file`` if given, else ``train_file_dir/*.json*`` (sorted);
+    JSON lines or JSON arrays, a malformed line fails the job.  Each file is
+    prepared on its own (batching / packing scope = file) and, with
+    ``cache_dir``, materialised under a key of its full path, length and
+    modification time, the vocabulary and the parameters.
+
+    All files share one vocabulary: ``vocab``, or one derived over all of them,
+    which ``return_vocab`` hands back for preparing evaluation data.  ``pos``
+    is dense over the result, whatever the filters drop.
     """
-    from tessera.operators.mix import concat_datasets
+    from tessera.operators.order import dense_index
     from tessera.sources import io
     from tessera.streaming.incremental import line_positions
 
@@ -243,35 +254,53 @@ def prepare_training_data(
     files = io.discover_files(spark, train_file, train_file_dir)
     if not files:
         raise FileNotFoundError(f"no input files for {train_file or train_file_dir}")
+    pretrain = task_type in ("zero-pt", "pt")
+    schema = io.PRETRAIN_SCHEMA if pretrain else io.SFT_SCHEMA if task_type == "sft" else io.PREFERENCE_SCHEMA
+    if vocab is None and (pretrain or task_type in ("sft", "reward")):
+        vocab = order_materialise(vocab_table(task_pretokens(
+            io.read_samples(spark, files, schema), task_type, template_name)), "vocab")
     params = dict(task=task_type, max_seq_length=max_seq_length, template=template_name,
                   discard=discard_long_sample, batch_size=batch_size, workers=workers)
+    if cache_dir and vocab is not None:
+        params["vocab"] = io.table_stamp(vocab.select("token", "id"))
 
     def one(path: str) -> DataFrame:
-        if task_type in ("zero-pt", "pt"):
-            raw = line_positions(io.read_samples(spark, path, io.PRETRAIN_SCHEMA))
-            return build_pretrain(raw, max_seq_length, batch_size, workers, vocab).withColumnRenamed("chunk", "pos")
+        raw = line_positions(io.read_samples(spark, path, schema))
+        if pretrain:
+            return build_pretrain(raw, max_seq_length, batch_size, workers, vocab)
         if task_type == "sft":
-            raw = line_positions(io.read_samples(spark, path, io.SFT_SCHEMA))
             out = build_sft(raw, template_name, max_seq_length, discard_long_sample, batch_size, workers, vocab=vocab)
             return out.drop("pos").withColumnRenamed("out_pos", "pos")
-        raw = line_positions(io.read_samples(spark, path, io.PREFERENCE_SCHEMA))
-        if task_type in ("dpo", "orpo", "simpo"):
-            return build_dpo(raw, template_name, max_seq_length).select("pos", "prompt", "chosen", "rejected")
-        out, _ = build_reward(raw, "pos", template_name, max_seq_length, discard_long_sample, vocab=vocab)
-        return out
-
-    parts = []
-    for path in files:
-        if cache_dir:
-            parts.append(io.materialise(lambda p=path: one(p), spark, cache_dir, path, params))
-        else:
-            parts.append(one(path))
-    if task_type in ("zero-pt", "pt"):
-        # chunk order inside a file: (shard, batch, chunk) → dense pos per file
-        from tessera.operators.order import dense_index
+        if task_type == "reward":
+            return build_reward(raw, "pos", template_name, max_seq_length, discard_long_sample, vocab=vocab)[0]
+        return build_dpo(raw, template_name, max_seq_length).select("pos", "prompt", "chosen", "rejected")
+
+    def part(path: str) -> DataFrame:
+        if not cache_dir:
+            return one(path)
+        return io.materialise(lambda: one(path), spark, cache_dir, path,
+                              params | {"file": io.file_stamp(spark, path)})
+
+    union = reduce(DataFrame.unionByName,
+                   [part(p).withColumn("file_index", F.lit(i)) for i, p in enumerate(files)])
+    order = ["shard", "batch", "chunk"] if pretrain else ["pos"]
+    if not pretrain:
+        union = union.withColumnRenamed("pos", "_pos")
+        order = ["_pos"]
+    out = dense_index(union, ["file_index", *order], "pos").drop("_pos")
+    return (out, vocab) if return_vocab else out
 
-        parts = [dense_index(p.withColumnRenamed("pos", "chunk"), ["shard", "batch", "chunk"], "pos") for p in parts]
-    return concat_datasets(parts)
+
+def task_pretokens(raw: DataFrame, task_type: str, template=DEFAULT_TEMPLATE, eos: str = EOS_TOKEN) -> DataFrame:
+    """``tokens`` of each input row, as the task's tokenising sees them; no exchange."""
+    if task_type in ("zero-pt", "pt"):
+        return pretokenise(normalise_nfc(raw.select("text"), "text"), "text", "tokens").select("tokens")
+    if task_type == "sft":
+        return sft_pretokens(raw, template, eos).select("tokens")
+    rendered = render_reward(raw, template, eos)
+    sides = [F.coalesce(pretokens(nfc_column(c), "portable", markers=True), F.array().cast("array<string>"))
+             for c in ("chosen_text", "rejected_text")]
+    return rendered.select(F.concat(*sides).alias("tokens"))
 
 
 def build_mixture(
@@ -301,11 +330,12 @@ def build_mixture(
         raise FileNotFoundError(f"no *.json files for sources {missing}")
     raw = spark.read.schema(lines_schema).text([f for fs in files.values() for f in fs]) \
         .withColumn("_file", F.col("_metadata.file_path"))
-    raw = raw.withColumn("source", F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1))
+    raw = raw.withColumn("source", io.source_name())
     checked = validate_instructions(raw, "value", mode="fail")
     from tessera.streaming.incremental import line_positions
 
     rows = line_positions(checked).withColumnRenamed("pos", "id")  # written once by the index
+    io.check_sources(rows, sources)
     # rank and mix on keys only; the payload joins back once on its unique key
     # (each key appears at most once per epoch on the other side: no hot key)
     shuffled = shuffle_sources(rows.select("source", "id"), seed, "source", "id")

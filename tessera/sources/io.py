@@ -41,24 +41,47 @@ def discover_files(spark: SparkSession, file: str | None = None, directory: str
     return sorted(str(s.getPath().toString()) for s in statuses if s.isFile())
 
 
-def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: bool = False) -> DataFrame:
-    """JSON lines (or, with ``multi_line``, JSON array files) → table, with
-    ``_file`` and a stable in-file order for building ``pos`` (op 1)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return (
-        spark.read.schema(schema).option("multiLine", multi_line).json(paths)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
+CORRUPT = "_corrupt"
+
+
+def is_array_file(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file holds one array (its first non-blank line opens it) rather than lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
 
 
-def with_line_pos(df: DataFrame, order_cols=("_file",), extra_order=None) -> DataFrame:
-    """Dense ``pos`` over (file, order inside file).  JSON scans keep line order
-    inside a split, so the generated id orders lines within a file."""
-    from tessera.operators.order import dense_index
+def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: bool | None = None,
+                 malformed: str = "fail") -> DataFrame:
+    """JSON lines or JSON array files → table, with ``_file`` and a stable
+    in-file order for building ``pos`` (op 1).
 
-    staged = df.withColumn("_line", F.monotonically_increasing_id())
-    out = dense_index(staged, [*order_cols, *(extra_order or []), "_line"], "pos")
-    return out.drop("_line")
+    ``multi_line=None`` looks at each file's first line to tell arrays from
+    lines.  A malformed line fails the job; ``malformed="quarantine"`` keeps it
+    as a row whose ``_corrupt`` column holds the line (NULL elsewhere).
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if malformed not in ("fail", "quarantine"):
+        raise ValueError(f"unknown mode {malformed!r} for malformed lines")
+    if multi_line is None:
+        arrays = [p for p in paths if is_array_file(spark, p)]
+        lines = [p for p in paths if p not in arrays]
+        if arrays and lines:
+            return read_samples(spark, lines, schema, False, malformed).unionByName(
+                read_samples(spark, arrays, schema, True, malformed))
+        multi_line = bool(arrays)
+    reader = spark.read.option("multiLine", multi_line)
+    if malformed == "fail":
+        reader = reader.schema(schema).option("mode", "FAILFAST")
+    else:
+        with_line = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        reader = reader.schema(with_line).option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.json(paths).withColumn("_file", F.col("_metadata.file_path"))
+
+
+def source_name(path_col: str = "_file"):
+    """The folder a file lies in; file paths in metadata are percent-encoded."""
+    plain = F.url_decode(F.replace(F.col(path_col), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(plain, r"/([^/]+)/[^/]+$", 1)
 
 
 def read_sources(spark: SparkSession, root: str, sources: list[str], schema: T.StructType) -> DataFrame:
@@ -71,19 +94,16 @@ def read_sources(spark: SparkSession, root: str, sources: list[str], schema: T.S
     if missing:
         raise FileNotFoundError(f"no *.json files for sources {missing} under {root}")
     all_files = [f for fs in files.values() for f in fs]
-    df = spark.read.schema(schema).json(all_files).withColumn("_file", F.col("_metadata.file_path"))
-    src = F.regexp_extract(F.col("_file"), r"/([^/]+)/[^/]+$", 1)
-    df = df.withColumn("source", src)
-    # a source with files but no rows: anti-join of the config against the counts
-    config = spark.createDataFrame([(s,) for s in sources], "source string")
-    counts = df.groupBy("source").count()
-    empty = config.join(counts, "source", "left_anti")
-    return _checked(df, empty)
+    df = read_samples(spark, all_files, schema).withColumn("source", source_name())
+    return check_sources(df, sources)
 
 
-def _checked(df: DataFrame, empty: DataFrame) -> DataFrame:
-    """Fail if ``empty`` has any row (a source with no data); else return ``df``."""
-    bad = empty.limit(1).collect()  # at most one row: the name of an empty source
+def check_sources(df: DataFrame, sources: list[str]) -> DataFrame:
+    """Fail if one of ``sources`` has no row in ``df``; else return ``df``."""
+    config = df.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+    counts = df.groupBy("source").count()
+    # at most one row: the name of an empty source
+    bad = config.join(counts, "source", "left_anti").limit(1).collect()
     if bad:
         raise ValueError(f"no sample data for source {bad[0][0]!r}")
     return df
@@ -101,6 +121,21 @@ def params_fingerprint(path: str, params: dict) -> str:
     return f"{base}-{hashlib.sha256(blob.encode()).hexdigest()[:16]}"
 
 
+def file_stamp(spark: SparkSession, path: str) -> list[int]:
+    """Length and modification time of a file, for cache keys."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return [int(status.getLen()), int(status.getModificationTime())]
+
+
+def table_stamp(df: DataFrame) -> list[int]:
+    """Row count and order-free checksum of a table, for cache keys."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    return [int(x or 0) for x in df.agg(F.count(F.lit(1)), F.sum(low), F.sum(high)).first()]
+
+
 def materialise(df_fn, spark: SparkSession, cache_root: str, source_path: str, params: dict) -> DataFrame:
     """Prepared data is written once as parquet and re-read by later runs (op 5).
 
@@ -136,7 +171,11 @@ def read_proportions(spark: SparkSession, path: str) -> DataFrame:
     from tessera.operators.mix import check_proportions
 
     raw = spark.read.text(path, wholetext=True)
-    pairs = raw.select(F.explode(F.from_json("value", "map<string,double>")).alias("source", "ratio"))
+    parsed = F.from_json("value", "map<string,double>")
+    # a config that does not parse fails the job instead of mixing nothing
+    parsed = F.coalesce(parsed, F.raise_error(F.lit("proportion config is not a JSON object of ratios"))
+                        .cast("map<string,double>"))
+    pairs = raw.select(F.explode(parsed).alias("source", "ratio"))
     return check_proportions(pairs)
 
 

@@ -56,6 +56,7 @@ def prepare_stream(
     """Prepare every not-yet-seen file under ``source_dir``; return the whole prepared table."""
     stream = (
         spark.readStream.schema(schema)
+        .option("mode", "FAILFAST")  # a malformed line stops the stream, it never becomes an empty sample
         .option("maxFilesPerTrigger", 1)
         .option("pathGlobFilter", pattern)
         .json(source_dir)
