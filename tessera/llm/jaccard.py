@@ -12,11 +12,17 @@ the start.  Then:
 3. *Token-group matrix.*  A group's token union holds a shingle if any member
    does.  A set goes on only if enough of its shingles lie in unions of other
    groups; their number bounds its overlap with any member, hence the sizes a
-   partner can have.  Rarest shingles first (all sets use that one order), the
-   larger set's first ``n - ceil(0.8 n) + 1`` meet the groups whose members have
-   one of them among their own first ``m - ceil(8 m / 9) + 1``; only groups
-   whose sizes and bounds qualify open.
-4. *Open groups.*  Members that meet the set there are compared exactly.
+   partner can have.  The sets left are dealt into units of similar ones (equal
+   minimum hash of their shared shingles), of bounded size.  Rarest shingles
+   first (all sets use that one order), the larger set's first
+   ``n - ceil(0.8 n) + 1`` meet the units whose members have one of them among
+   their own first ``m - ceil(8 m / 9) + 1``; only units whose sizes and bounds
+   qualify open.
+4. *Open units.*  The members of two units are compared exactly, block by
+   block, by counting common shingles for all of them at a time, so sets a
+   little under the threshold of each other make no row per pair.  A pair of
+   blocks gives the links that connect what is linked across it, no more rows
+   than it has members.
 
 Every bound is a necessary condition, so no link between different groups is
 lost, and links inside a group would not change its component.  Frequent
@@ -48,6 +54,10 @@ BROADCAST_ROWS = 500_000      # of ids, 12 MB
 BUCKET_ENTRIES = 1 << 21      # packed entries of a bucket, on average
 MIN_BUCKETS = 16
 FOLD_ENTRIES = 1 << 18        # entries a task folds at a time
+BLOCK_ENTRIES = 1 << 16       # shingles of a block of sets, on average
+LEAST_ENTRIES = 64            # that a set counts for, so a block has about 1,024 members at most
+EXPAND = 1 << 22              # meetings on common shingles that are counted one by one; beyond, by products
+PRODUCT_CELLS = 1 << 22       # cells of the factors of such a product
 
 U = np.uint64
 
@@ -294,23 +304,130 @@ def matrix_links(sets: DataFrame, buckets: int) -> DataFrame:
     ranked = written(ranked.where(F.size("order") >= _sql_least("n")).withColumn(
         "top", F.expr("(9 * size(order)) div 4 - n")), "ranked")
 
+    members = written(units(ranked.select(
+        "own", "grp", "n", "top", "order", F.transform("order", lambda o: o["t"]).alias("tokens"))), "members")
+
     def prefix(least: str, name: str) -> DataFrame:
+        """Per shingle and unit, what bounds the members that have it among their first ones."""
         first = F.greatest(F.lit(0), F.expr(f"size(order) - {least} + 1")).cast("int")
-        own = ranked.select("own", "grp", "n", "top", F.explode(F.slice("order", F.lit(1), first)).alias("o"))
-        return own.select(*[F.col(c).alias(c + name) for c in ("own", "grp", "n", "top")], F.col("o.t").alias("t"))
+        own = members.select("unit", "grp", "n", "top", F.explode(F.slice("order", F.lit(1), first)).alias("o"))
+        return own.groupBy(F.col("o.t").alias("t"), F.col("unit").alias("unit" + name)).agg(
+            F.min("n").alias("low" + name), F.max("n").alias("high" + name), F.max("top").alias("most" + name),
+            F.min("grp").alias("g_low" + name), F.max("grp").alias("g_high" + name))
 
     # the larger set asks, the smaller one answers: its overlap is 8 / 9 of its own size at least
-    asks = prefix("((4 * n + 4) div 5)", "")
+    asks = prefix("((4 * n + 4) div 5)", "_a")
     answers = prefix("((8 * n + 8) div 9)", "_b")
-    matrix = answers.groupBy("t", "grp_b").agg(
-        F.min("n_b").alias("low"), F.max("n_b").alias("high"), F.max("top_b").alias("most"))
-    open_ = (F.col("grp") != F.col("grp_b")) & (F.col("low") <= F.least("n", "top")) & (
-        F.col("high") * 100 >= F.col("n") * PERCENT) & (F.col("most") >= F.col("n"))
-    opened = asks.join(matrix, "t").where(open_).select("own", "n", "top", "t", "grp_b")
-    fits = (F.col("n_b") <= F.least("n", "top")) & (F.col("n_b") * 100 >= F.col("n") * PERCENT) & (
-        F.col("n") <= F.col("top_b"))
-    pairs = opened.join(answers, ["t", "grp_b"]).where(fits).select("own", F.col("own_b").alias("v")).distinct()
-    return verified(pairs, able)
+    other = (F.least("g_low_a", "g_low_b") != F.greatest("g_high_a", "g_high_b"))
+    fits = (F.col("low_b") <= F.least("high_a", "most_a")) & (
+        F.col("high_b") * 100 >= F.col("low_a") * PERCENT) & (F.col("most_b") >= F.col("low_a"))
+    opened = asks.join(answers, "t").where(other & fits).select(
+        F.least("unit_a", "unit_b").alias("unit_a"), F.greatest("unit_a", "unit_b").alias("unit_b")).distinct()
+    blocks = written(members.groupBy("unit", "block").agg(
+        F.collect_list(F.struct("own", "grp", "n", "tokens")).alias("m")), "blocks")
+    side = lambda x: blocks.select(F.col("unit").alias("unit_" + x), F.col("block").alias("block_" + x))
+    pairs = opened.join(side("a"), "unit_a").join(side("b"), "unit_b").where(
+        "unit_a <> unit_b or block_a <= block_b").select("block_a", "block_b")
+    rows = lambda x: blocks.select(F.col("block").alias("block_" + x), F.col("m").alias(x))
+    both = pairs.join(rows("a"), "block_a").join(rows("b"), "block_b").select("a", "b")
+    return written(both.mapInArrow(_compare, "u long, v long").distinct(), "links")
+
+
+def units(sets: DataFrame) -> DataFrame:
+    """``sets`` (own, grp, tokens, ...) with ``unit`` and ``block``: sets with one minimum hash share units.
+
+    What a group has under a minimum hash is a unit of its own if it fills a block, cut into as many; the
+    smaller groups under that hash are dealt into units of one block each.
+    """
+    weight = F.greatest(F.size("tokens"), F.lit(LEAST_ENTRIES)).cast("long")
+    keyed = written(sets.withColumn("key", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t)))), "unit-keys")
+    of_group = written(keyed.groupBy("key", "grp").agg(F.sum(weight).alias("w")), "unit-sizes")
+    rest = of_group.where(F.col("w") < BLOCK_ENTRIES).groupBy("key").agg(F.sum("w").alias("rest"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK_ENTRIES).cast("long")
+    alone = F.col("w") >= BLOCK_ENTRIES
+    unit = F.when(alone, F.xxhash64("key", "grp", F.lit(1))).otherwise(
+        F.xxhash64("key", F.pmod(F.xxhash64("grp"), parts("rest")), F.lit(2)))
+    dealt = of_group.join(rest, "key", "left").select(
+        "key", "grp", unit.alias("unit"), F.when(alone, parts("w")).otherwise(F.lit(1)).alias("cuts"))
+    return keyed.join(dealt, ["key", "grp"]).withColumn(
+        "block", F.xxhash64("unit", F.pmod(F.xxhash64("own"), F.col("cuts")))).drop("key", "cuts")
+
+
+def _block(rows: pa.Array) -> tuple[np.ndarray, ...]:
+    """own, grp, n and size of the members, and all their shingles."""
+    tokens = rows.field("tokens")
+    size = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+    own, grp, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("own", "grp", "n"))
+    return own, grp, n, size, tokens.flatten().to_numpy(zero_copy_only=False)
+
+
+def common_counts(a: np.ndarray, a_row: np.ndarray, a_rows: int,
+                  b: np.ndarray, b_row: np.ndarray, b_rows: int) -> np.ndarray:
+    """Matrix of the numbers of tokens that rows of ``a`` and of ``b`` have in common."""
+    both = np.intersect1d(a, b)
+    out = np.zeros((a_rows, b_rows), np.float32)
+    if not len(both):
+        return out
+    column = []
+    for x, row in ((a, a_row), (b, b_row)):
+        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        hit = both[at] == x
+        order = np.argsort(at[hit], kind="stable")
+        column.append((at[hit][order], row[hit][order]))
+    (ca, ra), (cb, rb) = column
+    na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
+    if int((na * nb).sum()) <= EXPAND:
+        begin = np.concatenate([[0], np.cumsum(nb)[:-1]])
+        times = nb[ca]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cell = np.repeat(ra, times) * b_rows + rb[np.repeat(begin[ca], times) + inside]
+        return np.bincount(cell, minlength=a_rows * b_rows).reshape(a_rows, b_rows).astype(np.float32)
+    step = max(1, PRODUCT_CELLS // (a_rows + b_rows))
+    for at in range(0, len(both), step):
+        end = min(len(both), at + step)
+        factors = []
+        for c, r, rows in ((ca, ra, a_rows), (cb, rb, b_rows)):
+            i, j = np.searchsorted(c, [at, end])
+            f = np.zeros((rows, end - at), np.float32)
+            f[r[i:j], c[i:j] - at] = 1
+            factors.append(f)
+        out += factors[0] @ factors[1].T
+    return out
+
+
+def block_links(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) that connect the members of two blocks which links between different groups connect."""
+    (own_a, grp_a, n_a, size_a, tok_a), (own_b, grp_b, n_b, size_b, tok_b) = a, b
+    common = common_counts(tok_a, np.repeat(np.arange(len(own_a)), size_a), len(own_a),
+                           tok_b, np.repeat(np.arange(len(own_b)), size_b), len(own_b)).astype(np.int64)
+    linked = (common > 0) & (common * 100 >= (n_a[:, None] + n_b[None, :] - common) * PERCENT)
+    linked &= grp_a[:, None] != grp_b[None, :]
+    far = len(own_a)
+    label = np.arange(far)
+    while True:
+        label_b = np.where(linked, label[:, None], far).min(axis=0)
+        now = np.minimum(label, np.where(linked, label_b[None, :], far).min(axis=1))
+        if np.array_equal(now, label):
+            break
+        label = now
+    moved, found = np.flatnonzero(label != np.arange(far)), np.flatnonzero(label_b < far)
+    u = np.concatenate([own_a[moved], own_b[found]])
+    v = np.concatenate([own_a[label[moved]], own_a[label_b[found]]])
+    return u[u != v], v[u != v]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        us, vs = [], []
+        ends = [batch.column(i).offsets.to_numpy() for i in (0, 1)]
+        for r in range(len(batch)):
+            a, b = (_block(batch.column(i).values.slice(ends[i][r], ends[i][r + 1] - ends[i][r])) for i in (0, 1))
+            u, v = block_links(a, b)
+            us.append(u)
+            vs.append(v)
+        if us:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).astype(np.int64)) for x in (us, vs)], names=["u", "v"])
 
 
 def _sql_least(n: str):

@@ -107,6 +107,37 @@ def same(df, want):
     assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(want, key=key)
 
 
+def test_jaccard_sets_about_the_threshold(spark, monkeypatch):
+    """Copies of one text with changed words: many a little under the threshold of each other."""
+    rng = random.Random(5)
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(260):
+        own = list(base)
+        for at in rng.sample(range(len(own)), rng.choice([1, 2, 2, 3, 3])):
+            own[at] = rng.choice(["alpha", "beta", f"w{i}"])
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert 1 < len({w[2] for w in want}) < 260
+    same(jaccard.join_documents(docs), want)
+    # no link but those of open units
+    monkeypatch.setattr(jaccard, "star_links", lambda sets: spark.createDataFrame([], "u long, v long"))
+    same(jaccard.join_documents(docs), want)
+
+
+def test_jaccard_common_counts(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [[np.unique(rng.integers(0, 60, rng.integers(1, 30))) for _ in range(n)] for n in (9, 14)]
+    a, b = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s]), len(s)) for s in sets)
+    want = [[len(np.intersect1d(x, y)) for y in sets[1]] for x in sets[0]]
+    assert jaccard.common_counts(*a, *b).tolist() == want
+    monkeypatch.setattr(jaccard, "EXPAND", 0)
+    monkeypatch.setattr(jaccard, "PRODUCT_CELLS", 100)
+    assert jaccard.common_counts(*a, *b).tolist() == want
+
+
 @pytest.mark.parametrize("most", [jaccard.BROADCAST_ROWS, 0])
 def test_jaccard_components(docs, rows, most):
     same(jaccard.join_documents(docs, broadcast_rows=most), brute_components(rows))
