@@ -43,7 +43,7 @@ from tessera.llm.suffixes import repeated, shard_text
 LENGTH = 200
 ANCHOR = 100
 BUCKET_BYTES = 64 << 20         # text behind a bucket of anchors
-SHARD_BYTES = 3 << 19           # contexts of a shard
+SHARD_BYTES = 1 << 19           # contexts of a shard: a task sorts one at a time, in about 130 times that memory
 FOLD_ANCHORS = 1 << 18
 BROADCAST_BYTES = 32 << 20
 
