@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.common import shuffle_partitions, written
 from tessera.llm.shingles import Powers, mix, prefix_hash, slices, text_bytes
@@ -179,8 +180,8 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
 
     empty = pa.table({"hi": pa.array([], pa.int64()), "first": pa.array([], pa.binary())})
     schema = "hi long, first binary"
-    packed = texts.select("hi", "text").mapInArrow(
-        make, "bucket long, hash binary, own binary, first binary, known binary")
+    packed = written(texts.select("hi", "text").mapInArrow(
+        make, "bucket long, hash binary, own binary, first binary, known binary"), "runs")
     own = packed.where("bucket < 0").select("own", "first").mapInArrow(settled, schema)
     others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket, schema)
     return own.union(others)
@@ -310,32 +311,36 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_te
     texts = _texts(docs, doc_id, text, carry)
     own = _small(spans.drop("n"), F.coalesce(F.octet_length("spans"), F.lit(0)), broadcast_bytes)
 
-    fields = "n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
-
-    @F.pandas_udf(fields)
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for bodies, wholes, found in batches:
-            rows = []
-            for body, whole, runs in zip(bodies, wholes, found):
-                raw = body.encode("utf-8", "surrogatepass")
-                if whole is True:
-                    runs = [(0, len(raw))]
-                elif runs is None:
-                    runs = []
-                else:
-                    runs = np.frombuffer(runs, np.int64).reshape(-1, 2).tolist()
-                kept, at = [], 0
-                for a, b in runs:
-                    kept.append(raw[at:a])
-                    at = b
-                left = b"".join(kept) + raw[at:]
-                row = (len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest())
-                rows.append((*row, left.decode("utf-8", "ignore")) if keep_text else row)
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
-
-    joined = texts.join(own, ["hi", "lo"], "left")
-    out = joined.withColumn("r", cut("text", F.coalesce("whole", F.lit(False)), "spans"))
-    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "r.*", *(["c"] if carry else []))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                data, offsets = text_bytes(part.column(1))
+                gone, count, digest, left = [], [], [], []
+                for r, (whole, runs) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    raw = data[offsets[r]:offsets[r + 1]].tobytes()
+                    runs = [(0, len(raw))] if whole else \
+                        np.frombuffer(runs, np.int64).reshape(-1, 2).tolist() if runs else []
+                    kept, at = [], 0
+                    for i, j in runs:
+                        kept.append(raw[at:i])
+                        at = j
+                    rest = b"".join(kept) + raw[at:]
+                    gone.append(len(raw) - len(rest))
+                    count.append(len(runs))
+                    digest.append(hashlib.sha256(rest).hexdigest())
+                    left.append(rest.decode("utf-8", "ignore") if keep_text else None)
+                out = [part.column(0), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()),
+                       pa.array(count, pa.int64()), pa.array(digest, pa.string())]
+                out += [pa.array(left, pa.string())] if keep_text else []
+                yield pa.RecordBatch.from_arrays([*out, *part.columns[4:]], names=schema.names)
+
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+                                + (", kept string" if keep_text else ""))
+    more = [texts.schema["c"]] if carry else []
+    schema = StructType([*schema.fields, *more])
+    joined = texts.join(own, ["hi", "lo"], "left").select(
+        "doc_id", "text", F.coalesce("whole", F.lit(False)), "spans", *[f.name for f in more])
+    return joined.mapInArrow(cut, schema)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
