@@ -11,8 +11,11 @@ strings meet in a shard.  So each 200-byte window gets an anchor, the least
    bytes).  Equal contexts become one row with a count (partial aggregation,
    so a passage in a third of all texts is one row a task).
 3. Contexts are dealt into shards by anchor and the shard's suffixes are
-   sorted by induction (``suffixes``); a window is repeated if its context is
-   or if a neighbour in the order shares its 200 bytes.
+   sorted by induction (``suffixes``), no more than ``SHARD_BYTES`` at a time;
+   a window is repeated if its context is or if a neighbour in the order
+   shares its 200 bytes.  An anchor whose different contexts exceed that size
+   (100 bytes of a line that very many texts hold, in other words each time)
+   goes on as 128-bit hashes of its windows, packed, a window once a task.
 4. Results return to the contexts' places by a join, spans are merged per
    text, and the bytes outside are hashed.
 
@@ -44,7 +47,10 @@ from tessera.llm.suffixes import repeated, shard_text
 LENGTH = 200
 ANCHOR = 100
 BUCKET_BYTES = 64 << 20         # text behind a bucket of anchors
-SHARD_BYTES = 1 << 19           # contexts of a shard: a task sorts one at a time, in about 130 times that memory
+SHARD_BYTES = 1 << 19           # contexts sorted at a time, at most, in about 130 times that memory
+HASHED_BYTES = 16 << 20         # packed windows of a bucket, on average
+WINDOW_BYTES = 37               # of a packed window
+FOLD_WINDOWS = 1 << 18
 FOLD_ANCHORS = 1 << 18
 BROADCAST_BYTES = 32 << 20
 
@@ -232,10 +238,31 @@ def repeated_windows(kinds: DataFrame) -> DataFrame:
 
     ``kinds`` has c_hi, c_lo, hash, bytes and n, the context's places.
     """
-    total = kinds.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    per_anchor = kinds.groupBy("hash").agg(F.sum(F.octet_length("bytes")).alias("w"))
+    per_anchor = written(per_anchor.withColumn("large", F.col("w") > SHARD_BYTES), "anchor-sizes")
+    total, large, count = (x or 0 for x in per_anchor.agg(
+        F.sum(F.when(~F.col("large"), F.col("w"))), F.sum(F.when(F.col("large"), F.col("w"))),
+        F.sum(F.col("large").cast("long"))).first())
     shards = max(1, -(-total // SHARD_BYTES))
 
+    def pieces(table: pa.Table) -> Iterator[pa.Table]:
+        """Whole anchors of a shard, of ``SHARD_BYTES`` together at most."""
+        table = table.sort_by("hash")
+        h = table.column("hash").to_numpy()
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in table.column("bytes").to_pylist()])])
+        at = last = 0
+        for end in ends.tolist():
+            if sizes[end] - sizes[at] > SHARD_BYTES and last > at:
+                yield table.slice(at, last - at)
+                at = last
+            last = end
+        yield table.slice(at, last - at)
+
     def sort(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([sort_piece(p) for p in pieces(table)])
+
+    def sort_piece(table: pa.Table) -> pa.Table:
         strings = table.column("bytes").to_pylist()
         n = table.column("n").to_numpy()
         found = repeated(strings, LENGTH)
@@ -249,8 +276,108 @@ def repeated_windows(kinds: DataFrame) -> DataFrame:
         return pa.table({"c_hi": table.column("c_hi"), "c_lo": table.column("c_lo"),
                          "spans": pa.array(out, pa.binary())})
 
-    dealt = kinds.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(sort, "c_hi long, c_lo long, spans binary")
+    small = kinds
+    if count:
+        anchors_of = per_anchor.where("large").select("hash")
+        if count * 8 <= BROADCAST_BYTES:
+            anchors_of = F.broadcast(anchors_of)
+        small = kinds.join(anchors_of, "hash", "left_anti")
+    dealt = small.select("c_hi", "c_lo", "hash", "bytes", "n", F.pmod(F.xxhash64("hash"), F.lit(shards)).alias("shard"))
+    found = dealt.groupBy("shard").applyInArrow(sort, "c_hi long, c_lo long, spans binary")
+    if not count:
+        return found
+    # a context of b bytes has b - 199 windows, half of its bytes at most
+    buckets = max(shuffle_partitions(kinds.sparkSession), -(-large // 2 * WINDOW_BYTES // HASHED_BYTES))
+    return found.unionByName(hashed_windows(kinds.join(anchors_of, "hash", "left_semi"), buckets))
+
+
+def hashed_windows(kinds: DataFrame, buckets: int) -> DataFrame:
+    """``repeated_windows`` by the windows' own hashes, so no task holds all contexts of an anchor."""
+    names = ["w_hi", "w_lo", "c_hi", "c_lo", "at", "known"]
+    types = (np.int64, np.int64, np.int64, np.int64, np.int32, bool)
+
+    def starts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns in order of the windows' hashes, and where a new hash begins."""
+        order = np.lexsort(columns[1::-1])
+        columns = [x[order] for x in columns]
+        hi, lo = columns[:2]
+        return columns, np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+
+    def fold(parts: list) -> Iterator[pa.RecordBatch]:
+        digests = np.frombuffer(b"".join(p[0] for p in parts), np.int64).reshape(-1, 2)
+        sizes = [len(p[0]) // 16 for p in parts]
+        own = [np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (1, 2)]
+        copies = np.repeat(np.array([p[3] for p in parts], bool), sizes)
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        (hi, lo, c_hi, c_lo, at, copies), begin = starts([digests[:, 0], digests[:, 1], *own, at, copies])
+        known = ~(begin & np.append(begin[1:], True)) | copies
+        columns = [hi, lo, c_hi, c_lo, at, known]
+        if known.any():                          # settled here: back to the contexts, and on once
+            yield _pack([x[known] for x in columns], np.full(known.sum(), -1), names)
+        group = np.cumsum(begin) - 1
+        columns[5] = np.logical_or.reduceat(known, np.flatnonzero(begin))[group]
+        sent = [x[begin] for x in columns]
+        yield _pack(sent, (sent[0].view(np.uint64) >> U(16)) % U(buckets), names)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            c_hi, c_lo, n = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for r, raw in enumerate(batch.column(2)):
+                raw = raw.as_py()
+                digests = b"".join(hashlib.blake2b(raw[i:i + LENGTH], digest_size=16).digest()
+                                   for i in range(len(raw) - LENGTH + 1))
+                parts.append((digests, c_hi[r], c_lo[r], n[r] > 1))
+                size += len(digests) // 16
+                if size > FOLD_WINDOWS:
+                    yield from fold(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from fold(parts)
+
+    def by_context(c_hi: np.ndarray, c_lo: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """Repeated windows per context as one binary."""
+        order = np.lexsort((c_lo, c_hi))
+        c_hi, c_lo, at = c_hi[order], c_lo[order], at[order].astype(np.int32)
+        begin = np.flatnonzero(np.concatenate([[True], (c_hi[1:] != c_hi[:-1]) | (c_lo[1:] != c_lo[:-1])]))
+        end = np.append(begin[1:], len(at))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c_hi[begin]), pa.array(c_lo[begin]),
+             pa.array([at[i:j].tobytes() for i, j in zip(begin, end)], pa.binary())], names=["c_hi", "c_lo", "at"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                yield by_context(*(np.frombuffer(x.as_py(), t) for x, t in zip(row, types[2:5])))
+
+    def bucket(table: pa.Table) -> pa.Table:
+        columns, begin = starts([np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
+                                 for c, t in zip(names, types)])
+        _, _, c_hi, c_lo, at, known = columns
+        first = np.flatnonzero(begin)
+        sizes = np.diff(np.append(first, len(at)))
+        more = (sizes > 1) | np.logical_or.reduceat(known, first)
+        keep = np.repeat(more, sizes) & ~known
+        return pa.Table.from_batches([by_context(c_hi[keep], c_lo[keep], at[keep])]) if keep.any() else empty
+
+    def spans(at: pd.Series) -> pd.Series:
+        out = []
+        for parts in at:
+            x = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in parts]))
+            cut = np.flatnonzero(np.diff(x) > 1) + 1
+            out.append(np.column_stack([x[np.append(0, cut)], x[np.append(cut - 1, len(x) - 1)] + 1]).astype(
+                np.int32).tobytes())
+        return pd.Series(out, dtype=object)
+
+    empty = pa.table({"c_hi": pa.array([], pa.int64()), "c_lo": pa.array([], pa.int64()),
+                      "at": pa.array([], pa.binary())})
+    schema = "c_hi long, c_lo long, at binary"
+    packed = written(kinds.select("c_hi", "c_lo", "bytes", "n").mapInArrow(
+        make, "bucket long, " + ", ".join(f"{c} binary" for c in names)), "window-hashes")
+    own = packed.where("bucket < 0").select("c_hi", "c_lo", "at").mapInArrow(settled, schema)
+    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket, schema)
+    merged = own.union(others).groupBy("c_hi", "c_lo").agg(F.collect_list("at").alias("at"))
+    return merged.select("c_hi", "c_lo", F.pandas_udf(spans, "binary")("at").alias("spans"))
 
 
 def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

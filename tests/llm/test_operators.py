@@ -161,6 +161,32 @@ def test_repeats(docs, rows, most):
     same(repeats.removed(docs, broadcast_bytes=most), brute_repeats(rows))
 
 
+@pytest.mark.parametrize("line", [120, 230])
+def test_repeats_of_a_line_that_many_texts_hold(spark, monkeypatch, line):
+    """One anchor with a context of its own in every text: no sort of more than SHARD_BYTES."""
+    rng = random.Random(line)
+    held = "".join(rng.choice("abcdefgh ") for _ in range(line))
+    noise = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    near = [noise(90) for _ in range(9)]
+    rows = [(i, noise(rng.randrange(150)) + rng.choice(near) + held + rng.choice(near) + noise(rng.randrange(150)))
+            for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)] + [(300, held * 4), (301, noise(60) + held + noise(60) + held)]
+    rows += [(400 + i, words(rng, 90)) for i in range(20)] + [(500, "x" * 900), (501, "x" * 1300)]
+    whole = repeats.repeated
+
+    def watched(strings, length):
+        assert sum(map(len, strings)) <= 4000, "too much at a time"
+        return whole(strings, length)
+
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(repeats, "FOLD_WINDOWS", 2000)
+    monkeypatch.setattr(repeats, "repeated", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats(rows)
+    assert sum(w[2] > 0 for w in want) > 60
+    same(repeats.removed(docs), want)
+
+
 def test_suffix_order_and_spilling_queues():
     rng = random.Random(3)
     for it in range(40):
