@@ -241,7 +241,8 @@ def pack_texts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def pack_sets(sets: DataFrame, buckets: int) -> DataFrame:
-    """Packed first shingles of (own, grp, tokens)."""
+    """Packed first shingles of (own, grp, tokens): one more than a set's own bound asks for, as a partner of 5
+    shares two with a set of 4."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = _Fold(buckets)
         for batch in batches:
@@ -252,7 +253,7 @@ def pack_sets(sets: DataFrame, buckets: int) -> DataFrame:
             for r in range(len(batch)):
                 first = offsets[r]
                 n = int(offsets[r + 1] - first)
-                fold.add(flat[first:first + n - _least(n) + 1 + n // 5], int(own[r]), int(group[r]))
+                fold.add(flat[first:first + min(n, n - _least(n) + 2 + n // 5)], int(own[r]), int(group[r]))
                 if fold.size > FOLD_ENTRIES:
                     yield from fold.flush()
         yield from fold.flush()

@@ -127,6 +127,25 @@ def test_jaccard_sets_about_the_threshold(spark, monkeypatch):
     same(jaccard.join_documents(docs), want)
 
 
+def test_jaccard_small_sets_without_stars(spark, monkeypatch):
+    """All small sizes and overlaps of two sets that link, by the bounds alone."""
+    rows = []
+    word = iter(range(10**9))
+    for n in range(1, 17):
+        for m in range(n, 21):
+            for common in range(1, n + 1):
+                if common * 100 >= 80 * (n + m - common):
+                    for _ in range(4 if m < 8 else 2):
+                        core = [f"w{next(word)}" for _ in range(common + 4)]
+                        rows.append(" ".join([f"w{next(word)}" for _ in range(n - common)] + core))
+                        rows.append(" ".join(core + [f"w{next(word)}" for _ in range(m - common)]))
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(jaccard, "star_links", lambda sets: spark.createDataFrame([], "u long, v long"))
+    want = [(d, len(shingle_set(t)), d - d % 2) for d, t in rows]
+    assert {w[1] for w in want} == set(range(1, 21)) and (4, 5) in {(a[1], b[1]) for a, b in zip(want[::2], want[1::2])}
+    same(jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")), want)
+
+
 def test_jaccard_common_counts(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [[np.unique(rng.integers(0, 60, rng.integers(1, 30))) for _ in range(n)] for n in (9, 14)]
