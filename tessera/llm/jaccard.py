@@ -456,6 +456,8 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = features(texts, with_tokens=True).join(ids.select("hi", "lo"), ["hi", "lo"], "left_semi")
     # the signature's first half names a set among those that are left
     sets = written(sets.select(F.col("hi").alias("own"), "n", "tokens"), "tokens")
+    if not sets.groupBy("own").count().where("count > 1").isEmpty():     # repeated rows, or NULL ids with one text
+        sets = written(sets.dropDuplicates(["own"]), "sets-once")
     stars = star_links(sets)
     groups = components(stars).select(F.col("vertex").alias("own"), F.col("component").alias("grp"))
     grouped = written(sets.join(groups, "own", "left").withColumn("grp", F.coalesce("grp", "own")), "groups")

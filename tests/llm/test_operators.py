@@ -146,6 +146,26 @@ def test_jaccard_small_sets_without_stars(spark, monkeypatch):
     same(jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")), want)
 
 
+@pytest.mark.parametrize("expand", [jaccard.EXPAND, 0])
+def test_jaccard_repeated_rows_beside_partners_under_the_threshold(spark, monkeypatch, expand):
+    """Rows with one id and text, or NULL ids and one text, beside sets of Jaccard 0.3 to 0.82."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(40):
+        base = [f"c{c}w{i}" for i in range(64)]
+        shared = rng.randrange(30, 58)
+        d = None if c % 2 else 100 * c
+        rows += [(d, " ".join(base))] * rng.choice([2, 3])
+        rows += [(100 * c + 1, " ".join(base[:shared] + [f"c{c}v{i}" for i in range(64 - shared)]))] * rng.choice([1, 2])
+        rows += [(100 * c + 2, " ".join(base[64 - shared:] + [f"c{c}u{i}" for i in range(64 - shared)]))]
+    monkeypatch.setattr(jaccard, "EXPAND", expand)
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(jaccard.join_documents(docs), want)
+    monkeypatch.setattr(jaccard, "star_links", lambda sets: spark.createDataFrame([], "u long, v long"))
+    same(jaccard.join_documents(docs), want)
+
+
 def test_jaccard_common_counts(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [[np.unique(rng.integers(0, 60, rng.integers(1, 30))) for _ in range(n)] for n in (9, 14)]
