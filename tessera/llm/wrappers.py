@@ -3,10 +3,12 @@
 A page's token stream (tags and text slots) becomes an expression: runs of
 equal siblings and repeated groups collapse into ``(...)+``.  Expressions of
 pages of the same host are aligned one after the other; a mismatch becomes an
-optional part, a text that differs a slot, a text that never differs stays a
-constant.  The result, the host's wrapper, says where the main text lies:
+optional part, a text that differs a slot, a text that never differs (compared
+whole) stays a constant.  The result, the host's wrapper, says where the main text lies:
 below its article (or main) elements, else in its content elements, else in
 every slot that is not boilerplate.  Pages are then read along the wrapper.
+A constant is boilerplate from three different pages on (copies are one page),
+unless a page has nothing else.
 
 Each task folds the expressions of its pages into one wrapper per host, and
 the partial wrappers are aligned again in two rounds, salted first, so that a
@@ -22,6 +24,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -38,7 +41,8 @@ DEPTH = 40
 SALTS = 32
 HOSTS_HELD = 2_000          # wrappers a task folds before it passes them on
 BROADCAST_BYTES = 16 << 20
-CONSTANT_PAGES = 3          # pages a text must be equal on to count as boilerplate
+CONSTANT_PAGES = 3          # different pages a text must be equal on to count as boilerplate
+PLAIN_CHARS = 40            # of a text that stands for itself; a longer one goes by 128 bits of it
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,7 +150,7 @@ class Reader:
 
 
 # ---- expressions: [signature, flag, children]; flag "" once, "?" optional, "+" repeated, "*" both.
-# A text is ["#", flag, text]: a constant, or a slot if its text is None.
+# A text is ["#", flag, name]: a constant, or a slot if its name is None.
 
 _FLAGS = {"": 0, "?": 1, "+": 2, "*": 3}
 _NAMED = ["", "?", "+", "*"]
@@ -231,10 +235,25 @@ def fold(children: list) -> list:
     return children
 
 
+def name_of(text: str) -> str:
+    """What stands for a whole text without blanks at its ends: the text, or a blank and its hash."""
+    return text if len(text) <= PLAIN_CHARS else " " + _digest(text)
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def expression(page: str) -> list:
     """The page's own expression."""
+    return expression_and_kind(page)[0]
+
+
+def expression_and_kind(page: str) -> tuple[list, str]:
+    """The page's own expression, and a hash of all its texts: pages of one kind are copies."""
     reader = Reader()
     levels: list[list] = [[]]
+    names: list[str] = []
 
     def leave(sigs: list[str]) -> None:
         for sig in sigs:
@@ -245,7 +264,8 @@ def expression(page: str) -> list:
         if kind == "text":
             text = " ".join(entities.unescape(value).split())
             if text:
-                levels[-1].append(["#", "", text[:200]])
+                names.append(name_of(text))
+                levels[-1].append(["#", "", names[-1]])
         elif kind == "open":
             leave(reader.open(value))
             if not reader.hidden:
@@ -253,7 +273,7 @@ def expression(page: str) -> list:
         elif kind == "close":
             leave(reader.close(value))
     leave(reader.path[::-1])
-    return ["", "", fold(levels[0])]
+    return ["", "", fold(levels[0])], _digest("\n".join(names))
 
 
 # ---- what a wrapper says about the main text
@@ -267,7 +287,7 @@ def is_boilerplate(sig: str, inside: bool) -> bool:
     return tag not in ("html", "body") and bool(BOILER_WORDS.intersection(words))
 
 
-def main_paths(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
+def main_paths(wrapper: list, different: int) -> tuple[list[str], list[str]]:
     """Paths of the elements with the main text, and of the texts that are equal on all pages of the host."""
     articles: list[str] = []
     mains: list[str] = []
@@ -278,7 +298,7 @@ def main_paths(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
         for child in node[2]:
             sig = child[0]
             if sig == "#":
-                if child[2] is not None and child[1] == "" and pages >= CONSTANT_PAGES:
+                if child[2] is not None and child[1] == "" and different >= CONSTANT_PAGES:
                     constants.append(f"{path}\n{child[2]}")
                 continue
             if sig.startswith("("):
@@ -302,6 +322,7 @@ def extract(page: str, main: list[str], constants: frozenset[str]) -> str:
     """The main text of a page of a host whose wrapper has these paths."""
     blocks: list[str] = []
     spare: list[str] = []           # for pages without any of the wrapper's main elements
+    equal: list[str] = []           # the same with the host's constant texts
     part: list[str] = []
     reader = Reader()
     states = [(False, False, "")]   # inside main, inside boilerplate, path
@@ -315,8 +336,10 @@ def extract(page: str, main: list[str], constants: frozenset[str]) -> str:
         if text and not boiler:
             if inside:
                 blocks.append(text)
-            elif not seen and f"{path}\n{text[:200]}" not in constants:
-                spare.append(text)
+            elif not seen:
+                equal.append(text)
+                if f"{path}\n{name_of(text)}" not in constants:
+                    spare.append(text)
 
     for kind, value in tokens(page):
         if kind == "text":
@@ -339,7 +362,7 @@ def extract(page: str, main: list[str], constants: frozenset[str]) -> str:
                 seen = seen or inside and not boiler
                 states.append((inside, boiler, here))
     flush()
-    return "\n".join(blocks if seen else spare)
+    return "\n".join(blocks if seen else spare or equal)
 
 
 # ---- Spark
@@ -350,15 +373,16 @@ def _host(url):
 
 
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, pages and wrapper (JSON) per host, from all its pages."""
+    """host, kinds (of its different pages, ``CONSTANT_PAGES`` at most) and wrapper (JSON) per host, from all its
+    pages."""
     def fold_rows(rows) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple[int, list]] = {}
-        for host, n, wrapper in rows:
+        held: dict[str, tuple[list[str], list]] = {}
+        for host, kinds, wrapper in rows:
             if host in held:
-                m, own = held[host]
-                held[host] = (m + n, merge(own, wrapper))
+                others, own = held[host]
+                held[host] = (sorted({*others, *kinds})[:CONSTANT_PAGES], merge(own, wrapper))
             else:
-                held[host] = (n, wrapper)
+                held[host] = (list(kinds), wrapper)
             if len(held) > HOSTS_HELD:
                 yield packed(held)
                 held.clear()
@@ -366,17 +390,18 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
             yield packed(held)
 
     def packed(held) -> pd.DataFrame:
-        return pd.DataFrame([(h, n, json.dumps(w, ensure_ascii=False, separators=(",", ":")))
-                             for h, (n, w) in held.items()], columns=["host", "pages", "wrapper"])
+        return pd.DataFrame([(h, k, json.dumps(w, ensure_ascii=False, separators=(",", ":")))
+                             for h, (k, w) in held.items()], columns=["host", "kinds", "wrapper"])
 
     def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from fold_rows((h, 1, expression(x)) for b in batches for h, x in zip(b["host"], b["html"]))
+        yield from fold_rows((h, [kind], own) for b in batches for h, x in zip(b["host"], b["html"])
+                             for own, kind in [expression_and_kind(x)])
 
     def again(group: pd.DataFrame) -> pd.DataFrame:
-        rows = ((h, n, json.loads(w)) for h, n, w in zip(group["host"], group["pages"], group["wrapper"]))
+        rows = ((h, k, json.loads(w)) for h, k, w in zip(group["host"], group["kinds"], group["wrapper"]))
         return pd.concat(list(fold_rows(rows)))
 
-    schema = "host string, pages long, wrapper string"
+    schema = "host string, kinds array<string>, wrapper string"
     rows = pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     partial = rows.where("html <> ''").mapInPandas(of_pages, schema)
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper", F.spark_partition_id()), F.lit(SALTS)))
@@ -387,11 +412,11 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars per page."""
     @F.pandas_udf("main array<string>, constants array<string>")
-    def places(wrappers: pd.Series, n: pd.Series) -> pd.DataFrame:
-        found = [main_paths(json.loads(w), k) for w, k in zip(wrappers, n)]
+    def places(wrappers: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        found = [main_paths(json.loads(w), len(k)) for w, k in zip(wrappers, kinds)]
         return pd.DataFrame(found, columns=["main", "constants"])
 
-    wrappers = infer(pages, url, html).withColumn("at", places("wrapper", "pages"))
+    wrappers = infer(pages, url, html).withColumn("at", places("wrapper", "kinds"))
     wrappers = written(wrappers.select(F.col("host").alias("_host"), F.to_json("at").alias("_at")), "wrappers")
     size = wrappers.agg(F.coalesce(F.sum(F.octet_length("_at") + F.octet_length("_host")), F.lit(0))).first()[0]
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),

@@ -471,6 +471,20 @@ def test_html_extraction(spark):
     assert got[50] == got[51] == "" and got[52] == "just < text" and got[53] == "deep"
 
 
+def test_html_constant_texts(spark):
+    """Texts with one beginning differ, copies are one page, and a page of constants keeps them."""
+    preface = "the same preface " * 20
+    rows = [(i, "http://a.com/%d" % i, f"<body><pre>{preface}part {i}</pre></body>") for i in range(4)]
+    copy = "<body><div><h2>Head</h2><p>Only paragraph, the same on every mirror of it</p></div></body>"
+    rows += [(10 + i, "http://b.com/?utm=%d" % i, copy) for i in range(5)]
+    rows += [(20 + i, "http://c.com/%d" % i, f"<body><div>{preface}</div><p>{'x' * i}</p></body>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract_pages(df).collect()}
+    assert all(got[i] == f"{preface}part {i}" for i in range(4))
+    assert all(got[10 + i] == "Head\nOnly paragraph, the same on every mirror of it" for i in range(5))
+    assert got[20] == preface.strip() and [got[20 + i] for i in (1, 2, 3)] == ["x", "xx", "xxx"]
+
+
 def test_wrapper_alignment():
     a = wrappers.expression("<body><ul><li>1<li>2</ul><p>x</p></body>")
     b = wrappers.expression("<body><ul><li>1</ul><div>new</div><p>y</p></body>")
