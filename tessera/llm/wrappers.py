@@ -6,7 +6,8 @@ pages of the same host are aligned one after the other; a mismatch becomes an
 optional part, a text that differs a slot, a text that never differs (compared
 whole) stays a constant.  The result, the host's wrapper, says where the main text lies:
 below its article (or main) elements, else in its content elements, else in
-every slot that is not boilerplate.  Pages are then read along the wrapper.
+every slot that is not boilerplate.  Names of boilerplate do not hide an
+element that is or holds the main text.  Pages are then read along the wrapper.
 A constant is boilerplate from three different pages on (copies are one page),
 unless a page has nothing else.
 
@@ -57,6 +58,7 @@ BOILER_WORDS = frozenset(
     " footer header menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " related respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+WRAP_WORDS = frozenset("container layout outer wrap wrapper".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -281,44 +283,81 @@ def expression_and_kind(page: str) -> tuple[list, str]:
 
 def is_boilerplate(sig: str, inside: bool) -> bool:
     """Menus, notices and the like, by element name or the words of class, id and role."""
-    tag, *words = sig.split(".")
+    tag = sig.split(".", 1)[0]
     if tag in BOILERPLATE or tag == "header" and not inside:
         return True
+    return tag not in CONTENT and named_boilerplate(sig)
+
+
+def named_boilerplate(sig: str) -> bool:
+    tag, *words = sig.split(".")
     return tag not in ("html", "body") and bool(BOILER_WORDS.intersection(words))
 
 
-def main_paths(wrapper: list, different: int) -> tuple[list[str], list[str]]:
-    """Paths of the elements with the main text, and of the texts that are equal on all pages of the host."""
-    articles: list[str] = []
-    mains: list[str] = []
-    contents: list[str] = []
+def main_paths(wrapper: list, different: int) -> tuple[list[str], list[str], list[str]]:
+    """Paths of the elements with the main text, of the texts that are equal on all pages of the host, and of the
+    elements around the main text that are no boilerplate in spite of their class, id or role words.
+
+    An element with such words hides its subtree unless it is the main text's element or holds it: an article or
+    main element that no other stands clear of such words beside, and that is there once on every page (comments
+    and related articles are not), a content element in a content wrap, or whatever is left if nothing stands clear.
+    """
+    clear: list[list[str]] = [[], [], []]        # article, main and content elements outside of such elements
+    steady: list[list[tuple]] = [[], [], []]     # inside, once on every page: path and the elements that hide it
+    hidden: list[list[tuple]] = [[], [], []]     # inside
     constants: list[str] = []
+    texts = 0                                    # in the clear, not constant
 
-    def walk(node: list, path: str, inside: bool) -> None:
+    def walk(node: list, path: str, inside: bool, hiding: tuple[str, ...], once: bool, wraps: bool) -> None:
+        nonlocal texts
         for child in node[2]:
             sig = child[0]
             if sig == "#":
                 if child[2] is not None and child[1] == "" and different >= CONSTANT_PAGES:
-                    constants.append(f"{path}\n{child[2]}")
+                    if not hiding:
+                        constants.append(f"{path}\n{child[2]}")
+                else:
+                    texts += not hiding
                 continue
+            here_once = once and child[1] == ""
             if sig.startswith("("):
-                walk(child, path, inside)
-                continue
-            if is_boilerplate(sig, inside):
+                walk(child, path, inside, hiding, here_once, wraps)
                 continue
             tag, *words = sig.split(".")
+            if tag in BOILERPLATE or tag == "header" and not inside:
+                continue
             here = f"{path}/{sig}"
-            found = (articles if tag == "article" else mains if tag == "main" or "main" in words
-                     else contents if CONTENT_WORDS.intersection(words) else None)
-            if found is not None and not any(here.startswith(p + "/") for p in found):
-                found.append(here)
-            walk(child, here, inside or tag == "article")
-
-    walk(wrapper, "", False)
-    return articles or mains or contents, constants
-
-
-def extract(page: str, main: list[str], constants: frozenset[str]) -> str:
+            around = (*hiding, here) if named_boilerplate(sig) else hiding
+            wrap = wraps and (around == hiding or tag in CONTENT or bool(
+                WRAP_WORDS.intersection(words) and CONTENT_WORDS.intersection(words)))
+            rank = (0 if tag == "article" else 1 if tag == "main" or "main" in words
+                    else 2 if CONTENT_WORDS.intersection(words) else None)
+            if rank is not None:
+                if not around:
+                    if not any(here.startswith(p + "/") for p in clear[rank]):
+                        clear[rank].append(here)
+                else:
+                    # words alone name a menu's or a notice's content too
+                    sure = tag in CONTENT or wrap and around == hiding
+                    for found in (steady, hidden) if here_once and sure else (hidden,):
+                        if not any(here.startswith(p + "/") for p, _ in found[rank]):
+                            found[rank].append((here, around))
+            walk(child, here, inside or tag == "article", around, here_once, wrap)
+
+    walk(wrapper, "", False, (), True, True)
+    for plain, others in zip(clear, steady):
+        if plain:
+            return plain, constants, []
+        if others:
+            return [p for p, _ in others], constants, sorted({x for _, around in others for x in around})
+    if not texts:
+        for others in hidden:
+            if others:
+                return [p for p, _ in others], constants, sorted({x for _, around in others for x in around})
+    return [], constants, []
+
+
+def extract(page: str, main: list[str], constants: frozenset[str], opened: frozenset[str] = frozenset()) -> str:
     """The main text of a page of a host whose wrapper has these paths."""
     blocks: list[str] = []
     spare: list[str] = []           # for pages without any of the wrapper's main elements
@@ -357,7 +396,7 @@ def extract(page: str, main: list[str], constants: frozenset[str]) -> str:
             if kind == "open" and len(states) <= len(reader.path):
                 inside, boiler, path = states[-1]
                 here = f"{path}/{value}"
-                boiler = boiler or is_boilerplate(value, inside)
+                boiler = boiler or here not in opened and is_boilerplate(value, inside)
                 inside = inside or here in wanted
                 seen = seen or inside and not boiler
                 states.append((inside, boiler, here))
@@ -411,10 +450,10 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars per page."""
-    @F.pandas_udf("main array<string>, constants array<string>")
+    @F.pandas_udf("main array<string>, constants array<string>, opened array<string>")
     def places(wrappers: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         found = [main_paths(json.loads(w), len(k)) for w, k in zip(wrappers, kinds)]
-        return pd.DataFrame(found, columns=["main", "constants"])
+        return pd.DataFrame(found, columns=["main", "constants", "opened"])
 
     wrappers = infer(pages, url, html).withColumn("at", places("wrapper", "kinds"))
     wrappers = written(wrappers.select(F.col("host").alias("_host"), F.to_json("at").alias("_at")), "wrappers")
@@ -430,7 +469,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[list, frozenset]] = {}
+        known: dict[str, tuple[list, frozenset, frozenset]] = {}
         for htmls, ats in batches:
             out = []
             for page, at in zip(htmls, ats):
@@ -441,7 +480,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                     if len(known) > HOSTS_HELD:
                         known.clear()
                     places = json.loads(at) if at else {}
-                    known[at] = (places.get("main") or [], frozenset(places.get("constants") or ()))
+                    known[at] = (places.get("main") or [], frozenset(places.get("constants") or ()),
+                                 frozenset(places.get("opened") or ()))
                 out.append(extract(page, *known[at]))
             yield pd.Series(out, dtype=object)
 

@@ -485,6 +485,30 @@ def test_html_constant_texts(spark):
     assert got[20] == preface.strip() and [got[20 + i] for i in (1, 2, 3)] == ["x", "xx", "xxx"]
 
 
+def test_html_names_of_boilerplate_around_the_main_text(spark):
+    side = "<div class='sidebar'><div class='widget-content'>Side</div></div>"
+    talk = "<div id='comments'><article class='comment'>one</article><article class='comment'>two</article></div>"
+    body = "<h1>Head %d</h1><p>Text %d</p>"
+    hosts = {
+        "wrap": "<div class='content-sidebar-wrap'><main class='content'><article>" + body + "</article></main>" + side + "</div>",
+        "ids": "<div id='header-footer-wrap'><nav>Menu</nav><article>" + body + "</article>" + side + "</div>",
+        "main": "<main class='has-sidebar'>" + body + side + "</main>",
+        "open": "<main><article class='post comments-open'>" + body + talk + "</article></main>" + side,
+        "entry": "<p>Site</p><div class='content-sidebar-wrap'><div class='entry'>" + body + "</div>" + side + "</div>",
+        "only": "<div class='post comments-open'>" + body + "</div>",
+        "plain": "<div>" + body + "</div>" + side + "<div class='cookie-notice'><div class='content'>Cookies</div></div>",
+        "post": "<div class='post'>" + body + "</div>" + talk,
+        "title": "<div class='content-info'>Info</div><div class='content-sidebar-wrap'><article>" + body + "</article></div>",
+    }
+    rows = [(10 * h + i, f"http://{name}.com/{i}", "<body>" + page % (i, i) + "</body>")
+            for h, (name, page) in enumerate(hosts.items()) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.url, r.text) for r in wrappers.extract_pages(df).collect()}
+    for h in range(len(hosts)):
+        for i in range(4):
+            assert got[10 * h + i][1] == f"Head {i}\nText {i}", got[10 * h + i]
+
+
 def test_wrapper_alignment():
     a = wrappers.expression("<body><ul><li>1<li>2</ul><p>x</p></body>")
     b = wrappers.expression("<body><ul><li>1</ul><div>new</div><p>y</p></body>")
