@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, jaccard, licenses, mtree, pack, quality, repeats, shards, urls, wrappers
+from tessera.llm import (audit, decontaminate, jaccard, licenses, mtree, pack, quality, repeats, shards, urls, vptree,
+                         whiten, wrappers)
 from tessera.llm.common import table
 
 def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +50,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mtree_search, op2_best_fit_packing, op3_quality_classifier, op4_url_filters, op5_sharding,
-              op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_decontamination, op10_suffix_array_dedup)
+              op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_decontamination, op10_suffix_array_dedup,
+              op11_embedding_whitening, op12_vantage_point_search, op13_filter_interaction_audit)
 }
 
 SQL: dict[str, str] = {}
@@ -114,3 +128,52 @@ SELECT page_id, host, path, rule,
             ELSE coalesce(shared.verdict, 'allow') END AS verdict
 FROM ruled LEFT JOIN shared USING (vertex)
 """
+
+SQL["op13_filter_interaction_audit"] = r"""
+WITH marks AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT coalesce(source, '') AS part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, coalesce(text, '') AS t,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+  FROM documents LEFT JOIN marks USING (doc_id)
+), masks AS (
+  SELECT part, good, toxic,
+         CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN e THEN 16 ELSE 0 END AS fails
+  FROM judged
+), kinds AS (
+  SELECT part, fails, count(*) AS c, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM masks GROUP BY part, fails
+), parts AS (
+  SELECT DISTINCT part FROM kinds
+), subsets AS (
+  SELECT part, s::INTEGER AS s, coalesce(sum(c) FILTER (fails & s = 0), 0) AS c, coalesce(sum(g) FILTER (fails & s = 0), 0) AS g,
+         coalesce(sum(x) FILTER (fails & s = 0), 0) AS x
+  FROM kinds, range(32) r(s) GROUP BY part, s
+), filters(f, i) AS (
+  VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)
+), orders(filter_order) AS (
+  SELECT a.f || b.f || c.f || d.f || e.f FROM filters a, filters b, filters c, filters d, filters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step, f.i, sum(1 << p.i) FILTER (k < step) AS before
+  FROM orders, range(1, 6) t(step), range(1, 6) u(k), filters f, filters p
+  WHERE f.f = filter_order[step] AND p.f = filter_order[k] GROUP BY filter_order, step, f.i
+), lines AS (
+  SELECT part, filter_order, step, i, b.c - a.c AS removed, a.c AS kept, b.g - a.g AS good_lost, b.x - a.x AS toxic_lost
+  FROM steps JOIN subsets b ON b.s = coalesce(before, 0) JOIN subsets a USING (part)
+  WHERE a.s = coalesce(before, 0) + (1 << i)
+), alone AS (
+  SELECT part, i, coalesce(sum(c) FILTER (fails & (1 << i) <> 0), 0) AS failing,
+         coalesce(sum(c) FILTER (fails = 1 << i), 0) AS unique_fails FROM kinds, filters GROUP BY part, i
+), shares AS (
+  SELECT part, i, sum(removed) AS shapley FROM lines GROUP BY part, i
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       (failing - removed)::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM lines JOIN alone USING (part, i) JOIN shares USING (part, i)
+"""

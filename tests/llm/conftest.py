@@ -1,14 +1 @@
-import os
-import sys
-
-import pytest
-
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from tessera import build_session
-
-    s = build_session("local[6]", shuffle_partitions=4, app="tessera-tests")
-    yield s
+"""The session comes from the folder above, so that all tests share one."""
