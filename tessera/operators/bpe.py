@@ -17,7 +17,8 @@ Decoding is pure Spark: ids → vocabulary join → per-piece hex of the bytes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,26 +54,51 @@ def to_symbols(token: str, alphabet: dict[int, str]) -> list[str]:
 
 def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Repeatedly merge the adjacent pair with the lowest rank (all its
-    non-overlapping occurrences, left to right) until no ranked pair is left."""
-    while len(symbols) > 1:
-        best, best_rank = None, None
-        for pair in zip(symbols, symbols[1:]):
-            r = ranks.get(pair)
-            if r is not None and (best_rank is None or r < best_rank):
-                best, best_rank = pair, r
-        if best is None:
-            break
-        left, right = best
-        merged, i = [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
-                merged.append(left + right)
-                i += 2
-            else:
-                merged.append(symbols[i])
-                i += 1
-        symbols = merged
-    return symbols
+    non-overlapping occurrences, left to right) until no ranked pair is left.
+
+    The symbols form a linked list and ranked pairs wait in a heap by (rank,
+    place of the left symbol), so a word of n symbols costs n log n, not a
+    pass over the word for every merge.  A pair's occurrences are merged as
+    one round; pairs that come up in a round wait for the next, as they do
+    when whole passes are made, even if their rank is lower.
+    """
+    n = len(symbols)
+    sym: list[str | None] = list(symbols)          # None: merged into the symbol to its left
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
+    heapq.heapify(heap)
+
+    def pair_at(i: int) -> tuple[str, str] | None:
+        return (sym[i], sym[after[i]]) if sym[i] is not None and after[i] < n else None
+
+    while heap:
+        rank, i = heap[0]
+        pair = pair_at(i)
+        if pair is None or ranks.get(pair) != rank:
+            heapq.heappop(heap)                    # one of its symbols has been merged since
+            continue
+        changed, others = [], []
+        while heap and heap[0][0] == rank:
+            _, i = heapq.heappop(heap)
+            here = pair_at(i)
+            if here == pair:
+                j = after[i]
+                sym[i], sym[j] = pair[0] + pair[1], None
+                after[i] = after[j]
+                if after[j] < n:
+                    before[after[j]] = i
+                changed.append(i)
+            elif here is not None and ranks.get(here) == rank:
+                others.append((rank, i))           # another pair that shares the rank
+        for entry in others:
+            heapq.heappush(heap, entry)
+        for i in changed:
+            for left in (before[i], i):
+                near = pair_at(left) if left >= 0 else None
+                if near is not None and (r := ranks.get(near)) is not None:
+                    heapq.heappush(heap, (r, left))
+    return [x for x in sym if x is not None]
 
 
 def _bounded_collect(df: DataFrame, what: str) -> list:
@@ -84,33 +110,27 @@ def _bounded_collect(df: DataFrame, what: str) -> list:
     return rows
 
 
-def encode_bpe(
-    df: DataFrame,
-    key_cols: list[str],
-    merges: DataFrame,
-    vocab: DataFrame,
-    tokens_col: str = "tokens",
-    out: str = "input_ids",
-    unk_id: int | None = None,
-    words: DataFrame | None = None,
-) -> DataFrame:
-    """Byte-level BPE ids for the pre-token arrays of ``df``.
+def table_values(merges: DataFrame, vocab: DataFrame) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """Merge ranks and ids as dictionaries: tables bounded by the tokeniser files, checked before they are collected."""
+    ranks = {(r["left"], r["right"]): int(r["rank"])
+             for r in _bounded_collect(merges.select("left", "right", "rank"), "merges")}
+    ids = {r["token"]: int(r["id"]) for r in _bounded_collect(vocab.select("token", "id"), "vocabulary")}
+    return ranks, ids
 
-    ``words`` (optional): the distinct pre-tokens (column ``token``) if the
-    caller already has them materialised.
 
-    ``merges``: (left, right, rank); ``vocab``: (token, id).  Special markers
-    present in the vocabulary map straight to their ids.  A piece missing from
-    the vocabulary takes ``unk_id``; without one the job fails.
-    """
-    spark = df.sparkSession
-    ranks = {(r["left"], r["right"]): int(r["rank"]) for r in _bounded_collect(merges.select("left", "right", "rank"), "merges")}
-    ids = {r["token"]: int(r["id"]) for r in _bounded_collect(vocab.select("token", "id"), "vocabulary")}
-    try:  # a broadcast variable ships the tables once per executor
+def shared_tables(spark, ranks: dict, ids: dict) -> Callable[[], tuple[dict, dict]]:
+    """The tables for worker functions, shipped once per executor."""
+    try:
         b_ranks, b_ids = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(ids)
-        tables = lambda: (b_ranks.value, b_ids.value)
+        return lambda: (b_ranks.value, b_ids.value)
     except Exception:  # noqa: BLE001 - Spark Connect: the tables travel with the function
-        tables = lambda: (ranks, ids)
+        return lambda: (ranks, ids)
+
+
+def word_dictionary(words: DataFrame, tables: Callable[[], tuple[dict, dict]], unk_id: int | None = None) -> DataFrame:
+    """(token, ids[, c]): each distinct pre-token of ``words`` encoded once, written to the checkpoint folder."""
+    from tessera.operators.order import materialise_scratch
+
     specials = set(SPECIAL_TOKENS)
 
     def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,27 +155,67 @@ def encode_bpe(
                 out["c"] = pdf["c"]
             yield out
 
-    from tessera.operators.order import materialise_scratch
-    from tessera.operators.tokens import explode_items, lookup
+    freq = ["c"] if "c" in words.columns else []
+    return materialise_scratch(words.select("token", *freq).mapInPandas(
+        encode_batches, "token string, ids array<int>" + (", c bigint" if freq else "")), "bpe-dictionary")
 
-    if words is None:
-        words = materialise_scratch(explode_items(df, tokens_col, "token").distinct(), "bpe-words")
 
-    freq = "c" if "c" in words.columns else None
-    dictionary = words.select("token", *([freq] if freq else [])).mapInPandas(
-        encode_batches, "token string, ids array<int>" + (", c bigint" if freq else ""))
-    # the dictionary is written once: the join (and its hot-key split) reads it
-    dictionary = materialise_scratch(dictionary, "bpe-dictionary")
+def attach_ids(df: DataFrame, key_cols: list[str], dictionary: DataFrame, tokens_col: str = "tokens",
+               out: str = "input_ids", flags_col: str | None = None) -> DataFrame:
+    """Join the dictionary's ids back to the pre-token arrays of ``df``, in order.
+
+    ``flags_col``: a boolean array aligned with the pre-tokens; it is returned
+    aligned with the ids (a pre-token's flag for each of its pieces).
+    """
+    from tessera.operators.tokens import lookup
+
     n_dict = dictionary.count()  # cheap on a materialised table
-    ex = df.select(*key_cols, F.posexplode_outer(col(tokens_col)).alias("_i", "token"))
+    freq = "c" if "c" in dictionary.columns else None
+    carried = [flags_col] if flags_col else []
+    ex = df.select(*key_cols, *carried, F.posexplode_outer(col(tokens_col)).alias("_i", "token"))
+    fields = ["_i", "ids"]
+    if flags_col:
+        ex = ex.withColumn("_f", F.col(flags_col)[F.col("_i")]).drop(flags_col)
+        fields.append("_f")
     joined = lookup(ex, dictionary, "token", ["ids"], n_dict if n_dict > BROADCAST_DICT_ROWS else 0, freq=freq)
-    item = F.when(F.col("_i").isNotNull(), F.struct("_i", "ids"))
-    return (
+    item = F.when(F.col("_i").isNotNull(), F.struct(*fields))
+    res = (
         joined.groupBy(*key_cols)
         .agg(F.array_sort(F.collect_list(item)).alias("_s"))
         .withColumn(out, F.flatten(F.transform("_s", lambda x: x["ids"])))
-        .drop("_s")
     )
+    if flags_col:
+        res = res.withColumn(flags_col, F.flatten(F.transform("_s", lambda x: F.array_repeat(x["_f"], F.size(x["ids"])))))
+    return res.drop("_s")
+
+
+def encode_bpe(
+    df: DataFrame,
+    key_cols: list[str],
+    merges: DataFrame,
+    vocab: DataFrame,
+    tokens_col: str = "tokens",
+    out: str = "input_ids",
+    unk_id: int | None = None,
+    words: DataFrame | None = None,
+    flags_col: str | None = None,
+) -> DataFrame:
+    """Byte-level BPE ids for the pre-token arrays of ``df``.
+
+    ``words`` (optional): the distinct pre-tokens (column ``token``) if the
+    caller already has them materialised.
+
+    ``merges``: (left, right, rank); ``vocab``: (token, id).  Special markers
+    present in the vocabulary map straight to their ids.  A piece missing from
+    the vocabulary takes ``unk_id``; without one the job fails.
+    """
+    from tessera.operators.order import materialise_scratch
+    from tessera.operators.tokens import explode_items
+
+    tables = shared_tables(df.sparkSession, *table_values(merges, vocab))
+    if words is None:
+        words = materialise_scratch(explode_items(df, tokens_col, "token").distinct(), "bpe-words")
+    return attach_ids(df, key_cols, word_dictionary(words, tables, unk_id), tokens_col, out, flags_col)
 
 
 def _alphabet_hex_map():

@@ -21,6 +21,9 @@ from tessera.functions.exprs import col, seeded_hash
 from tessera.functions.fixed import DEFAULT_SEED, MAP_BATCH_SIZE
 from tessera.session import checkpoint_dir
 
+# tables of groups or scan splits up to this many rows are broadcast (a path and four numbers a row)
+BROADCAST_GROUPS = 200_000
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition << 33) + row-in-partition
 
 
@@ -115,11 +118,73 @@ def materialise_scratch(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def index_in_groups(df: DataFrame, group_cols: list[str], rank_col: str, name: str, first: int | None = 0) -> DataFrame:
+    """Add ``name`` = dense position of each row when the groups, in order of
+    ``group_cols``, lie back to back; ``rank_col`` is the row's dense place in its group,
+    counted from ``first`` (None: from the group's smallest).
+
+    ``df`` is written once.  What is ordered is one row per group (its size);
+    the rows themselves get their group's offset by a join, a broadcast one
+    where the number of groups is within the checked bound.
+    """
+    rows = materialise_scratch(df, "group-rows")
+    low = F.min(rank_col) if first is None else F.lit(first)
+    sizes = rows.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_g_n"), low.cast("bigint").alias("_g_low"))
+    offsets = running_sum(sizes, list(group_cols), "_g_n", "_g_off").drop("_g_n")
+    if sizes.count() <= BROADCAST_GROUPS:
+        offsets = F.broadcast(offsets)
+    return rows.join(offsets, list(group_cols)).withColumn(name, (F.col("_g_off") + F.col(rank_col) - F.col("_g_low")).cast("bigint")) \
+        .drop("_g_off", "_g_low")
+
+
+def number_lines(df: DataFrame, file_col: str = "_file", start_col: str = "_start") -> DataFrame:
+    """Add ``pos`` (dense over all files, in order of file and line), ``in_file`` (line in
+    the file), ``n_file`` (lines of the file) and, unless ``file_col`` is that already,
+    ``file_index`` (rank of the file among those with rows).
+
+    Rows are written where they were read and never exchanged: a scan reads a
+    split's lines in order, so a line's place is its split's offset plus its
+    place in the split.  Only the splits (file, block start, lines) are
+    gathered, and ordered.
+    """
+    rows = materialise_scratch(df.withColumn("_row", F.monotonically_increasing_id()), "lines")
+    splits = rows.groupBy(file_col, start_col).agg(F.count(F.lit(1)).cast("bigint").alias("_c"), F.min("_row").alias("_base"))
+    # a row per scan split
+    before = Window.orderBy(file_col, start_col).rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy(file_col)
+    splits = splits.select(
+        file_col, start_col, "_base", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+        F.sum("_c").over(of_file).cast("bigint").alias("n_file"))
+    splits = splits.withColumn("_first", F.min("_off").over(of_file))
+    if file_col != "file_index":
+        splits = splits.withColumn("file_index", (F.dense_rank().over(Window.orderBy(file_col)) - 1).cast("int"))
+    splits = materialise_scratch(splits, "splits")
+    side = F.broadcast(splits) if splits.count() <= BROADCAST_GROUPS else splits
+    pos = F.col("_off") + F.col("_row") - F.col("_base")
+    numbered = rows.join(side, [file_col, start_col])
+    return numbered.withColumns({"pos": pos.cast("bigint"), "in_file": (pos - F.col("_first")).cast("bigint")}).drop(
+        "_row", "_base", "_off", "_first")
+
+
 def with_pos(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """Dense arrival position from the given ordering columns (e.g. file path, line number)."""
     return dense_index(df, order, name)
 
 
+def task_slots(spark) -> int:
+    """Tasks that can run at once."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` itself where it is read in at least as many partitions as there are task slots;
+    a small input (one file, a few splits) is dealt out by ``keys`` first."""
+    return df if df.rdd.getNumPartitions() >= task_slots(df.sparkSession) else df.repartition(*keys)
+
+
 def row_count(df: DataFrame) -> int:
     return int(df.count())
 
@@ -170,6 +235,35 @@ def assign_map_batches(
     )
 
 
+def assign_file_batches(df: DataFrame, batch_size: int = MAP_BATCH_SIZE, workers: int | None = None) -> DataFrame:
+    """``assign_map_batches`` for every file of ``number_lines`` at once: contiguous worker shards
+    of each file's ``n_file`` lines, map batches inside them.
+
+    ``shard`` counts on over the files (file_index * workers + shard in the
+    file), so one job batches, sorts or packs all files apart.
+    """
+    batch_size, w = _positive("batch_size", batch_size), max(int(workers or 1), 1)
+    n, at = F.col("n_file"), F.col("in_file")
+    q, m = F.floor(n / w), n % w
+    big = m * (q + 1)
+    shard = F.when(at < big, F.floor(at / (q + 1))).otherwise(m + F.floor((at - big) / F.greatest(q, F.lit(1))))
+    start = F.when(shard < m, shard * (q + 1)).otherwise(big + (shard - m) * q)
+    inner = (at - start).cast("bigint")
+    return (
+        df.withColumn("in_shard", inner)
+        .withColumn("batch", F.floor(inner / F.lit(batch_size)).cast("bigint"))
+        .withColumn("shard", (F.col("file_index") * F.lit(w) + shard).cast("bigint"))
+    )
+
+
+def file_batch_count(df: DataFrame, batch_size: int, workers: int | None = None) -> int:
+    """Number of (shard, batch) groups ``assign_file_batches`` produces for ``number_lines`` rows."""
+    w, b = max(int(workers or 1), 1), int(batch_size)
+    q, m = F.floor(F.col("n_file") / w), F.col("n_file") % w
+    files = df.groupBy("file_index").agg(F.max("n_file").alias("n_file"))
+    return int(files.agg(F.sum(m * F.ceil((q + 1) / b) + (w - m) * F.ceil(q / b))).first()[0] or 0)
+
+
 def map_batch_count(n_rows: int, batch_size: int, workers: int | None = None) -> int:
     """Number of (shard, batch) groups ``assign_map_batches`` produces."""
     workers = max(int(workers or 1), 1)
@@ -183,11 +277,7 @@ def batch_partitioning_pays(spark, n_rows: int, batch_size: int, workers: int |
     many map batches as task slots: every later per-batch step then reuses that
     one exchange.  With fewer batches, partition by ``pos`` for parallel
     tokenising and shuffle once more by batch."""
-    try:
-        slots = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - Spark Connect
-        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return map_batch_count(n_rows, batch_size, workers) >= slots
+    return map_batch_count(n_rows, batch_size, workers) >= task_slots(spark)
 
 
 # --- ops 37-39: training-order plans -----------------------------------------

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.order import dense_index
+from tessera.operators.order import index_in_groups
 
 
 def pack(
@@ -90,13 +90,11 @@ def sort_by_length(
     """Ascending length inside each batch, ties in arrival order (a stable sort).
 
     Adds ``rank_in_batch``; with ``out_pos`` also the dense output position
-    (batches back to back), computed by a range-partitioned index whose input
-    is written once to the checkpoint folder.  (Joining per-batch counts back
-    instead would evaluate the whole upstream twice in one plan: column pruning
-    makes the two branches differ, so their exchanges are not reused.)
+    (batches back to back): the ranked rows are written once and get their
+    batch's offset, which comes from the sizes of the batches alone.
     """
     w = Window.partitionBy(*group_cols).orderBy(F.col(length_col), F.col(pos_col))
     ranked = df.withColumn("rank_in_batch", (F.row_number().over(w) - 1).cast("bigint"))
     if out_pos:
-        ranked = dense_index(ranked, [*group_cols, length_col, pos_col], out_pos)
+        ranked = index_in_groups(ranked, list(group_cols), "rank_in_batch", out_pos)
     return ranked

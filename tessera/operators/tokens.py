@@ -47,6 +47,7 @@ def pretoken_pattern(profile: str = "portable") -> str:
 
 # a special marker, or a maximal run of text that does not start a marker
 SEGMENT_PATTERN = f"{MARKER_PATTERN}|(?:(?!{MARKER_PATTERN})[\\s\\S])+"
+MARKER_OPENING = "<|"
 
 
 def pretokens(text, profile: str = "portable", markers: bool = False) -> Column:
@@ -57,15 +58,18 @@ def pretokens(text, profile: str = "portable", markers: bool = False) -> Column:
     pattern branch can run across a marker).
     """
     pat = F.lit(pretoken_pattern(profile))
+    plain = F.regexp_extract_all(col(text), pat, 0)
     if not markers:
-        return F.regexp_extract_all(col(text), pat, 0)
+        return plain
     segments = F.regexp_extract_all(col(text), F.lit(SEGMENT_PATTERN), 0)
-    return F.flatten(
+    marked = F.flatten(
         F.transform(
             segments,
             lambda s: F.when(s.rlike(f"^(?:{MARKER_PATTERN})$"), F.array(s)).otherwise(F.regexp_extract_all(s, pat, 0)),
         )
     )
+    # every marker opens the same way; a text without that has nothing to split out
+    return F.when(F.contains(col(text), F.lit(MARKER_OPENING)), marked).otherwise(plain)
 
 
 def pretokenise(df: DataFrame, text_col: str = "text", out: str = "tokens", profile: str = "portable",

@@ -28,6 +28,7 @@ PLAN_BS, PLAN_ACCUM, SEED = 8, 2, 42
 PAD_ID = 0
 DPO_MAX_CHARS = 1500
 REWARD_MAX_LEN = 512
+BPE_MAX_LEN = 2048
 SCORING_LEN = 256
 MIX_EPOCHS = 5
 SPLIT_PERCENT = 10.0
@@ -150,7 +151,69 @@ def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return dec.select("pos", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def pretrain_encoded_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with special markers, as ids of a public byte-level tokeniser (ops 26, 28, 30)."""
+    ids, _ = tasks.tokenise_pretrain(tables.marked_docs(spark, sf), codec=tables.public_tokenizer(spark))
+    return ids.select("pos", _n("input_ids").alias("n_tokens"), ids_digest("input_ids").alias("ids_md5"))
+
+
+def pretrain_packed_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents packed into training chunks."""
+    out = tasks.build_pretrain(tables.marked_docs(spark, sf), PACK_LEN, PACK_BATCH, PACK_WORKERS,
+                               codec=tables.public_tokenizer(spark))
+    return out.select("shard", "batch", "chunk", "n_tokens", ids_digest("input_ids").alias("ids_md5"))
+
+
+def pretrain_decoded_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the public tokeniser back to text: lossless, markers included (op 29)."""
+    codec = tables.public_tokenizer(spark)
+    ids, _ = tasks.tokenise_pretrain(tables.marked_docs(spark, sf), codec=codec)
+    dec = codec.decode(ids, ["pos"])
+    return dec.select("pos", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 STREAM_LEN, STREAM_BATCH = 64, 100
+FILE_DOCS, FILE_CONVS, FILE_PAIRS, FILE_WORKERS = 400, 60, 60, 2
+
+
+def files_pretrain(spark: SparkSession, sf: str) -> DataFrame:
+    """The file entry point over JSON-lines files of 400 documents each (ops 1, 2, 30, 34, 35, 46)."""
+    root = tables.json_files(tables.pretrain_docs(spark, sf), "pos", ["text"], FILE_DOCS, "files-pt")
+    out = tasks.prepare_training_data(spark, "pt", train_file_dir=root, max_seq_length=PACK_LEN, batch_size=PACK_BATCH,
+                                      workers=FILE_WORKERS)
+    return out.select("file_index", "pos", "shard", "batch", "chunk", "n_tokens", ids_digest("input_ids").alias("ids_md5"))
+
+
+def files_sft(spark: SparkSession, sf: str) -> DataFrame:
+    """The file entry point over files of 60 conversations each (ops 1, 2, 31, 34, 36, 46)."""
+    root = tables.json_files(tables.sft_conversations(spark, sf), "pos", ["conversations"], FILE_CONVS, "files-sft")
+    out = tasks.prepare_training_data(spark, "sft", train_file_dir=root, max_seq_length=SFT_MAX_LEN,
+                                      template_name=SFT_TEMPLATE, batch_size=SFT_BATCH, workers=FILE_WORKERS)
+    return out.select("file_index", "pos", "shard", "batch", F.col("n").alias("n_full"),
+                      ids_digest("input_ids").alias("ids_md5"), ids_digest("labels").alias("labels_md5"))
+
+
+def _pair_files(spark, sf, label):
+    cols = ["question", "response_chosen", "response_rejected"]
+    return tables.json_files(tables.preference_pairs(spark, sf), "pair_id", cols, FILE_PAIRS, label)
+
+
+def files_dpo(spark: SparkSession, sf: str) -> DataFrame:
+    """The file entry point over files of 60 preference pairs each (ops 1, 2, 13, 14, 20, 46)."""
+    out = tasks.prepare_training_data(spark, "dpo", train_file_dir=_pair_files(spark, sf, "files-dpo"),
+                                      max_seq_length=DPO_MAX_CHARS, template_name=SFT_TEMPLATE)
+    return out.select("file_index", "pos", F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"),
+                      F.md5("rejected").alias("rejected_md5"))
+
+
+def files_reward(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files prepared for the reward model (ops 1, 2, 21, 32, 46)."""
+    out = tasks.prepare_training_data(spark, "reward", train_file_dir=_pair_files(spark, sf, "files-reward"),
+                                      max_seq_length=REWARD_MAX_LEN, template_name=SFT_TEMPLATE)
+    return out.select("file_index", "pos", ids_digest("input_ids_chosen").alias("chosen_md5"),
+                      ids_digest("input_ids_rejected").alias("rejected_md5"))
+
+
 
 
 def stream_prepared(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,6 +298,14 @@ def sft_prepared_truncated(spark: SparkSession, sf: str) -> DataFrame:
     return _sft_prepared(spark, sf, False)
 
 
+def sft_prepared_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat turns prepared with the ids of a public byte-level tokeniser (ops 28, 31, 36)."""
+    out = tasks.build_sft_from_turns(tables.table(spark, sf, "conversations"), SFT_TEMPLATE, BPE_MAX_LEN, True,
+                                     SFT_BATCH, SFT_WORKERS, codec=tables.public_tokenizer(spark))
+    return out.select("pos", "shard", "batch", "rank_in_batch", "out_pos", F.col("n").alias("n_full"),
+                      ids_digest("input_ids").alias("ids_md5"), ids_digest("labels").alias("labels_md5"))
+
+
 def sft_preview(spark: SparkSession, sf: str) -> DataFrame:
     """The first prepared SFT sample (output position 0), decoded (op 9)."""
     out, vocab = tasks.build_sft_from_turns(tables.table(spark, sf, "conversations"), SFT_TEMPLATE, SFT_MAX_LEN,
@@ -319,6 +390,15 @@ def reward_tokens(spark: SparkSession, sf: str) -> DataFrame:
                     F.aggregate("attention_mask_chosen", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_chosen"))
 
 
+def reward_tokens_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides of the pairs as ids of a public byte-level tokeniser (ops 28, 32)."""
+    r, _ = tasks.build_reward(tables.preference_pairs(spark, sf), "pair_id", SFT_TEMPLATE, BPE_MAX_LEN, True,
+                              codec=tables.public_tokenizer(spark))
+    return r.select("pair_id", _n("input_ids_chosen").alias("n_chosen"), _n("input_ids_rejected").alias("n_rejected"),
+                    ids_digest("input_ids_chosen").alias("chosen_md5"),
+                    ids_digest("input_ids_rejected").alias("rejected_md5"))
+
+
 def dpo_preview(spark: SparkSession, sf: str) -> DataFrame:
     """First prepared DPO sample (dataset order), as prompt + chosen / rejected (op 9)."""
     d = tasks.build_dpo(tables.preference_pairs(spark, sf), SFT_TEMPLATE, DPO_MAX_CHARS)
@@ -472,7 +552,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pretrain_pretokens, pretrain_full_pretokens, pretrain_vocab, pretrain_encoded, pretrain_map_batches,
         pretrain_packed, pretrain_packed_tail, prepared_counts, pretrain_decoded, pretrain_preview, documents_nfc,
-        bpe_encoded, bpe_roundtrip, stream_prepared,
+        bpe_encoded, bpe_roundtrip, pretrain_encoded_bpe, pretrain_packed_bpe, pretrain_decoded_bpe, sft_prepared_bpe,
+        reward_tokens_bpe, stream_prepared, files_pretrain, files_sft, files_dpo, files_reward,
         documents_concat, documents_split,
         sft_conversations, sft_rendered, sft_rendered_templates, chat_rendered, sft_tokens, sft_prepared,
         sft_prepared_truncated, sft_preview, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from tessera.functions.fixed import EOS_TOKEN, MARKER_PATTERN, PORTABLE_PRETOKEN_PATTERN, SPECIAL_TOKENS, TEMPLATE_ROWS
 from tessera.plans import catalog as C
+from tessera.sources.tables import public_tokenizer_path
 
 P = PORTABLE_PRETOKEN_PATTERN
 TPL = {row[0]: row for row in TEMPLATE_ROWS}
@@ -19,13 +20,30 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def marker_tokens(x: str) -> str:
+# FIXED VALUES: Unicode's white space, spelled out (\\s of RE2 is ASCII only)
+WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# the seven branches without lookahead: before the last blank of a run that a word follows, the text is split
+FULL = (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^" + WS + r"\p{L}\p{N}]+[\r\n]*|["
+        + WS + r"]*[\r\n]+|[" + WS + r"]+")
+RUN_END = f"([{WS}])([{WS.replace(chr(92) + 'n', '').replace(chr(92) + 'r', '')}][^{WS}])"
+
+
+def portable_tokens(x: str) -> str:
+    return f"regexp_extract_all({x}, {lit(P)})"
+
+
+def full_tokens(x: str) -> str:
+    cut = f"string_split(regexp_replace({x}, {lit(RUN_END)}, '\\1' || chr(0) || '\\2', 'g'), chr(0))"
+    return f"flatten(list_transform({cut}, lambda part: regexp_extract_all(part, {lit(FULL)})))"
+
+
+def marker_tokens(x: str, tokens=portable_tokens) -> str:
     """Markers split out first (RE2 has no lookahead: wrap them in NUL and split),
     then each text segment pre-tokenised on its own."""
     markers = ", ".join(lit(m) for m in SPECIAL_TOKENS)
     return (f"flatten(list_transform(string_split(regexp_replace({x}, {lit('(' + MARKER_PATTERN + ')')}, "
             f"chr(0) || '\\1' || chr(0), 'g'), chr(0)), lambda seg: CASE WHEN seg IN ({markers}) THEN [seg] "
-            f"ELSE regexp_extract_all(seg, {lit(P)}) END))")
+            f"ELSE {tokens('seg')} END))")
 
 
 def fmt_sql(fmt: str, content_sql: str, eos: str | None = EOS_TOKEN) -> str:
@@ -82,10 +100,69 @@ def encode_ctes(src: str, key: str, prefix: str, flags: bool = False) -> str:
 
 PRETRAIN = f"""
 docs AS (SELECT doc_id AS pos, text FROM documents),
-toks AS (SELECT pos, regexp_extract_all(nfc_normalize(text), {lit(P)}) AS tokens FROM docs),
+toks AS (SELECT pos, {marker_tokens("nfc_normalize(text)")} AS tokens FROM docs),
 {encode_ctes("toks", "pos", "p")}"""
 
 
+# --- byte-level BPE --------------------------------------------------------------
+
+def bpe_ctes(src: str, key: str, prefix: str, flags: bool = False) -> str:
+    """``src`` has (key, tokens[, sup]); defines <prefix>enc(key, ids[, labels]) by the merges of a tokeniser file.
+
+    Symbols of a word are wrapped in chr(1) .. chr(2), so replacing a wrapped pair merges its
+    occurrences from left to right; every round replaces each word's pair of the lowest rank.
+    """
+    markers = ", ".join(f"({lit(m)}, {i})" for i, m in enumerate(SPECIAL_TOKENS))
+    sup_sel = ", sup[i + 1] AS sup" if flags else ""
+    lab = (", flatten(list(CASE WHEN x.sup THEN d.ids ELSE list_transform(d.ids, lambda z: -100) END ORDER BY x.i)) AS labels"
+           if flags else "")
+    lab_out = ", coalesce(e.labels, CAST([] AS INTEGER[])) AS labels" if flags else ""
+    return f"""
+btk AS (SELECT CAST(content AS JSON) AS j FROM read_text({lit(public_tokenizer_path())})),
+bown AS (SELECT e.key AS token, e.value AS id
+         FROM (SELECT unnest(map_entries(json_transform(j->'$.model.vocab', '"MAP(VARCHAR,INTEGER)"'))) AS e FROM btk)),
+badd AS (SELECT a.content AS token, a.id AS id
+         FROM (SELECT unnest(json_transform(j->'$.added_tokens', '[{{"content":"VARCHAR","id":"INTEGER"}}]')) AS a FROM btk)),
+bheld AS (SELECT * FROM bown UNION ALL SELECT * FROM badd WHERE token NOT IN (SELECT token FROM bown)),
+bvoc AS (SELECT * FROM bheld UNION ALL
+         SELECT m, CAST((SELECT max(id) FROM bheld) + row_number() OVER (ORDER BY o) AS INTEGER)
+         FROM (VALUES {markers}) v(m, o) WHERE m NOT IN (SELECT token FROM bheld)),
+bmrg AS (SELECT p[1] AS l, p[2] AS r, rank FROM (
+         SELECT unnest(ps) AS p, unnest(range(len(ps))) AS rank
+         FROM (SELECT json_transform(j->'$.model.merges', '[["VARCHAR"]]') AS ps FROM btk))),
+balpha AS (SELECT list(CASE WHEN own THEN chr(b) ELSE chr(CAST(255 + k AS INTEGER)) END ORDER BY b) AS a
+           FROM (SELECT b, own, row_number() OVER (PARTITION BY own ORDER BY b) AS k FROM (
+                 SELECT CAST(range AS INTEGER) AS b, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172
+                        OR range BETWEEN 174 AND 255 AS own FROM range(256)))),
+{prefix}ex AS (SELECT {key}, i, tokens[i + 1] AS token{sup_sel}
+      FROM (SELECT *, unnest(range(len(tokens))) AS i FROM {src})),
+bword AS (SELECT DISTINCT token FROM {prefix}ex WHERE token NOT IN ({", ".join(lit(m) for m in SPECIAL_TOKENS)})),
+bpe(token, s, step) AS (
+  SELECT token, array_to_string(list_transform(range(octet_length(encode(token))), lambda i: chr(1)
+         || a[CAST('0x' || substr(hex(encode(token)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1] || chr(2)), ''), 0
+  FROM bword, balpha
+  UNION ALL
+  SELECT token, replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2)), step + 1
+  FROM (SELECT token, s, step, arg_min(m.l, rank) AS l, arg_min(m.r, rank) AS r
+        FROM (SELECT token, s, step, unnest(x[:-2]) AS l, unnest(x[2:]) AS r
+              FROM (SELECT *, string_split(s[2:-2], chr(2) || chr(1)) AS x FROM bpe)) p
+        JOIN bmrg m ON m.l = p.l AND m.r = p.r GROUP BY token, s, step)),
+bdone AS (SELECT token, string_split(arg_max(s, step)[2:-2], chr(2) || chr(1)) AS x FROM bpe GROUP BY token),
+bdict AS (SELECT d.token, list(v.id ORDER BY i) AS ids
+          FROM (SELECT token, unnest(x) AS piece, unnest(range(len(x))) AS i FROM bdone) d
+          JOIN bvoc v ON v.token = d.piece GROUP BY d.token
+          UNION ALL SELECT token, [id] FROM bvoc WHERE token IN ({", ".join(lit(m) for m in SPECIAL_TOKENS)})),
+{prefix}enc0 AS (SELECT x.{key}, flatten(list(d.ids ORDER BY x.i)) AS ids{lab}
+      FROM {prefix}ex x JOIN bdict d USING (token) GROUP BY x.{key}),
+{prefix}enc AS (SELECT t.{key}, coalesce(e.ids, CAST([] AS INTEGER[])) AS ids{lab_out}
+      FROM {src} t LEFT JOIN {prefix}enc0 e USING ({key}))"""
+
+
+MARKED = f"""
+docs AS (SELECT doc_id AS pos, text || {lit(SPECIAL_TOKENS[0])} || source || {lit(SPECIAL_TOKENS[2])} AS text FROM documents),
+toks AS (SELECT pos, {marker_tokens("nfc_normalize(text)", full_tokens)} AS tokens FROM docs)"""
+
+
 def shard_ctes(src: str, workers: int, batch: int, name: str = "sb") -> str:
     """(…, shard, inner, batch) for contiguous sharding of ``src`` by pos."""
     return f"""
@@ -148,6 +225,10 @@ SQL["prepared_counts"] = _pretrain_packed_body(C.PACK_WORKERS) + """
 SELECT CAST(shard AS BIGINT) AS shard, count(*) AS samples, CAST(sum(len(ids)) AS BIGINT) AS tokens
 FROM packed GROUP BY shard"""
 
+SQL["pretrain_full_pretokens"] = f"""WITH docs AS (SELECT doc_id AS pos, text FROM documents),
+toks AS (SELECT pos, {marker_tokens("nfc_normalize(text)", full_tokens)} AS tokens FROM docs)
+SELECT pos, {n("tokens")} AS n_tokens, {md5_list("tokens")} AS tokens_md5 FROM toks"""
+
 SQL["pretrain_decoded"] = f"""WITH {PRETRAIN}
 SELECT pos, CAST(length(array_to_string(tokens, '')) AS BIGINT) AS n_chars,
        md5(array_to_string(tokens, '')) AS text_md5 FROM toks"""
@@ -157,6 +238,64 @@ first AS (SELECT ids FROM packed ORDER BY shard, batch, chunk LIMIT 1),
 fx AS (SELECT i, ids[i + 1] AS id FROM (SELECT ids, unnest(range(len(ids))) AS i FROM first))
 SELECT string_agg(v.token, ' ' ORDER BY fx.i) AS preview FROM fx JOIN pvocab v USING (id)"""
 
+def _bpe_sql() -> dict[str, str]:
+    """Twins that read the installed tokeniser file; none where there is none."""
+    encoded = f"WITH RECURSIVE {MARKED}, {bpe_ctes('toks', 'pos', 'p')}"
+    return {
+        "pretrain_encoded_bpe": encoded + f"""
+SELECT pos, {n("ids")} AS n_tokens, {md5_list("ids")} AS ids_md5 FROM penc""",
+        "pretrain_packed_bpe": encoded + f""",
+{shard_ctes("penc", C.PACK_WORKERS, C.PACK_BATCH)},
+{pack_sql("sb", C.PACK_LEN)}
+SELECT CAST(shard AS BIGINT) AS shard, batch, CAST(chunk AS BIGINT) AS chunk, {n("ids")} AS n_tokens,
+       {md5_list("ids")} AS ids_md5 FROM packed""",
+        "sft_prepared_bpe": f"""WITH RECURSIVE {CONV}, {rend_cte(C.SFT_TEMPLATE)},
+mt AS (SELECT pos, list_transform(r, lambda m: {{'role': m.role, 't': {marker_tokens('nfc_normalize(m.text)', full_tokens)}}}) AS mt FROM rend),
+stoks AS (SELECT pos, flatten(list_transform(mt, lambda m: m.t)) AS tokens,
+                 flatten(list_transform(mt, lambda m: list_transform(m.t, lambda x: m.role = 'assistant'))) AS sup FROM mt),
+{bpe_ctes("stoks", "pos", "s", flags=True)},
+{shard_ctes("senc", C.SFT_WORKERS, C.SFT_BATCH)},
+k AS (SELECT * FROM sb WHERE len(ids) <= {C.BPE_MAX_LEN})
+SELECT pos, CAST(shard AS BIGINT) AS shard, batch,
+       CAST(row_number() OVER (PARTITION BY shard, batch ORDER BY len(ids), pos) - 1 AS BIGINT) AS rank_in_batch,
+       CAST(row_number() OVER (ORDER BY shard, batch, len(ids), pos) - 1 AS BIGINT) AS out_pos,
+       {n("ids")} AS n_full, {md5_list("ids")} AS ids_md5, {md5_list("labels")} AS labels_md5
+FROM k""",
+        "reward_tokens_bpe": f"""WITH RECURSIVE {PAIRS},
+rt AS (SELECT pair_id * 2 AS side, {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(TPL[C.SFT_TEMPLATE][3], 'response_chosen') + ')', full_tokens)} AS tokens FROM pairs
+       UNION ALL
+       SELECT pair_id * 2 + 1, {marker_tokens('nfc_normalize(' + _prompt(C.SFT_TEMPLATE, 'question') + ' || ' + fmt_sql(TPL[C.SFT_TEMPLATE][3], 'response_rejected') + ')', full_tokens)} FROM pairs),
+{bpe_ctes("rt", "side", "r")}
+SELECT c.side // 2 AS pair_id, {n("c.ids")} AS n_chosen, {n("r.ids")} AS n_rejected, {md5_list("c.ids")} AS chosen_md5,
+       {md5_list("r.ids")} AS rejected_md5
+FROM renc c JOIN renc r ON r.side = c.side + 1 AND c.side % 2 = 0
+WHERE len(c.ids) <= {C.BPE_MAX_LEN} AND len(r.ids) <= {C.BPE_MAX_LEN}""",
+    }
+
+
+SQL["pretrain_decoded_bpe"] = f"""WITH d AS (
+  SELECT doc_id AS pos, nfc_normalize(text || {lit(SPECIAL_TOKENS[0])} || source || {lit(SPECIAL_TOKENS[2])}) AS text FROM documents)
+SELECT pos, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM d"""
+
+
+def file_ctes(src: str, per_file: int, workers: int, batch: int) -> str:
+    """``src`` has a dense ``pos``; defines fb with file_index, shard and batch of each file's rows."""
+    return f"""
+fl AS (SELECT s.*, CAST(pos // {per_file} AS INTEGER) AS file_index, pos % {per_file} AS line,
+              count(*) OVER (PARTITION BY pos // {per_file}) AS nf FROM {src} s),
+fq AS (SELECT *, nf // {workers} AS q, nf % {workers} AS m FROM fl),
+fs AS (SELECT *, CASE WHEN line < m * (q + 1) THEN line // (q + 1) ELSE m + (line - m * (q + 1)) // q END AS shard FROM fq),
+fb AS (SELECT * EXCLUDE (q, m, line, nf), CAST((line - CASE WHEN shard < m THEN shard * (q + 1)
+              ELSE m * (q + 1) + (shard - m) * q END) // {batch} AS BIGINT) AS batch FROM fs)"""
+
+
+SQL["files_pretrain"] = f"""WITH {PRETRAIN},
+{file_ctes("penc", C.FILE_DOCS, C.FILE_WORKERS, C.PACK_BATCH)},
+{pack_sql("fb", C.PACK_LEN, scope="file_index")}
+SELECT file_index, CAST(row_number() OVER (ORDER BY file_index, shard, batch, chunk) - 1 AS BIGINT) AS pos,
+       CAST(shard AS BIGINT) AS shard, batch, CAST(chunk AS BIGINT) AS chunk, {n("ids")} AS n_tokens,
+       {md5_list("ids")} AS ids_md5 FROM packed"""
+
 SQL["documents_nfc"] = """SELECT doc_id AS pos, md5(nfc_normalize(text)) AS text_md5, nfc_normalize(text) <> text AS changed
 FROM documents"""
 
@@ -278,6 +417,14 @@ fx AS (SELECT pos, i, ids[i + 1] AS id FROM (SELECT pos, ids, unnest(range(len(i
 SELECT pos, string_agg(v.token, ' ' ORDER BY fx.i) AS preview FROM fx JOIN svocab v USING (id) GROUP BY pos"""
 SQL["sft_prepared_truncated"] = _sft_prepared(False)
 
+SQL["files_sft"] = f"""WITH {SFT},
+{file_ctes("senc", C.FILE_CONVS, C.FILE_WORKERS, C.SFT_BATCH)},
+k AS (SELECT * FROM fb WHERE len(ids) <= {C.SFT_MAX_LEN})
+SELECT file_index, CAST(row_number() OVER (ORDER BY file_index, shard, batch, len(ids), pos) - 1 AS BIGINT) AS pos,
+       CAST(shard AS BIGINT) AS shard, batch, {n("ids")} AS n_full, {md5_list("ids")} AS ids_md5,
+       {md5_list("labels")} AS labels_md5
+FROM k"""
+
 SHIFT = "list_slice(labels, 2, len(labels))"
 SQL["supervision_stats"] = f"""WITH {SFT}
 SELECT pos, {n("labels")} AS n_tokens, {SUP} AS n_supervised,
@@ -373,6 +520,14 @@ SELECT pair_id, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS p
 FROM d WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {C.DPO_MAX_CHARS}
   AND length(prompt) > 0 AND length(chosen) > 0 AND length(rejected) > 0"""
 
+SQL["files_dpo"] = f"""WITH {PAIRS},
+d AS (SELECT pair_id, {_prompt(C.SFT_TEMPLATE, 'question')} AS prompt, response_chosen AS chosen,
+             response_rejected AS rejected FROM pairs)
+SELECT CAST(pair_id // {C.FILE_PAIRS} AS INTEGER) AS file_index, CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS pos,
+       md5(prompt) AS prompt_md5, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5
+FROM d WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {C.DPO_MAX_CHARS}
+  AND length(prompt) > 0 AND length(chosen) > 0 AND length(rejected) > 0"""
+
 SQL["dpo_preview"] = f"""WITH {PAIRS},
 d AS (SELECT pair_id, {_prompt(C.SFT_TEMPLATE, 'question')} AS prompt, response_chosen AS chosen,
              response_rejected AS rejected FROM pairs),
@@ -403,6 +558,11 @@ SELECT pair_id, {n("ic")} AS n_chosen, {n("ir")} AS n_rejected, {md5_list("ic")}
        {n("ic")} AS mask_chosen
 FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}"""
 
+SQL["files_reward"] = f"""WITH {REWARD}
+SELECT CAST(pair_id // {C.FILE_PAIRS} AS INTEGER) AS file_index, CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS pos,
+       {md5_list("ic")} AS chosen_md5, {md5_list("ir")} AS rejected_md5
+FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}"""
+
 SQL["reward_preview"] = f"""WITH {REWARD},
 fr AS (SELECT pair_id, ic FROM w WHERE len(ic) <= {C.REWARD_MAX_LEN} AND len(ir) <= {C.REWARD_MAX_LEN}
        ORDER BY pair_id LIMIT 1),
@@ -573,3 +733,9 @@ SQL["reward_scores"] = f"""WITH {TOKLOGP}, {_wide(True)},
 sc AS (SELECT pair_id, pc - pr AS logit FROM wide),
 mse AS (SELECT avg(pow(logit - 1.0, 2)) AS mse_all FROM sc)
 SELECT pair_id, {r6('logit')} AS logit, {r6('1.0 / (1.0 + exp(-logit))')} AS score, {r6('mse_all')} AS mse_all FROM sc, mse"""
+
+try:
+    SQL |= _bpe_sql()
+except ModuleNotFoundError as e:     # the public tokeniser files are an installed package
+    if e.name != "public_tokenizers":
+        raise

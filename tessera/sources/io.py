@@ -6,9 +6,12 @@ pass); outputs are parquet (prepared data) or JSON lines (mixing output).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +48,28 @@ CORRUPT = "_corrupt"
 
 
 def is_array_file(spark: SparkSession, path: str) -> bool:
-    """Whether a JSON file holds one array (its first non-blank line opens it) rather than lines."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
+    """Whether a JSON file holds one array (its first character that is not blank opens it) rather than lines.
+
+    Looks at the file's head through the session's filesystem; no job.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    blank = b" \t\r\n\xef\xbb\xbf"           # with the three bytes of a byte-order mark
+    try:
+        b = stream.read()
+        while b >= 0 and b in blank:
+            b = stream.read()
+        return b == ord("[")
+    finally:
+        stream.close()
 
 
 def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: bool | None = None,
                  malformed: str = "fail") -> DataFrame:
-    """JSON lines or JSON array files → table, with ``_file`` and a stable
-    in-file order for building ``pos`` (op 1).
+    """JSON lines or JSON array files → table, with ``_file`` and ``_start`` (the
+    scan split a row was read in), from which ``number_lines`` builds ``pos`` (op 1).
 
-    ``multi_line=None`` looks at each file's first line to tell arrays from
-    lines.  A malformed line fails the job; ``malformed="quarantine"`` keeps it
+    ``multi_line=None`` looks at each file's head to tell arrays from lines.  A malformed line fails the job; ``malformed="quarantine"`` keeps it
     as a row whose ``_corrupt`` column holds the line (NULL elsewhere).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -75,7 +88,8 @@ def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: b
     else:
         with_line = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.schema(with_line).option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.json(paths).withColumn("_file", F.col("_metadata.file_path"))
+    return reader.json(paths).withColumns(
+        {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
 
 
 def source_name(path_col: str = "_file"):
@@ -121,6 +135,69 @@ def params_fingerprint(path: str, params: dict) -> str:
     return f"{base}-{hashlib.sha256(blob.encode()).hexdigest()[:16]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its filesystem's scheme, as the session resolves it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
+def with_file_index(df: DataFrame, files: list[str]) -> DataFrame:
+    """Add ``file_index``: the place of a row's ``_file`` in the list of qualified paths."""
+    local = r"^file:/+"
+    plain = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+    listed = df.sparkSession.createDataFrame(
+        [(re.sub(local, "file:/", f), i) for i, f in enumerate(files)], "_path string, file_index int")
+    # one row per input file
+    return df.withColumn("_path", F.regexp_replace(plain, local, "file:/")).join(F.broadcast(listed), "_path").drop("_path")
+
+
+class CacheLedger:
+    """Prepared files under a cache folder: one table per run, and the commits (key, run).
+
+    A run's rows count only once its commits are written, which is a single
+    append after the table, so a run that breaks off leaves nothing behind that
+    a later one would read.
+    """
+
+    SCHEMA = "key string, run string, file_index int"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.path = f"{self.root}/commits"
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+    def committed(self) -> dict[str, tuple[str, int]]:
+        """Key → (run, file_index in it); a row per prepared file."""
+        if not self._exists(self.path):
+            return {}
+        return {r["key"]: (r["run"], r["file_index"])
+                for r in self.spark.read.schema(self.SCHEMA).parquet(self.path).collect()}
+
+    def commit(self, prepared: DataFrame, keys: list[str]) -> None:
+        """Write ``prepared`` (its ``file_index`` counts through ``keys``), then commit every key."""
+        run = uuid.uuid4().hex
+        prepared.write.parquet(f"{self.root}/run-{run}")
+        rows = [(k, run, i) for i, k in enumerate(keys)]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def read(self, keys: list[str]) -> DataFrame:
+        """The rows of ``keys``, ``file_index`` being the place in the list; one scan per run."""
+        known = self.committed()
+        runs: dict[str, list[tuple[int, int]]] = {}
+        for i, k in enumerate(keys):
+            run, at = known[k]
+            runs.setdefault(run, []).append((at, i))
+        parts = []
+        for run, places in runs.items():
+            wanted = self.spark.createDataFrame(places, "_at int, _place int")
+            held = self.spark.read.parquet(f"{self.root}/run-{run}").withColumnRenamed("file_index", "_at")
+            parts.append(held.join(F.broadcast(wanted), "_at").drop("_at").withColumnRenamed("_place", "file_index"))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+
 def file_stamp(spark: SparkSession, path: str) -> list[int]:
     """Length and modification time of a file, for cache keys."""
     jvm = spark.sparkContext._jvm

@@ -31,6 +31,43 @@ def pretrain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("pos"), "text")
 
 
+def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pretraining text that holds special markers: every document's text, an end-of-text
+    marker, its source's name and an end-of-message marker."""
+    from tessera.functions.fixed import ENDOFTEXT, IM_END
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("bigint").alias("pos"),
+                       F.concat("text", F.lit(ENDOFTEXT), "source", F.lit(IM_END)).alias("text"))
+
+
+def json_files(rows: DataFrame, order_col: str, cols: list[str], per_file: int, label: str) -> str:
+    """``rows`` as JSON-lines files of ``per_file`` consecutive ``order_col`` values each, lines in
+    that order, under the checkpoint folder; returns the pattern of the files' folders."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+
+    root = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    bucket = F.lpad(F.floor(F.col(order_col) / per_file).cast("string"), 12, "0")
+    (rows.select(bucket.alias("bucket"), order_col, *cols).repartition("bucket").sortWithinPartitions("bucket", order_col)
+     .select("bucket", *cols).write.partitionBy("bucket").json(root))
+    return f"{root}/bucket=*"
+
+
+def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.json"):
+    """The codec of an installed public byte-level tokeniser file."""
+    from tessera.operators.codec import read_tokenizer_json
+
+    return read_tokenizer_json(spark, f"file://{public_tokenizer_path(name)}")
+
+
+def public_tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def flat_turns_to_conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) rows → one row per conversation holding
     ``conversations ARRAY<STRUCT<role, content>>`` in turn order (op 24)."""
@@ -180,7 +217,7 @@ def bpe_tables(words: DataFrame, num_merges: int) -> tuple[DataFrame, DataFrame]
     merges = the ``num_merges`` most frequent adjacent pairs (ties by symbols),
     ranked in that order; vocab = the 256 byte symbols (ids 0-255 in byte
     order), then one merged symbol per merge (256 + rank), then the special
-    markers.  External vocab/merges files can be read with ``sources.io``.
+    markers.  Files of a tokeniser are read by ``operators.codec``.
     """
     from pyspark.sql import Window
 

@@ -17,29 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.order import assign_map_batches, dense_index
-from tessera.operators.pack import pack
-from tessera.operators.tokens import encode_tokens, normalise_nfc, pretokenise
+from tessera.operators.codec import PortableCodec
+from tessera.operators.order import number_lines
+from tessera.plans.tasks import build_pretrain
 
 
-def line_positions(df: DataFrame) -> DataFrame:
-    """Dense ``pos`` by (file, line order).  Lines of one file keep their
-    order inside a scan split, and splits of a file are numbered in order."""
-    staged = df.withColumn("_line", F.monotonically_increasing_id())
-    return dense_index(staged, ["_file", "_line"], "pos").drop("_line")
-
-
-def pretrain_preparer(vocab: DataFrame, max_seq_len: int, batch_size: int, workers: int | None = None,
-                      unk_id: int | None = None) -> Callable[[DataFrame], DataFrame]:
-    """Micro-batch → packed chunks, with a fixed vocabulary (unseen tokens → ``unk_id``)."""
-    size = int(vocab.count())
+def pretrain_preparer(vocab: DataFrame | None, max_seq_len: int, batch_size: int, workers: int | None = None,
+                      unk_id: int | None = None, codec=None) -> Callable[[DataFrame], DataFrame]:
+    """Micro-batch → packed chunks, with a fixed vocabulary (unseen tokens → ``unk_id``) or a codec's tables."""
+    if codec is None:
+        codec = PortableCodec(vocab, unk_id, size=int(vocab.count()))
 
     def prepare(batch: DataFrame) -> DataFrame:
-        docs = line_positions(batch).select("pos", "_file", "text")
-        n_rows = docs.count()
-        toks = pretokenise(normalise_nfc(docs.repartition("pos"), "text"), "text")
-        ids = encode_tokens(toks, ["pos"], vocab, unk_id=unk_id, size=size).withColumn("labels", F.col("input_ids"))
-        return pack(assign_map_batches(ids, batch_size, workers, n_rows=n_rows), max_seq_len)
+        docs = number_lines(batch).select("pos", "text")
+        return build_pretrain(docs, max_seq_len, batch_size, workers, codec=codec)
 
     return prepare
 
@@ -60,7 +51,7 @@ def prepare_stream(
         .option("maxFilesPerTrigger", 1)
         .option("pathGlobFilter", pattern)
         .json(source_dir)
-        .withColumn("_file", F.col("_metadata.file_path"))
+        .withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
     )
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:

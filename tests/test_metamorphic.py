@@ -74,3 +74,13 @@ def test_separator_adds_one_token_per_document(spark):
     assert total(sep) == total(plain) + docs.count()
     ids = sep.first().input_ids
     assert ids[-1] == -7 and ids.count(-7) == docs.count()
+
+
+def test_both_ways_of_dealing_out_texts_pack_alike(spark):
+    from tessera.operators.order import assign_map_batches
+
+    docs = spark.createDataFrame([(i, "alpha beta gamma " * (i % 7)) for i in range(60)], "pos bigint, text string")
+    codec = tasks.codec_for(None).learn(tasks.task_pretokens(docs, "pt"))
+    batched = assign_map_batches(docs, 9, 2, n_rows=60)
+    a, b = (sorted(tuple(r) for r in tasks.pack_documents(batched, codec, 16, by_batch).collect()) for by_batch in (True, False))
+    assert a == b and a
