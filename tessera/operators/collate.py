@@ -51,9 +51,10 @@ def fill_ratio(stats: DataFrame) -> DataFrame:
 
 def unpad_offsets(df: DataFrame, batch_col: str = "batch_id", order_col: str = "order_idx",
                   mask: str = "attention_mask") -> DataFrame:
-    """Per row of a padded batch: real length, running offset (cu_seqlens
-    without the trailing total), batch max length and the flat indices of real
-    tokens in the row-major batch (op 42)."""
+    """Per row of a padded batch: real length, running offset (where the row
+    starts among the batch's real tokens), batch max length and the flat
+    indices of real tokens in the row-major batch (op 42).  ``cu_seqlens``
+    gives a batch's offsets with their closing total."""
     ordered = Window.partitionBy(batch_col).orderBy(order_col)
     whole = Window.partitionBy(batch_col)
     seqlen = F.size(F.filter(col(mask), lambda x: x))
@@ -71,6 +72,19 @@ def unpad_offsets(df: DataFrame, batch_col: str = "batch_id", order_col: str = "
     return staged.withColumn("indices", flat)
 
 
+def cu_seqlens(df: DataFrame, batch_col: str = "batch_id", order_col: str = "order_idx",
+               mask: str = "attention_mask") -> DataFrame:
+    """Per batch: ``cu_seqlens`` (0, then the running sum of real lengths, so its last entry is the
+    batch's number of real tokens), ``max_seqlen`` and ``total`` (op 42)."""
+    lens = df.select(batch_col, F.struct(F.col(order_col).alias("o"),
+                                         F.size(F.filter(col(mask), lambda x: x)).cast("bigint").alias("n")).alias("_r"))
+    rows = lens.groupBy(batch_col).agg(F.array_sort(F.collect_list("_r")).alias("_r"))  # one training batch
+    start = F.array(F.lit(0).cast("bigint"))
+    cu = F.aggregate("_r", start, lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["n"])))
+    return rows.select(batch_col, cu.alias("cu_seqlens"), F.array_max(F.transform("_r", lambda r: r["n"])).alias("max_seqlen")) \
+        .withColumn("total", F.element_at("cu_seqlens", -1))
+
+
 def last_token_index(ids, pad_id: int) -> Column:
     """Index of the first pad minus one, modulo the length; no pad -> last index (op 43)."""
     first_pad = F.greatest(F.array_position(col(ids), int(pad_id)) - 1, F.lit(0))

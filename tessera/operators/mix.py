@@ -21,15 +21,23 @@ from tessera.operators.order import dense_index
 
 def concat_datasets(dfs: list[DataFrame], pos_col: str = "pos") -> DataFrame:
     """Union-all in list order (op 46).  ``pos`` becomes dense over the
-    concatenation: file k's rows follow all rows of files 0..k-1."""
+    concatenation: file k's rows follow all rows of files 0..k-1.
+
+    Each input's ``pos`` has to be dense already (0 to rows - 1); one that is
+    not (rows were dropped since it was numbered) fails the job, since its
+    rows would get places of the next file's.
+    """
     tagged = [d.withColumn("_file", F.lit(i)) for i, d in enumerate(dfs)]
     union = reduce(lambda a, b: a.unionByName(b), tagged)
     # one row per input dataset: the running sum is a tiny single-partition window
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         union.groupBy("_file")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(pos_col).alias("_lo"), F.max(pos_col).alias("_hi"))
+        .select("_file", F.when((F.col("_lo") == 0) & (F.col("_hi") == F.col("_n") - 1),
+                                F.coalesce(F.sum("_n").over(before), F.lit(0)))
+                .otherwise(F.raise_error(F.concat(F.lit("positions of input "), F.col("_file").cast("string"),
+                                                  F.lit(" are not dense"))).cast("bigint")).alias("_off"))
     )
     return (
         union.join(F.broadcast(starts), "_file")

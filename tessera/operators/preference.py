@@ -77,6 +77,57 @@ def reference_logps(pairs: DataFrame, precomputed: DataFrame | None, recomputed:
     )
 
 
+class ReferenceCache:
+    """Reference log-probs by pair (op 54), kept in a folder of versions.
+
+    ``fill`` recomputes values only for pairs that have not both of them yet
+    (an anti-join) and adds them as one more version; a version counts once it
+    is written to its end, and of a pair that several hold the newest counts.
+    """
+
+    COLS = ("reference_chosen", "reference_rejected")
+
+    def __init__(self, spark, root: str, pair: str = "pair_id"):
+        self.spark, self.root, self.pair = spark, root.rstrip("/"), pair
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/version=*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(int(str(s.getPath().getParent().getName()).split("=")[1]) for s in found)
+
+    def read(self) -> DataFrame | None:
+        """(pair, reference_chosen, reference_rejected, version) of the pairs with both values; None before any."""
+        versions = self._versions()
+        if not versions:
+            return None
+        held = self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/version={v}" for v in versions])
+        held = held.where(F.col(self.COLS[0]).isNotNull() & F.col(self.COLS[1]).isNotNull())
+        if len(versions) == 1:
+            return held.select(self.pair, *self.COLS, "version")
+        newest = held.groupBy(self.pair).agg(F.max(F.struct("version", *self.COLS)).alias("_n"))
+        return newest.select(self.pair, *[F.col(f"_n.{c}").alias(c) for c in self.COLS], F.col("_n.version").alias("version"))
+
+    def add(self, values: DataFrame) -> int:
+        """Write (pair, reference_chosen, reference_rejected) rows as the next version; returns its number."""
+        version = max(self._versions(), default=-1) + 1
+        values.select(self.pair, *self.COLS).write.mode("overwrite").parquet(f"{self.root}/version={version}")
+        return version
+
+    def missing(self, pairs: DataFrame) -> DataFrame:
+        """The pairs without both values."""
+        held = self.read()
+        return pairs if held is None else pairs.join(held.select(self.pair), self.pair, "left_anti")
+
+    def fill(self, pairs: DataFrame, recompute) -> DataFrame:
+        """``pairs`` with their reference values and the version each came from; ``recompute(missing pairs)``
+        gives values for the missing ones."""
+        missing = self.missing(pairs)
+        if not missing.isEmpty():
+            self.add(recompute(missing))
+        return pairs.join(self.read(), self.pair, "left")
+
+
 def preference_loss(pairs: DataFrame, kind: str = "sigmoid", beta: float = DEFAULT_BETA,
                     ipo_double: bool = True, rpo_alpha: float | None = None, nll: str | None = None,
                     gamma: float = SIMPO_GAMMA) -> DataFrame:
@@ -164,6 +215,21 @@ def dro_loss(losses: DataFrame, weight: float = DEFAULT_DRO_WEIGHT, loss: str =
     )
 
 
+def cpo_objective(losses: DataFrame, nll: float | Column, alpha: float = 1.0, dro_weight: float | None = None) -> DataFrame:
+    """Objective of the CPO family (op 55): the mean pair loss, or with ``dro_weight`` its robust
+    form, plus ``alpha`` times the negative log-likelihood of the chosen side.
+
+    One row: ``preference_loss``, ``nll_loss``, ``objective``.
+    """
+    if dro_weight is None:
+        mean = losses.agg(F.avg("loss").alias("preference_loss"))
+    else:
+        mean = dro_loss(losses, dro_weight).withColumnRenamed("dro_loss", "preference_loss")
+    value = nll if isinstance(nll, Column) else F.lit(float(nll))
+    return mean.withColumn("nll_loss", value).withColumn(
+        "objective", F.col("preference_loss") + F.lit(float(alpha)) * F.col("nll_loss"))
+
+
 def token_nll(tok: DataFrame, value: str = "logp", side: str | None = "chosen") -> DataFrame:
     """Mean negative log-prob over supervised, shifted tokens, and its perplexity (op 58)."""
     mask = (F.col("tok_pos") >= 1) & (F.col("label") != F.lit(IGNORE_INDEX))
@@ -184,6 +250,52 @@ def reward_scores(df: DataFrame, logit: str = "logit", out: str = "score") -> Da
     return df.withColumn(out, sigmoid(logit))
 
 
+def class_cross_entropy(logits, label, ignore_index: int = IGNORE_INDEX) -> Column:
+    """Cross-entropy of an array of logits against an integer class (op 59): log-sum-exp minus the
+    class's logit, shifted by the largest logit, so no logit overflows.
+
+    NULL for an ignored or NULL label and where a logit is NULL; a class that is not there fails.
+    """
+    x, t = col(logits), col(label)
+    whole = ~F.exists(x, lambda v: v.isNull())
+    top = F.array_max(x)
+    rest = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+    bad = F.raise_error(F.concat(F.lit("class out of range: "), t.cast("string"))).cast("double")
+    inside = (t >= 0) & (t < F.size(x))
+    return F.when(t.isNotNull() & (t != F.lit(ignore_index)) & whole & (F.size(x) > 0), F.when(
+        inside, top + F.log(rest) - F.element_at(x, F.when(inside, t.cast("int") + 1).otherwise(1))).otherwise(bad))
+
+
+def multilabel_bce(logits, targets) -> Column:
+    """Mean binary cross-entropy of an array of logits against 0/1 targets of the same length (op 59);
+    max(x, 0) - x t + ln(1 + exp(-|x|)) per entry, so no logit overflows."""
+    x, t = col(logits), col(targets)
+    each = F.zip_with(x, t, lambda v, y: F.greatest(v, F.lit(0.0)) - v * y.cast("double")
+                      + F.log1p(F.exp(-F.abs(v))))
+    bad = F.raise_error(F.lit("logits and targets differ in length")).cast("double")
+    total = F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(F.size(x) == F.size(t), F.try_divide(total, F.size(x).cast("double"))).when(
+        x.isNotNull() & t.isNotNull(), bad)
+
+
+def classifier_loss(df: DataFrame, problem: str, logits: str = "logits", target: str = "target") -> DataFrame:
+    """One row (``loss``, ``n``) over a table of logit arrays, as a sequence classifier's head reports it (op 59).
+
+    ``regression``: mean squared error of one logit against a number;
+    ``single_label``: cross-entropy against integer classes; ``multi_label``:
+    binary cross-entropy against multi-hot targets.
+    """
+    if problem == "regression":
+        each = F.pow(col(logits)[0] - col(target).cast("double"), 2)
+    elif problem == "single_label":
+        each = class_cross_entropy(logits, target)
+    elif problem == "multi_label":
+        each = multilabel_bce(logits, target)
+    else:
+        raise ValueError(f"unknown problem {problem!r}; known: regression, single_label, multi_label")
+    return df.select(each.alias("_l")).agg(F.avg("_l").alias("loss"), F.count("_l").alias("n"))
+
+
 def score_losses(df: DataFrame, logit: str = "logit", target: str = "target") -> DataFrame:
     """Regression (MSE of the raw logit) and binary cross-entropy against a 0/1 target (op 59)."""
     x, t = col(logit), col(target).cast("double")

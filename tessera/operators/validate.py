@@ -11,31 +11,41 @@ from tessera.functions.fixed import DEFAULT_SEED
 REQUIRED_INSTRUCTION_KEYS = ("instruction", "input", "output")
 
 
-def json_truthy(line, path: str) -> Column:
-    """Python truthiness of the JSON value at ``path`` of the JSON text ``line``.
+def variant_truthy(v, path: str) -> Column:
+    """Python truthiness of the value at ``path`` of a variant.
 
-    null/false/0/""/[]/{} are falsy; anything else (the string "0" too) is truthy.
+    null/false/0/""/[]/{} and a missing value are falsy; anything else (the string "0" too) is truthy.
     """
-    v = F.try_parse_json(col(line))
-    kind = F.schema_of_variant(F.variant_get(v, path, "variant"))
-    raw = F.get_json_object(col(line), path)
+    at = F.variant_get(v, path, "variant")
+    kind = F.schema_of_variant(at)
     return (
-        F.when(kind.startswith("STRING"), F.length(raw) > 0)
-        .when(kind == "BOOLEAN", raw == "true")
-        .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), raw.cast("double") != 0)
-        .when(kind.startswith("ARRAY"), F.json_array_length(raw) > 0)
-        .when(kind.startswith("OBJECT"), F.size(F.json_object_keys(raw)) > 0)
+        F.when(kind.startswith("STRING"), F.length(F.try_variant_get(v, path, "string")) > 0)
+        .when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+        .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, path, "double") != 0)
+        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, path, "array<variant>")) > 0)
+        .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(v, path, "map<string,variant>")) > 0)
         .otherwise(F.lit(False))
     )
 
 
+def json_truthy(line, path: str) -> Column:
+    """Python truthiness of the JSON value at ``path`` of the JSON text ``line``."""
+    return variant_truthy(F.try_parse_json(col(line)), path)
+
+
 def instruction_valid(line) -> Column:
-    """Keys instruction, input, output present (null allowed) and output truthy (op 10)."""
-    keys = F.json_object_keys(col(line))
-    present = F.lit(True)
-    for k in REQUIRED_INSTRUCTION_KEYS:
-        present = present & F.coalesce(F.array_contains(keys, k), F.lit(False))
-    return present & F.coalesce(json_truthy(line, "$.output"), F.lit(False))
+    """Keys instruction, input, output present (null allowed) and output truthy (op 10).
+
+    The line is parsed once: everything is read from its variant, bound by a one-element ``transform``.
+    """
+    def valid(v):
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        present = F.lit(True)
+        for k in REQUIRED_INSTRUCTION_KEYS:
+            present = present & F.coalesce(F.array_contains(keys, k), F.lit(False))
+        return present & F.coalesce(variant_truthy(v, "$.output"), F.lit(False))
+
+    return F.transform(F.array(F.try_parse_json(col(line))), valid)[0]
 
 
 def validate_instructions(df: DataFrame, line_col: str = "value", mode: str = "fail"):

@@ -134,7 +134,7 @@ def _bpe(spark, sf):
     toks = order.materialise_scratch(tasks.pretrain_pretokens(docs, profile="full"), "bpe-pretokens")
     words = order.materialise_scratch(tables.word_counts(toks), "bpe-words")
     merges, vocab = tables.bpe_tables(words, BPE_MERGES)
-    return encode_bpe(toks, ["pos"], merges, vocab, words=words), vocab
+    return encode_bpe(toks, ["pos"], merges, vocab), vocab
 
 
 def bpe_encoded(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,6 +268,21 @@ def sft_rendered_templates(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("template_name", "pos", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
+def plain_templates() -> list[str]:
+    """Templates without a system format that need nothing but the message's text."""
+    return [n for n in template_names()
+            if get_template(n).system_format is None and "{idx}" not in get_template(n).user_format]
+
+
+def sft_rendered_plain_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations without their system messages, under the templates that have no place for one (op 17)."""
+    convs = tables.sft_conversations(spark, sf).withColumn(
+        "conversations", F.filter("conversations", lambda m: m["role"] != "system"))
+    r = render.render_with_templates(convs, plain_templates())
+    text = render.messages_text("messages")
+    return r.select("template_name", "pos", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
+
+
 def chat_rendered(spark: SparkSession, sf: str) -> DataFrame:
     c = render.render_chat(tables.sft_conversations(spark, sf), add_generation_prompt=True)
     return c.select("pos", F.length("chat_text").cast("bigint").alias("n_chars"), F.md5("chat_text").alias("text_md5"))
@@ -368,6 +383,13 @@ def unpad_offsets(spark: SparkSession, sf: str) -> DataFrame:
                     ids_digest("indices").alias("indices_md5"))
 
 
+def cu_seqlens(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets of each padded batch's sequences, with their closing total (op 42)."""
+    u = collate.cu_seqlens(_padded(spark, sf))
+    return u.select("batch_id", _n("cu_seqlens").alias("n_offsets"), ids_digest("cu_seqlens").alias("cu_md5"),
+                    "max_seqlen", "total")
+
+
 def last_token_index(spark: SparkSession, sf: str) -> DataFrame:
     p = _padded(spark, sf)
     return p.select("pos", collate.last_token_index("input_ids", PAD_ID).alias("last_idx"))
@@ -435,6 +457,11 @@ def instructions_valid(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate_instructions(lines, "value", mode="flag").select("id", "valid")
 
 
+def instructions_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Validity of lines of which many are broken: keys missing, outputs of every kind, cut-off lines (op 10)."""
+    return validate.validate_instructions(tables.instruction_lines(spark, sf), "value", mode="flag").select("id", "valid")
+
+
 # --- mixing ---------------------------------------------------------------------------
 
 def _mix(spark, sf):
@@ -533,6 +560,103 @@ def token_nll(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(rounded("nll").alias("nll"), "n_tokens", rounded("perplexity").alias("perplexity"))
 
 
+RPO_ALPHA, CPO_ALPHA = 0.2, 0.5
+
+
+def _chosen_nll(spark, sf):
+    """Mean negative log-likelihood of the chosen side's supervised tokens: one number."""
+    return preference.token_nll(tables.token_logps(spark, sf), "logp", "chosen").select("nll").scalar()
+
+
+def _rpo(spark, sf):
+    wide = order.materialise_scratch(_pairs_wide(spark, sf).withColumn("nll", _chosen_nll(spark, sf)), "rpo-pairs")
+    return preference.preference_loss(wide, "sigmoid", BETA, rpo_alpha=RPO_ALPHA, nll="nll")
+
+
+def rpo_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """DPO losses with the weighted likelihood of the chosen side added (op 55)."""
+    return _loss_cols(_rpo(spark, sf))
+
+
+def rpo_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the same losses, with the likelihood's column (op 56)."""
+    m = preference.preference_metrics(_rpo(spark, sf), "train", nll="nll")
+    return m.select(*[rounded(c).alias(c) for c in m.columns])
+
+
+def cpo_objectives(spark: SparkSession, sf: str) -> DataFrame:
+    """Objectives of the CPO family: SimPO and ORPO pair losses, plain and robust, plus alpha times the
+    likelihood of the chosen side (op 55)."""
+    rows = []
+    nll = order.materialise_scratch(preference.token_nll(tables.token_logps(spark, sf), "logp", "chosen"), "cpo-nll")
+    pairs = order.materialise_scratch(_pairs_wide(spark, sf, True), "cpo-pairs")
+    for kind in ("simpo", "orpo"):
+        losses = preference.preference_loss(pairs, kind, BETA)
+        for name, weight in (("mean", None), ("robust", DRO_WEIGHT)):
+            one = preference.cpo_objective(losses, nll.select("nll").scalar(), CPO_ALPHA, weight)
+            rows.append(one.select(F.lit(kind).alias("kind"), F.lit(name).alias("reduction"),
+                                   *[rounded(c).alias(c) for c in ("preference_loss", "nll_loss", "objective")]))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def reward_pair_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """The reward model's pair loss, each side's average log-prob standing for its scalar reward (op 55)."""
+    return _loss_cols(_losses_of_rewards(spark, sf))
+
+
+def _losses_of_rewards(spark, sf):
+    return preference.preference_loss(_pairs_wide(spark, sf, True), "reward", BETA)
+
+
+def reference_logps(spark: SparkSession, sf: str) -> DataFrame:
+    """Reference values through the cache (op 54): even pairs were computed before (and differ by one, to
+    tell them apart), every tenth of those lacks its rejected side; the rest is recomputed and added."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+
+    wide = order.materialise_scratch(
+        _pairs_wide(spark, sf).select("pair_id", "reference_chosen", "reference_rejected"), "reference-pairs")
+    cache = preference.ReferenceCache(spark, f"{checkpoint_dir(spark).rstrip('/')}/reference-{uuid.uuid4().hex}")
+    cache.add(wide.where("pair_id % 2 = 0").select(
+        "pair_id", (F.col("reference_chosen") - 1).alias("reference_chosen"),
+        F.when(F.col("pair_id") % 10 != 0, F.col("reference_rejected") - 1).alias("reference_rejected")))
+    out = cache.fill(wide.select("pair_id"), lambda missing: missing.join(wide, "pair_id"))
+    return out.select("pair_id", rounded("reference_chosen").alias("reference_chosen"),
+                      rounded("reference_rejected").alias("reference_rejected"), F.col("version").cast("int").alias("version"))
+
+
+def score_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean squared error and binary cross-entropy of the pairs' implicit reward logits against 1 (op 59)."""
+    w = _pairs_wide(spark, sf, True).select((F.col("policy_chosen") - F.col("policy_rejected")).alias("logit"),
+                                            F.lit(1.0).alias("target"))
+    m = preference.score_losses(w, "logit", "target")
+    return m.select(rounded("mse").alias("mse"), rounded("bce").alias("bce"))
+
+
+def class_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-entropy of logit arrays against integer classes, per document (op 59)."""
+    d = tables.letter_logits(spark, sf)
+    return d.select("doc_id", rounded(preference.class_cross_entropy("logits", "label")).alias("loss"))
+
+
+def multilabel_bce(spark: SparkSession, sf: str) -> DataFrame:
+    """Binary cross-entropy of logit arrays against multi-hot targets, per document (op 59)."""
+    d = tables.letter_logits(spark, sf)
+    return d.select("doc_id", rounded(preference.multilabel_bce("logits", "targets")).alias("loss"))
+
+
+def classifier_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """The three kinds of classifier loss over the table (op 59); regression is of the first logit against the class."""
+    d = tables.letter_logits(spark, sf)
+    out = None
+    for problem, target in (("regression", "label"), ("single_label", "label"), ("multi_label", "targets")):
+        one = preference.classifier_loss(d, problem, "logits", target).select(
+            F.lit(problem).alias("problem"), rounded("loss", 4).alias("loss"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def reward_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Implicit reward logit per pair (chosen minus rejected average policy
     log-prob); sigmoid score, and MSE / BCE against 'chosen wins' = 1."""
@@ -561,6 +685,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dpo_prompts, dpo_preview, reward_tokens, reward_preview, scoring_prompts, instructions_jsonl, instructions_valid,
         mix_proportions, mix_shuffled_sources, mix_epochs, mix_epoch_order, mix_report,
         sequence_logps, pair_logps, dpo_losses, ipo_losses, simpo_losses, orpo_losses, preference_metrics,
-        dro_loss, token_nll, reward_scores,
+        dro_loss, token_nll, reward_scores, rpo_losses, rpo_metrics, cpo_objectives, reward_pair_losses, reference_logps,
+        score_losses, class_cross_entropy, multilabel_bce, classifier_losses, cu_seqlens, sft_rendered_plain_templates,
+        instructions_checked,
     )
 }

@@ -106,17 +106,18 @@ toks AS (SELECT pos, {marker_tokens("nfc_normalize(text)")} AS tokens FROM docs)
 
 # --- byte-level BPE --------------------------------------------------------------
 
-def bpe_ctes(src: str, key: str, prefix: str, flags: bool = False) -> str:
-    """``src`` has (key, tokens[, sup]); defines <prefix>enc(key, ids[, labels]) by the merges of a tokeniser file.
+BYTES = """
+balpha AS (SELECT list(CASE WHEN own THEN chr(b) ELSE chr(CAST(255 + k AS INTEGER)) END ORDER BY b) AS a
+           FROM (SELECT b, own, row_number() OVER (PARTITION BY own ORDER BY b) AS k FROM (
+                 SELECT CAST(range AS INTEGER) AS b, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172
+                        OR range BETWEEN 174 AND 255 AS own FROM range(256))))"""
+SYMBOLS = ("list_transform(range(octet_length(encode(token))), lambda i: a[CAST('0x' || "
+           "substr(hex(encode(token)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1])")
 
-    Symbols of a word are wrapped in chr(1) .. chr(2), so replacing a wrapped pair merges its
-    occurrences from left to right; every round replaces each word's pair of the lowest rank.
-    """
+
+def file_tables() -> str:
+    """bvoc(token, id) and bmrg(l, r, rank) of the installed tokeniser file; missing markers get the next ids."""
     markers = ", ".join(f"({lit(m)}, {i})" for i, m in enumerate(SPECIAL_TOKENS))
-    sup_sel = ", sup[i + 1] AS sup" if flags else ""
-    lab = (", flatten(list(CASE WHEN x.sup THEN d.ids ELSE list_transform(d.ids, lambda z: -100) END ORDER BY x.i)) AS labels"
-           if flags else "")
-    lab_out = ", coalesce(e.labels, CAST([] AS INTEGER[])) AS labels" if flags else ""
     return f"""
 btk AS (SELECT CAST(content AS JSON) AS j FROM read_text({lit(public_tokenizer_path())})),
 bown AS (SELECT e.key AS token, e.value AS id
@@ -129,17 +130,40 @@ bvoc AS (SELECT * FROM bheld UNION ALL
          FROM (VALUES {markers}) v(m, o) WHERE m NOT IN (SELECT token FROM bheld)),
 bmrg AS (SELECT p[1] AS l, p[2] AS r, rank FROM (
          SELECT unnest(ps) AS p, unnest(range(len(ps))) AS rank
-         FROM (SELECT json_transform(j->'$.model.merges', '[["VARCHAR"]]') AS ps FROM btk))),
-balpha AS (SELECT list(CASE WHEN own THEN chr(b) ELSE chr(CAST(255 + k AS INTEGER)) END ORDER BY b) AS a
-           FROM (SELECT b, own, row_number() OVER (PARTITION BY own ORDER BY b) AS k FROM (
-                 SELECT CAST(range AS INTEGER) AS b, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172
-                        OR range BETWEEN 174 AND 255 AS own FROM range(256)))),
+         FROM (SELECT json_transform(j->'$.model.merges', '[["VARCHAR"]]') AS ps FROM btk)))"""
+
+
+def counted_tables(src: str, merges: int) -> str:
+    """The fixture's tables: the most frequent pairs of byte symbols over the words of ``src`` (tokens), in one pass."""
+    markers = ", ".join(f"({lit(m)}, {256 + merges + i})" for i, m in enumerate(SPECIAL_TOKENS))
+    return f"""
+bcw AS (SELECT token, count(*) AS c FROM (SELECT unnest(tokens) AS token FROM {src}) GROUP BY token),
+bcp AS (SELECT l, r, sum(c) AS n FROM (SELECT c, unnest(x[:-2]) AS l, unnest(x[2:]) AS r
+        FROM (SELECT c, {SYMBOLS} AS x FROM bcw, balpha)) GROUP BY l, r),
+bmrg AS (SELECT l, r, CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS INTEGER) AS rank FROM bcp
+         QUALIFY row_number() OVER (ORDER BY n DESC, l, r) <= {merges}),
+bvoc AS (SELECT a[b + 1] AS token, CAST(b AS INTEGER) AS id FROM balpha, range(256) t(b)
+         UNION ALL SELECT l || r, 256 + rank FROM bmrg
+         UNION ALL SELECT m, CAST(o AS INTEGER) FROM (VALUES {markers}) v(m, o))"""
+
+
+def bpe_ctes(src: str, key: str, prefix: str, flags: bool = False, tables: str | None = None) -> str:
+    """``src`` has (key, tokens[, sup]); defines <prefix>enc(key, ids[, labels]) by the merges of ``tables``.
+
+    Symbols of a word are wrapped in chr(1) .. chr(2), so replacing a wrapped pair merges its
+    occurrences from left to right; every round replaces each word's pair of the lowest rank.
+    """
+    sup_sel = ", sup[i + 1] AS sup" if flags else ""
+    lab = (", flatten(list(CASE WHEN x.sup THEN d.ids ELSE list_transform(d.ids, lambda z: -100) END ORDER BY x.i)) AS labels"
+           if flags else "")
+    lab_out = ", coalesce(e.labels, CAST([] AS INTEGER[])) AS labels" if flags else ""
+    return f"""{BYTES},
+{tables or file_tables()},
 {prefix}ex AS (SELECT {key}, i, tokens[i + 1] AS token{sup_sel}
       FROM (SELECT *, unnest(range(len(tokens))) AS i FROM {src})),
 bword AS (SELECT DISTINCT token FROM {prefix}ex WHERE token NOT IN ({", ".join(lit(m) for m in SPECIAL_TOKENS)})),
 bpe(token, s, step) AS (
-  SELECT token, array_to_string(list_transform(range(octet_length(encode(token))), lambda i: chr(1)
-         || a[CAST('0x' || substr(hex(encode(token)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1] || chr(2)), ''), 0
+  SELECT token, array_to_string(list_transform({SYMBOLS}, lambda y: chr(1) || y || chr(2)), ''), 0
   FROM bword, balpha
   UNION ALL
   SELECT token, replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2)), step + 1
@@ -229,6 +253,11 @@ SQL["pretrain_full_pretokens"] = f"""WITH docs AS (SELECT doc_id AS pos, text FR
 toks AS (SELECT pos, {marker_tokens("nfc_normalize(text)", full_tokens)} AS tokens FROM docs)
 SELECT pos, {n("tokens")} AS n_tokens, {md5_list("tokens")} AS tokens_md5 FROM toks"""
 
+SQL["bpe_encoded"] = f"""WITH RECURSIVE docs AS (SELECT doc_id AS pos, text FROM documents),
+toks AS (SELECT pos, {marker_tokens("nfc_normalize(text)", full_tokens)} AS tokens FROM docs),
+{bpe_ctes("toks", "pos", "p", tables=counted_tables("toks", C.BPE_MERGES))}
+SELECT pos, {n("ids")} AS n_tokens, {md5_list("ids")} AS ids_md5 FROM penc"""
+
 SQL["pretrain_decoded"] = f"""WITH {PRETRAIN}
 SELECT pos, CAST(length(array_to_string(tokens, '')) AS BIGINT) AS n_chars,
        md5(array_to_string(tokens, '')) AS text_md5 FROM toks"""
@@ -317,14 +346,10 @@ off AS (SELECT file_index, coalesce(sum(c) OVER (ORDER BY file_index ROWS BETWEE
 SELECT CAST(o + lp AS BIGINT) AS pos, CAST(file_index AS INTEGER) AS file_index, doc_id FROM d JOIN off USING (file_index)"""
 
 
-def _split_threshold() -> str:
-    from tessera.operators.validate import split_threshold
-
-    return split_threshold(C.SPLIT_PERCENT)
-
-
+# the share is a share of the 2^32 values of the first eight hex digits
 SQL["documents_split"] = f"""SELECT doc_id AS pos,
-  CASE WHEN substr(md5('{C.SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8) < {lit(_split_threshold())} THEN 'eval' ELSE 'train' END AS split
+  CASE WHEN CAST('0x' || substr(md5('{C.SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
+            < round({C.SPLIT_PERCENT} / 100 * 4294967296) THEN 'eval' ELSE 'train' END AS split
 FROM documents"""
 
 
@@ -372,6 +397,16 @@ for _name, _row in TPL.items():
 FROM (SELECT pos, array_to_string(list_transform({rendered_msgs_sql(_name)}, lambda m: m.text), '') AS t FROM conv)""")
 SQL["sft_rendered_templates"] = f"WITH {CONV}\n" + "\nUNION ALL\n".join(_parts)
 
+# no system message, no default text: the messages' own formats
+_plain = []
+for _name in ("deepseek", "ziya2", "xverse", "minicpm", "baichuan", "baichuan2", "phi3"):
+    _case = (f"CASE m.role WHEN 'user' THEN {fmt_sql(TPL[_name][2], 'm.content')} "
+             f"WHEN 'assistant' THEN {fmt_sql(TPL[_name][3], 'm.content')} END")
+    _plain.append(f"""SELECT {lit(_name)} AS template_name, pos, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5
+FROM (SELECT pos, array_to_string(list_transform(list_filter(msgs, lambda m: m.role IN ('user', 'assistant')),
+             lambda m: {_case}), '') AS t FROM conv)""")
+SQL["sft_rendered_plain_templates"] = f"WITH {CONV}\n" + "\nUNION ALL\n".join(_plain)
+
 _chat = ("CASE WHEN len(msgs) > 0 AND coalesce(msgs[1].role <> 'system', true) THEN "
          + lit("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n") + " ELSE '' END || "
          "array_to_string(list_transform(msgs, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || "
@@ -491,6 +526,13 @@ SELECT pos, batch_id, row_in_batch, seqlen,
        {md5_list(f"list_filter(list_transform(range(width), lambda j: CASE WHEN pids[j + 1] <> {C.PAD_ID} THEN row_in_batch * width + j END), lambda v: v IS NOT NULL)")} AS indices_md5
 FROM u"""
 
+SQL["cu_seqlens"] = f"""WITH {SFT}, {RANDOM}, {PADDED},
+u AS (SELECT batch_id, order_idx, CAST(len(list_filter(pids, lambda x: x <> {C.PAD_ID})) AS BIGINT) AS k FROM pad),
+c AS (SELECT batch_id, k, order_idx, CAST(sum(k) OVER (PARTITION BY batch_id ORDER BY order_idx) AS BIGINT) AS e FROM u),
+g AS (SELECT batch_id, list_prepend(CAST(0 AS BIGINT), list(e ORDER BY order_idx)) AS cu, max(k) AS max_seqlen, CAST(sum(k) AS BIGINT) AS total
+      FROM c GROUP BY batch_id)
+SELECT batch_id, {n("cu")} AS n_offsets, {md5_list("cu")} AS cu_md5, max_seqlen, total FROM g"""
+
 SQL["last_token_index"] = f"""WITH {SFT}, {RANDOM}, {PADDED}
 SELECT pos, CAST({pmod(f"greatest(coalesce(list_position(pids, {C.PAD_ID}), 0) - 1, 0) - 1", "len(pids)")} AS BIGINT) AS last_idx
 FROM pad"""
@@ -593,6 +635,18 @@ SELECT id, coalesce(list_contains(json_keys(line), 'instruction') AND list_conta
                     AND list_contains(json_keys(line), 'output') AND ({_truthy}), false) AS valid FROM l"""
 
 
+_kinds = ['""', "null", "0", '"0"', "0.0", "false", "true", "[]", "[0]", "{}", '{"a":null}', "-1"]
+_broken = " ".join(f"WHEN {4 + i} THEN substr(r, 1, length(r) - 1) || {lit(',"output":' + k + '}')}" for i, k in enumerate(_kinds))
+SQL["instructions_checked"] = f"""WITH {PAIRS},
+j AS (SELECT pair_id AS id, CAST(to_json({{'instruction': question, 'input': ''}}) AS VARCHAR) AS r,
+             CAST({JSONL} AS VARCHAR) AS w, CAST(to_json({{'input': '', 'output': response_chosen}}) AS VARCHAR) AS no_instruction FROM pairs),
+t AS (SELECT id, CASE id % {2 * len(_kinds) + 4} WHEN 0 THEN r WHEN 1 THEN substr(w, 1, length(w) - 5) WHEN 2 THEN no_instruction
+             WHEN 3 THEN '[' || w || ']' {_broken} ELSE w END AS text FROM j),
+l AS (SELECT id, CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN text ELSE '{{}}' END AS line FROM t)
+SELECT id, coalesce(list_contains(json_keys(line), 'instruction') AND list_contains(json_keys(line), 'input')
+                    AND list_contains(json_keys(line), 'output') AND ({_truthy}), false) AS valid FROM l"""
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 MIX = f"""docs AS (SELECT source, doc_id AS id FROM documents),
@@ -734,6 +788,52 @@ sc AS (SELECT pair_id, pc - pr AS logit FROM wide),
 mse AS (SELECT avg(pow(logit - 1.0, 2)) AS mse_all FROM sc)
 SELECT pair_id, {r6('logit')} AS logit, {r6('1.0 / (1.0 + exp(-logit))')} AS score, {r6('mse_all')} AS mse_all FROM sc, mse"""
 
+NLL = f"nl AS (SELECT -avg(logp) AS nll FROM tl WHERE {MASK} AND side = 'chosen')"
+RPO = _losses_sql("sigmoid") + f""", {NLL},
+w AS (SELECT pair_id, loss + {C.RPO_ALPHA} * nll AS loss, chosen_reward, rejected_reward, pc, pr, nll FROM l, nl)"""
+
+SQL["rpo_losses"] = RPO + f"""
+SELECT pair_id, {r6('loss')} AS loss, {r6('chosen_reward')} AS chosen_reward, {r6('rejected_reward')} AS rejected_reward FROM w"""
+
+SQL["rpo_metrics"] = RPO + f"""
+SELECT {r6('avg(chosen_reward)')} AS rewards_chosen, {r6('avg(rejected_reward)')} AS rewards_rejected,
+       {r6('avg(CAST(chosen_reward > rejected_reward AS DOUBLE))')} AS rewards_accuracies,
+       {r6('avg(chosen_reward - rejected_reward)')} AS rewards_margins, {r6('avg(pr)')} AS logps_rejected,
+       {r6('avg(pc)')} AS logps_chosen, {r6('avg(loss)')} AS loss, {r6('avg(nll)')} AS nll_loss FROM w"""
+
+SQL["cpo_objectives"] = f"""WITH {TOKLOGP}, {_wide(True)}, {NLL},
+l AS (SELECT 'simpo' AS kind, loss FROM ({_loss_select("simpo")})
+      UNION ALL SELECT 'orpo', loss FROM ({_loss_select("orpo")})),
+m AS (SELECT kind, 'mean' AS reduction, avg(loss) AS v FROM l GROUP BY kind
+      UNION ALL SELECT kind, 'robust', -{_W} * ln(avg(exp(-loss / {_W}))) FROM l GROUP BY kind)
+SELECT kind, reduction, {r6('v')} AS preference_loss, {r6('nll')} AS nll_loss,
+       {r6(f'v + {C.CPO_ALPHA} * nll')} AS objective FROM m, nl"""
+
+SQL["reward_pair_losses"] = f"""WITH {TOKLOGP}, {_wide(True)}
+SELECT pair_id, {r6('-' + logsig('(pc - pr)'))} AS loss, {r6('pc')} AS chosen_reward, {r6('pr')} AS rejected_reward FROM wide"""
+
+SQL["reference_logps"] = f"""WITH {TOKLOGP}, {_wide(False)}
+SELECT pair_id, {r6('CASE WHEN pair_id % 2 = 0 AND pair_id % 10 <> 0 THEN rc - 1 ELSE rc END')} AS reference_chosen,
+       {r6('CASE WHEN pair_id % 2 = 0 AND pair_id % 10 <> 0 THEN rr - 1 ELSE rr END')} AS reference_rejected,
+       CAST(CASE WHEN pair_id % 2 = 0 AND pair_id % 10 <> 0 THEN 0 ELSE 1 END AS INTEGER) AS version FROM wide"""
+
+SQL["score_losses"] = f"""WITH {TOKLOGP}, {_wide(True)}
+SELECT {r6('avg(pow(pc - pr - 1.0, 2))')} AS mse, {r6('avg(-' + logsig('(pc - pr)') + ')')} AS bce FROM wide"""
+
+LOGITS = """lg AS (SELECT doc_id, n_chars, [(length(text) - length(replace(text, v, ''))) / 10.0 - 3 FOR v IN ['a', 'e', 'i', 'o', 'u']] AS x,
+             [(doc_id // (1 << i)) % 2 FOR i IN range(5)] AS t FROM documents),
+ce AS (SELECT doc_id, CASE WHEN n_chars % 6 = 5 THEN NULL ELSE list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x)))))
+              - x[n_chars % 6 + 1] END AS loss FROM lg),
+bc AS (SELECT doc_id, list_sum(list_transform(range(5), lambda i: greatest(x[i + 1], 0.0) - x[i + 1] * t[i + 1]
+              + ln(1.0 + exp(-abs(x[i + 1]))))) / 5 AS loss FROM lg)"""
+SQL["class_cross_entropy"] = f"WITH {LOGITS} SELECT doc_id, {r6('loss')} AS loss FROM ce"
+SQL["multilabel_bce"] = f"WITH {LOGITS} SELECT doc_id, {r6('loss')} AS loss FROM bc"
+SQL["classifier_losses"] = f"""WITH {LOGITS},
+rg AS (SELECT pow(x[1] - CASE WHEN n_chars % 6 = 5 THEN -100 ELSE n_chars % 6 END, 2) AS loss FROM lg),
+a AS (SELECT 'regression' AS problem, avg(loss) AS v, count(loss) AS n FROM rg
+      UNION ALL SELECT 'single_label', avg(loss), count(loss) FROM ce UNION ALL SELECT 'multi_label', avg(loss), count(loss) FROM bc)
+SELECT problem, round(v, 4) AS loss, n FROM a"""
+
 try:
     SQL |= _bpe_sql()
 except ModuleNotFoundError as e:     # the public tokeniser files are an installed package

@@ -52,8 +52,12 @@ def is_array_file(spark: SparkSession, path: str) -> bool:
 
     Looks at the file's head through the session's filesystem; no job.
     """
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    packed = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    if packed is not None:
+        stream = packed.createInputStream(stream)
     blank = b" \t\r\n\xef\xbb\xbf"           # with the three bytes of a byte-order mark
     try:
         b = stream.read()

@@ -42,7 +42,7 @@ def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_files(rows: DataFrame, order_col: str, cols: list[str], per_file: int, label: str) -> str:
-    """``rows`` as JSON-lines files of ``per_file`` consecutive ``order_col`` values each, lines in
+    """``rows`` as compressed JSON-lines files of ``per_file`` consecutive ``order_col`` values each, lines in
     that order, under the checkpoint folder; returns the pattern of the files' folders."""
     import uuid
 
@@ -51,7 +51,7 @@ def json_files(rows: DataFrame, order_col: str, cols: list[str], per_file: int,
     root = f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     bucket = F.lpad(F.floor(F.col(order_col) / per_file).cast("string"), 12, "0")
     (rows.select(bucket.alias("bucket"), order_col, *cols).repartition("bucket").sortWithinPartitions("bucket", order_col)
-     .select("bucket", *cols).write.partitionBy("bucket").json(root))
+     .select("bucket", *cols).write.partitionBy("bucket").option("compression", "gzip").json(root))
     return f"{root}/bucket=*"
 
 
@@ -117,6 +117,40 @@ def instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VOWELS = "aeiou"
+
+
+def letter_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logit arrays as a classifier's head would give them, one per document: how often each vowel
+    occurs, over 10 and less 3 (large for long texts); ``label`` is an integer class, -100 for none;
+    ``targets`` are multi-hot."""
+    docs = table(spark, sf_dir, "documents")
+    count = lambda v: F.length("text") - F.length(F.replace(F.col("text"), F.lit(v), F.lit("")))
+    bit = lambda i: (F.floor(F.col("doc_id") / (1 << i)) % 2).cast("int")
+    k = (F.col("n_chars") % (len(VOWELS) + 1)).cast("int")
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.array(*[count(v).cast("double") / 10 - 3 for v in VOWELS]).alias("logits"),
+        F.when(k < len(VOWELS), k).otherwise(-100).alias("label"),
+        F.array(*[bit(i) for i in range(len(VOWELS))]).alias("targets"))
+
+
+def instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, value): instruction records as JSON lines, most of them as they are, others by their id
+    with a key missing, with an output that is empty, null or another kind of value, or cut off."""
+    recs = instruction_records(spark, sf_dir)
+    rest = F.to_json(F.struct("instruction", "input"))
+    whole = F.to_json(F.struct("instruction", "input", "output"))
+    with_output = lambda js: F.concat(F.expr("left(_r, length(_r) - 1)"), F.lit(f',"output":{js}}}'))
+    kinds = ['""', "null", "0", '"0"', "0.0", "false", "true", "[]", "[0]", "{}", '{"a":null}', "-1"]
+    kind = F.col("id") % (2 * len(kinds) + 4)
+    value = F.when(kind == 0, rest).when(kind == 1, F.expr("left(_w, length(_w) - 5)")).when(
+        kind == 2, F.to_json(F.struct("input", "output"))).when(kind == 3, F.concat(F.lit("["), F.col("_w"), F.lit("]")))
+    for i, js in enumerate(kinds):
+        value = value.when(kind == 4 + i, with_output(js))
+    return recs.withColumns({"_r": rest, "_w": whole}).select("id", value.otherwise(F.col("_w")).alias("value"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rows, proportions): documents tagged by source, and a ratio per source
     cycling through ``MIX_RATIO_CYCLE`` in source-name order."""

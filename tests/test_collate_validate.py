@@ -88,3 +88,31 @@ def test_drop_unsupervised_and_marker_collisions(spark):
     assert sorted(r.pos for r in drop_unsupervised(df).collect()) == [0, 1]
     t = spark.createDataFrame([("a <|im_end|> b <|endoftext|>",), ("plain",)], "text string")
     assert [r.marker_collisions for r in marker_collisions(t).collect()] == [2, 0]
+
+
+def test_offsets_close_with_the_total(spark):
+    from tessera.operators.collate import collate_pad, cu_seqlens
+
+    rows = [(0, 0, [5, 6]), (0, 1, [7]), (0, 2, []), (1, 3, [9, 9, 9])]
+    df = spark.createDataFrame(rows, "batch_id bigint, order_idx bigint, input_ids array<int>")
+    padded = collate_pad(df.withColumn("labels", df["input_ids"]).repartition(3), 0)
+    got = {r.batch_id: (r.cu_seqlens, r.max_seqlen, r.total) for r in cu_seqlens(padded).collect()}
+    assert got == {0: ([0, 2, 3, 3], 2, 3), 1: ([0, 3], 3, 3)}
+
+
+def test_lines_of_every_kind_are_judged_from_one_parse(spark):
+    import json
+
+    from tessera.operators.validate import instruction_valid
+
+    outputs = ["", "x", "0", None, 0, 1, 0.0, -2.5, True, False, [], [None], {}, {"a": None}, 10 ** 30]
+    lines = [json.dumps({"instruction": None, "input": "", "output": o}) for o in outputs]
+    expect = [bool(o) for o in outputs]
+    lines += ['{"instruction": 1, "input": 2}', '[{"instruction":1,"input":2,"output":3}]', "", "{", "null", '"output"',
+              '{"input": 1, "output": 1}', None]
+    expect += [False] * 8
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, value string")
+    got = {r.i: r.v for r in df.select("i", instruction_valid("value").alias("v")).collect()}
+    assert [bool(got[i]) for i in range(len(lines))] == expect
+    plan = df.select(instruction_valid("value").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 1, plan

@@ -134,3 +134,14 @@ def test_zero_epochs_yield_nothing(spark):
     props = spark.createDataFrame([("a", 1.0)], "source string, ratio double")
     assert mix_epochs(shuffle_sources(df, 1), props, 0).count() == 0
     assert mix_epochs(shuffle_sources(df, 1), props, 1).count() == 5
+
+
+def test_concatenation_refuses_positions_with_gaps(spark):
+    import pytest
+
+    from tessera.operators.mix import concat_datasets
+
+    dense = spark.range(3).withColumnRenamed("id", "pos")
+    assert sorted(r.pos for r in concat_datasets([dense, dense]).collect()) == list(range(6))
+    with pytest.raises(Exception, match="not dense"):
+        concat_datasets([dense.where("pos <> 1"), dense]).collect()
