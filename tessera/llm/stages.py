@@ -4,7 +4,8 @@ Every stage keeps the input's columns and the rows it has no reason to drop.
 Edge cases: NULL texts are empty texts and stay unless a stage's decision
 drops them; rows with a NULL doc_id cannot name a group, so the near-duplicate
 stage keeps them; rows repeated under one doc_id are copies, of which it keeps
-one.
+one; columns of any other name pass through, whatever they are called; very
+long texts are judged whole; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = ids.select(F.col("doc_id").alias("_id"))
     if rows <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    kept = docs.where("doc_id is not null").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = docs.where("doc_id is not null").alias("d").join(
+        chosen.alias("k"), F.col("d.doc_id") == F.col("k._id"), "left_semi")
     if most is not None and most > 1:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
