@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +38,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column, NULL as no bytes."""
     return F.coalesce(F.encode(F.col(column), "UTF-8"), F.lit(b""))
+
+
+def tidy() -> None:
+    """Free what a Python worker would hold beyond a task, as Spark uses workers again for other stages:
+    the packing operator's caches, garbage, and memory that the allocators keep."""
+    pack = sys.modules.get("tessera.llm.pack")
+    if pack is not None:
+        pack._KEPT.clear()
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):            # another C library
+        pass
+
+
+def tidied(task):
+    """A worker function over batches that leaves its worker tidy, however it ends."""
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            tidy()
+
+    return run
+
+
+def tidied_group(task):
+    """The same for a function of one group."""
+    @functools.wraps(task)
+    def run(table):
+        try:
+            return task(table)
+        finally:
+            tidy()
+
+    return run

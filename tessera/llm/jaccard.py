@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import tidied, tidied_group, written
 from tessera.llm.components import components
 from tessera.llm.shingles import Powers, mix, shingle_sets, slices
 
@@ -56,8 +56,9 @@ MIN_BUCKETS = 16
 FOLD_ENTRIES = 1 << 18        # entries a task folds at a time
 BLOCK_ENTRIES = 1 << 16       # shingles of a block of sets, on average
 LEAST_ENTRIES = 64            # that a set counts for, so a block has about 1,024 members at most
-EXPAND = 1 << 22              # meetings on common shingles that are counted one by one; beyond, by products
-PRODUCT_CELLS = 1 << 22       # cells of the factors of such a product
+SETTLED_ENTRIES = 1 << 18     # entries of a bucket that are sorted at a time, on average
+EXPAND = 1 << 20              # meetings on common shingles that are counted one by one; beyond, by products
+PRODUCT_CELLS = 1 << 20       # cells of the factors of such a product
 
 U = np.uint64
 
@@ -111,7 +112,7 @@ def features(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n long, hi long, lo long" + (", tokens array<long>" if with_tokens else "")
-    return docs.mapInArrow(make, schema)
+    return docs.mapInArrow(tidied(make), schema)
 
 
 # ---- shared shingles: how many of a set's (chosen) shingles other groups have, without collecting any shingle's sets
@@ -199,24 +200,34 @@ def shared_counts(packed: DataFrame) -> DataFrame:
             [_signed(keys), pa.array(counts.astype(np.int64))], names=["own", "shared"])
 
     def bucket(table: pa.Table) -> pa.Table:
-        read = lambda x, t: np.frombuffer(x.as_py(), t)
-        rows = [(read(t, U), read(o, U), read(g, U), read(k, bool)) for t, o, g, k in zip(
+        # views of the table's own bytes; a bucket is settled in ranges of its tokens, a few entries at a time
+        view = lambda x, t: np.frombuffer(x.as_buffer(), t)
+        rows = [(view(t, U), view(o, U), view(g, U), view(k, bool)) for t, o, g, k in zip(
             *(table.column(c) for c in _PACKED[1:]))]
         rows = [(t, o, g if len(g) else o, k) for t, o, g, k in rows]
-        tokens, own, group, known = (np.concatenate(x) for x in zip(*rows))
-        order = np.argsort(tokens, kind="stable")
-        tokens, own, group, known = tokens[order], own[order], group[order], known[order]
-        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        lengths = np.diff(np.concatenate([begin, [len(tokens)]]))
-        shared = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
-        shared |= np.logical_or.reduceat(known, begin)
-        # entries settled by their task already have their credit
-        keys, counts = np.unique(own[np.repeat(shared, lengths) & ~known], return_counts=True)
-        return pa.Table.from_batches([counted(keys, counts)])
+        parts = -(-sum(len(t) for t, *_ in rows) // SETTLED_ENTRIES)
+        keys, counts = [], []
+        for part in range(parts):
+            tokens, own, group, known = (np.concatenate(x) for x in zip(
+                *[[x[here] for x in row] for row in rows for here in [(row[0] >> U(8)) % U(parts) == part]]))
+            order = np.argsort(tokens, kind="stable")
+            tokens, own, group, known = tokens[order], own[order], group[order], known[order]
+            if not len(tokens):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            lengths = np.diff(np.concatenate([begin, [len(tokens)]]))
+            shared = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
+            shared |= np.logical_or.reduceat(known, begin)
+            # entries settled by their task already have their credit
+            k, c = np.unique(own[np.repeat(shared, lengths) & ~known], return_counts=True)
+            keys.append(k)
+            counts.append(c)
+        none = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        return pa.Table.from_batches([counted(np.concatenate(keys or none[0]), np.concatenate(counts or none[1]))])
 
     schema = "own long, shared long"
     settled = packed.where("bucket = -1").select("tokens", "own").mapInArrow(unpack, schema)
-    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket, schema)
+    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(tidied_group(bucket), schema)
     return settled.union(others).groupBy("own").agg(F.sum("shared").alias("shared"))
 
 
@@ -237,7 +248,7 @@ def pack_texts(docs: DataFrame, buckets: int) -> DataFrame:
                     yield from fold.flush()
         yield from fold.flush()
 
-    return docs.mapInArrow(make, _PACKED_SCHEMA)
+    return docs.mapInArrow(tidied(make), _PACKED_SCHEMA)
 
 
 def pack_sets(sets: DataFrame, buckets: int) -> DataFrame:
@@ -258,7 +269,7 @@ def pack_sets(sets: DataFrame, buckets: int) -> DataFrame:
                     yield from fold.flush()
         yield from fold.flush()
 
-    return sets.select("own", "grp", "tokens").mapInArrow(make, _PACKED_SCHEMA)
+    return sets.select("own", "grp", "tokens").mapInArrow(tidied(make), _PACKED_SCHEMA)
 
 
 # ---- links
@@ -331,7 +342,7 @@ def matrix_links(sets: DataFrame, buckets: int) -> DataFrame:
         "unit_a <> unit_b or block_a <= block_b").select("block_a", "block_b")
     rows = lambda x: blocks.select(F.col("block").alias("block_" + x), F.col("m").alias(x))
     both = pairs.join(rows("a"), "block_a").join(rows("b"), "block_b").select("a", "b")
-    return written(both.mapInArrow(_compare, "u long, v long").distinct(), "links")
+    return written(both.mapInArrow(tidied(_compare), "u long, v long").distinct(), "links")
 
 
 def units(sets: DataFrame) -> DataFrame:
@@ -366,7 +377,7 @@ def common_counts(a: np.ndarray, a_row: np.ndarray, a_rows: int,
                   b: np.ndarray, b_row: np.ndarray, b_rows: int) -> np.ndarray:
     """Matrix of the numbers of tokens that rows of ``a`` and of ``b`` have in common."""
     both = np.intersect1d(a, b)
-    out = np.zeros((a_rows, b_rows), np.float32)
+    out = np.zeros((a_rows, b_rows), np.int64)
     if not len(both):
         return out
     column = []
@@ -382,7 +393,7 @@ def common_counts(a: np.ndarray, a_row: np.ndarray, a_rows: int,
         times = nb[ca]
         inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         cell = np.repeat(ra, times) * b_rows + rb[np.repeat(begin[ca], times) + inside]
-        return np.bincount(cell, minlength=a_rows * b_rows).reshape(a_rows, b_rows).astype(np.float32)
+        return np.bincount(cell, minlength=a_rows * b_rows).reshape(a_rows, b_rows)
     step = max(1, PRODUCT_CELLS // (a_rows + b_rows))
     for at in range(0, len(both), step):
         end = min(len(both), at + step)
@@ -392,7 +403,7 @@ def common_counts(a: np.ndarray, a_row: np.ndarray, a_rows: int,
             f = np.zeros((rows, end - at), np.float32)
             f[r[i:j], c[i:j] - at] = 1
             factors.append(f)
-        out += factors[0] @ factors[1].T
+        out += (factors[0] @ factors[1].T).astype(np.int64)     # exact: a product has fewer columns than 2^24
     return out
 
 
@@ -400,7 +411,7 @@ def block_links(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[n
     """(u, v) that connect the members of two blocks which links between different groups connect."""
     (own_a, grp_a, n_a, size_a, tok_a), (own_b, grp_b, n_b, size_b, tok_b) = a, b
     common = common_counts(tok_a, np.repeat(np.arange(len(own_a)), size_a), len(own_a),
-                           tok_b, np.repeat(np.arange(len(own_b)), size_b), len(own_b)).astype(np.int64)
+                           tok_b, np.repeat(np.arange(len(own_b)), size_b), len(own_b))
     linked = (common > 0) & (common * 100 >= (n_a[:, None] + n_b[None, :] - common) * PERCENT)
     linked &= grp_a[:, None] != grp_b[None, :]
     far = len(own_a)
