@@ -42,7 +42,7 @@ CACHED_CHARS = 64
 _WORD = re.compile("([a-zß-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: characters that normalisation may change or join
 _RARE = re.compile("[^\x00-\u012f\u0131-\u02ff\u2010-\u2027]")
-_KEPT: dict = {}          # a worker's caches outlive its tasks
+_KEPT: dict = {}          # a worker's caches outlive its tasks, until one of another operator tidies it
 
 
 class WordIds:
@@ -171,6 +171,12 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         gc.disable()  # scanning the caches again and again costs more than the encoding
+        try:
+            yield from encoded(batches, words)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch], words: WordIds) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             at = 0
@@ -187,7 +193,6 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
                         rows.append((row, n, begin // 4, len(cut) // 4, zlib.crc32(cut) if digest else cut))
                 yield frame(batch, rows)
                 at += len(group)
-        gc.enable()
 
     def frame(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
         row, piece, start, length, ids = zip(*rows)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import tidy, written
 
 SHRINK_POOLED = 0.15
 SHRINK_DIAGONAL = 0.10
@@ -92,6 +92,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """doc_id and ``f``, the statistics."""
     @F.pandas_udf("array<double>")
     def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         for texts in batches:
             yield pd.Series([statistics(t) for t in texts], dtype=object)
 
@@ -184,6 +185,7 @@ def text_score(model: Model):
     """A function from a text column to its score."""
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         for texts in batches:
             x = np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))
             yield pd.Series(model.score(x), dtype="float64")

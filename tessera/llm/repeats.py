@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import shuffle_partitions, written
+from tessera.llm.common import shuffle_partitions, tidied, tidied_group, written
 from tessera.llm.shingles import Powers, mix, prefix_hash, slices, text_bytes
 from tessera.llm.suffixes import repeated, shard_text
 
@@ -187,9 +187,9 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     empty = pa.table({"hi": pa.array([], pa.int64()), "first": pa.array([], pa.binary())})
     schema = "hi long, first binary"
     packed = written(texts.select("hi", "text").mapInArrow(
-        make, "bucket long, hash binary, own binary, first binary, known binary"), "runs")
+        tidied(make), "bucket long, hash binary, own binary, first binary, known binary"), "runs")
     own = packed.where("bucket < 0").select("own", "first").mapInArrow(settled, schema)
-    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket, schema)
+    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(tidied_group(bucket), schema)
     return own.union(others)
 
 
@@ -230,7 +230,7 @@ def contexts(texts: DataFrame, places: DataFrame, with_bytes: bool) -> DataFrame
 
     cols = "c_hi long, c_lo long, hash long, "
     joined = texts.select("hi", "lo", "text").join(places, "hi").select("hi", "text", "places")
-    return joined.mapInArrow(make, cols + ("bytes binary" if with_bytes else "hi long, first long, windows long"))
+    return joined.mapInArrow(tidied(make), cols + ("bytes binary" if with_bytes else "hi long, first long, windows long"))
 
 
 def repeated_windows(kinds: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def repeated_windows(kinds: DataFrame) -> DataFrame:
             anchors_of = F.broadcast(anchors_of)
         small = kinds.join(anchors_of, "hash", "left_anti")
     dealt = small.select("c_hi", "c_lo", "hash", "bytes", "n", F.pmod(F.xxhash64("hash"), F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInArrow(sort, "c_hi long, c_lo long, spans binary")
+    found = dealt.groupBy("shard").applyInArrow(tidied_group(sort), "c_hi long, c_lo long, spans binary")
     if not count:
         return found
     # a context of b bytes has b - 199 windows, half of its bytes at most
@@ -373,9 +373,9 @@ def hashed_windows(kinds: DataFrame, buckets: int) -> DataFrame:
                       "at": pa.array([], pa.binary())})
     schema = "c_hi long, c_lo long, at binary"
     packed = written(kinds.select("c_hi", "c_lo", "bytes", "n").mapInArrow(
-        make, "bucket long, " + ", ".join(f"{c} binary" for c in names)), "window-hashes")
+        tidied(make), "bucket long, " + ", ".join(f"{c} binary" for c in names)), "window-hashes")
     own = packed.where("bucket < 0").select("c_hi", "c_lo", "at").mapInArrow(settled, schema)
-    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket, schema)
+    others = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(tidied_group(bucket), schema)
     merged = own.union(others).groupBy("c_hi", "c_lo").agg(F.collect_list("at").alias("at"))
     return merged.select("c_hi", "c_lo", F.pandas_udf(spans, "binary")("at").alias("spans"))
 
@@ -467,7 +467,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_te
     schema = StructType([*schema.fields, *more])
     joined = texts.join(own, ["hi", "lo"], "left").select(
         "doc_id", "text", F.coalesce("whole", F.lit(False)), "spans", *[f.name for f in more])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidied(cut), schema)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
