@@ -73,7 +73,8 @@ def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: b
     """JSON lines or JSON array files → table, with ``_file`` and ``_start`` (the
     scan split a row was read in), from which ``number_lines`` builds ``pos`` (op 1).
 
-    ``multi_line=None`` looks at each file's head to tell arrays from lines.  A malformed line fails the job; ``malformed="quarantine"`` keeps it
+    ``multi_line=None`` looks at each file's head to tell arrays from lines; arrays
+    are read in splits (``multi_line=True`` has Spark read each file in one task).  A malformed line fails the job; ``malformed="quarantine"`` keeps it
     as a row whose ``_corrupt`` column holds the line (NULL elsewhere).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -84,8 +85,10 @@ def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: b
         lines = [p for p in paths if p not in arrays]
         if arrays and lines:
             return read_samples(spark, lines, schema, False, malformed).unionByName(
-                read_samples(spark, arrays, schema, True, malformed))
-        multi_line = bool(arrays)
+                read_arrays(spark, arrays, schema, malformed))
+        if arrays:
+            return read_arrays(spark, arrays, schema, malformed)
+        multi_line = False
     reader = spark.read.option("multiLine", multi_line)
     if malformed == "fail":
         reader = reader.schema(schema).option("mode", "FAILFAST")
@@ -96,6 +99,19 @@ def read_samples(spark: SparkSession, paths, schema: T.StructType, multi_line: b
         {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
 
 
+def read_arrays(spark: SparkSession, paths: list[str], schema: T.StructType, malformed: str = "fail") -> DataFrame:
+    """JSON array files, each read by as many tasks as it has splits (``sources.arrays``)."""
+    from tessera.sources.arrays import array_records
+
+    records = array_records(spark, paths)
+    if malformed == "fail":
+        parsed = records.withColumn("_s", F.from_json("value", schema, {"mode": "FAILFAST"}))
+        return parsed.select("_s.*", "_file", "_start")
+    with_line = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = records.withColumn("_s", F.from_json("value", with_line, {"columnNameOfCorruptRecord": CORRUPT}))
+    return parsed.select("_s.*", "_file", "_start")
+
+
 def source_name(path_col: str = "_file"):
     """The folder a file lies in; file paths in metadata are percent-encoded."""
     plain = F.url_decode(F.replace(F.col(path_col), F.lit("+"), F.lit("%2B")))
