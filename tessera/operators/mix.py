@@ -121,3 +121,41 @@ def mix_report(mixed: DataFrame, source: str = "source") -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("wrapped").cast("bigint")).alias("reused"),
     )
+
+
+def mix_permuted(rows: DataFrame, props: DataFrame, epochs: int, seed: int = DEFAULT_SEED, source: str = "source",
+                 place: str = "at") -> DataFrame:
+    """Ops 47-50 without a sort or an exchange of rows: (``epoch``, ``out_pos``) for every row an epoch takes.
+
+    ``place`` is the row's dense place in its source (any order).  The shuffle of
+    a source is a keyed permutation of its places; an epoch takes the next
+    ``num`` of them, cyclically; the rows of an epoch get dense places (sources
+    in order of name, then the order they are taken in) and the epoch's own
+    permutation of those.  Epochs lie back to back.  What is joined to the rows
+    is one line per source: its size, quota and offset, size-checked.
+    """
+    from tessera.operators.permute import keys_column, permuted
+    from tessera.operators.tokens import lookup
+
+    sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n_source"))
+    quota = sizes.join(props.select(source, "ratio"), source).withColumn("num", epoch_quota("n_source", "ratio"))
+    # one line per source: a small window
+    before = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
+    quota = quota.withColumn("_off", F.coalesce(F.sum("num").over(before), F.lit(0)).cast("bigint"))
+    quota = quota.withColumn("_all", F.sum("num").over(Window.orderBy(F.lit(0)).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)).cast("bigint"))
+    quota = quota.where("num > 0").select(source, "ratio", "n_source", "num", "_off", "_all")
+    from tessera.operators.order import materialise_scratch
+
+    quota = materialise_scratch(quota, "mix-quota")
+    facts = ["n_source", "num", "_off", "_all"]
+    known = lookup(rows, quota, source, facts, freq="num").where(F.col("num").isNotNull())
+    known = known.withColumn("r", permuted(place, F.col("n_source"), keys_column(seed, F.col(source))))
+    e = F.sequence(F.lit(0), F.lit(max(int(epochs) - 1, 0)))
+    turn = lambda i: F.pmod(F.col("r") - i.cast("bigint") * F.col("num"), F.col("n_source"))
+    taken = F.filter(e, lambda i: (i < F.lit(int(epochs))) & (turn(i) < F.col("num")))
+    out = known.withColumn("epoch", F.explode(taken)).withColumn("epoch", F.col("epoch").cast("bigint"))
+    line = F.col("_off") + turn(F.col("epoch"))
+    out = out.withColumn("out_pos", F.col("epoch") * F.col("_all") + permuted(
+        line, F.col("_all"), keys_column(seed, "epoch", F.col("epoch"))))
+    return out.drop("_off", "_all")

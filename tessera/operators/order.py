@@ -291,11 +291,47 @@ def plan_sequential(df: DataFrame, batch_size: int, pos_col: str = "pos") -> Dat
 
 
 def plan_random(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEED, pos_col: str = "pos") -> DataFrame:
-    """Seeded uniform permutation (md5 of seed:pos), then consecutive batches."""
+    """Seeded uniform permutation (md5 of seed:pos), then consecutive batches.
+
+    What is sorted are positions; further columns of ``df`` join back (``attach_payload``).
+    """
     batch_size = _positive("batch_size", batch_size)
-    keyed = df.withColumn("_rk", seeded_hash(seed, pos_col))
-    ranked = dense_index(keyed, ["_rk", pos_col], "order_idx").drop("_rk")
-    return ranked.withColumn("batch_id", F.floor(F.col("order_idx") / F.lit(batch_size)).cast("bigint"))
+
+    def plan(keys: DataFrame) -> DataFrame:
+        keyed = keys.withColumn("_rk", seeded_hash(seed, pos_col))
+        ranked = dense_index(keyed, ["_rk", pos_col], "order_idx").drop("_rk")
+        return ranked.withColumn("batch_id", F.floor(F.col("order_idx") / F.lit(batch_size)).cast("bigint"))
+
+    return _plan_on_keys(df, [pos_col], plan)
+
+
+def _plan_on_keys(df: DataFrame, keys: list[str], plan) -> DataFrame:
+    """``plan(narrow rows)``, joined back to ``df``'s other columns, which are written once and not sorted."""
+    if set(df.columns) <= set(keys):
+        return plan(df)
+    rows = materialise_scratch(df, "plan-rows")
+    return attach_payload(materialise_scratch(plan(rows.select(*keys)), "plan"), rows, keys[0])
+
+
+def plan_permuted(df: DataFrame, batch_size: int, n_rows: int, seed: int = DEFAULT_SEED, pos_col: str = "pos") -> DataFrame:
+    """Seeded permutation of ``n_rows`` dense positions by a keyed bijection, then consecutive batches.
+
+    Every row computes its own place: no sort, no exchange (``plan_random`` sorts a hash).
+    """
+    from tessera.operators.permute import permuted, round_keys
+
+    batch_size = _positive("batch_size", batch_size)
+    planned = df.withColumn("order_idx", permuted(pos_col, n_rows, round_keys(seed)))
+    return planned.withColumn("batch_id", F.floor(F.col("order_idx") / F.lit(batch_size)).cast("bigint"))
+
+
+def attach_payload(plan: DataFrame, payload: DataFrame, pos_col: str = "pos") -> DataFrame:
+    """Rows of ``payload`` with their place in a plan of narrow keys, joined once, when they are needed.
+
+    A plan within the checked bound is broadcast (three numbers a row), so the payload is not exchanged.
+    """
+    side = plan.select(pos_col, "order_idx", "batch_id")
+    return payload.join(F.broadcast(side) if side.count() <= BROADCAST_GROUPS else side, pos_col)
 
 
 def length_group_multiplier(n_rows: int, group_size: int) -> int:
@@ -313,8 +349,17 @@ def plan_length_grouped(
     n_rows: int | None = None,
 ) -> DataFrame:
     """Shuffle, cut into mega-batches, sort each by length (longest first, stable),
-    then move the overall longest first element to the very front."""
+    then move the overall longest first element to the very front.
+
+    What is sorted are positions and lengths; further columns of ``df`` join back.
+    """
     batch_size, accumulation = _positive("batch_size", batch_size), _positive("accumulation", accumulation)
+    return _plan_on_keys(df, [pos_col, length_col], lambda keys: _length_grouped(
+        keys, batch_size, accumulation, seed, length_col, pos_col, n_rows))
+
+
+def _length_grouped(df: DataFrame, batch_size: int, accumulation: int, seed: int, length_col: str, pos_col: str,
+                    n_rows: int | None) -> DataFrame:
     if n_rows is None:
         n_rows = row_count(df)
     group = batch_size * accumulation

@@ -8,6 +8,7 @@ same name as in ``plans.oracle``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ REWARD_MAX_LEN = 512
 BPE_MAX_LEN = 2048
 SCORING_LEN = 256
 MIX_EPOCHS = 5
+MIX_RATIOS = (1.0, 0.3, 0.0, 0.75)
 SPLIT_PERCENT = 10.0
 BETA = 0.1
 DRO_WEIGHT = 1.0
@@ -236,6 +238,31 @@ def stream_prepared(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("shard", "batch", "chunk", "n_tokens", ids_digest("input_ids").alias("ids_md5"))
 
 
+def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental preparation by ledger (op 60): files of 400 documents go through a stream, which is then
+    started again without its checkpoint; ``in_file`` places, and whether places over all files are dense."""
+    import uuid
+
+    from tessera.operators.codec import PortableCodec
+    from tessera.session import checkpoint_dir
+    from tessera.sources.io import PRETRAIN_SCHEMA
+    from tessera.streaming.incremental import indexed_pretrain_preparer, prepare_stream_once
+
+    docs = tables.pretrain_docs(spark, sf)
+    files = tables.json_files(docs, "pos", ["text"], FILE_DOCS, "stream-files")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    counted = PortableCodec().learn(tasks.task_pretokens(docs, "pt"))
+    vocab = order.materialise_scratch(counted.vocab, "stream-vocab")
+    prepare = indexed_pretrain_preparer(STREAM_LEN, STREAM_BATCH, codec=PortableCodec(vocab, size=counted.size))
+    for attempt in ("first", "again"):           # the second finds every file committed
+        out = prepare_stream_once(spark, files, f"{root}/out", f"{root}/checkpoint-{attempt}", prepare, PRETRAIN_SCHEMA)
+    facts = out.agg((F.count(F.lit(1)) == F.max("pos") + 1).alias("a"), (F.count_distinct("pos") == F.count(F.lit(1))).alias("b"))
+    facts = order.materialise_scratch(facts.select((F.col("a") & F.col("b")).alias("dense")), "stream-dense")
+    index = F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("int")
+    return out.select(index.alias("file_index"), "in_file", "batch", "chunk", "n_tokens",
+                      ids_digest("input_ids").alias("ids_md5"), facts.select("dense").scalar().alias("dense"))
+
+
 # --- supervised fine-tuning --------------------------------------------------------
 
 def sft_conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,6 +379,12 @@ def plan_random(spark: SparkSession, sf: str) -> DataFrame:
     return order.plan_random(_sft_ids(spark, sf), PLAN_BS, SEED).select("pos", "order_idx", "batch_id")
 
 
+def plan_permuted(spark: SparkSession, sf: str) -> DataFrame:
+    """Training order of the documents by a keyed bijection (op 38)."""
+    docs = tables.pretrain_docs(spark, sf)
+    return order.plan_permuted(docs.select("pos"), PLAN_BS, order.row_count(docs), SEED)
+
+
 def plan_length_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return order.plan_length_grouped(_sft_ids(spark, sf), PLAN_BS, PLAN_ACCUM, SEED, "n").select(
         "pos", "order_idx", "batch_id")
@@ -491,6 +524,33 @@ def mix_epoch_order(spark: SparkSession, sf: str) -> DataFrame:
     return mix.shuffle_epoch(mix.mix_epochs(shuffled, props, MIX_EPOCHS), SEED).select("out_pos", "epoch", "source", "id")
 
 
+def mix_permuted(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources shuffled, mixed and shuffled by epoch through keyed bijections (ops 47-50)."""
+    rows, props = tables.mix_sources(spark, sf)
+    ranked = order.dense_index(rows.select("source", "id"), ["source", "id"], "_g")
+    first = ranked.groupBy("source").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("count"))
+    placed = tokens.lookup(ranked, first, "source", ["_first"]).withColumn("at", F.col("_g") - F.col("_first"))
+    out = mix.mix_permuted(placed.select("source", "id", "at"), mix.check_proportions(props), MIX_EPOCHS, SEED)
+    return out.select("out_pos", "epoch", "source", "id")
+
+
+def mixture_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The epoch-mixing job over instruction files of four sources: every written line and its place (ops 3, 6, 7, 10, 47-50)."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/mixture-{uuid.uuid4().hex}"
+    recs = tables.instruction_records(spark, sf)
+    source = F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))
+    (recs.select(source.alias("source"), "id", "instruction", "input", "output").repartition("source")
+     .sortWithinPartitions("source", "id").drop("id").write.partitionBy("source").json(f"{root}/in"))
+    config = {f"source=s{i}": r for i, r in enumerate(MIX_RATIOS)}
+    spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{root}/config")
+    out = tasks.build_mixture(spark, f"{root}/in", f"{root}/config", MIX_EPOCHS, f"{root}/out", SEED)
+    return out.select("out_pos", F.md5("value").alias("line_md5"))
+
+
 def mix_report(spark: SparkSession, sf: str) -> DataFrame:
     shuffled, props = _mix(spark, sf)
     return mix.mix_report(mix.mix_epochs(shuffled, props, MIX_EPOCHS))
@@ -677,7 +737,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pretrain_pretokens, pretrain_full_pretokens, pretrain_vocab, pretrain_encoded, pretrain_map_batches,
         pretrain_packed, pretrain_packed_tail, prepared_counts, pretrain_decoded, pretrain_preview, documents_nfc,
         bpe_encoded, bpe_roundtrip, pretrain_encoded_bpe, pretrain_packed_bpe, pretrain_decoded_bpe, sft_prepared_bpe,
-        reward_tokens_bpe, stream_prepared, files_pretrain, files_sft, files_dpo, files_reward,
+        reward_tokens_bpe, stream_prepared, stream_ledger, files_pretrain, files_sft, files_dpo, files_reward,
         documents_concat, documents_split,
         sft_conversations, sft_rendered, sft_rendered_templates, chat_rendered, sft_tokens, sft_prepared,
         sft_prepared_truncated, sft_preview, supervision_stats, shifted_labels, plan_sequential, plan_random, plan_length_grouped,
@@ -687,6 +747,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sequence_logps, pair_logps, dpo_losses, ipo_losses, simpo_losses, orpo_losses, preference_metrics,
         dro_loss, token_nll, reward_scores, rpo_losses, rpo_metrics, cpo_objectives, reward_pair_losses, reference_logps,
         score_losses, class_cross_entropy, multilabel_bce, classifier_losses, cu_seqlens, sft_rendered_plain_templates,
-        instructions_checked,
+        instructions_checked, plan_permuted, mix_permuted, mixture_lines,
     )
 }

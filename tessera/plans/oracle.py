@@ -325,6 +325,12 @@ SELECT file_index, CAST(row_number() OVER (ORDER BY file_index, shard, batch, ch
        CAST(shard AS BIGINT) AS shard, batch, CAST(chunk AS BIGINT) AS chunk, {n("ids")} AS n_tokens,
        {md5_list("ids")} AS ids_md5 FROM packed"""
 
+SQL["stream_ledger"] = f"""WITH {PRETRAIN},
+{file_ctes("penc", C.FILE_DOCS, 1, C.STREAM_BATCH)},
+{pack_sql("fb", C.STREAM_LEN, scope="file_index")}
+SELECT file_index, CAST(row_number() OVER (PARTITION BY file_index ORDER BY batch, chunk) - 1 AS BIGINT) AS in_file, batch,
+       CAST(chunk AS BIGINT) AS chunk, {n("ids")} AS n_tokens, {md5_list("ids")} AS ids_md5, true AS dense FROM packed"""
+
 SQL["documents_nfc"] = """SELECT doc_id AS pos, md5(nfc_normalize(text)) AS text_md5, nfc_normalize(text) <> text AS changed
 FROM documents"""
 
@@ -675,6 +681,65 @@ SQL["mix_report"] = f"""WITH RECURSIVE {MIX}
 SELECT epoch, source, count(*) AS rows, CAST(sum(CAST(wrapped AS BIGINT)) AS BIGINT) AS reused FROM mixed GROUP BY epoch, source"""
 
 
+def permuted_ctes(src: str, name: str) -> str:
+    """``src`` has px (place), pn (how many) and pk (round keys); ``name`` adds py, the permuted place."""
+    from tessera.operators.permute import FACTORS, PRIME
+
+    def scrambled(v: str) -> str:
+        t = f"(({v} * {FACTORS[0]} + k) % {PRIME})"
+        return f"((xor({t}, {t} >> 13) * {FACTORS[1]} + k) % {PRIME})"
+
+    def walk(p: str) -> str:
+        left, right = "(w // gb)", "(w % gb)"
+        return (f"list_reduce(list_prepend({p}, pk), lambda w, k, i: CASE WHEN i % 2 = 0 "
+                f"THEN (({left} + {scrambled(right)}) % ga) * gb + {right} "
+                f"ELSE {left} * gb + ({right} + {scrambled(left)}) % gb END)")
+
+    return f"""
+{name}g AS (SELECT *, greatest(CAST(ceil(sqrt(pn)) AS BIGINT), 1) AS ga FROM {src}),
+{name}h AS (SELECT *, greatest(CAST(ceil(pn / ga) AS BIGINT), 1) AS gb FROM {name}g),
+{name} AS (SELECT * EXCLUDE (ga, gb, px, pn, pk), list_reduce(list_prepend({walk("px")}, range(64)),
+                  lambda p, z: CASE WHEN p < pn THEN p ELSE {walk("p")} END) AS py FROM {name}h)"""
+
+
+def keys_sql(seed: str) -> str:
+    return f"list_transform(range(6), lambda i: CAST('0x' || substr(md5({seed} || ':perm:' || i), 1, 7) AS BIGINT))"
+
+
+def mixed_ctes(lines: str, ratio: str) -> str:
+    """``lines`` has source, id and place (in the source), ``ratio`` source and ratio; defines mxo with out_pos."""
+    return f"""
+mxn AS (SELECT *, count(*) OVER (PARTITION BY source) AS n_source FROM {lines}),
+mxr AS (SELECT m.*, CAST(trunc(n_source * ratio) AS BIGINT) AS num FROM mxn m JOIN {ratio} USING (source)),
+mxs AS (SELECT source, num, coalesce(sum(num) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+               sum(num) OVER () AS total FROM (SELECT DISTINCT source, num FROM mxr)),
+mxp AS (SELECT m.*, CAST(off AS BIGINT) AS off, CAST(total AS BIGINT) AS total, place AS px, n_source AS pn,
+               {keys_sql(f"'{C.SEED}:' || source")} AS pk FROM mxr m JOIN mxs USING (source) WHERE m.num > 0),
+{permuted_ctes("mxp", "mxq")},
+mxe AS (SELECT q.* EXCLUDE (py), e AS epoch, ((py - e * num) % n_source + n_source) % n_source AS j FROM mxq q, range({C.MIX_EPOCHS}) t(e)),
+mxf AS (SELECT *, off + j AS px, total AS pn, {keys_sql(f"'{C.SEED}:epoch:' || epoch")} AS pk FROM mxe WHERE j < num),
+{permuted_ctes("mxf", "mxz")},
+mxo AS (SELECT *, CAST(epoch * total + py AS BIGINT) AS out_pos FROM mxz)"""
+
+
+SQL["plan_permuted"] = f"""WITH p AS (SELECT doc_id AS pos, doc_id AS px, count(*) OVER () AS pn, {keys_sql(f"'{C.SEED}'")} AS pk FROM documents),
+{permuted_ctes("p", "q")}
+SELECT pos, py AS order_idx, CAST(py // {C.PLAN_BS} AS BIGINT) AS batch_id FROM q"""
+
+SQL["mix_permuted"] = f"""WITH RECURSIVE {MIX},
+ln AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS place FROM docs),
+{mixed_ctes("ln", "props")}
+SELECT out_pos, CAST(epoch AS BIGINT) AS epoch, source, id FROM mxo"""
+
+SQL["mixture_lines"] = f"""WITH {PAIRS},
+ln AS (SELECT 'source=s' || (pair_id % 4) AS source, pair_id AS id, md5(CAST({JSONL} AS VARCHAR)) AS line_md5,
+              row_number() OVER (PARTITION BY pair_id % 4 ORDER BY pair_id) - 1 AS place FROM pairs),
+rt AS (SELECT unnest([{", ".join(f"'source=s{i}'" for i in range(4))}]) AS source,
+              unnest([{", ".join(f"CAST({r} AS DOUBLE)" for r in C.MIX_RATIOS)}]) AS ratio),
+{mixed_ctes("ln", "rt")}
+SELECT out_pos, line_md5 FROM mxo"""
+
+
 # --- preference metrics ------------------------------------------------------------------
 
 TOKLOGP = f"""{PAIRS},

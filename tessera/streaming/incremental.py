@@ -6,11 +6,16 @@ every micro-batch one file (so packing and batching scope is the file, as
 when files are prepared one by one), and ``availableNow`` drains what is
 there and stops.  ``foreachBatch`` runs the ordinary batch operators on the
 micro-batch and overwrites ``<out>/batch_id=<id>`` — a retried micro-batch
-rewrites the same folder, so output stays exactly-once.
+rewrites the same folder, so output stays exactly-once as long as the query's
+checkpoint is there.
+
+``prepare_stream_once`` does not depend on that: a ledger of commits by file
+says what is prepared, where its rows lie and which places they have.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.codec import PortableCodec
-from tessera.operators.order import number_lines
+from tessera.operators.order import index_in_groups, number_lines
 from tessera.plans.tasks import build_pretrain
 
 
@@ -35,7 +40,67 @@ def pretrain_preparer(vocab: DataFrame | None, max_seq_len: int, batch_size: int
     return prepare
 
 
-def prepare_stream(
+class StreamLedger:
+    """What a stream has prepared: one table per run, and a commit (file, run, first place, rows) per file.
+
+    A file's rows count once its commit is written, which is one append after
+    its table; its places follow those of all files committed before, so ``pos``
+    is dense over files in order of commit.  A file with a commit is never
+    prepared again, also when the stream's own checkpoint is lost.
+    """
+
+    SCHEMA = "file string, length bigint, modified bigint, run string, first_pos bigint, n bigint"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.path = f"{self.root}/commits"
+
+    def commits(self) -> list:
+        """One row per prepared file."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return []
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).collect()
+
+    def prepare(self, batch: DataFrame, prepare: Callable[[DataFrame], DataFrame]) -> None:
+        """Prepare and commit the batch's files that have no commit, one after the other."""
+        done = self.commits()
+        known = {(r["file"], r["length"], r["modified"]) for r in done}
+        first = sum(r["n"] for r in done)
+        # the files of one trigger
+        files = sorted(tuple(r) for r in batch.select("_file", "_length", "_modified").distinct().collect())
+        for file in files:
+            if file in known:
+                continue
+            run = uuid.uuid4().hex
+            rows = batch.where(F.col("_file") == file[0]).drop("_length", "_modified")
+            prepare(rows).write.parquet(f"{self.root}/run-{run}")
+            n = self.spark.read.parquet(f"{self.root}/run-{run}").count()
+            commit = self.spark.createDataFrame([(*file, run, first, n)], self.SCHEMA)
+            commit.coalesce(1).write.mode("append").parquet(self.path)
+            first += n
+
+    def read(self) -> DataFrame | None:
+        """All committed rows: ``pos`` over all files, ``in_file`` and ``file``; None before any."""
+        done = self.commits()
+        if not done:
+            return None
+        commits = self.spark.createDataFrame(done, self.SCHEMA).select("file", F.col("run").alias("_run"), "first_pos")
+        held = self.spark.read.parquet(*[f"{self.root}/run-{r['run']}" for r in done])
+        held = held.withColumn("_run", F.regexp_extract(F.col("_metadata.file_path"), "/run-([0-9a-f]+)/", 1))
+        # one commit per prepared file
+        return held.withColumnRenamed("pos", "in_file").join(F.broadcast(commits), "_run").drop("_run").withColumn(
+            "pos", F.col("first_pos") + F.col("in_file")).drop("first_pos")
+
+
+def indexed_pretrain_preparer(max_seq_len: int, batch_size: int, workers: int | None = None,
+                              codec=None) -> Callable[[DataFrame], DataFrame]:
+    """One file's lines → packed chunks with ``pos``, dense in the file."""
+    inner = pretrain_preparer(None, max_seq_len, batch_size, workers, codec=codec)
+    return lambda batch: index_in_groups(inner(batch), ["shard", "batch"], "chunk", "pos")
+
+
+def prepare_stream_once(
     spark: SparkSession,
     source_dir: str,
     out_dir: str,
@@ -43,9 +108,24 @@ def prepare_stream(
     prepare: Callable[[DataFrame], DataFrame],
     schema: T.StructType,
     pattern: str = "*.json*",
-) -> DataFrame:
-    """Prepare every not-yet-seen file under ``source_dir``; return the whole prepared table."""
-    stream = (
+) -> DataFrame | None:
+    """Prepare every file under ``source_dir`` that ``out_dir``'s ledger does not know; all committed rows.
+
+    ``prepare`` gets one file's lines and returns rows with ``pos``, dense in the file.
+    """
+    ledger = StreamLedger(spark, out_dir)
+    stream = _file_stream(spark, source_dir, schema, pattern).withColumns(
+        {"_length": F.col("_metadata.file_size"), "_modified": F.unix_millis(F.col("_metadata.file_modification_time"))})
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        ledger.prepare(batch, prepare)
+
+    _drain(stream, run_batch, checkpoint)
+    return ledger.read()
+
+
+def _file_stream(spark: SparkSession, source_dir: str, schema: T.StructType, pattern: str) -> DataFrame:
+    return (
         spark.readStream.schema(schema)
         .option("mode", "FAILFAST")  # a malformed line stops the stream, it never becomes an empty sample
         .option("maxFilesPerTrigger", 1)
@@ -54,12 +134,8 @@ def prepare_stream(
         .withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
     )
 
-    def run_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        prepared = prepare(batch)
-        prepared.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
+def _drain(stream: DataFrame, run_batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     query = (
         stream.writeStream.foreachBatch(run_batch)
         .option("checkpointLocation", checkpoint)
@@ -67,4 +143,25 @@ def prepare_stream(
         .start()
     )
     query.awaitTermination()
+
+
+def prepare_stream(
+    spark: SparkSession,
+    source_dir: str,
+    out_dir: str,
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame],
+    schema: T.StructType,
+    pattern: str = "*.json*",
+) -> DataFrame:
+    """Prepare every not-yet-seen file under ``source_dir``; return the whole prepared table."""
+    stream = _file_stream(spark, source_dir, schema, pattern)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        prepared = prepare(batch)
+        prepared.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+
+    _drain(stream, run_batch, checkpoint)
     return spark.read.parquet(out_dir)

@@ -145,3 +145,28 @@ def test_concatenation_refuses_positions_with_gaps(spark):
     assert sorted(r.pos for r in concat_datasets([dense, dense]).collect()) == list(range(6))
     with pytest.raises(Exception, match="not dense"):
         concat_datasets([dense.where("pos <> 1"), dense]).collect()
+
+
+def test_plans_sort_keys_and_lengths_only(spark):
+    from tessera.operators import order
+
+    rows = [(i, (i * 7) % 13, "payload" * 3, [i]) for i in range(90)]
+    df = spark.createDataFrame(rows, "pos bigint, n bigint, payload string, input_ids array<int>").repartition(5)
+    plans = {"random": lambda d: order.plan_random(d, 4, 7), "grouped": lambda d: order.plan_length_grouped(d, 4, 2, 7, "n")}
+    for name, plan in plans.items():
+        wide = plan(df)
+        narrow = plan(df.select("pos", "n"))
+        key = lambda r: (r.pos, r.order_idx, r.batch_id)
+        assert sorted(map(key, wide.collect())) == sorted(map(key, narrow.collect())), name
+        assert all(r.payload == "payload" * 3 and r.input_ids == [r.pos] for r in wide.collect())
+        text = wide._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in text.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+        assert not any("payload" in line or "input_ids" in line for line in exchanges), text
+
+
+def test_permuted_plan_needs_no_exchange(spark):
+    from tessera.operators import order
+
+    out = order.plan_permuted(spark.range(100).withColumnRenamed("id", "pos"), 8, 100, 3)
+    assert sorted(r.order_idx for r in out.collect()) == list(range(100))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

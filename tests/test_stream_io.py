@@ -100,3 +100,60 @@ def test_stream_files_sharing_a_name_prefix_are_both_prepared(spark):
     table = prepare_stream(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"), prep, PRETRAIN_SCHEMA)
     assert table.count() == 6  # 12 tokens per file -> 3 chunks of 4, for each of the two files
     assert table.select(F.countDistinct("batch_id")).first()[0] == 2
+
+
+def test_ledger_survives_a_crash_between_write_and_commit_and_a_lost_checkpoint(spark):
+    import json
+    import os
+    import tempfile
+
+    import pytest
+
+    from tessera.operators.codec import PortableCodec
+    from tessera.sources.io import PRETRAIN_SCHEMA
+    from tessera.streaming.incremental import StreamLedger, indexed_pretrain_preparer, prepare_stream_once
+
+    root = tempfile.mkdtemp(prefix="tessera-ledger-", dir="/tmp")
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+    os.makedirs(src)
+
+    def write(name, texts):
+        with open(os.path.join(src, name), "w") as f:
+            f.writelines(json.dumps({"text": t}) + "\n" for t in texts)
+
+    words = "a b c d e f g h".split()
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "token string, id int")
+    prepare = indexed_pretrain_preparer(3, 2, codec=PortableCodec(vocab, size=8))
+    run = lambda ckpt, how=prepare: prepare_stream_once(spark, src, out, os.path.join(root, ckpt), how, PRETRAIN_SCHEMA)
+    rows = lambda df: sorted((r.pos, r.in_file, r.input_ids) for r in df.collect())
+    assert run("none") is None
+    write("one.json", ["a b c d e f", "g h"])                     # 8 tokens: two chunks of 3, the rest dropped
+    first = rows(run("ckpt"))
+    assert first == [(0, 0, [0, 1, 2]), (1, 1, [3, 4, 5])]
+    write("two.json", ["h g f e", "d c"])
+
+    class Killed(Exception):
+        pass
+
+    commit = StreamLedger.prepare
+
+    def dies_before_the_commit(self, batch, how):
+        def writes_then_dies(rows_):
+            how(rows_).write.parquet(f"{self.root}/run-0123456789abcdef")       # written, never committed
+            raise Killed("killed between write and commit")
+
+        commit(self, batch, writes_then_dies)
+
+    StreamLedger.prepare = dies_before_the_commit
+    try:
+        with pytest.raises(Exception, match="killed between"):
+            run("ckpt")
+    finally:
+        StreamLedger.prepare = commit
+    assert rows(StreamLedger(spark, out).read()) == first         # what was not committed is not there
+    both = first + [(2, 0, [7, 6, 5]), (3, 1, [4, 3, 2])]
+    assert rows(run("ckpt")) == both                              # the killed file is prepared, once
+    assert rows(run("fresh")) == both and rows(run("other")) == both      # a lost checkpoint repeats nothing
+    write("three.json", ["a"])
+    assert rows(run("fresh")) == both + [(4, 0, [0])]
+    assert len(StreamLedger(spark, out).commits()) == 3
