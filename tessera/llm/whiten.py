@@ -30,6 +30,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -81,7 +82,14 @@ def numbered(df: DataFrame) -> DataFrame:
 def block_matrix(rows: DataFrame, n: int, dim: int, vector: str = "vector") -> BlockMatrix:
     """BlockMatrix of (idx, array of doubles), made in the JVM."""
     vectors = MLUtils.convertVectorColumnsFromML(rows.select("idx", array_to_vector(vector).alias("vector")), "vector")
-    return IndexedRowMatrix(vectors, n, dim).toBlockMatrix(ROWS_PER_BLOCK, min(dim, COLS_PER_BLOCK))
+    blocks = IndexedRowMatrix(vectors, n, dim).toBlockMatrix(ROWS_PER_BLOCK, min(dim, COLS_PER_BLOCK))
+    # a product reads both of its sides, and X is in two products: blocks are put together once
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(matrix: BlockMatrix) -> None:
+    """Give up a matrix's kept blocks."""
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def product(left: BlockMatrix, right: BlockMatrix, mid_splits: int = 1) -> BlockMatrix:
@@ -153,7 +161,10 @@ def whiten_rows(rows: DataFrame, dim: int, components: int) -> DataFrame:
     means = projected.select(F.posexplode("vector").alias("i", "z")).groupBy("i").agg(F.avg("z").alias("m")).collect()
     m_col = F.array(*[F.lit(float(r["m"])) for r in sorted(means)])
     moved = projected.select("idx", F.zip_with("vector", m_col, lambda a, b: a - b).alias("vector"))
-    covariance = scatter(block_matrix(moved, n, k), n)[np.ix_(alive, alive)]
+    moved_blocks = block_matrix(moved, n, k)
+    covariance = scatter(moved_blocks, n)[np.ix_(alive, alive)]
+    release(x)
+    release(moved_blocks)
     error = float(np.abs(covariance - np.eye(len(covariance))).max()) if alive.any() else None
 
     ids = centred.select("idx", "vec_id", "deviation")
