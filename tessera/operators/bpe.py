@@ -1,26 +1,26 @@
-"""Byte-level BPE as a dictionary job (op 28) and byte-level decoding (op 29).
-
-Encoding a corpus is dominated by a few frequent pre-tokens, so the merge
-loop runs once per *distinct* pre-token, never per occurrence:
-
-    explode pre-tokens → distinct (map-side dedup, one shuffle)
-      → encode each distinct pre-token in an Arrow batch (mapInPandas;
-        merge ranks and vocabulary broadcast: both are bounded by the
-        tokeniser files and checked before collecting); written once
-      → equi-join back to the occurrences (size-checked broadcast, else a
-        hot/cold split by word frequency) → ordered regroup per row.
-
-Decoding is pure Spark: ids → vocabulary join → per-piece hex of the bytes
-(the byte alphabet is a 256-entry literal map built from a rule) → ``unhex``
-→ ``make_valid_utf8`` (equal to Python's ``errors='replace'``).
+"""Byte-level BPE (op 28) and byte-level decoding (op 29).
+
+Encoding a corpus is dominated by a few frequent pre-tokens, and the ids of a
+pre-token depend on nothing but the tokeniser's tables, which its files bound:
+they are checked, collected and broadcast.  Rows are encoded where they are,
+in Arrow batches; a batch's distinct pre-tokens are looked up once, in a
+bounded memo of the task, and the ids of a row are gathered by arithmetic on
+offsets.  No occurrence is exploded, joined or shuffled.
+
+Decoding goes the same way, or through Spark's own expressions
+(``decode_bytes``): ids → vocabulary join → per-piece hex of the bytes (the
+byte alphabet is a 256-entry literal map built from a rule) → ``unhex`` →
+``make_valid_utf8`` (equal to Python's ``errors='replace'``).
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,10 @@ from tessera.functions.fixed import SPECIAL_TOKENS
 
 # largest merge table / vocabulary accepted for broadcasting to the encoders
 MAX_TABLE_ROWS = 2_000_000
-# distinct-pre-token dictionaries up to this size are broadcast to the join
-BROADCAST_DICT_ROWS = 2_000_000
+# up to this many symbols a list is faster than a heap
+SHORT_WORD = 48
+# words a task remembers the ids of, and the longest of them
+MEMO_WORDS, MEMO_LENGTH = 200_000, 256
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -63,6 +65,8 @@ def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[
     when whole passes are made, even if their rank is lower.
     """
     n = len(symbols)
+    if n <= SHORT_WORD:
+        return _merge_short(list(symbols), ranks)
     sym: list[str | None] = list(symbols)          # None: merged into the symbol to its left
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
@@ -101,6 +105,34 @@ def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[
     return [x for x in sym if x is not None]
 
 
+def _merge_short(s: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """``apply_merges`` for a few symbols: the ranks of neighbours in a list, searched from left to right."""
+    get, never = ranks.get, float("inf")
+    near = [get(p, never) for p in zip(s, s[1:])]
+    while near:
+        rank = min(near)
+        if rank == never:
+            break
+        i = near.index(rank)
+        pair = (s[i], s[i + 1])
+        merged, changed = pair[0] + pair[1], []
+        while True:
+            if (s[i], s[i + 1]) == pair:
+                s[i:i + 2] = [merged]
+                del near[i]                       # what is at i now is the next place's, and out of date
+                changed.append(i)
+            try:
+                i = near.index(rank, i + 1)
+            except ValueError:
+                break
+        for i in changed:
+            if i < len(near):
+                near[i] = get((s[i], s[i + 1]), never)
+            if i:
+                near[i - 1] = get((s[i - 1], s[i]), never)
+    return s
+
+
 def _bounded_collect(df: DataFrame, what: str) -> list:
     """Collect a table whose size is bounded by the tokeniser files; one job,
     and never more than ``MAX_TABLE_ROWS + 1`` rows reach the driver."""
@@ -127,66 +159,82 @@ def shared_tables(spark, ranks: dict, ids: dict) -> Callable[[], tuple[dict, dic
         return lambda: (ranks, ids)
 
 
-def word_dictionary(words: DataFrame, tables: Callable[[], tuple[dict, dict]], unk_id: int | None = None) -> DataFrame:
-    """(token, ids[, c]): each distinct pre-token of ``words`` encoded once, written to the checkpoint folder."""
-    from tessera.operators.order import materialise_scratch
-
-    specials = set(SPECIAL_TOKENS)
-
-    def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alphabet = byte_alphabet()
-        rk, voc = tables()
-
-        def one(token: str) -> list[int]:
-            if token in specials and token in voc:
-                return [voc[token]]
-            pieces = apply_merges(to_symbols(token, alphabet), rk)
-            res = []
-            for p in pieces:
-                v = voc.get(p, unk_id)
-                if v is None:
-                    raise ValueError(f"piece {p!r} of {token!r} is not in the vocabulary and no unk id is set")
-                res.append(v)
-            return res
-
-        for pdf in batches:
-            out = pd.DataFrame({"token": pdf["token"], "ids": pdf["token"].map(one)})
-            if "c" in pdf.columns:
-                out["c"] = pdf["c"]
-            yield out
-
-    freq = ["c"] if "c" in words.columns else []
-    return materialise_scratch(words.select("token", *freq).mapInPandas(
-        encode_batches, "token string, ids array<int>" + (", c bigint" if freq else "")), "bpe-dictionary")
-
-
-def attach_ids(df: DataFrame, key_cols: list[str], dictionary: DataFrame, tokens_col: str = "tokens",
-               out: str = "input_ids", flags_col: str | None = None) -> DataFrame:
-    """Join the dictionary's ids back to the pre-token arrays of ``df``, in order.
-
+class WordMemo:
+    """Ids of words, each encoded when it is first met; a bounded memory of a task."""
+
+    def __init__(self, ranks: dict, ids: dict, unk_id: int | None, bound: int = MEMO_WORDS):
+        self.ranks, self.ids, self.unk_id, self.bound = ranks, ids, unk_id, bound
+        self.alphabet, self.specials, self.held = byte_alphabet(), set(SPECIAL_TOKENS), {}
+
+    def __call__(self, word: str) -> list[int]:
+        found = self.held.get(word)
+        if found is None:
+            if len(self.held) >= self.bound:
+                self.held.clear()
+            found = self._encode(word)
+            if len(word) <= MEMO_LENGTH:
+                self.held[word] = found
+        return found
+
+    def _encode(self, word: str) -> list[int]:
+        if word in self.specials and word in self.ids:
+            return [self.ids[word]]
+        out = []
+        for p in apply_merges(to_symbols(word, self.alphabet), self.ranks):
+            v = self.ids.get(p, self.unk_id)
+            if v is None:
+                raise ValueError(f"piece {p!r} of {word!r} is not in the vocabulary and no unk id is set")
+            out.append(v)
+        return out
+
+
+def encode_lists(tokens: pa.ListArray, encode: Callable[[str], list[int]]) -> tuple[pa.ListArray, pa.ListArray]:
+    """(ids, pieces per word) of lists of words; every word of the batch is looked up once."""
+    found = tokens.flatten().dictionary_encode()
+    codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = [encode(w) for w in found.dictionary.to_pylist()]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    flat = np.fromiter(itertools.chain.from_iterable(words), np.int32, int(starts[-1]))
+    n = lens[codes]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)]
+    by_row = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    word_at = np.concatenate([[0], np.cumsum(by_row)])
+    id_at = np.concatenate([[0], ends])[word_at]
+    as_list = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+    return as_list(id_at, ids), as_list(word_at, n)
+
+
+def attach_ids(df: DataFrame, key_cols: list[str], tables: Callable[[], tuple[dict, dict]], unk_id: int | None = None,
+               tokens_col: str = "tokens", out: str = "input_ids", flags_col: str | None = None) -> DataFrame:
+    """Ids of the pre-token arrays of ``df``, row by row where they are: no exchange.
+
+    The merges are a pure function of the word and bounded tables, so what is
+    saved by encoding a word once is saved within a batch (its distinct words)
+    and a task (a bounded memo); a dictionary of all distinct words would have
+    to meet every occurrence in a shuffle once it is too large to broadcast.
     ``flags_col``: a boolean array aligned with the pre-tokens; it is returned
     aligned with the ids (a pre-token's flag for each of its pieces).
+    A NULL array has no ids.
     """
-    from tessera.operators.tokens import lookup
-
-    n_dict = dictionary.count()  # cheap on a materialised table
-    freq = "c" if "c" in dictionary.columns else None
-    carried = [flags_col] if flags_col else []
-    ex = df.select(*key_cols, *carried, F.posexplode_outer(col(tokens_col)).alias("_i", "token"))
-    fields = ["_i", "ids"]
-    if flags_col:
-        ex = ex.withColumn("_f", F.col(flags_col)[F.col("_i")]).drop(flags_col)
-        fields.append("_f")
-    joined = lookup(ex, dictionary, "token", ["ids"], n_dict if n_dict > BROADCAST_DICT_ROWS else 0, freq=freq)
-    item = F.when(F.col("_i").isNotNull(), F.struct(*fields))
-    res = (
-        joined.groupBy(*key_cols)
-        .agg(F.array_sort(F.collect_list(item)).alias("_s"))
-        .withColumn(out, F.flatten(F.transform("_s", lambda x: x["ids"])))
-    )
-    if flags_col:
-        res = res.withColumn(flags_col, F.flatten(F.transform("_s", lambda x: F.array_repeat(x["_f"], F.size(x["ids"])))))
-    return res.drop("_s")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = WordMemo(*tables(), unk_id)
+        for tokens in batches:
+            yield encode_lists(tokens, memo)[0]
+
+    def ids_and_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = WordMemo(*tables(), unk_id)
+        for tokens in batches:
+            yield pa.StructArray.from_arrays(encode_lists(tokens, memo), ["ids", "pieces"])
+
+    if flags_col is None:
+        return df.select(*key_cols, F.arrow_udf(ids_of, "array<int>")(col(tokens_col)).alias(out))
+    both = F.arrow_udf(ids_and_pieces, "struct<ids:array<int>,pieces:array<int>>")(col(tokens_col))
+    flags = F.flatten(F.zip_with(col(flags_col), F.col("_e.pieces"), lambda f, n: F.array_repeat(f, n)))
+    return df.select(*key_cols, flags_col, both.alias("_e")).select(
+        *key_cols, F.col("_e.ids").alias(out), flags.alias(flags_col))
 
 
 def encode_bpe(
@@ -197,25 +245,32 @@ def encode_bpe(
     tokens_col: str = "tokens",
     out: str = "input_ids",
     unk_id: int | None = None,
-    words: DataFrame | None = None,
     flags_col: str | None = None,
 ) -> DataFrame:
     """Byte-level BPE ids for the pre-token arrays of ``df``.
 
-    ``words`` (optional): the distinct pre-tokens (column ``token``) if the
-    caller already has them materialised.
-
     ``merges``: (left, right, rank); ``vocab``: (token, id).  Special markers
     present in the vocabulary map straight to their ids.  A piece missing from
     the vocabulary takes ``unk_id``; without one the job fails.
     """
-    from tessera.operators.order import materialise_scratch
-    from tessera.operators.tokens import explode_items
-
     tables = shared_tables(df.sparkSession, *table_values(merges, vocab))
-    if words is None:
-        words = materialise_scratch(explode_items(df, tokens_col, "token").distinct(), "bpe-words")
-    return attach_ids(df, key_cols, word_dictionary(words, tables, unk_id), tokens_col, out, flags_col)
+    return attach_ids(df, key_cols, tables, unk_id, tokens_col, out, flags_col)
+
+
+def decode_in_place(df: DataFrame, key_cols: list[str], tables: Callable[[], tuple[dict, dict]],
+                    ids_col: str = "input_ids", out: str = "text") -> DataFrame:
+    """ids → text row by row: pieces back to bytes, UTF-8 decoded with replacement, special markers
+    verbatim; unknown ids give nothing, a NULL array the empty text."""
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        byte_of = {ch: b for b, ch in byte_alphabet().items()}
+        specials = set(SPECIAL_TOKENS)
+        pieces = {i: t.encode() if t in specials else bytes(byte_of[c] for c in t) for t, i in tables()[1].items()
+                  if t in specials or all(c in byte_of for c in t)}
+        for lists in batches:
+            yield pa.array([b"".join([pieces.get(i, b"") for i in row or ()]).decode("utf-8", "replace")
+                            for row in lists.to_pylist()], pa.string())
+
+    return df.select(*key_cols, F.arrow_udf(texts, "string")(col(ids_col)).alias(out))
 
 
 def _alphabet_hex_map():

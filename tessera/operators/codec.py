@@ -4,7 +4,7 @@ A codec knows how texts are split and how the pieces become ids:
 
 * ``split(text)``  — column: the pre-tokens of a text, special markers kept
   whole (one pattern finds them, in pretraining text as in rendered messages);
-* ``learn(words)`` — a codec fit for the given pre-tokens: what has to be known
+* ``learn(tokens)`` — a codec fit for the given pre-tokens: what has to be known
   about the corpus before rows can be encoded;
 * ``encode(df)``   — ids of the pre-token arrays, with flags aligned on request;
 * ``decode(df)``   — texts of ids.
@@ -14,10 +14,11 @@ over the corpus).  ``ByteLevelCodec`` is the byte-level BPE tokeniser of a
 vocabulary and a merge table: read from ``vocab.json`` and ``merges.txt``
 (``read_tokenizer``) or from one combined JSON file (``read_tokenizer_json``).
 
-Both need a pass over the corpus before rows are encoded: the portable one
-counts pre-tokens, the byte-level one encodes each distinct pre-token once.
-That pass reads the texts where they lie (pre-tokens of a task's input,
-map-side combined); only the pass that encodes rows exchanges texts.
+The portable codec's vocabulary can be as large as the corpus makes it, so
+pre-tokens meet it in a join.  Counting it reads the texts where they lie
+(map-side combined); only the pass that encodes exchanges them.  The byte-level
+codec's tables are bounded by their files and broadcast: rows are encoded in
+place and nothing but ids is exchanged, when they are batched.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import SPECIAL_TOKENS
-from tessera.operators.bpe import attach_ids, decode_bytes, shared_tables, table_values, word_dictionary
+from tessera.operators.bpe import attach_ids, decode_in_place, shared_tables, table_values
 from tessera.operators.order import materialise_scratch
-from tessera.operators.tokens import decode_ids, encode_tokens, explode_items, pretokens, vocab_table
+from tessera.operators.tokens import (
+    BROADCAST_VOCAB_ROWS, decode_ids, encode_tokens, pretokens, vocab_size, vocab_table)
 from tessera.sources.io import table_stamp
 
 
@@ -44,13 +46,19 @@ class PortableCodec:
     profile: str = "portable"
     size: int | None = None      # rows of the vocabulary, where known
 
+    @property
+    def in_place(self) -> bool:
+        """A vocabulary that is not broadcast meets rows in buckets: dealing texts out before is of no use."""
+        return self.size is not None and self.size > BROADCAST_VOCAB_ROWS
+
     def split(self, text) -> Column:
         return pretokens(text, self.profile, markers=True)
 
     def learn(self, tokens: DataFrame, tokens_col: str = "tokens") -> PortableCodec:
         if self.vocab is not None:
             return self
-        return replace(self, vocab=vocab_table(tokens, tokens_col))
+        vocab = vocab_table(tokens, tokens_col)
+        return replace(self, vocab=vocab, size=vocab_size(vocab))
 
     def encode(self, df: DataFrame, key_cols: list[str], tokens_col: str = "tokens", out: str = "input_ids",
                flags_col: str | None = None) -> DataFrame:
@@ -78,7 +86,9 @@ class ByteLevelCodec:
     unk_id: int | None = None
     profile: str = "full"
     _tables: Callable | None = field(default=None, repr=False, compare=False)
-    _dictionary: DataFrame | None = field(default=None, repr=False, compare=False)
+
+    #: rows are encoded where they are, without an exchange
+    in_place = True
 
     @classmethod
     def load(cls, merges: DataFrame, vocab: DataFrame, unk_id: int | None = None, profile: str = "full") -> ByteLevelCodec:
@@ -99,29 +109,27 @@ class ByteLevelCodec:
         return pretokens(text, self.profile, markers=True)
 
     def learn(self, tokens: DataFrame, tokens_col: str = "tokens") -> ByteLevelCodec:
-        """The dictionary of the corpus: each distinct pre-token, with its count, encoded once."""
-        counts = explode_items(tokens, tokens_col, "token").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-        words = materialise_scratch(counts, "bpe-words")
-        tables = self._tables or shared_tables(self.vocab.sparkSession, *table_values(self.merges, self.vocab))
-        return replace(self, _tables=tables, _dictionary=word_dictionary(words, tables, self.unk_id))
+        return self
+
+    def _shared(self) -> Callable:
+        return self._tables or shared_tables(self.vocab.sparkSession, *table_values(self.merges, self.vocab))
 
     def encode(self, df: DataFrame, key_cols: list[str], tokens_col: str = "tokens", out: str = "input_ids",
                flags_col: str | None = None) -> DataFrame:
-        ready = self if self._dictionary is not None else self.learn(df, tokens_col)
-        return attach_ids(df, key_cols, ready._dictionary, tokens_col, out, flags_col)
+        return attach_ids(df, key_cols, self._shared(), self.unk_id, tokens_col, out, flags_col)
 
     def stamp(self) -> list:
         return ["bytes", self.profile, self.unk_id, *table_stamp(self.vocab.select("token", "id")),
                 *table_stamp(self.merges.select("left", "right", "rank"))]
 
     def decode(self, df: DataFrame, key_cols: list[str], ids_col: str = "input_ids", out: str = "text") -> DataFrame:
-        return decode_bytes(df, key_cols, self.vocab, ids_col, out)
+        return decode_in_place(df, key_cols, self._shared(), ids_col, out)
 
 
 def codec_for(codec, vocab: DataFrame | None = None):
     """The codec a task works with: the given one, or the portable one with ``vocab`` (None: counted over the corpus)."""
     if codec is None:
-        return PortableCodec(vocab)
+        return PortableCodec(vocab, size=None if vocab is None else vocab_size(vocab))
     if vocab is not None:
         raise ValueError("give either a codec or a vocabulary")
     return codec

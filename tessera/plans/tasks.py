@@ -38,14 +38,17 @@ def pretrain_pretokens(docs: DataFrame, profile: str = "portable") -> DataFrame:
 
 def learned(codec, raw: DataFrame, task_type: str, template=DEFAULT_TEMPLATE, eos: str = EOS_TOKEN, keys=("pos",)):
     """``codec`` fit for the pre-tokens of ``raw``, which is read where it lies."""
+    if codec.vocab is not None:
+        return codec
     return codec.learn(task_pretokens(spread(raw, *keys), task_type, template, eos, codec))
 
 
 def tokenise_pretrain(docs: DataFrame, vocab: DataFrame | None = None, codec=None) -> tuple[DataFrame, DataFrame]:
     """(pos, input_ids, labels) with labels = input_ids; no BOS/EOS, no separator (op 30)."""
     codec = learned(codec_for(codec, vocab), docs.select("pos", "text"), "pt")
-    ids = codec.encode(pretrain_pretokens(docs, codec.profile), ["pos"])
-    return ids.withColumn("labels", F.col("input_ids")), codec.vocab
+    dealt = spread(docs.select("pos", "text"), "pos") if codec.in_place else docs.select("pos", "text").repartition("pos")
+    toks = normalise_nfc(dealt, "text").select("pos", codec.split("text").alias("tokens"))
+    return codec.encode(toks, ["pos"]).withColumn("labels", F.col("input_ids")), codec.vocab
 
 
 def build_pretrain(
@@ -75,21 +78,22 @@ def build_pretrain(
     codec = learned(codec_for(codec, vocab), docs.select("pos", "text"), "pt")
     batched = assign_map_batches(docs.select("pos", "text"), batch_size, workers, n_rows=n_rows)
     by_batch = batch_partitioning_pays(docs.sparkSession, n_rows, batch_size, workers)
-    return pack_documents(batched, codec, max_seq_len, by_batch, separator_id)
+    return with_labels(pack_documents(batched, codec, max_seq_len, by_batch, separator_id))
 
 
 def pack_documents(batched: DataFrame, codec, max_seq_len: int, by_batch: bool,
                    separator_id: int | None = None) -> DataFrame:
-    """Documents with ``shard``, ``batch`` and ``pos`` → packed chunks, with a codec fit for them.
+    """Documents with ``shard``, ``batch`` and ``pos`` → packed chunks of ids, with a codec fit for them.
 
-    ``by_batch``: texts are dealt out by (shard, batch), else by ``pos``.
+    ``by_batch``: texts are dealt out by (shard, batch), else by ``pos``; with a
+    codec that encodes in place texts stay and ids are dealt out by (shard, batch).
     """
-    dealt = batched.select("shard", "batch", "pos", "text").repartition(*(("shard", "batch") if by_batch else ("pos",)))
-    toks = pretokenise(normalise_nfc(dealt, "text"), "text", "tokens", codec.profile, markers=True)
-    ids = codec.encode(toks, ["shard", "batch", "pos"])
+    texts, keys = batched.select("shard", "batch", "pos", "text"), ["shard", "batch", "pos"]
+    dealt = spread(texts, "pos") if codec.in_place else texts.repartition(*(keys[:2] if by_batch else keys[2:]))
+    ids = codec.encode(normalise_nfc(dealt, "text").select(*keys, codec.split("text").alias("tokens")), keys)
     if separator_id is not None:
         ids = ids.withColumn("input_ids", F.concat("input_ids", F.array(F.lit(int(separator_id)))))
-    return with_labels(pack(ids, max_seq_len, ("input_ids",)))
+    return pack(ids, max_seq_len, ("input_ids",))
 
 
 def with_labels(packed: DataFrame) -> DataFrame:
@@ -164,7 +168,7 @@ def build_sft(
 def sort_conversations(batched: DataFrame, codec, template, max_seq_len: int, discard_long_sample: bool, by_batch: bool,
                        eos: str = EOS_TOKEN) -> DataFrame:
     """Conversations with ``shard``, ``batch`` and ``pos`` → prepared samples, with a codec fit for them."""
-    dealt = batched.repartition("shard", "batch") if by_batch else batched
+    dealt = batched.repartition("shard", "batch") if by_batch and not codec.in_place else batched
     toks = sft_pretokens(dealt, template, eos, codec)
     samples = masked(codec.encode(toks, ["shard", "batch", "pos"], flags_col="sup"))
     samples = samples.withColumn("n", F.size("input_ids").cast("bigint"))
@@ -355,6 +359,7 @@ def _prepare_files(spark, task_type: str, files: list[str], schema, codec, max_s
         out = out.drop("pos").withColumnRenamed("out_pos", "pos")
     else:
         out = index_in_groups(pack_documents(batched, codec, max_seq_length, by_batch), ["shard", "batch"], "chunk", "pos")
+        out = with_labels(out)
     return out.withColumn("file_index", F.floor(F.col("shard") / w).cast("int")).withColumn("shard", F.col("shard") % w)
 
 
@@ -377,13 +382,14 @@ def build_mixture(
     output: str,
     seed: int = 42,
 ) -> DataFrame:
-    """The epoch-mixing job: sources ``<input_root>/<source>/*.json`` with
+    """The epoch-mixing job: lines are numbered where they are read, shuffled and mixed by arithmetic
+    (``mix_permuted``) and exchanged once, to be written in order.  Sources ``<input_root>/<source>/*.json`` with
     instruction records (validated: one bad line fails the job), a
     ``{source: ratio}`` config, ``epochs`` epochs, written as JSON lines in
     epoch order (shuffled inside each epoch).  Returns the written rows."""
     from pyspark.sql import types as T
 
-    from tessera.operators.mix import mix_epochs, shuffle_epoch, shuffle_sources
+    from tessera.operators.mix import mix_permuted
     from tessera.operators.validate import validate_instructions
     from tessera.sources import io
 
@@ -399,15 +405,15 @@ def build_mixture(
     raw = raw.withColumn("source", io.source_name())
     checked = validate_instructions(raw, "value", mode="fail")
     from tessera.operators.order import number_lines
+    from tessera.operators.tokens import lookup
 
-    rows = number_lines(checked).withColumnRenamed("pos", "id").select("id", "source", "value")
+    # a source's files lie together in order of path, so its lines do
+    rows = order_materialise(number_lines(checked).select("pos", "source", "value"), "mix-lines")
     io.check_sources(rows, sources)
-    # rank and mix on keys only; the payload joins back once on its unique key
-    # (each key appears at most once per epoch on the other side: no hot key)
-    shuffled = shuffle_sources(rows.select("source", "id"), seed, "source", "id")
-    mixed = shuffle_epoch(mix_epochs(shuffled, props, epochs), seed, "source", "id")
-    out = mixed.select("out_pos", "source", "id").join(rows.select("source", "id", "value"), ["source", "id"]) \
-        .select("out_pos", "value")
+    first = rows.groupBy("source").agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("count"))
+    rows = lookup(rows, order_materialise(first, "mix-sources"), "source", ["_first"]).withColumn(
+        "at", F.col("pos") - F.col("_first"))
+    out = mix_permuted(rows.select("source", "at", "value"), props, epochs, seed).select("out_pos", "value")
     out.repartitionByRange("out_pos").sortWithinPartitions("out_pos").select("value").write.mode("overwrite").text(output)
     return out
 

@@ -28,7 +28,11 @@ def random_table(rng, alphabet, n):
     return ranks
 
 
-def test_heap_merging_equals_whole_passes():
+@pytest.mark.parametrize("short", [0, 48])
+def test_heap_and_list_merging_equal_whole_passes(monkeypatch, short):
+    from tessera.operators import bpe
+
+    monkeypatch.setattr(bpe, "SHORT_WORD", short)
     rng = random.Random(3)
     for trial in range(3000):
         alphabet = "abc"[:rng.randrange(1, 4)]
@@ -69,7 +73,7 @@ def test_public_tokenizer_gives_the_same_pieces():
 
 
 TEXTS = ["hello hello world", "aaaa aaa", "", "Grüße, 東京! 😀", "it's   spaced\n\n out", "a<|im_end|>tail<|endoftext|>",
-         "<|im_start|>", "not <|a marker|> but <|endoftext|", None, "x  <|im_end|>  y", "line\r\n\r\n  end  "]
+         "<|im_start|>", "not <|a marker|> but <|endoftext|", None, "nul\0 <|im_end|>\0<|im_start|> x\0", "\0", "x  <|im_end|>  y", "line\r\n\r\n  end  "]
 
 
 def files(ranks, extra=(), header="#version: 0.2\n"):
@@ -216,6 +220,35 @@ def test_sft_ids_and_labels_of_a_byte_level_codec(spark):
     assert sorted(r.pos for r in got) == [0, 1, 2, 3]
 
 
+def test_lists_of_words_and_the_bounded_memo():
+    import pyarrow as pa
+
+    from tessera.operators.bpe import WordMemo, encode_lists
+
+    ranks = learned_ranks()
+    alphabet = byte_alphabet()
+    ids = {alphabet[b]: b for b in range(256)} | {a + b: 300 + i for i, (a, b) in enumerate(ranks)}
+    rows = [["hello", "world", "hello"], [], None, ["東京", "deal", "<|im_end|>", "x" * 300], ["world"] * 5]
+    whole = WordMemo(ranks, ids, None)
+    want = [[whole(w) for w in r or ()] for r in rows]
+    for bound in (1, 2, 100):
+        for lists in (pa.array(rows), pa.array([["skipped"], *rows]).slice(1)):
+            got, pieces = encode_lists(lists, WordMemo(ranks, ids, None, bound))
+            assert got.to_pylist() == [sum(r, []) for r in want]
+            assert pieces.to_pylist() == [[len(w) for w in r] for r in want]
+    assert encode_lists(pa.array([], pa.list_(pa.string())), whole)[0].to_pylist() == []
+
+
+def test_encoding_in_place_exchanges_ids_only(spark):
+    ranks = learned_ranks()
+    root, _ = files(ranks)
+    codec = read_tokenizer(spark, f"{root}/vocab.json", f"{root}/merges.txt")
+    docs = spark.createDataFrame([(i, "hello world " * i) for i in range(40)], "pos bigint, text string").repartition(8)
+    plan = tasks.build_pretrain(docs, 16, 4, 2, codec=codec)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "shard" in dealt[0] and "ArrowEvalPython" in plan, plan
+
+
 def test_portable_codec_of_a_given_vocabulary(spark):
     vocab = spark.createDataFrame([("a", 0), ("b", 7)], "token string, id int")
     docs = spark.createDataFrame([(0, "b a c")], "pos bigint, text string")
