@@ -4,8 +4,8 @@
 * ``vocab_table``   — explode → ``groupBy(token).count()`` (map-side partial
   counts) → dense id by (count desc, token asc) through ``dense_index``.
 * ``encode_tokens`` — explode with position → equi-join the vocabulary
-  (broadcast only below a checked row count, shuffle join beyond it) →
-  regroup per row with an ordered ``collect_list``.
+  (broadcast, below a checked row count) → regroup per row with an ordered
+  ``collect_list``; beyond the bound, ``encode_by_bucket``.
 * ``decode_ids``    — the inverse join, ordered concat.
 * ``normalise_nfc`` — ICU's NFC through ``reflect`` (JVM-side); an Arrow UDF
   fallback gated by a rule-built class of NFC-unstable characters.
@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +29,15 @@ from tessera.functions.fixed import (
     FULL_PRETOKEN_PATTERN,
     MARKER_PATTERN,
     PORTABLE_PRETOKEN_PATTERN,
+    SPECIAL_TOKENS,
 )
-from tessera.operators.order import dense_index
+from tessera.operators.order import dense_index, materialise_scratch
 
-# vocabularies up to this many rows are broadcast to the join; larger ones shuffle
-BROADCAST_VOCAB_ROWS = 2_000_000
-# with a shuffled vocabulary, this many most frequent entries still go through a broadcast
+# tables up to this many rows are broadcast to the join (a token, an id and a hash entry: some 20 MB an executor)
+BROADCAST_VOCAB_ROWS = 250_000
+# beyond it, rows are encoded in buckets of about this many pre-tokens
+BUCKET_TOKENS = 2_000_000
+# with a shuffled table, this many most frequent entries still go through a broadcast
 HOT_ROWS = 100_000
 # spread of the salt that keeps already-resolved (hot) rows off a single shuffle partition
 SALT_BUCKETS = 4096
@@ -47,7 +53,9 @@ def pretoken_pattern(profile: str = "portable") -> str:
 
 # a special marker, or a maximal run of text that does not start a marker
 SEGMENT_PATTERN = f"{MARKER_PATTERN}|(?:(?!{MARKER_PATTERN})[\\s\\S])+"
-MARKER_OPENING = "<|"
+MARKER_OPENING, MARKER_END = "<|", "|>"
+# the markers by what lies between their common ends: found faster
+MARKER_CORE = r"<\|(?:" + "|".join(m.removeprefix(MARKER_OPENING).removesuffix(MARKER_END) for m in SPECIAL_TOKENS) + r")\|>"
 
 
 def pretokens(text, profile: str = "portable", markers: bool = False) -> Column:
@@ -61,15 +69,16 @@ def pretokens(text, profile: str = "portable", markers: bool = False) -> Column:
     plain = F.regexp_extract_all(col(text), pat, 0)
     if not markers:
         return plain
-    segments = F.regexp_extract_all(col(text), F.lit(SEGMENT_PATTERN), 0)
-    marked = F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.when(s.rlike(f"^(?:{MARKER_PATTERN})$"), F.array(s)).otherwise(F.regexp_extract_all(s, pat, 0)),
-        )
-    )
+    def each(segments):
+        return F.flatten(F.transform(segments, lambda s: F.when(s.isin(*SPECIAL_TOKENS), F.array(s))
+                                     .otherwise(F.regexp_extract_all(s, pat, 0))))
+
+    # markers are set apart by NUL and the text is cut there; one that holds NUL itself is cut by a slower pattern
+    marked = each(F.split(F.regexp_replace(col(text), f"({MARKER_CORE})", "\u0000$1\u0000"), "\u0000"))
+    with_nul = each(F.regexp_extract_all(col(text), F.lit(SEGMENT_PATTERN), 0))
     # every marker opens the same way; a text without that has nothing to split out
-    return F.when(F.contains(col(text), F.lit(MARKER_OPENING)), marked).otherwise(plain)
+    return F.when(~F.contains(col(text), F.lit(MARKER_OPENING)), plain).when(
+        F.contains(col(text), F.lit("\u0000")), with_nul).otherwise(marked)
 
 
 def pretokenise(df: DataFrame, text_col: str = "text", out: str = "tokens", profile: str = "portable",
@@ -252,6 +261,10 @@ def encode_tokens(
     through and returned as ``<flags_col>`` aligned with the ids.
     Unknown tokens take ``unk_id``; without one they raise.
     """
+    if size is None:
+        size = vocab_size(vocab)
+    if size > BROADCAST_VOCAB_ROWS:
+        return encode_by_bucket(df, key_cols, vocab, tokens_col, out, unk_id, flags_col)
     carried = [flags_col] if flags_col else []
     ex = df.select(*key_cols, *carried, F.posexplode_outer(col(tokens_col)).alias("_i", "token"))
     if flags_col:
@@ -273,6 +286,71 @@ def encode_tokens(
     return res.drop("_s")
 
 
+def encode_by_bucket(df: DataFrame, key_cols: list[str], vocab: DataFrame, tokens_col: str = "tokens",
+                     out: str = "input_ids", unk_id: int | None = None, flags_col: str | None = None) -> DataFrame:
+    """``encode_tokens`` for a vocabulary too large to broadcast: no occurrence meets it.
+
+    A task cuts its rows into buckets of at most ``BUCKET_TOKENS`` pre-tokens (a
+    longer row is one), writes each row's pre-tokens as numbers of its bucket
+    and each bucket's distinct pre-tokens once.  Those meet the vocabulary;
+    their ids go back to the bucket, whose rows exchange numbers for ids.
+    """
+    carried = [flags_col] if flags_col else []
+    source = df.select(*key_cols, *carried, F.col(tokens_col).alias("_t"))
+    fields = [source.schema[c] for c in (*key_cols, *carried)]
+    numbers = T.ArrayType(T.IntegerType())
+    written = T.StructType([*fields, T.StructField("_b", T.LongType()), T.StructField("_codes", numbers),
+                            T.StructField("_words", T.ArrayType(T.StringType()))])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bucket = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sizes = batch.column(len(fields)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            at = 0
+            while at < len(batch):
+                begin = int(ends[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, begin + BUCKET_TOKENS, side="right")))
+                part = batch.slice(at, end - at)
+                found = part.column(len(fields)).flatten().dictionary_encode()
+                offsets = pa.array(np.concatenate([[0], ends[at:end] - begin]), pa.int32())
+                words = pa.ListArray.from_arrays(                      # on the first row of the bucket
+                    pa.array([0] + [len(found.dictionary)] * len(part), pa.int32()), found.dictionary)
+                here = pa.array([0] + [None] * (len(part) - 1), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(fields)], pa.array(np.full(len(part), bucket)),
+                     pa.ListArray.from_arrays(offsets, found.indices.cast(pa.int32())), words.take(here)],
+                    names=written.names)
+                bucket += 1
+                at = end
+
+    rows = materialise_scratch(source.mapInArrow(number, written), "encode-rows")
+    pairs = rows.where(F.col("_words").isNotNull()).select("_b", F.posexplode("_words").alias("_c", "token"))
+    # frequent pre-tokens, which are in many buckets, by a broadcast; what is left meets the rest of the vocabulary
+    hot = vocab.where(F.col("id") < HOT_ROWS).select("token", F.col("id").alias("_hot"))
+    staged = pairs.join(F.broadcast(hot), "token", "left")
+    rest = staged.where(F.col("_hot").isNull()).select("_b", "_c", "token").join(
+        vocab.where(F.col("id") >= HOT_ROWS).select("token", "id"), "token", "left")
+    known = staged.where(F.col("_hot").isNotNull()).select("_b", "_c", "token", F.col("_hot").alias("id")).unionByName(rest)
+    missing = F.lit(unk_id).cast("int") if unk_id is not None else F.raise_error(
+        F.concat(F.lit("token not in vocabulary: "), F.col("token"))).cast("int")
+    known = known.select(F.col("_b").alias("_of"), "_c", F.coalesce(F.col("id").cast("int"), missing).alias("id"))
+    schema = T.StructType([*fields, T.StructField(out, numbers)])
+
+    def look_up(held: pa.Table, dictionary: pa.Table) -> pa.Table:
+        ids = np.zeros(len(dictionary), np.int32)
+        ids[dictionary["_c"].to_numpy()] = dictionary["id"].to_numpy()
+        codes = held["_codes"].combine_chunks()
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]), pa.int32()),
+            pa.array(ids[codes.flatten().to_numpy(zero_copy_only=False)]))
+        return held.select([f.name for f in fields]).append_column(out, lists)
+
+    return rows.drop("_words").groupBy("_b").cogroup(known.groupBy("_of")).applyInArrow(look_up, schema)
+
+
 def decode_ids(df: DataFrame, key_cols: list[str], vocab: DataFrame, ids_col: str = "input_ids",
                out: str = "text", sep: str = "", size: int | None = None) -> DataFrame:
     """ids → text by joining the vocabulary and concatenating tokens in order."""

@@ -114,3 +114,30 @@ def test_nfc_unstable_class_is_sufficient(spark):
     for engine in ("jvm", "python"):
         got = {r.i: r.n for r in df.select("i", nfc_column("t", engine).alias("n")).collect()}
         assert all(got[i] == unicodedata.normalize("NFC", x) for i, x in enumerate(strings)), engine
+
+
+def test_encoding_by_bucket_equals_the_broadcast_join(spark, monkeypatch):
+    """Above the broadcast bound distinct pre-tokens of buckets meet the vocabulary; ids, flags, order, empty and
+    NULL arrays come out as below it."""
+    import pytest
+
+    import tessera.operators.tokens as tk
+
+    rows = [(i, i % 3, ["the"] * (i % 50) + [f"w{i}", f"w{i % 7}", "a"]) for i in range(90)]
+    rows += [(90, 0, []), (91, 1, None), (92, 2, ["the"] * 3000)]
+    df = spark.createDataFrame(rows, "pos bigint, k int, tokens array<string>").repartition(4)
+    df = df.withColumn("sup", F.transform("tokens", lambda t: t == "the"))
+    vocab = vocab_table(df)
+    below = {(r.pos, r.k): (r.input_ids, r.sup) for r in encode_tokens(df, ["pos", "k"], vocab, flags_col="sup").collect()}
+    monkeypatch.setattr(tk, "BROADCAST_VOCAB_ROWS", 5)
+    for tokens in (10 ** 6, 400):
+        monkeypatch.setattr(tk, "BUCKET_TOKENS", tokens)
+        got = encode_tokens(df, ["pos", "k"], vocab, flags_col="sup")
+        assert {(r.pos, r.k): (r.input_ids, r.sup or []) for r in got.collect()} == below
+        plain = encode_tokens(df.select("pos", "tokens"), ["pos"], vocab, out="ids")
+        assert {r.pos: r.ids for r in plain.collect()} == {p: ids for (p, _), (ids, _) in below.items()}
+    some = vocab.where("token <> 'a'")
+    assert {i for r in encode_tokens(df, ["pos", "k"], some, unk_id=-7).collect() for i in r.input_ids} >= {-7}
+    with pytest.raises(Exception, match="not in vocabulary"):
+        encode_tokens(df, ["pos", "k"], some).collect()
+    assert encode_tokens(df.where("pos < 0"), ["pos", "k"], vocab).collect() == []
