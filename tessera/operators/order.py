@@ -113,7 +113,7 @@ def materialise_scratch(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     # the written schema, not inference: an empty result has no data files
     return spark.read.schema(df.schema).parquet(path)
 
