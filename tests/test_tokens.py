@@ -141,3 +141,19 @@ def test_encoding_by_bucket_equals_the_broadcast_join(spark, monkeypatch):
     with pytest.raises(Exception, match="not in vocabulary"):
         encode_tokens(df, ["pos", "k"], some).collect()
     assert encode_tokens(df.where("pos < 0"), ["pos", "k"], vocab).collect() == []
+
+
+def test_pairs_encoded_by_bucket_equal_the_broadcast_join(spark, monkeypatch):
+    """Flags that cannot be NULL (both sides of preference pairs) pass through buckets as well."""
+    import tessera.operators.codec as codec
+    import tessera.operators.tokens as tk
+    from tessera.plans.tasks import build_reward
+
+    rows = [(i, f"why {i}", f"since {i % 7} it is", None if i == 3 else f"no {i % 5}") for i in range(40)]
+    pairs = spark.createDataFrame(rows, "pair_id bigint, question string, response_chosen string, response_rejected string")
+    collect = lambda: sorted(tuple(r) for r in build_reward(pairs)[0].collect())
+    below = collect()
+    assert len(below) == 40
+    for module in (tk, codec):
+        monkeypatch.setattr(module, "BROADCAST_VOCAB_ROWS", 5)
+    assert collect() == below
