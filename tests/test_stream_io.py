@@ -157,3 +157,31 @@ def test_ledger_survives_a_crash_between_write_and_commit_and_a_lost_checkpoint(
     write("three.json", ["a"])
     assert rows(run("fresh")) == both + [(4, 0, [0])]
     assert len(StreamLedger(spark, out).commits()) == 3
+
+
+def test_ledger_prepares_the_files_of_a_trigger_in_one_job(spark):
+    from tessera.operators.codec import PortableCodec
+    from tessera.streaming.incremental import StreamLedger, indexed_pretrain_preparer, prepare_stream_once
+
+    root = tempfile.mkdtemp(prefix="tessera-ledger2-", dir="/tmp")
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+    os.makedirs(src)
+    words = "a b c d e f g h".split()
+    texts = [["a b c d", "e f"], [""], ["h g", "f", "e d c b"], ["a"] * 5]
+    for i, block in enumerate(texts):
+        write_lines(os.path.join(src, f"part{i}.json"), [{"text": t} for t in block])
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "token string, id int")
+    inner = indexed_pretrain_preparer(2, 2, codec=PortableCodec(vocab, size=8))
+    calls = []
+    prepare = lambda rows: calls.append(1) or inner(rows)
+    run = lambda name: prepare_stream_once(spark, src, out, os.path.join(root, name), prepare, PRETRAIN_SCHEMA)
+    table = run("first")
+    assert len(calls) == 1
+    got = [(r.pos, os.path.basename(r.file), r.in_file, r.shard, r.batch, r.chunk, r.input_ids)
+           for r in sorted(table.collect(), key=lambda r: r.pos)]
+    assert got == [
+        (0, "part0.json", 0, 0, 0, 0, [0, 1]), (1, "part0.json", 1, 0, 0, 1, [2, 3]), (2, "part0.json", 2, 0, 0, 2, [4, 5]),
+        (3, "part2.json", 0, 0, 0, 0, [7, 6]), (4, "part2.json", 1, 0, 1, 0, [4, 3]), (5, "part2.json", 2, 0, 1, 1, [2, 1]),
+        (6, "part3.json", 0, 0, 0, 0, [0, 0]), (7, "part3.json", 1, 0, 1, 0, [0, 0]), (8, "part3.json", 2, 0, 2, 0, [0])]
+    assert run("again").count() == 9 and len(calls) == 1
+    assert sorted(r["n"] for r in StreamLedger(spark, out).commits()) == [0, 3, 3, 3]
