@@ -71,3 +71,13 @@ def test_decode_invalid_bytes_with_replacement(spark):
     got = {r.pos: r.text for r in decode_bytes(df, ["pos"], vocab).collect()}
     for i, s in enumerate(seqs):
         assert got[i] == bytes(s).decode("utf-8", errors="replace")
+
+
+def test_decode_bytes_exchanges_nothing(spark):
+    """Rows become texts where they are, whatever their number of ids; unknown ids and NULL arrays give nothing."""
+    alpha = byte_alphabet()
+    vocab = spark.createDataFrame([(alpha[b], b) for b in range(256)] + [("<|im_end|>", 300)], "token string, id int")
+    rows = [(0, [104, 105, 300, 999]), (1, None), (2, []), (3, [0xC3, 0xA9])]
+    dec = decode_bytes(spark.createDataFrame(rows, "pos bigint, input_ids array<int>"), ["pos"], vocab)
+    assert {r.pos: r.text for r in dec.collect()} == {0: "hi<|im_end|>", 1: "", 2: "", 3: "é"}
+    assert "Exchange" not in dec._jdf.queryExecution().executedPlan().toString()
