@@ -81,3 +81,23 @@ def test_decode_bytes_exchanges_nothing(spark):
     dec = decode_bytes(spark.createDataFrame(rows, "pos bigint, input_ids array<int>"), ["pos"], vocab)
     assert {r.pos: r.text for r in dec.collect()} == {0: "hi<|im_end|>", 1: "", 2: "", 3: "é"}
     assert "Exchange" not in dec._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_encoded_and_decoded_in_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    import tessera.operators.bpe as bpe
+
+    rows = [["ab", "a"], None, [], ["b"] * 9, ["ab"], ["a", "b", "ab"]]
+    ids = {"a": [1], "b": [2], "ab": [1, 2]}
+    monkeypatch.setattr(bpe, "BATCH_ITEMS", 4)
+    tokens = pa.array(rows, pa.list_(pa.string()))
+    seen = list(bpe.in_slices(tokens.slice(1)))
+    assert [len(x.flatten()) for x in seen] == [0, 9, 4] and sum(map(len, seen)) == 5
+    parts = [bpe.encode_lists(x, ids.__getitem__) for x in bpe.in_slices(tokens)]
+    assert [r for p in parts for r in p[0].to_pylist()] == [sum([ids[w] for w in row or []], []) for row in rows]
+    assert [r for p in parts for r in p[1].to_pylist()] == [[len(ids[w]) for w in row or []] for row in rows]
+    lists = pa.array([[1, 2, 7], None, [3, 3], [], [None, 4]], pa.list_(pa.int32()))
+    pieces = {1: b"x", 2: "é".encode(), 3: b"\xff", 4: b"y"}
+    texts = [t for x in bpe.in_slices(lists) for t in bpe.decode_lists(x, pieces).to_pylist()]
+    assert texts == ["xé", "", "\ufffd\ufffd", "", "y"]
