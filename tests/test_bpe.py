@@ -101,3 +101,20 @@ def test_batches_are_encoded_and_decoded_in_bounded_slices(monkeypatch):
     pieces = {1: b"x", 2: "é".encode(), 3: b"\xff", 4: b"y"}
     texts = [t for x in bpe.in_slices(lists) for t in bpe.decode_lists(x, pieces).to_pylist()]
     assert texts == ["xé", "", "\ufffd\ufffd", "", "y"]
+
+
+def test_symbols_column_equals_the_alphabet(spark):
+    from tessera.operators.bpe import symbols_column, to_symbols
+
+    words = [chr(i) for i in range(0x250)] + [" the", "\n\n", "Grüße", "東京", "😀x", "a\u0000b", "$1", "\\"]
+    df = spark.createDataFrame([(w,) for w in words], "token string").select("token", symbols_column("token").alias("s"))
+    alphabet = byte_alphabet()
+    assert {r.token: r.s for r in df.collect()} == {w: to_symbols(w, alphabet) for w in words}
+
+
+def test_pairs_of_the_fixture_are_counted_once(spark):
+    words = spark.createDataFrame([("aba", 3), ("ab", 2)], "token string, c bigint")
+    merges, vocab = bpe_tables(words, 2)
+    assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == [("a", "b"), ("b", "a")]
+    for table in (merges, vocab):            # both read the counted pairs back
+        assert "explode" not in table._jdf.queryExecution().executedPlan().toString()
