@@ -157,3 +157,22 @@ def test_pairs_encoded_by_bucket_equal_the_broadcast_join(spark, monkeypatch):
     for module in (tk, codec):
         monkeypatch.setattr(module, "BROADCAST_VOCAB_ROWS", 5)
     assert collect() == below
+
+
+def test_decoding_by_bucket_equals_the_broadcast_join(spark, monkeypatch):
+    """Above the broadcast bound distinct ids of buckets meet the vocabulary, no id is exploded."""
+    import tessera.operators.tokens as tk
+
+    words = [(f"w{i}é", i, 9) for i in range(60)]
+    vocab = spark.createDataFrame(words, "token string, id int, count bigint")
+    rows = [(i, [(i * k) % 61 for k in range(i % 40)]) for i in range(90)] + [(90, None), (91, []), (92, [5, None, 70, 5])]
+    df = spark.createDataFrame(rows, "pos bigint, input_ids array<int>").repartition(3)
+    texts = lambda sep: {r.pos: r.text for r in decode_ids(df, ["pos"], vocab, sep=sep).collect()}
+    below = {sep: texts(sep) for sep in ("", " ")}
+    monkeypatch.setattr(tk, "BROADCAST_VOCAB_ROWS", 5)
+    monkeypatch.setattr(tk, "HOT_ROWS", 20)
+    for tokens in (10 ** 6, 100):
+        monkeypatch.setattr(tk, "BUCKET_TOKENS", tokens)
+        assert {sep: texts(sep) for sep in ("", " ")} == below
+    plan = decode_ids(df, ["pos"], vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(input_ids" not in plan and "FlatMapCoGroupsInArrow" in plan
