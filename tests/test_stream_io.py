@@ -185,3 +185,19 @@ def test_ledger_prepares_the_files_of_a_trigger_in_one_job(spark):
         (6, "part3.json", 0, 0, 0, 0, [0, 0]), (7, "part3.json", 1, 0, 1, 0, [0, 0]), (8, "part3.json", 2, 0, 2, 0, [0])]
     assert run("again").count() == 9 and len(calls) == 1
     assert sorted(r["n"] for r in StreamLedger(spark, out).commits()) == [0, 3, 3, 3]
+
+
+def test_folders_of_a_stream_are_packed_apart_and_their_files_together(spark):
+    from tessera.operators.codec import PortableCodec
+    from tessera.streaming.incremental import folder_pretrain_preparer
+
+    root = tempfile.mkdtemp(prefix="tessera-folders-", dir="/tmp")
+    for name, texts in {"x/part-0": ["a b", "c"], "x/part-1": ["d e f"], "y/part-0": ["h g"]}.items():
+        os.makedirs(os.path.dirname(os.path.join(root, "in", name)), exist_ok=True)
+        write_lines(os.path.join(root, "in", f"{name}.json"), [{"text": t} for t in texts])
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate("abcdefgh")], "token string, id int")
+    prepare = folder_pretrain_preparer(4, 10, codec=PortableCodec(vocab, size=8))
+    table = prepare_stream(spark, os.path.join(root, "in", "*"), os.path.join(root, "out"), os.path.join(root, "ckpt"),
+                           prepare, PRETRAIN_SCHEMA, "*.json", whole=True)
+    rows = sorted((r.file_index, r.shard, r.batch, r.chunk, r.input_ids) for r in table.collect())
+    assert rows == [(0, 0, 0, 0, [0, 1, 2, 3]), (1, 0, 0, 0, [7, 6])]
