@@ -19,10 +19,11 @@ rows are packed once per row; other columns of the input are ignored.
 from __future__ import annotations
 
 import gc
+import itertools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ CAPACITY = 4096
 OPEN_BINS = 1024
 STREAM_TOKENS = 1 << 24   # tokens per stream
 STREAM_ROWS = 1 << 17     # pieces per stream
-CACHED_WORDS = 400_000    # per Python worker, of each kind
+CACHED_WORDS = 150_000    # per Python worker, of each kind, and what one group of texts has beyond
 CACHED_CHARS = 64
+GROUP_CHARS = 1 << 20     # of texts that are encoded at a time
+BATCH_CHUNKS = 4096       # the tokenizer's own objects are that many at a time; they are larger than the ids
 
 #: a lower-case Latin word and the marks behind it: two tokens of the pre-tokeniser, none of its special cases
 _WORD = re.compile("([a-zß-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -52,7 +55,8 @@ class WordIds:
     blank-separated chunks in a row.  A chunk that is a lower-case Latin word
     with marks behind it is the word's ids and the marks' ids; words not yet
     known are encoded many at a time by the same model behind a plain split.
-    Any other chunk goes through the tokenizer as it is.
+    Any other chunk goes through the tokenizer as it is.  A full cache keeps
+    what the texts at hand have in it, which holds the words that recur.
     """
 
     def __init__(self, path: str):
@@ -68,16 +72,18 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids; pass many at once, as what is new is learned in one go."""
+        split = []
+        for text in texts:
+            simple = "<|" not in text and not _RARE.search(text)
+            split.append((simple, (text.lower() if simple else text).replace("\n", " ").split(" ")))
+        if len(self.chunks) > CACHED_WORDS:
+            self.chunks = _kept(self.chunks, itertools.chain.from_iterable(chunks for _, chunks in split))
         known = self.chunks
-        if len(known) > CACHED_WORDS:
-            known.clear()
         look = known.get
         found, gaps = [], []
         plain: set[str] = set()
         rare: set[str] = set()
-        for text in texts:
-            simple = "<|" not in text and not _RARE.search(text)
-            chunks = (text.lower() if simple else text).replace("\n", " ").split(" ")
+        for simple, chunks in split:
             ids = list(map(look, chunks))
             missing = [(i, chunks[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
             (plain if simple else rare).update([c for _, c in missing])
@@ -92,9 +98,6 @@ class WordIds:
 
     def _learn(self, plain: set[str], rare: set[str]) -> dict[str, bytes]:
         """Cache the ids of new chunks, lower-cased ones in ``plain``; those too long to keep are returned."""
-        words = self.words
-        if len(words) > CACHED_WORDS:
-            words.clear()
         parts = []
         odd = list(rare)
         for c in plain - rare:
@@ -103,11 +106,14 @@ class WordIds:
                 parts.append((c, *m.groups()))
             else:
                 odd.append(c)
+        if len(self.words) > CACHED_WORDS:
+            self.words = _kept(self.words, (x for part in parts for x in part[1:]))
+        words = self.words
         self._learn_words(list({w for _, w, _ in parts}.difference(words)))
         marks = {m for _, _, m in parts}
         whole = odd + [m for m in marks if m not in words]
         long: dict[str, bytes] = {}
-        for c, e in zip(whole, self.whole.encode_batch(whole, add_special_tokens=False)):
+        for c, e in self._batches(self.whole, whole, whole):
             ids = np.array(e.ids, "<u4").tobytes()
             if len(c) > CACHED_CHARS:
                 long[c] = ids
@@ -123,9 +129,16 @@ class WordIds:
             (long if len(c) > CACHED_CHARS else self.chunks)[c] = ids
         return long
 
+    @staticmethod
+    def _batches(tokenizer, items: list, texts: list[str], size: int | None = None) -> Iterator[tuple]:
+        """Items and the encodings of their texts."""
+        size = size or BATCH_CHUNKS
+        for at in range(0, len(texts), size):
+            yield from zip(items[at:at + size], tokenizer.encode_batch(texts[at:at + size], add_special_tokens=False))
+
     def _learn_words(self, new: list[str]) -> None:
         lines = [new[i:i + 64] for i in range(0, len(new), 64)]
-        for line, e in zip(lines, self.split.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+        for line, e in self._batches(self.split, lines, [" ".join(x) for x in lines], BATCH_CHUNKS // 64):
             ids = np.array(e.ids, "<u4")
             ends = np.searchsorted(np.array(e.word_ids), np.arange(len(line)), side="right")
             raw, at = ids.tobytes(), 0
@@ -134,6 +147,11 @@ class WordIds:
                 at = end
 
 
+def _kept(cache: dict[str, bytes], wanted: Iterable[str]) -> dict[str, bytes]:
+    """What of the cache is wanted."""
+    return {c: cache[c] for c in wanted if c in cache}
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A public tokenizer's file: in ``folder``, in $TOKENIZER_DIR, or where their package lies."""
     folder = folder or os.environ.get("TOKENIZER_DIR")
@@ -182,7 +200,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
             at = 0
             while at < len(batch):
                 group, size = [], 0
-                while at + len(group) < len(batch) and size < 2 << 20:
+                while at + len(group) < len(batch) and size < GROUP_CHARS:
                     group.append(texts[at + len(group)].as_py() or "")
                     size += len(group[-1])
                 rows = []

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, pack, quality, repeats
-from tessera.llm.common import written
+from tessera.llm.common import small_batches, written
 
 BROADCAST_ROWS = 500_000     # of ids, 4 MB
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Documents that the classifier, learned from the labels, takes for good."""
+    small_batches(docs.sparkSession)
     stats = written(quality.document_statistics(docs), "quality-stats")
     model = quality.fit(stats, labels, label)
     return docs.where(quality.text_score(model)(F.col("text")) >= 0.5)
@@ -28,6 +29,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies."""
+    small_batches(docs.sparkSession)
     found = written(jaccard.join_documents(docs), "classes")
     ids = written(found.where("doc_id = component_id").groupBy("doc_id").count(), "kept-ids")
     rows, most = ids.agg(F.count(F.lit(1)), F.max("count")).first()
@@ -43,6 +45,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Documents with every byte of a repeated passage cut out (and what is left of a cut character)."""
+    small_batches(docs.sparkSession)
     kept = repeats.removed(docs, keep_text=True, carry=tuple(docs.columns))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("c.text"))
     out = kept.withColumn("_text", text)
@@ -53,6 +56,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any window of the benchmark."""
+    small_batches(docs.sparkSession)
     cols = docs.columns
     found = decontaminate.find_leaks(docs.withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in cols])), benchmark,
                                      keep=("_all",))
@@ -61,4 +65,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Pieces and their places, as the packing operator returns them."""
+    small_batches(docs.sparkSession)
     return pack.pack_documents(docs, tokenizer or pack.tokenizer_path("word_bpe_49k.json"))

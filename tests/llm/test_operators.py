@@ -541,3 +541,45 @@ def test_no_rows(spark, none):
     assert wrappers.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.classify(none, labels).count() == 0
+
+
+def test_word_ids_are_bounded(monkeypatch):
+    """A full cache keeps what the texts at hand use of it, the tokenizer sees few chunks at a time, ids are its own."""
+    monkeypatch.setattr(pack, "CACHED_WORDS", 300)
+    monkeypatch.setattr(pack, "BATCH_CHUNKS", 128)
+    own = pack.WordIds(pack.tokenizer_path("word_bpe_49k.json"))
+    whole, sizes = own.whole, []
+
+    class Counting:
+        def encode_batch(self, texts, **more):
+            sizes.append(len(texts))
+            return whole.encode_batch(texts, **more)
+
+    own.whole = Counting()
+    rng, seen = random.Random(3), []
+    for part in range(6):
+        texts = ["often, seen " + " ".join("w%dx, Été%d" % (rng.randrange(9000), part) for _ in range(200))
+                 for _ in range(3)]
+        if part:
+            assert "often," in own.chunks
+        seen.append(own.chunks.get("often,"))
+        got = own.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [
+            whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.chunks) <= 300 + 2 * 3 * 400
+    assert max(sizes) <= 128
+    assert all(x is seen[1] for x in seen[1:])           # never learned again
+
+
+def test_stages_take_small_batches(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        stages.packed(docs)
+        assert spark.conf.get(key) == "4m"
+        spark.conf.set(key, "1m")
+        stages.packed(docs)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
