@@ -283,7 +283,7 @@ def _common(a, b):
     return F.size(F.array_intersect(a, b))
 
 
-def star_links(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def star_links(sets: DataFrame, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(u, v) links between sets and the centres of the sets with the same minimum hash, under some hashes."""
     keys = [F.struct(F.lit(r).alias("r"), F.array_min(F.transform(
         "tokens", lambda t, r=r: F.xxhash64(t, F.lit(r).cast("long")))).alias("h")) for r in range(rounds)]
@@ -291,11 +291,19 @@ def star_links(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     centres = keyed.groupBy("key").agg(
         F.min(F.struct("n", "own")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
     near = keyed.join(centres, "key").select("own", F.col("c.own").alias("v")).where("own <> v").distinct()
-    return verified(near, sets)
+    return verified(near, sets, broadcast_rows)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (own, v) of ``pairs`` that link, as (u, v)."""
+def _small(ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``ids``, to be broadcast if there are few."""
+    return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+
+
+def verified(pairs: DataFrame, sets: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The (own, v) of ``pairs`` that link, as (u, v); only sets in a pair are shuffled."""
+    pairs = written(pairs, "pairs")
+    met = pairs.select("own").union(pairs.select(F.col("v").alias("own"))).distinct()
+    sets = written(sets.join(_small(met, broadcast_rows), "own", "left_semi"), "paired")
     a = sets.select("own", F.col("n").alias("a_n"), F.col("tokens").alias("a"))
     b = sets.select(F.col("own").alias("v"), F.col("n").alias("b_n"), F.col("tokens").alias("b"))
     both = pairs.join(a, "own").join(b, "v")
@@ -316,8 +324,8 @@ def matrix_links(sets: DataFrame, buckets: int) -> DataFrame:
     ranked = written(ranked.where(F.size("order") >= _sql_least("n")).withColumn(
         "top", F.expr("(9 * size(order)) div 4 - n")), "ranked")
 
-    members = written(units(ranked.select(
-        "own", "grp", "n", "top", "order", F.transform("order", lambda o: o["t"]).alias("tokens"))), "members")
+    tokens = F.transform("order", lambda o: o["t"])
+    members = written(units(ranked.withColumn("tokens", tokens)).drop("tokens"), "members")
 
     def prefix(least: str, name: str) -> DataFrame:
         """Per shingle and unit, what bounds the members that have it among their first ones."""
@@ -336,7 +344,7 @@ def matrix_links(sets: DataFrame, buckets: int) -> DataFrame:
     opened = asks.join(answers, "t").where(other & fits).select(
         F.least("unit_a", "unit_b").alias("unit_a"), F.greatest("unit_a", "unit_b").alias("unit_b")).distinct()
     blocks = written(members.groupBy("unit", "block").agg(
-        F.collect_list(F.struct("own", "grp", "n", "tokens")).alias("m")), "blocks")
+        F.collect_list(F.struct("own", "grp", "n", tokens.alias("tokens"))).alias("m")), "blocks")
     side = lambda x: blocks.select(F.col("unit").alias("unit_" + x), F.col("block").alias("block_" + x))
     pairs = opened.join(side("a"), "unit_a").join(side("b"), "unit_b").where(
         "unit_a <> unit_b or block_a <= block_b").select("block_a", "block_b")
@@ -352,17 +360,18 @@ def units(sets: DataFrame) -> DataFrame:
     smaller groups under that hash are dealt into units of one block each.
     """
     weight = F.greatest(F.size("tokens"), F.lit(LEAST_ENTRIES)).cast("long")
-    keyed = written(sets.withColumn("key", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t)))), "unit-keys")
+    keyed = sets.withColumn("key", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))))
     of_group = written(keyed.groupBy("key", "grp").agg(F.sum(weight).alias("w")), "unit-sizes")
-    rest = of_group.where(F.col("w") < BLOCK_ENTRIES).groupBy("key").agg(F.sum("w").alias("rest"))
     parts = lambda c: F.ceil(F.col(c) / BLOCK_ENTRIES).cast("long")
-    alone = F.col("w") >= BLOCK_ENTRIES
-    unit = F.when(alone, F.xxhash64("key", "grp", F.lit(1))).otherwise(
-        F.xxhash64("key", F.pmod(F.xxhash64("grp"), parts("rest")), F.lit(2)))
-    dealt = of_group.join(rest, "key", "left").select(
-        "key", "grp", unit.alias("unit"), F.when(alone, parts("w")).otherwise(F.lit(1)).alias("cuts"))
-    return keyed.join(dealt, ["key", "grp"]).withColumn(
-        "block", F.xxhash64("unit", F.pmod(F.xxhash64("own"), F.col("cuts")))).drop("key", "cuts")
+    # what fills more than a block is few rows, one for so many shingles; all else is one block, without a look-up
+    alone = of_group.where(F.col("w") >= BLOCK_ENTRIES).select("key", "grp", parts("w").alias("cuts"))
+    rest = of_group.where(F.col("w") < BLOCK_ENTRIES).groupBy("key").agg(F.sum("w").alias("rest")).where(
+        F.col("rest") > BLOCK_ENTRIES).select("key", parts("rest").alias("parts"))
+    dealt = keyed.join(F.broadcast(alone), ["key", "grp"], "left").join(F.broadcast(rest), "key", "left")
+    unit = F.when(F.col("cuts").isNotNull(), F.xxhash64("key", "grp", F.lit(1))).otherwise(
+        F.xxhash64("key", F.pmod(F.xxhash64("grp"), F.coalesce("parts", F.lit(1).cast("long"))), F.lit(2)))
+    return dealt.withColumn("unit", unit).withColumn("block", F.xxhash64("unit", F.pmod(
+        F.xxhash64("own"), F.coalesce("cuts", F.lit(1).cast("long"))))).drop("key", "cuts", "parts")
 
 
 def _block(rows: pa.Array) -> tuple[np.ndarray, ...]:
@@ -469,9 +478,9 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = written(sets.select(F.col("hi").alias("own"), "n", "tokens"), "tokens")
     if not sets.groupBy("own").count().where("count > 1").isEmpty():     # repeated rows, or NULL ids with one text
         sets = written(sets.dropDuplicates(["own"]), "sets-once")
-    stars = star_links(sets)
+    stars = star_links(sets, broadcast_rows=broadcast_rows)
     groups = components(stars).select(F.col("vertex").alias("own"), F.col("component").alias("grp"))
-    grouped = written(sets.join(groups, "own", "left").withColumn("grp", F.coalesce("grp", "own")), "groups")
+    grouped = sets.join(_small(groups, broadcast_rows), "own", "left").withColumn("grp", F.coalesce("grp", "own"))
     links = stars.union(matrix_links(grouped, buckets))
     found = components(links).select(F.col("vertex").alias("hi"), F.col("component").alias("c"))
     classes = kinds.join(found, "hi", "left").select("hi", "lo", "doc_id", F.coalesce("c", "hi").alias("c"))

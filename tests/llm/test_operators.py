@@ -571,6 +571,22 @@ def test_word_ids_are_bounded(monkeypatch):
     assert all(x is seen[1] for x in seen[1:])           # never learned again
 
 
+def test_jaccard_scratch_is_narrow(spark, docs, rows, monkeypatch):
+    """A set's shingles are written when found, when shared and in blocks, not once more for each look-up."""
+    wide = []
+
+    def noted(df, name, written=jaccard.written):
+        if any(f in df.columns for f in ("tokens", "m")):
+            wide.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", 256)   # units of several blocks
+    got = sorted(map(tuple, jaccard.join_documents(docs).collect()), key=repr)
+    assert got == sorted(brute_components(rows), key=repr)
+    assert set(wide) <= {"tokens", "sets-once", "paired", "able", "blocks"}
+
+
 def test_stages_take_small_batches(spark, docs):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
