@@ -106,6 +106,54 @@ def test_jobs_do_not_grow_with_files_and_files_stay_apart(spark, task):
     assert [r.file_index for r in out] == sorted(r.file_index for r in out)
 
 
+def test_pretraining_files_are_read_and_split_once(spark, monkeypatch):
+    """Without a vocabulary, ids and vocabulary are those of a vocabulary counted apart, from one reading of the files,
+    whose heads are looked at once; lines read in a few splits are dealt out first."""
+    from tessera.operators import order, tokens
+
+    root, rng = folder("once"), random.Random(8)
+    texts = [[" ".join(rng.choice(["the", "caf\u0065\u0301", f"w{rng.randrange(90)}", "12,"]) for _ in range(rng.randrange(9)))
+              for _ in range(n)] for n in (57, 0, 1, 90)]
+    texts[3][5:8] = [None, "", "a<|im_end|>b <|endoftext|>"]
+    for i, lines in enumerate(texts):
+        write_lines(os.path.join(root, f"f{i}.json"), [{"text": t} for t in lines])
+    counted = tokens.vocab_table(tasks.task_pretokens(
+        spark.createDataFrame([(t,) for lines in texts for t in lines], "text string"), "pt"))
+    run = lambda **more: tasks.prepare_training_data(
+        spark, "pt", train_file_dir=root, max_seq_length=16, batch_size=9, workers=2, **more)
+    listed = lambda df: sorted((r.file_index, r.pos, r.shard, r.batch, r.chunk, r.n_tokens, r.input_ids, r.labels)
+                               for r in df.collect())
+    want = listed(run(vocab=counted))
+    reads, read = [], io.read_samples
+    monkeypatch.setattr(io, "read_samples", lambda *a, **k: reads.append(1) or read(*a, **k))
+    old = small_splits(spark)
+    try:
+        for slots, bucket in ((1, 10 ** 6), (1, 40), (10 ** 6, 40)):
+            monkeypatch.setattr(order, "task_slots", lambda spark: slots)  # noqa: B023
+            monkeypatch.setattr(tokens, "BUCKET_TOKENS", bucket)
+            reads.clear()
+            out, vocab = run(return_vocab=True)
+            assert listed(out) == want and len(want) > 20
+            assert sorted(vocab.collect()) == sorted(counted.collect())
+            assert len(reads) == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_array_files_are_told_from_lines_by_one_codec_table(spark):
+    import gzip
+
+    root = folder("heads")
+    for name, head in (("a.json", "[1]"), ("b.json", ' \n{"text": "x"}'), ("c.json", ""), ("d.json.gz", "\ufeff [2]")):
+        data = head.encode()
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(gzip.compress(data) if name.endswith("gz") else data)
+    paths = [os.path.join(root, n) for n in sorted(os.listdir(root))]
+    assert [os.path.basename(p) for p in io.array_files(spark, paths)] == ["a.json", "d.json.gz"]
+    assert [io.is_array_file(spark, p) for p in paths] == [True, False, False, True]
+    assert io.array_files(spark, []) == []
+
+
 def test_ledger_prepares_only_what_is_not_committed(spark):
     root, cache = folder("src"), folder("cache")
     write_lines(os.path.join(root, "a.json"), [{"text": "one two three"}])
