@@ -22,11 +22,13 @@ import gc
 import itertools
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ CAPACITY = 4096
 OPEN_BINS = 1024
 STREAM_TOKENS = 1 << 24   # tokens per stream
 STREAM_ROWS = 1 << 17     # pieces per stream
-CACHED_WORDS = 150_000    # per Python worker, of each kind, and what one group of texts has beyond
+CACHED_WORDS = 500_000    # per Python worker, twice, and what one group of texts has beyond
 CACHED_CHARS = 64
-GROUP_CHARS = 1 << 20     # of texts that are encoded at a time
+GROUP_CHARS = 1 << 22     # of texts that are encoded at a time
 BATCH_CHUNKS = 4096       # the tokenizer's own objects are that many at a time; they are larger than the ids
 
 #: a lower-case Latin word and the marks behind it: two tokens of the pre-tokeniser, none of its special cases
@@ -52,11 +54,13 @@ class WordIds:
     """Ids of a text as bytes, put together from cached ids of its words.
 
     White space never lies inside a token, so a text's ids are those of its
-    blank-separated chunks in a row.  A chunk that is a lower-case Latin word
-    with marks behind it is the word's ids and the marks' ids; words not yet
-    known are encoded many at a time by the same model behind a plain split.
-    Any other chunk goes through the tokenizer as it is.  A full cache keeps
-    what the texts at hand have in it, which holds the words that recur.
+    blank-separated chunks in a row.  A group of texts is cut into chunks and
+    put together again by Arrow; Python sees its distinct chunks, once each.
+    A chunk that is a lower-case Latin word with marks behind it is the word's
+    ids and the marks' ids; words not yet known go to the tokenizer's model
+    itself, or many at a time to the same model behind a plain split where they
+    hold more than a to z.  Any other chunk goes through the tokenizer as it is.  A full cache is set aside and a new one begun, into
+    which comes back what is met again: words that recur stay.
     """
 
     def __init__(self, path: str):
@@ -64,69 +68,68 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.split = Tokenizer(self.whole.model)
+        self.model = self.whole.model
+        self.split = Tokenizer(self.model)
         self.split.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids; pass many at once, as what is new is learned in one go."""
-        split = []
-        for text in texts:
-            simple = "<|" not in text and not _RARE.search(text)
-            split.append((simple, (text.lower() if simple else text).replace("\n", " ").split(" ")))
+        simple = [t.lower() if "<|" not in t and not _RARE.search(t) else t for t in texts]
+        split = pc.split_pattern(pc.replace_substring(pa.array(simple, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = ids.buffers()[2]
+        return [data[begin:end].to_pybytes() if end > begin else b"" for begin, end in itertools.pairwise(ends)]
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.chunks) > CACHED_WORDS:
-            self.chunks = _kept(self.chunks, itertools.chain.from_iterable(chunks for _, chunks in split))
+            self.old, self.chunks = self.chunks, {}
         known = self.chunks
-        look = known.get
-        found, gaps = [], []
-        plain: set[str] = set()
-        rare: set[str] = set()
-        for simple, chunks in split:
-            ids = list(map(look, chunks))
-            missing = [(i, chunks[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
-            (plain if simple else rare).update([c for _, c in missing])
-            found.append(ids)
-            gaps.append(missing)
-        if plain or rare:
-            long = self._learn(plain, rare)
-            for ids, missing in zip(found, gaps):
-                for i, c in missing:
-                    ids[i] = known[c] if c in known else long[c]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, plain: set[str], rare: set[str]) -> dict[str, bytes]:
-        """Cache the ids of new chunks, lower-cased ones in ``plain``; those too long to keep are returned."""
-        parts = []
-        odd = list(rare)
-        for c in plain - rare:
-            m = _WORD.fullmatch(c)
-            if m:
-                parts.append((c, *m.groups()))
+        ids = list(map(known.get, chunks))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        long = self._learn(self._new([chunks[i] for i in missing]))
+        for i in missing:
+            c = chunks[i]
+            ids[i] = known[c] if c in known else long[c]
+        return ids
+
+    def _new(self, chunks: list[str]) -> list[str]:
+        """What the cache set aside does not have either; the rest is fetched back."""
+        old, known, new = self.old, self.chunks, []
+        for c in chunks:
+            if c in old:
+                known[c] = old[c]
             else:
-                odd.append(c)
-        if len(self.words) > CACHED_WORDS:
-            self.words = _kept(self.words, (x for part in parts for x in part[1:]))
-        words = self.words
-        self._learn_words(list({w for _, w, _ in parts}.difference(words)))
-        marks = {m for _, _, m in parts}
-        whole = odd + [m for m in marks if m not in words]
+                new.append(c)
+        return new
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Cache the ids of new chunks, of their words and of their marks; those too long to keep are returned."""
+        known = self.chunks
         long: dict[str, bytes] = {}
-        for c, e in self._batches(self.whole, whole, whole):
-            ids = np.array(e.ids, "<u4").tobytes()
-            if len(c) > CACHED_CHARS:
-                long[c] = ids
-            elif c in marks:
-                words[c] = ids
+        parts, odd, words, marks = [], [], set(), set()
+        for c in chunks:
+            m = _WORD.fullmatch(c)
+            if m and c == c.lower():             # a text with rare characters is not lower-cased
+                word, mark = m.groups()
+                words.add(word)
+                if mark:
+                    parts.append((c, word, mark))
+                    marks.add(mark)
             else:
-                self.chunks[c] = ids
-        for c in odd:
-            if c in words:                       # a chunk of marks alone
-                self.chunks[c] = words[c]
-        for c, w, m in parts:
-            ids = words[w] + (long[m] if m in long else words[m])
-            (long if len(c) > CACHED_CHARS else self.chunks)[c] = ids
+                odd.append(c)
+        words = self._new([w for w in words if w not in known])
+        whole = list(set(self._new([m for m in marks if m not in known])).union(odd))
+        for c, ids in itertools.chain(self._ids_of_words(words), self._ids_of_chunks(whole)):
+            (long if len(c) > CACHED_CHARS else known)[c] = ids
+        for c, word, mark in parts:
+            ids = (known if word in known else long)[word] + (known if mark in known else long)[mark]
+            (long if len(c) > CACHED_CHARS else known)[c] = ids
         return long
 
     @staticmethod
@@ -136,22 +139,27 @@ class WordIds:
         for at in range(0, len(texts), size):
             yield from zip(items[at:at + size], tokenizer.encode_batch(texts[at:at + size], add_special_tokens=False))
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _ids_of_chunks(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        for c, e in self._batches(self.whole, new, new):
+            yield c, np.array(e.ids, "<u4").tobytes()
+
+    def _ids_of_words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        tokens_of = self.model.tokenize
+        for w in new:
+            if w.isascii():                      # letters that stand for themselves as bytes
+                ids = [t.id for t in tokens_of(w)]
+                yield w, struct.pack(f"<{len(ids)}I", *ids)
+        new = [w for w in new if not w.isascii()]
         lines = [new[i:i + 64] for i in range(0, len(new), 64)]
         for line, e in self._batches(self.split, lines, [" ".join(x) for x in lines], BATCH_CHUNKS // 64):
             ids = np.array(e.ids, "<u4")
             ends = np.searchsorted(np.array(e.word_ids), np.arange(len(line)), side="right")
             raw, at = ids.tobytes(), 0
             for w, end in zip(line, (ends * 4).tolist()):
-                self.words[w] = raw[at:end]
+                yield w, raw[at:end]
                 at = end
 
 
-def _kept(cache: dict[str, bytes], wanted: Iterable[str]) -> dict[str, bytes]:
-    """What of the cache is wanted."""
-    return {c: cache[c] for c in wanted if c in cache}
-
-
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A public tokenizer's file: in ``folder``, in $TOKENIZER_DIR, or where their package lies."""
     folder = folder or os.environ.get("TOKENIZER_DIR")

@@ -571,6 +571,34 @@ def test_word_ids_are_bounded(monkeypatch):
     assert all(x is seen[1] for x in seen[1:])           # never learned again
 
 
+def test_words_that_recur_are_not_learned_again(monkeypatch):
+    """A word that comes in every second group outlasts a full cache, Python sees a group's distinct chunks once, and
+    ids stay the tokenizer's, for words with and without marks and in texts that are not lower-cased."""
+    monkeypatch.setattr(pack, "CACHED_WORDS", 500)
+    own = pack.WordIds(pack.tokenizer_path("word_bpe_49k.json"))
+    learned, seen = Counter(), []
+    learn, known = own._learn, own._known
+
+    def counting(chunks, *more):
+        learned.update(chunks)
+        return learn(chunks, *more)
+
+    own._learn = counting
+    own._known = lambda chunks: seen.append(len(chunks)) or known(chunks)
+    rng = random.Random(7)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    recur = [["often", "seen,", "\u00dcber!", "\u0130st"], ["second", "group.", "caf\u00e9;", "A\u030a"]]
+    for part in range(12):
+        words = recur[part % 2] * 40 + fresh(200)
+        texts = [" ".join(rng.sample(words, len(words))), "", "\n".join(words), "w" * 300 + ", \u6f22 " + " ".join(words[-9:])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [
+            own.whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert seen[-1] < 2 * 200 + 40                       # of more than 700 occurrences
+    assert own.encode([]) == [] and own.encode(["", ""]) == [b"", b""]
+    assert all(n == 1 for c, n in learned.items() if len(c) <= pack.CACHED_CHARS), learned.most_common(5)
+    assert len(own.chunks) + len(own.old) < 2 * (500 + 500)
+
+
 def test_jaccard_scratch_is_narrow(spark, docs, rows, monkeypatch):
     """A set's shingles are written when found, when shared and in blocks, not once more for each look-up."""
     wide = []
