@@ -38,7 +38,7 @@ CAPACITY = 4096
 OPEN_BINS = 1024
 STREAM_TOKENS = 1 << 24   # tokens per stream
 STREAM_ROWS = 1 << 17     # pieces per stream
-CACHED_WORDS = 500_000    # per Python worker, twice, and what one group of texts has beyond
+CACHED_WORDS = 300_000    # per Python worker, twice, and what one group of texts has beyond
 CACHED_CHARS = 64
 GROUP_CHARS = 1 << 22     # of texts that are encoded at a time
 BATCH_CHUNKS = 4096       # the tokenizer's own objects are that many at a time; they are larger than the ids
