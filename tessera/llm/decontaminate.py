@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
@@ -108,6 +110,7 @@ def _scanner(block):
     """A UDF that scans texts with the automaton of the broadcast patterns ``block``."""
     @F.pandas_udf("n_words long, spans array<struct<first:long,end:long>>, items array<string>")
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tidy()
         found = automaton(block.value) if block.value else None
         for texts in batches:
             rows = []

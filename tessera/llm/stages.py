@@ -66,4 +66,4 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Pieces and their places, as the packing operator returns them."""
     small_batches(docs.sparkSession)
-    return pack.pack_documents(docs, tokenizer or pack.tokenizer_path("word_bpe_49k.json"))
+    return pack.pack_documents(docs, tokenizer or pack.tokenizer_path("word_bpe_49k.json"), lean=True)

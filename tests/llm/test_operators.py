@@ -4,10 +4,12 @@ columns of clashing names."""
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -627,3 +629,39 @@ def test_stages_take_small_batches(spark, docs):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_stages_read_few_rows_at_a_time(spark, docs):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        stages.packed(docs)
+        assert spark.conf.get(key) == "256"
+        spark.conf.set(key, "100")
+        stages.packed(docs)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_stage_leaves_no_words_to_workers(spark, docs, tmp_path, monkeypatch):
+    """The stage's rows are the operator's, however little is encoded and cached, and no worker keeps its caches."""
+    path = str(tmp_path / "own.json")
+    shutil.copy(pack.tokenizer_path("word_bpe_49k.json"), path)
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    dealt = docs.repartition(8)
+    want = sorted(map(tuple, pack.pack_documents(dealt, pack.tokenizer_path("word_bpe_49k.json")).select(cols).collect()), key=repr)
+    monkeypatch.setattr(pack, "LEAN_WORDS", 50)
+    monkeypatch.setattr(pack, "LEAN_CHARS", 300)
+    got = sorted(map(tuple, stages.packed(dealt, path).select(cols).collect()), key=repr)
+    assert got == want and len(got) >= docs.count()
+
+    def kept(batches):
+        from tessera.llm import pack as own
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([path in own._KEPT] * len(b))], names=["kept"])
+
+    found = spark.range(0, 64, 1, 32).mapInArrow(kept, "kept boolean").collect()
+    assert len(found) == 64 and not any(r.kept for r in found)
